@@ -22,8 +22,8 @@ from .common import read, small_batches
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct words whose ids a worker keeps; the table starts anew beyond that.
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's table of ids.
+CACHE_WORDS = 500_000
 #: Sequence ids of a task: its partition number times this, and up.
 SEQUENCES_A_TASK = 1 << 36
 
@@ -31,24 +31,33 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 Piece = tuple[int, int, int, bytes]  # doc_id, start, doc_tokens, ids as bytes
 
-_words: dict[bytes, bytes] = {}
 _encoders: dict[str, object] = {}
 
 
 class WordIds(dict):
-    """Token ids (little-endian 32 bits) of words between ASCII white space, which the tokenizer never joins."""
+    """Token ids (little-endian 32 bits) of words between ASCII white space, which the tokenizer never joins.
 
-    def __init__(self, path: str):
+    Two generations bound the memory: a full table becomes the old one, from which words still in use come back.
+    """
+
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
 
-    def add(self, unseen: list[bytes]) -> None:
-        if len(self) + len(unseen) > CACHE_WORDS:
+    def add(self, wanted: list[bytes]) -> None:
+        if len(self) + len(wanted) > self.limit:
+            self.old = dict(self)
             self.clear()
-        for word, got in zip(unseen, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in unseen], add_special_tokens=False), strict=True):
-            self[word] = np.asarray(got.ids, "<u4").tobytes()
+        unseen = []
+        for w in wanted:
+            if w in self.old:
+                self[w] = self.old[w]
+            elif w not in self:
+                unseen.append(w)
+        for w, got in zip(unseen, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unseen], add_special_tokens=False), strict=True):
+            self[w] = np.asarray(got.ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         parts = text.split()
@@ -56,9 +65,8 @@ class WordIds(dict):
             return b"".join(map(self.__getitem__, parts))
         except KeyError:
             self.add([w for w in dict.fromkeys(parts) if w not in self])
-            missing = [w for w in dict.fromkeys(parts) if w not in self]
-            if missing:  # the table started anew in between
-                self.add(missing)
+            if any(w not in self for w in parts):  # a new generation began in between
+                self.add(list(dict.fromkeys(parts)))
             return b"".join(map(self.__getitem__, parts))
 
 
