@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op4_sharding": "sharding",
+    "op6_language_id": "language_id",
     "op9_packing": "packing",
+    "op10_decontamination": "decontamination",
 }
 
 
