@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op4_sharding": "sharding",
+    "op5_exact_topk": "exact_topk",
     "op6_language_id": "language_id",
     "op9_packing": "packing",
     "op10_decontamination": "decontamination",
