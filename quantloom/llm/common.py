@@ -181,3 +181,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = nxt
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stash(stars.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()), "components")
+
+
+BITMAP_BITS = 1 << 26
+
+
+def id_bitmap(ids: DataFrame, column: str):
+    """A broadcast bitmap of BITMAP_BITS bits (8 MB whatever the input) that ``in_bitmap`` tests ids against.
+
+    It has no false negatives; as it fills up, it lets more pass, and the join that follows drops those.
+    """
+    spark = ids.sparkSession
+    cell = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    rows = ids.select(cell.alias("c")).groupBy((F.shiftright("c", 5)).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(c & 31))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 32, "<u4")
+    bitmap[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype("<u4")
+    return spark.sparkContext.broadcast(bitmap.view(np.uint8))
+
+
+def in_bitmap(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 > 0
+
+
+def cell_of(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))

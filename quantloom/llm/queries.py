@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_ngram_jaccard_join": "ngram_join",
     "op3_lm_scoring": "lm_scoring",
     "op4_sharding": "sharding",
     "op5_exact_topk": "exact_topk",
