@@ -11,7 +11,7 @@ Null text is empty and packs as its end token alone. Empty tables give no rows;
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,11 @@ from .common import read, small_batches
 
 WINDOW = 2048
 END_ID = 1
-#: Words in a generation of a worker's table of ids.
-CACHE_WORDS = 500_000
+#: Words and stems in a generation of a worker's tables of ids.
+CACHE_WORDS = 300_000
+CACHE_STEMS = 500_000
+#: Punctuation that the tokenizer splits off after a letter.
+TAILS = b".,;:!?|"
 #: Sequence ids of a task: its partition number times this, and up.
 SEQUENCES_A_TASK = 1 << 36
 
@@ -34,40 +37,57 @@ Piece = tuple[int, int, int, bytes]  # doc_id, start, doc_tokens, ids as bytes
 _encoders: dict[str, object] = {}
 
 
-class WordIds(dict):
-    """Token ids (little-endian 32 bits) of words between ASCII white space, which the tokenizer never joins.
-
-    Two generations bound the memory: a full table becomes the old one, from which words still in use come back.
-    """
-
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+class Generations(dict):
+    """A table of bounded size: when it is full, it becomes the old one, from which entries still in use come back."""
 
+    def __init__(self, limit: int):
         super().__init__()
-        self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
+        self.limit, self.old = limit, {}
 
-    def add(self, wanted: list[bytes]) -> None:
-        if len(self) + len(wanted) > self.limit:
+    def lacks(self, keys: Iterable[bytes]) -> list[bytes]:
+        """The keys that are in neither table; those in the old one come back."""
+        if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        unseen = []
-        for w in wanted:
-            if w in self.old:
-                self[w] = self.old[w]
-            elif w not in self:
-                unseen.append(w)
-        for w, got in zip(unseen, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unseen], add_special_tokens=False), strict=True):
-            self[w] = np.asarray(got.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        parts = text.split()
-        try:
-            return b"".join(map(self.__getitem__, parts))
-        except KeyError:
-            self.add([w for w in dict.fromkeys(parts) if w not in self])
-            if any(w not in self for w in parts):  # a new generation began in between
-                self.add(list(dict.fromkeys(parts)))
-            return b"".join(map(self.__getitem__, parts))
+        out = []
+        for k in keys:
+            if k not in self:
+                v = self.old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
+
+
+class WordIds:
+    """Token ids (little-endian 32 bits) of texts, word by word.
+
+    The tokenizer never joins across ASCII white space, nor a letter with the punctuation after it, and ignores case;
+    so it is asked once for each stem, and words are put together from stems and tails.
+    """
+
+    def __init__(self, path: str, words: int = CACHE_WORDS, stems: int = CACHE_STEMS):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.stems = Generations(words), Generations(stems)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        parts = [t.split() for t in texts]
+        unseen = self.words.lacks(set().union(*parts))
+        split = []
+        for w in unseen:
+            stem = w.rstrip(TAILS)
+            # A last byte of another script may be no letter.
+            split.append((stem.lower(), w[len(stem) :]) if stem[-1:].isalpha() else (w, b""))
+        new = self.stems.lacks({x for pair in split for x in pair})
+        for w, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
+            self.stems[w] = np.asarray(got.ids, "<u4").tobytes()
+        for w, (stem, tail) in zip(unseen, split, strict=True):
+            self.words[w] = self.stems[stem] + self.stems[tail]
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 def encoder(path: str) -> WordIds:
@@ -150,8 +170,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
         packer = Packer(close, window)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
-                ids = ids_of.encode(text.as_py() or b"") + end
+            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.encode(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     packer.place((doc, start, n, ids[start * 4 : (start + window) * 4]))
