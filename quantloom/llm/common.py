@@ -186,13 +186,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 BITMAP_BITS = 1 << 26
 
 
-def id_bitmap(ids: DataFrame, column: str):
+def id_bitmap(ids: DataFrame, column: str, hashed: bool = True):
     """A broadcast bitmap of BITMAP_BITS bits (8 MB whatever the input) that ``in_bitmap`` tests ids against.
 
-    It has no false negatives; as it fills up, it lets more pass, and the join that follows drops those.
+    Not ``hashed``: the column holds bit numbers. It has no false negatives; as it fills up, it lets more pass, and the join that follows drops those.
     """
     spark = ids.sparkSession
-    cell = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    cell = cell_of(column) if hashed else F.col(column)
     rows = ids.select(cell.alias("c")).groupBy((F.shiftright("c", 5)).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(c & 31))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 32, "<u4")
     bitmap[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype("<u4")
@@ -205,3 +205,27 @@ def in_bitmap(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def cell_of(column: str) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+
+BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+_inverse = np.ones(1, U64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """BASE ** -i for i = 0 .. n - 1, modulo 2 ** 64."""
+    global _inverse
+    if len(_inverse) < n:
+        _inverse = np.concatenate([[U64(1)], np.cumprod(np.full(max(n, 4096) - 1, BASE_INVERSE, U64), dtype=U64)])
+    return _inverse[:n]
+
+
+class PrefixHash:
+    """Polynomial hashes of all substrings of a buffer from the hashes of its prefixes."""
+
+    def __init__(self, buf: np.ndarray):
+        self.sums = np.zeros(len(buf) + 1, U64)
+        np.cumsum(BYTE64[buf] * powers(len(buf)), dtype=U64, out=self.sums[1:])
+        self.inverse = inverse_powers(len(buf) + 1)
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
