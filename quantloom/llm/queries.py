@@ -13,6 +13,7 @@ MODULES = {
     "op4_sharding": "sharding",
     "op5_exact_topk": "exact_topk",
     "op6_language_id": "language_id",
+    "op7_pii": "pii",
     "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_decontamination": "decontamination",
