@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_ngram_jaccard_join": "ngram_join",
+    "op2_toxicity": "toxicity",
     "op3_lm_scoring": "lm_scoring",
     "op4_sharding": "sharding",
     "op5_exact_topk": "exact_topk",
