@@ -29,8 +29,8 @@ THRESHOLD = 0.3
 #: Posterior of rows labelled 0 and 1 (labels err), and what such a row counts.
 GOLD, GOLD_WEIGHT = (0.02, 0.97), 4.0
 #: A learned word is in this share of the toxic training rows and so many times as frequent there.
-LEARNED_SHARE, LEARNED_LIFT = 0.05, 8.0
-MAX_LEARNED = 200
+LEARNED_SHARE, LEARNED_LIFT = 0.012, 12.0
+MAX_LEARNED = 400
 
 LEXICONS = {
     "dullness": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile fool fools cretin dimwit halfwit brainless",
@@ -87,7 +87,7 @@ def learned_words(docs: DataFrame, gold: DataFrame) -> np.ndarray:
         return np.zeros(0, U64)
     counted = rows.mapInArrow(task, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / toxic) / ((F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1))
-    best = counted.where((F.col("toxic") >= max(3, LEARNED_SHARE * toxic)) & (lift >= LEARNED_LIFT)).orderBy(F.desc("toxic"), "word").limit(MAX_LEARNED)
+    best = counted.where((F.col("toxic") >= max(4, LEARNED_SHARE * toxic)) & (lift >= LEARNED_LIFT)).orderBy(F.desc("toxic"), "word").limit(MAX_LEARNED)
     return np.array([r.word for r in best.collect()], np.int64).view(U64)
 
 
@@ -99,7 +99,8 @@ def features(docs: DataFrame, learned: np.ndarray) -> DataFrame:
         h = hashes(text)
         keys.append(h)
         family.append(np.full(len(h), k))
-    for k, h in enumerate((learned[::2], learned[1::2])):
+    half = len(learned) // 2
+    for k, h in enumerate((learned[:half], learned[half:])):
         keys.append(h)
         family.append(np.full(len(h), len(LEXICONS) + k))
     lexicon, family = np.concatenate(keys), np.concatenate(family)
