@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import U64, binary_array, cell_of, chunks, components, id_bitmap, in_bitmap, list_array, mix64, powers, read, signed, small_batches, stash, word_hashes, words
 
 WORDS = 5
-#: Bits of a signature; 64-bit words of it.
-SIGNATURE = 1024
+#: Least number of bits of a signature; it has two bits or more a shingle, in powers of two.
+SIGNATURE = 256
 FANOUT = 4
 #: Documents of one group that a task holds on either side.
 BLOCK = 2000
@@ -104,10 +104,15 @@ def frequent_shingles(docs: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     return docs.select("text").mapInArrow(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE, np.uint8)
-    bits[(s >> U64(20) & U64(SIGNATURE - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+def width(n: int) -> int:
+    """Bits of the signature of a set of n shingles."""
+    return max(SIGNATURE, 1 << (2 * n - 1).bit_length())
+
+
+def signature(s: np.ndarray) -> bytes:
+    bits = np.zeros(width(len(s)), np.uint8)
+    bits[(s & U64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
                     if not len(s):
                         prefix.append(s)
                         cold.append(0)
-                        signs.append(np.zeros(SIGNATURE // 8, np.uint8))
+                        signs.append(b"")
                         continue
                     often = np.zeros(len(s), bool)
                     if len(hot):
@@ -139,7 +144,7 @@ def features(docs: DataFrame) -> DataFrame:
                     signs.append(signature(s))
                     sums[k] = s.sum(dtype=U64), mix64(s).sum(dtype=U64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), pa.array(n), pa.array(signed(np.ascontiguousarray(sums[:, 0]))), pa.array(signed(np.ascontiguousarray(sums[:, 1]))), binary_array(np.concatenate(signs), np.full(len(sets), SIGNATURE // 8)), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32))],
+                    [ids.slice(i, len(sets)), pa.array(n), pa.array(signed(np.ascontiguousarray(sums[:, 0]))), pa.array(signed(np.ascontiguousarray(sums[:, 1]))), pa.array(signs, pa.binary()), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32))],
                     ["doc_id", "n", "f1", "f2", "signature", "prefix", "cold"],
                 )
 
@@ -233,6 +238,28 @@ class Tree:
                     stack.append((level - 1, x, y))
 
 
+def _pairs(group: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows that may link, from the trees over the rows of each (group, side)."""
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1])])
+    sets, start = np.cumsum(new) - 1, np.flatnonzero(new)
+    tree = Tree(sets, n, bits, component)
+    if every:
+        two = start[1:][(side[start[1:]] == 1) & (group[start[1:]] == group[start[:-1]])]
+        other = sets[two]
+        # A block without a counterpart of this width is there for other pairs only if it is a second side.
+        alone = np.setdiff1d(np.flatnonzero(side[start] == 0), other - 1)
+        yield from tree.traverse(len(tree.levels) - 1, np.concatenate([alone, other - 1]), np.concatenate([alone, other]))
+        return
+    level = min(NEAR_LEVEL, len(tree.levels) - 1)
+    nodes = np.arange(len(tree.levels[level][0]))
+    yield from tree.traverse(level, nodes, nodes)
+    least = np.minimum.reduceat(doc, start)
+    at = np.flatnonzero(doc == least[sets])
+    first = np.zeros(len(start), np.int64)
+    first[sets[at]] = at
+    yield from tree.traverse(0, first[sets], np.arange(len(doc)))
+
+
 def candidates(rows: DataFrame, every: bool) -> DataFrame:
     """(lo, hi, bound) of documents of one group that may link."""
     dealt = _blocks(rows, every)
@@ -241,37 +268,24 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
 
     def task(table: pa.Table) -> pa.Table:
         group, side, doc, n, component = (table.column(c).to_numpy() for c in ("group", "side", "doc", "n", "component"))
-        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
-        order = np.lexsort((bits[:, 0], n, component, side, group)) if every else np.lexsort((bits[:, 0], n, side, group))
-        group, side, doc, n, component, bits = (x[order] for x in (group, side, doc, n, component, bits))
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1])])
-        sets = np.cumsum(new) - 1
-        tree = Tree(sets, n, bits, component)
-        found: list[tuple[np.ndarray, ...]] = []
-        if every:
-            top = len(tree.levels) - 1
-            start = np.flatnonzero(new)
-            two = start[1:][(side[start[1:]] == 1) & (group[start[1:]] == group[start[:-1]])]
-            other = sets[two]
-            alone = np.setdiff1d(np.arange(len(start)), np.concatenate([other, other - 1]))
-            a, b = np.concatenate([alone, other - 1]), np.concatenate([alone, other])
-            found += tree.traverse(top, a, b)
-        else:
-            level = min(NEAR_LEVEL, len(tree.levels) - 1)
-            nodes = np.arange(len(tree.levels[level][0]))
-            found += tree.traverse(level, nodes, nodes)
-            start = np.flatnonzero(new)
-            least = np.minimum.reduceat(doc, start)
-            at = np.flatnonzero(doc == least[sets])
-            first = np.zeros(len(start), np.int64)
-            first[sets[at]] = at
-            found += tree.traverse(0, first[sets], np.arange(len(doc)))
-        if found:
-            a, b, over = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b = doc[a], doc[b]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-        else:
-            lo = hi = over = np.zeros(0, np.int64)
+        signs = table.column("signature").to_pylist()
+        bits_of = np.array([len(x) * 8 for x in signs])
+        found = []
+        # Sets that link differ by a quarter in size at most: those just above a width are folded into its trees too.
+        for w in np.unique(bits_of).tolist():
+            own = np.flatnonzero(bits_of == w)
+            wider = np.flatnonzero((bits_of == 2 * w) & (8 * n <= 5 * w))
+            bits = np.frombuffer(b"".join(signs[i] for i in own), np.uint64).reshape(-1, w // 64)
+            if len(wider):
+                more = np.frombuffer(b"".join(signs[i] for i in wider), np.uint64).reshape(-1, 2, w // 64)
+                bits = np.concatenate([bits, more[:, 0] | more[:, 1]])
+            at = np.concatenate([own, wider])
+            order = np.lexsort((bits[:, 0], n[at], component[at], side[at], group[at])) if every else np.lexsort((bits[:, 0], n[at], side[at], group[at]))
+            at = at[order]
+            for a, b, over in _pairs(group[at], side[at], doc[at], n[at], component[at], bits[order], every):
+                found.append((doc[at[a]], doc[at[b]], over))
+        a, b, over = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
         keep = lo < hi
         return pa.table({"lo": lo[keep], "hi": hi[keep], "bound": over[keep]})
 
