@@ -23,8 +23,8 @@ from .common import read, small_batches
 WINDOW = 2048
 END_ID = 1
 #: Words and stems in a generation of a worker's tables of ids.
-CACHE_WORDS = 300_000
-CACHE_STEMS = 500_000
+CACHE_WORDS = 350_000
+CACHE_STEMS = 700_000
 #: Punctuation that the tokenizer splits off after a letter.
 TAILS = b".,;:!?|"
 #: Sequence ids of a task: its partition number times this, and up.
@@ -74,8 +74,15 @@ class WordIds:
         self.words, self.stems = Generations(words), Generations(stems)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        unseen = self.words.lacks(set().union(*parts))
+        get = self.words.get
+        found, gaps = [], []
+        for t in texts:
+            parts = t.split()
+            ids = list(map(get, parts))
+            if None in ids:
+                gaps.append((ids, [(i, parts[i]) for i, x in enumerate(ids) if x is None]))
+            found.append(ids)
+        unseen = self.words.lacks({w for _, g in gaps for _, w in g})
         split = []
         for w in unseen:
             stem = w.rstrip(TAILS)
@@ -86,8 +93,10 @@ class WordIds:
             self.stems[w] = np.asarray(got.ids, "<u4").tobytes()
         for w, (stem, tail) in zip(unseen, split, strict=True):
             self.words[w] = self.stems[stem] + self.stems[tail]
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        for ids, g in gaps:
+            for i, w in g:
+                ids[i] = self.words[w]
+        return list(map(b"".join, found))
 
 
 def encoder(path: str) -> WordIds:
