@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,18 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
+#: Keeps halves off the rounding boundary, which engines treat differently; from LARGE on two decimals are kept.
+NUDGE, LARGE = 3e-10, 1e6
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles rounded, NaN as null."""
-    return df.select(*[F.round(F.when(~F.isnan(c), F.col(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+    def one(c: str) -> Column:
+        x = F.when(~F.isnan(c), F.col(c)) + NUDGE
+        return F.when(F.abs(x) >= LARGE, F.round(x, 2)).otherwise(F.round(x, digits)).alias(c)
+
+    return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -38,5 +47,6 @@ def select(keys: str, doubles: str, tail: str, digits: int = DIGITS) -> str:
     out = [keys] if keys else []
     for item in filter(None, (x.strip() for x in doubles.split(";"))):
         expression, _, name = item.rpartition(" AS ") if " AS " in item else (item, "", item)
-        out.append(f"round({expression}, {digits}) AS {name}")
+        x = f"(({expression}) + {NUDGE}::DOUBLE)"
+        out.append(f"CASE WHEN abs{x} >= {LARGE} THEN round({x}, 2) ELSE round({x}, {digits}) END AS {name}")
     return f"SELECT {', '.join(out)} {tail}"
