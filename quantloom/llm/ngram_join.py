@@ -286,7 +286,14 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
                 found.append((doc[at[a]], doc[at[b]], over))
         a, b, over = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        keep = lo < hi
+        keep = np.flatnonzero(lo < hi)
+        if not every and len(keep):
+            # The smallest and the best partner of each document.
+            few = []
+            for order in (np.lexsort((lo[keep], hi[keep])), np.lexsort((lo[keep], -over[keep], hi[keep]))):
+                at = keep[order]
+                few.append(at[np.concatenate([[True], hi[at][1:] != hi[at][:-1]])])
+            keep = np.unique(np.concatenate(few))
         return pa.table({"lo": lo[keep], "hi": hi[keep], "bound": over[keep]})
 
     found = dealt.groupBy("bucket").applyInArrow(task, "lo long, hi long, bound long")
