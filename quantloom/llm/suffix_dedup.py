@@ -5,13 +5,14 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 1. Of the SEED-byte strings in every LENGTH bytes, the one with the least hash is an anchor. Equal strings of LENGTH
    bytes have equal anchors, so repeats meet over an anchor that occurs twice. Anchor hashes are counted, and the
    repeated ones go to the tasks as a bitmap of fixed size.
-2. Around every repeated anchor the bytes that a string of LENGTH bytes can reach are its context. Equal contexts
-   become one row with a count: a passage in a third of all documents is one row here.
+2. Around every repeated anchor the bytes that a string of LENGTH bytes can reach are its context. A context that a
+   task meets twice needs no comparing: one row stands for it, so that a passage in a third of all documents makes
+   a row a task.
 3. The contexts of an anchor are sorted by what follows the anchor and by what precedes it, in merge sorts that compare
    suffixes by their longest common extension: a binary search over hashes from prefix polynomial hashes. Neighbours in
    these orders have the longest extensions; extensions are then verified byte by byte. If what neighbours
    share does not settle which strings repeat, hashes of the strings in doubt do.
-4. What repeats goes back to every occurrence, and each document drops it.
+4. Each document drops what repeats.
 
 Null texts are empty. Texts below LENGTH bytes keep all. Rows with the same doc_id are each other's copies like any
 others; what repeats in one is taken out of all of them. Strings are judged on the input.
@@ -33,6 +34,8 @@ LENGTH = 200
 SEED = 56
 #: Contexts a task sorts together (a hot anchor's distinct contexts may be more).
 BUCKET_ROWS = 8000
+#: Contexts that a task gathers before it hands them on.
+HELD_ROWS = 40_000
 NEVER = U64(2**64 - 1)
 
 
@@ -77,28 +80,54 @@ def repeated_anchors(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
                 h, n = np.unique(anchors(buf, offsets, length, seed)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["anchor", "n"])
 
-    return docs.select("text").mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
+    return docs.select("text").mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
     return (h & U64(BITMAP_BITS - 1)).astype(np.int64)
 
 
-def contexts(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """anchor, fp, before (bytes before the anchor), context, docs and positions of its occurrences in a chunk."""
+ROW = "anchor long, fp long, before int, context binary, doc long, start long, size int, many boolean"
+
+
+def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """A row for each occurrence of a repeated anchor with its context, as ROW.
+
+    A context that a task meets twice repeats for certain: its occurrences come as rows without context (the whole
+    of it goes), and one row without document stands for it, so that hot passages make few rows and no hot task.
+    """
     cell = F.col("anchor").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("cell")
-    sent = id_bitmap(repeated_anchors(docs, length, seed).select(cell), "cell", hashed=False)
+    sent = id_bitmap(repeated.select(cell), "cell", hashed=False)
     reach = length - seed
+    names = [c.split()[0] for c in ROW.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            anchor, fp, before, size, doc, start = (np.concatenate([h[k] for h in held]) for k in range(6))
+            texts = [t for h in held for t in h[6]]
+            held.clear()
+            order = np.lexsort((fp, anchor))
+            anchor, fp, before, size, doc, start = (x[order] for x in (anchor, fp, before, size, doc, start))
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (fp[1:] != fp[:-1])])
+            count = np.diff(np.append(np.flatnonzero(new), len(new)))
+            many = np.repeat(count > 1, count)
+            lead = np.flatnonzero(new & many)
+            # Occurrences (with a context where single), then one row for each repeated context.
+            at = np.concatenate([np.arange(len(new)), lead])
+            with_text = np.concatenate([~many, np.ones(len(lead), bool)])
+            text = pa.array([texts[order[i]] if w else None for i, w in zip(at.tolist(), with_text.tolist(), strict=True)], pa.binary())
+            no_doc = np.concatenate([np.zeros(len(new), bool), np.ones(len(lead), bool)])
+            columns = [signed(anchor[at]), signed(fp[at]), before[at].astype(np.int32), text, pa.array(doc[at], mask=no_doc), start[at], size[at].astype(np.int32), no_doc]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, _, buf, offsets in chunks(batch):
                 pos, h, hashes = anchors(buf, offsets, length, seed)
                 keep = in_bitmap(sent.value, _cells(h))
                 pos, h = pos[keep], h[keep]
-                if not len(pos):
-                    continue
                 doc = np.searchsorted(offsets, pos, "right") - 1
                 low, high = np.maximum(pos - reach, offsets[doc]), np.minimum(pos + length, offsets[doc + 1])
                 keep = high - low >= length
@@ -106,18 +135,15 @@ def contexts(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
                 if not len(pos):
                     continue
                 fp = mix64(hashes.of(low, high - low) + mix64(((pos - low) << 20 | (high - low)).astype(U64)))
-                order = np.lexsort((fp, h))
-                pos, h, doc, low, high, fp = (x[order] for x in (pos, h, doc, low, high, fp))
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])]))
-                ends = pa.array(np.append(first, len(pos)).astype(np.int32))
                 raw = buf.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h[first])), pa.array(signed(fp[first])), pa.array((pos - low)[first].astype(np.int32)), pa.array([raw[a:b] for a, b in zip(low[first].tolist(), high[first].tolist(), strict=True)], pa.binary()), pa.ListArray.from_arrays(ends, ids.take(pa.array(doc + i))), pa.ListArray.from_arrays(ends, pa.array(low - offsets[doc]))],
-                    ["anchor", "fp", "before", "context", "docs", "starts"],
-                )
+                held.append((h, fp, pos - low, high - low, ids[doc + i], low - offsets[doc], [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+                if sum(len(x[0]) for x in held) > HELD_ROWS:
+                    yield out()
+        if held:
+            yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "anchor long, fp long, before int, context binary, docs array<long>, starts array<long>")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(task, ROW)
 
 
 class Suffixes:
@@ -257,22 +283,35 @@ def repeats(anchor: np.ndarray, before: np.ndarray, texts: list[bytes], many: np
 def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, spans): the ranges of bytes of each document that repeated strings cover, unmerged."""
     small_batches(docs.sparkSession)
-    found = stash(contexts(docs, length, seed), "contexts")
-    each = found.groupBy("anchor", "fp").agg(F.first("before").alias("before"), F.first("context").alias("context"), F.sum(F.size("docs")).alias("n"))
-    n_buckets = max(1, found.count() // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("bucket")
+    repeated = stash(repeated_anchors(docs, length, seed), "anchors")
+    n_buckets = max(1, (repeated.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS)
+    # Rows that need no comparing are dealt by document.
+    key = F.when(F.col("context").isNull(), F.xxhash64("doc", "start")).otherwise(F.xxhash64("anchor"))
+    rows = contexts(docs, repeated, length, seed).withColumn("bucket", F.pmod(key, F.lit(n_buckets)))
 
     def task(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("anchor").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        anchor, fp = table.column("anchor").to_numpy(), table.column("fp").to_numpy()
-        got = repeats(anchor, table.column("before").to_numpy().astype(np.int64), table.column("context").to_pylist(), table.column("n").to_numpy() > 1, length)
-        at = [i for i, spans in enumerate(got) for _ in spans]
-        return pa.table({"anchor": anchor[at], "fp": fp[at], "a": pa.array([s[0] for spans in got for s in spans], pa.int32()), "b": pa.array([s[1] for spans in got for s in spans], pa.int32())})
-
-    spans = each.select("anchor", "fp", "before", "context", "n", bucket).groupBy("bucket").applyInArrow(task, "anchor long, fp long, a int, b int")
-    where = found.select("anchor", "fp", F.explode(F.arrays_zip("docs", "starts")).alias("o"))
-    hit = where.join(spans, ["anchor", "fp"]).select(F.col("o.docs").alias("doc_id"), (F.col("o.starts") + F.col("a")).alias("a"), (F.col("o.starts") + F.col("b")).alias("b"))
+        has_text = np.asarray(table.column("context").is_valid())
+        done = table.filter(pa.array(~has_text))
+        doc, start, size = (done.column(c).to_numpy() for c in ("doc", "start", "size"))
+        out = [(doc, start, start + size)]
+        table = table.filter(pa.array(has_text))
+        if table.num_rows:
+            anchor, fp = table.column("anchor").to_numpy(), table.column("fp").to_numpy()
+            order = np.lexsort((fp, anchor))
+            table, anchor, fp = table.take(pa.array(order)), anchor[order], fp[order]
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (fp[1:] != fp[:-1])])
+            first, own = np.flatnonzero(new), np.cumsum(new) - 1
+            times = np.bincount(own, np.where(table.column("many").to_numpy(), 2, 1))
+            one = table.take(pa.array(first))
+            got = repeats(anchor[first], one.column("before").to_numpy().astype(np.int64), one.column("context").to_pylist(), times > 1, length)
+            real = np.asarray(table.column("doc").is_valid())
+            for k, doc, start in zip(own[real].tolist(), table.column("doc").filter(pa.array(real)).to_pylist(), table.column("start").filter(pa.array(real)).to_pylist(), strict=True):
+                if got[k]:
+                    out.append((np.full(len(got[k]), doc), *(start + np.array(got[k], np.int64).T)))
+        doc, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+        return pa.table({"doc_id": doc, "a": a, "b": b})
+
+    hit = rows.groupBy("bucket").applyInArrow(task, "doc_id long, a long, b long")
     return hit.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
