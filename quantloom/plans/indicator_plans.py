@@ -197,8 +197,8 @@ def vote_sql(source: str, extra: str = "") -> str:
 EVERY = f"{SIGS}, {TECHNICAL}, {T}, {RAW_FUNDAMENTALS}, {FUNDAMENTAL}, {SENTIMENT}, every AS (SELECT * FROM t_signals UNION ALL SELECT * FROM f_signals UNION ALL SELECT * FROM m_signals)"
 VOTE = ("symbol, date, decision", "confidence; buy_score; sell_score; hold_score; target_price; stop_loss")
 query("vote_weighted", f"{EVERY}, {vote_sql('every')} " + select(*VOTE, "FROM decisions"))(lambda s, d: sig.vote(every_agent(s, d)))
-query("reco_rank", f"{EVERY}, {vote_sql('every')} " + select("date, decision, CAST(row_number() OVER (PARTITION BY date, decision ORDER BY round(confidence, 6) DESC, symbol) AS INTEGER) AS rank, symbol, count(*) OVER (PARTITION BY date, decision) AS class_size", "confidence", "FROM decisions"))(
-    lambda s, d: sig.recommendations(sig.vote(every_agent(s, d)).withColumn("confidence", F.round("confidence", 6)))
+query("reco_rank", f"{EVERY}, {vote_sql('every')} " + select("date, decision, CAST(row_number() OVER (PARTITION BY date, decision ORDER BY round(confidence, 4) DESC, symbol) AS INTEGER) AS rank, symbol, count(*) OVER (PARTITION BY date, decision) AS class_size", "round(confidence, 4) AS confidence", "FROM decisions"))(
+    lambda s, d: sig.recommendations(sig.vote(every_agent(s, d)).withColumn("confidence", F.round("confidence", 4)))
 )
 query("confidence_weighted", f"WITH {BARS}, {SENTIMENT} " + select("symbol", "coalesce(greatest(0, least(100, sum(confidence * volume) / nullif(sum(volume), 0))), 50) AS weighted_confidence", "FROM m_signals JOIN bars USING (symbol, date) GROUP BY 1"))(
     lambda s, d: sig.confidence_weighted(sig.sentiment(sig.sentiment_indicators(bars(s, d))).join(bars(s, d).select("symbol", "date", "volume"), ["symbol", "date"]), "symbol", "confidence", "volume")

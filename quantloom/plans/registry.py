@@ -12,20 +12,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Decimals that compared values keep.
-DIGITS = 6
+#: (bound of the absolute value, decimals kept, what keeps halves off the rounding boundary, where engines differ)
+STEPS = ((1e3, 6, 3e-10), (1e6, 4, 3e-8), (None, 2, 3e-6))
 
 
-#: Keeps halves off the rounding boundary, which engines treat differently; from LARGE on two decimals are kept.
-NUDGE, LARGE = 3e-10, 1e6
-
-
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded, NaN as null."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded by size, NaN as null."""
 
     def one(c: str) -> Column:
-        x = F.when(~F.isnan(c), F.col(c)) + NUDGE
-        return F.when(F.abs(x) >= LARGE, F.round(x, 2)).otherwise(F.round(x, digits)).alias(c)
+        x = F.when(~F.isnan(c), F.col(c))
+        out = None
+        for bound, digits, nudge in reversed(STEPS):
+            value = F.round(x + nudge, digits)
+            out = value if bound is None else F.when(F.abs(x) < bound, value).otherwise(out)
+        return out.alias(c)
 
     return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -42,11 +42,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def select(keys: str, doubles: str, tail: str, digits: int = DIGITS) -> str:
+def select(keys: str, doubles: str, tail: str) -> str:
     """SELECT of keys as they are and doubles rounded ('expression AS name' or 'name', separated by ';')."""
     out = [keys] if keys else []
     for item in filter(None, (x.strip() for x in doubles.split(";"))):
-        expression, _, name = item.rpartition(" AS ") if " AS " in item else (item, "", item)
-        x = f"(({expression}) + {NUDGE}::DOUBLE)"
-        out.append(f"CASE WHEN abs{x} >= {LARGE} THEN round({x}, 2) ELSE round({x}, {digits}) END AS {name}")
+        x, _, name = item.rpartition(" AS ") if " AS " in item else (item, "", item)
+        cases = " ".join(f"WHEN abs({x}) < {bound} THEN round(({x}) + {nudge}::DOUBLE, {digits})" if bound else f"ELSE round(({x}) + {nudge}::DOUBLE, {digits})" for bound, digits, nudge in STEPS)
+        out.append(f"CASE {cases} END AS {name}")
     return f"SELECT {', '.join(out)} {tail}"
