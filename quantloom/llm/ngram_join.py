@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import U64, binary_array, cell_of, chunks, components, id_bitmap, in_bitmap, list_array, mix64, powers, read, signed, small_batches, stash, word_hashes, words
 
 WORDS = 5
-#: Least number of bits of a signature; it has two bits or more a shingle, in powers of two.
+#: Least number of bits of a signature; it has four bits or more a shingle, in powers of two.
 SIGNATURE = 256
 FANOUT = 4
 #: Documents of one group that a task holds on either side.
 BLOCK = 2000
+#: Documents, of all groups, that a task has at once.
+BUCKET_ROWS = 40_000
 #: Leaves of a subtree that the first traversal stays in.
 NEAR_LEVEL = 2
 #: Pairs of nodes looked at together.
@@ -106,7 +108,7 @@ def frequent_shingles(docs: DataFrame, share: float = HOT_SHARE) -> DataFrame:
 
 def width(n: int) -> int:
     """Bits of the signature of a set of n shingles."""
-    return max(SIGNATURE, 1 << (2 * n - 1).bit_length())
+    return max(SIGNATURE, 1 << (4 * n - 1).bit_length())
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -154,10 +156,14 @@ def features(docs: DataFrame) -> DataFrame:
 
 def meetings(rows: DataFrame) -> DataFrame:
     """(token, doc, size): documents that meet over a shingle of their prefixes, one shingle for each set of documents."""
-    own = rows.select(F.col("doc_id").alias("doc"), "prefix", "cold")
-    cold = own.select("doc", F.explode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("token"))
+    own = rows.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "prefix", "cold")
+    cold = own.select("doc", "n", F.explode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("token"))
     w = W.partitionBy("token")
-    cold = cold.select("token", "doc", F.count("*").over(w).alias("size"), F.bit_xor(F.xxhash64("doc")).over(w).alias("members")).where(F.col("size") > 1)
+    # A set only links with sets of at most a quarter more; in order of size that means with a neighbour.
+    by_size = w.orderBy("n")
+    near = (F.col("n") * 4 <= F.lag("n").over(by_size) * 5) | (F.lead("n").over(by_size) * 4 <= F.col("n") * 5)
+    cold = cold.withColumn("near", near).where("near")
+    cold = cold.select("token", "doc", F.count("*").over(w).alias("size"), F.bit_xor(F.xxhash64("doc")).over(w).alias("members"))
     hot = stash(own.where(F.size("prefix") > F.col("cold")).select("doc", F.explode(F.expr("slice(prefix, cold + 1, size(prefix) - cold)")).alias("token")), "hot")
     # A row for each frequent shingle at most.
     stats = hot.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("members")).where(F.col("size") > 1)
@@ -263,7 +269,7 @@ def _pairs(group: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.ndarray,
 def candidates(rows: DataFrame, every: bool) -> DataFrame:
     """(lo, hi, bound) of documents of one group that may link."""
     dealt = _blocks(rows, every)
-    total = max(1, rows.count() // 10_000)
+    total = max(1, rows.count() // BUCKET_ROWS)
     dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(total)))
 
     def task(table: pa.Table) -> pa.Table:
@@ -274,7 +280,7 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
         # Sets that link differ by a quarter in size at most: those just above a width are folded into its trees too.
         for w in np.unique(bits_of).tolist():
             own = np.flatnonzero(bits_of == w)
-            wider = np.flatnonzero((bits_of == 2 * w) & (8 * n <= 5 * w))
+            wider = np.flatnonzero((bits_of == 2 * w) & (16 * n <= 5 * w))
             bits = np.frombuffer(b"".join(signs[i] for i in own), np.uint64).reshape(-1, w // 64)
             if len(wider):
                 more = np.frombuffer(b"".join(signs[i] for i in wider), np.uint64).reshape(-1, 2, w // 64)
@@ -294,6 +300,10 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
                 at = keep[order]
                 few.append(at[np.concatenate([[True], hi[at][1:] != hi[at][:-1]])])
             keep = np.unique(np.concatenate(few))
+        elif len(keep):
+            order = np.lexsort((hi[keep], lo[keep]))
+            keep = keep[order]
+            keep = keep[np.concatenate([[True], (lo[keep][1:] != lo[keep][:-1]) | (hi[keep][1:] != hi[keep][:-1])])]
         return pa.table({"lo": lo[keep], "hi": hi[keep], "bound": over[keep]})
 
     found = dealt.groupBy("bucket").applyInArrow(task, "lo long, hi long, bound long")
