@@ -39,11 +39,11 @@ FANOUT = 4
 #: Documents of one group that a task holds on either side.
 BLOCK = 2000
 #: Documents, of all groups, that a task has at once.
-BUCKET_ROWS = 40_000
+BUCKET_ROWS = 20_000
 #: Leaves of a subtree that the first traversal stays in.
 NEAR_LEVEL = 2
-#: Pairs of nodes looked at together.
-FRONTIER = 100_000
+#: Bytes of signatures compared at a time.
+FRONTIER_BYTES = 16_000_000
 #: A shingle is frequent if it is in this share of the documents.
 HOT_SHARE = 0.005
 BLOCK_SHINGLES = 1_000_000
@@ -226,11 +226,12 @@ class Tree:
 
     def traverse(self, level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of documents that may link, with their largest possible overlap, from pairs of nodes of a level."""
+        most = max(256, FRONTIER_BYTES // (self.levels[0][0].shape[1] * 8))
         stack = [(level, a, b)]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > FRONTIER:
-                stack += [(level, a[i : i + FRONTIER], b[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
+            if len(a) > most:
+                stack += [(level, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
                 continue
             keep, over = self.may_link(level, a, b)
             if level == 0:
