@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import factor_plans, indicator_plans, portfolio_plans, quality_plans  # noqa: F401
+from . import factor_plans, indicator_plans, portfolio_plans, quality_plans, review_plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
