@@ -166,21 +166,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     groups by a node after a map-side minimum, so that a hub costs one aggregated row a task, not one task.
     """
     now = stash(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(), "edges")
-    while True:
+    size = now.count()
+    # The edges shrink from step to step: few rows are read and written by few tasks.
+    parts = max(4, size // 500_000)
+    now = now.coalesce(parts)
+    while size:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        large = stash(large.where("lo < hi"), "large")
+        large = both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        large = stash(large.coalesce(parts), "large")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         nxt = small.select(F.col("m").alias("lo"), F.col("hi")).union(small.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).where("lo < hi").distinct()
-        nxt = stash(nxt, "edges")
-        size, same = nxt.count(), nxt.join(now, ["lo", "hi"], "left_semi").count()
-        if size == same and size == now.count():
-            break
+        nxt = stash(nxt.coalesce(parts), "edges")
+        before, size = size, nxt.count()
+        done = size == before and nxt.join(now, ["lo", "hi"], "left_semi").count() == size
         now = nxt
+        if done:
+            break
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    return stash(stars.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()), "components")
+    return stash(stars.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()).coalesce(parts), "components")
 
 
 BITMAP_BITS = 1 << 26

@@ -5,9 +5,10 @@ one shingle; texts without words have an empty set and link with nothing, null t
 Jaccard similarity 0.8 or more; components of the links are returned.
 
 1. Equal sets become one representative (the smallest doc_id).
-2. In one fixed order of shingles, two sets that link share one of their first n - ceil(0.8 n) + 1 shingles, so only
-   documents that share such a shingle meet. Very frequent shingles come last in that order (which any order may do),
-   so that passages which many documents share bring few of them together.
+2. In one fixed order of shingles, two sets that link share k of their first n - ceil(0.8 n) + k shingles (k is about
+   n / 20), so only documents meet that share such a shingle, and only if they have enough shared ones at all. Very
+   frequent shingles come last in that order (which any order may do), so that passages which many documents share
+   bring few of them together.
 3. The documents that meet over a shingle form a signature tree: leaves hold a bitmap of the document's shingles, inner
    nodes the OR of the bitmaps below and the range of set sizes. A dual traversal drops every pair of nodes whose
    largest possible overlap, or whose sizes, cannot reach 0.8, and pairs already in one component.
@@ -75,35 +76,51 @@ def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]
         yield i, out
 
 
-def frequent_shingles(docs: DataFrame, share: float = HOT_SHARE) -> DataFrame:
-    """Shingles in about ``share`` of all documents or more: their number is at most the mean set size over ``share``.
+def first_pass(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds. 1: doc_id, n (set size) and two fingerprints of the set. 0: shingles (as f1) that a hundredth of
+    a block of documents have, and in how many of them (n); tasks count block by block.
 
-    Tasks count in blocks and report what a hundredth of a block's documents have. Only shingles in the first half of
-    the order are counted; the others come late in it anyway.
+    Only shingles in the first half of the order are counted; the others come late in it anyway.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n_docs = [], 0, 0
+        names = ["kind", "doc_id", "n", "f1", "f2"]
 
-        def out() -> pa.RecordBatch:
+        def often() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(8, n_docs // 100)
-            return pa.RecordBatch.from_arrays([pa.array(signed(keys[often])), pa.array(n[often])], ["token", "n"])
+            keep = n >= max(8, n_docs // 100)
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(none), np.int32)), none, pa.array(n[keep]), pa.array(signed(keys[keep])), none], names)
 
         for batch in batches:
-            for _, sets in shingle_sets(batch):
+            ids = batch.column("doc_id")
+            for i, sets in shingle_sets(batch):
+                sums = np.array([[s.sum(dtype=U64), mix64(s).sum(dtype=U64)] for s in sets], U64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sets), np.int32)), ids.slice(i, len(sets)), pa.array(np.array([len(s) for s in sets])), pa.array(signed(np.ascontiguousarray(sums[:, 0]))), pa.array(signed(np.ascontiguousarray(sums[:, 1])))], names)
                 for s in sets:
                     s = s[: np.searchsorted(s, U64(1 << 63))]
                     held.append(s)
                     size, n_docs = size + len(s), n_docs + 1
                     if size > BLOCK_SHINGLES:
-                        yield out()
+                        yield often()
                         held, size, n_docs = [], 0, 0
         if held:
-            yield out()
+            yield often()
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(task, "kind int, doc_id long, n long, f1 long, f2 long")
+
+
+def frequent_shingles(first: DataFrame, share: float = HOT_SHARE) -> DataFrame:
+    """Shingles in about ``share`` of all documents or more: their number is at most the mean set size over ``share``."""
+    least = max(8, int(share * first.where("kind = 1").count()))
+    return first.where("kind = 0").groupBy(F.col("f1").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
 
-    least = max(8, int(share * docs.count()))
-    return docs.select("text").mapInArrow(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
+
+def common_needed(n: int) -> int:
+    """Shingles that two sets of n or more must share in their prefixes, which are so much longer."""
+    return max(1, n // 20)
 
 
 def width(n: int) -> int:
@@ -117,41 +134,37 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fingerprints of the set, its signature, its first shingles, and how many of those are not frequent."""
+def features(docs: DataFrame, hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, n, signature, prefix (not frequent shingles first, how many of those is ``cold``) of representatives.
+
+    Representatives are told by a bitmap of fixed size, which may let copies through; those only link with equals.
+    """
     spark = docs.sparkSession
-    hot = np.sort(frequent_shingles(docs).toArrow().column("token").to_numpy().view(U64))
-    sent = spark.sparkContext.broadcast(hot)
+    tokens = np.sort(hot.toArrow().column("token").to_numpy().view(U64))
+    sent, keep = spark.sparkContext.broadcast(tokens), id_bitmap(reps, "rep")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(keep.value, batch.column("cell").to_numpy())))
             ids = batch.column("doc_id")
             for i, sets in shingle_sets(batch):
-                n = np.array([len(s) for s in sets])
-                prefix, cold, signs, sums = [], [], [], np.zeros((len(sets), 2), U64)
-                for k, s in enumerate(sets):
-                    if not len(s):
-                        prefix.append(s)
-                        cold.append(0)
-                        signs.append(b"")
-                        continue
+                prefix, cold = [], []
+                for s in sets:
                     often = np.zeros(len(s), bool)
                     if len(hot):
                         often = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    m = len(s) - -(-4 * len(s) // 5) + 1
+                    m = len(s) - -(-4 * len(s) // 5) + common_needed(len(s)) if len(s) else 0
                     rare = s[~often][:m]
                     cold.append(len(rare))
                     prefix.append(np.concatenate([rare, s[often][: m - len(rare)]]))
-                    signs.append(signature(s))
-                    sums[k] = s.sum(dtype=U64), mix64(s).sum(dtype=U64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), pa.array(n), pa.array(signed(np.ascontiguousarray(sums[:, 0]))), pa.array(signed(np.ascontiguousarray(sums[:, 1]))), pa.array(signs, pa.binary()), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32))],
-                    ["doc_id", "n", "f1", "f2", "signature", "prefix", "cold"],
+                    [ids.slice(i, len(sets)), pa.array(np.array([len(s) for s in sets])), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary()), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32))],
+                    ["doc_id", "n", "signature", "prefix", "cold"],
                 )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, n long, f1 long, f2 long, signature binary, prefix array<long>, cold int")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("cell", cell_of("doc_id"))
+    return rows.mapInArrow(task, "doc_id long, n long, signature binary, prefix array<long>, cold int").where("n > 0")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -163,13 +176,18 @@ def meetings(rows: DataFrame) -> DataFrame:
     by_size = w.orderBy("n")
     near = (F.col("n") * 4 <= F.lag("n").over(by_size) * 5) | (F.lead("n").over(by_size) * 4 <= F.col("n") * 5)
     cold = cold.withColumn("near", near).where("near")
-    cold = cold.select("token", "doc", F.count("*").over(w).alias("size"), F.bit_xor(F.xxhash64("doc")).over(w).alias("members"))
-    hot = stash(own.where(F.size("prefix") > F.col("cold")).select("doc", F.explode(F.expr("slice(prefix, cold + 1, size(prefix) - cold)")).alias("token")), "hot")
+    cold = cold.select("token", "doc", "n", F.count("*").over(w).alias("size"))
+    hot = stash(own.where(F.size("prefix") > F.col("cold")).select("doc", "n", F.explode(F.expr("slice(prefix, cold + 1, size(prefix) - cold)")).alias("token")), "hot")
     # A row for each frequent shingle at most.
-    stats = hot.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("members")).where(F.col("size") > 1)
-    both = stash(cold.union(hot.join(F.broadcast(stats), "token").select("token", "doc", "size", "members")), "meetings")
-    one = both.groupBy("members", "size").agg(F.min("token").alias("token")).select("token")
-    return stash(both.drop("members").join(one, "token", "left_semi"), "meetings")
+    shared = hot.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("token")
+    both = stash(cold.where("size > 1").select("token", "doc", "n").union(hot.join(F.broadcast(shared), "token").select("token", "doc", "n")), "shared")
+    # Two sets that link share `common_needed` shingles of their prefixes, and the smaller has four fifths of the other's size.
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 20))
+    enough = both.groupBy("doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("doc")
+    kept = stash(both.join(enough, "doc", "left_semi").select("token", "doc"), "kept")
+    groups = kept.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("members")).where(F.col("size") > 1)
+    one = groups.groupBy("members", "size").agg(F.min("token").alias("token")).select("token", "size")
+    return stash(kept.join(one, "token"), "meetings")
 
 
 def _blocks(rows: DataFrame, every: bool) -> DataFrame:
@@ -346,10 +364,11 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     small_batches(docs.sparkSession)
-    every = stash(features(docs), "features")
+    first = stash(first_pass(docs), "sets")
+    every = first.where("kind = 1")
     equal = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    rows = every.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    leaves = stash(rows.select(F.col("doc_id").alias("doc"), "n", "signature"), "leaves")
+    rows = stash(features(docs, frequent_shingles(first), equal.select("rep")), "features")
+    leaves = rows.select(F.col("doc_id").alias("doc"), "n", "signature")
     met = meetings(rows)
     near = met.join(leaves, "doc").withColumn("component", F.col("doc"))
     one = stash(links(stash(candidates(near, every=False), "pairs"), docs), "links")
