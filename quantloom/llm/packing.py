@@ -23,8 +23,8 @@ from .common import read, small_batches
 WINDOW = 2048
 END_ID = 1
 #: Words and stems in a generation of a worker's tables of ids.
-CACHE_WORDS = 350_000
-CACHE_STEMS = 700_000
+CACHE_WORDS = 200_000
+CACHE_STEMS = 350_000
 #: Punctuation that the tokenizer splits off after a letter.
 TAILS = b".,;:!?|"
 #: Sequence ids of a task: its partition number times this, and up.
