@@ -25,6 +25,8 @@ END_ID = 1
 #: Words and stems in a generation of a worker's tables of ids.
 CACHE_WORDS = 200_000
 CACHE_STEMS = 350_000
+#: Stems that the tokenizer is asked for at a time; its answers are much larger than the ids.
+ENCODE_STEMS = 2_000
 #: Punctuation that the tokenizer splits off after a letter.
 TAILS = b".,;:!?|"
 #: Sequence ids of a task: its partition number times this, and up.
@@ -89,8 +91,10 @@ class WordIds:
             # A last byte of another script may be no letter.
             split.append((stem.lower(), w[len(stem) :]) if stem[-1:].isalpha() else (w, b""))
         new = self.stems.lacks({x for pair in split for x in pair})
-        for w, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.stems[w] = np.asarray(got.ids, "<u4").tobytes()
+        for k in range(0, len(new), ENCODE_STEMS):
+            some = new[k : k + ENCODE_STEMS]
+            for w, got in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                self.stems[w] = np.asarray(got.ids, "<u4").tobytes()
         for w, (stem, tail) in zip(unseen, split, strict=True):
             self.words[w] = self.stems[stem] + self.stems[tail]
         for ids, g in gaps:
