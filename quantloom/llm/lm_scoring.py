@@ -7,8 +7,10 @@ distinct / (distinct + count), and the bytes it knows are excluded in the next s
 distribution over the bytes still possible. A document's score is the log10 probability of all its bytes.
 
 What a context knows, its suffix knows too, so exclusion depends only on the context just escaped from: totals,
-escapes and excluded mass are precomputed once per node by joins of the node table with itself. The trie that tasks
-get is bounded: the least count a node needs is the smallest power of two that leaves at most MAX_NODES.
+escapes and excluded mass are precomputed once per node. The trie is whole, whatever its size. Tasks get the scores of
+the frequent runs of ORDER + 1 bytes (at most MAX_NODES); the distinct other runs are coded where their part of the trie
+is: all nodes above level SHARED that a run can meet end their contexts in the same SHARED bytes, so the trie is dealt
+out by those, and only the levels below, which the alphabet bounds, go to every part. Scores are joined back to the rows.
 
 The unigram base counts words and one end token a text, exactly; the counts of frequent words are sent to the tasks
 (at most MAX_WORDS), the other words are joined. Words are told apart by 64-bit hashes.
@@ -31,6 +33,10 @@ from .common import LOWER, U64, chunks, list_array, mix64, read, signed, small_b
 
 ORDER = 5
 MAX_NODES = 1_000_000
+#: Bytes before a symbol that the trie is dealt out by.
+SHARED = 3
+#: Runs of bytes of a part of the trie, about.
+PART_RUNS = 100_000
 MAX_WORDS = 500_000
 #: Distinct keys that a counting task keeps before it hands them on.
 MAX_HELD = 1_000_000
@@ -155,16 +161,58 @@ def tag(level: int) -> int:
     return level + 1 << 56
 
 
-def trie(grams: DataFrame, most: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes (level, key, n) of the trie and its contexts (level, key, total, kinds, excluded)."""
-    level = F.explode(F.array(*[F.lit(k) for k in range(ORDER + 1)])).alias("level")
-    cut = F.expr("key & (shiftleft(1L, 8 * (level + 1)) - 1)")
-    every = stash(grams.select("key", "n", level).groupBy("level", cut.alias("key")).agg(F.sum("n").alias("n")), "nodes")
-    nodes = every.where(F.col("n") >= least_count(every, most))
-    up = nodes.select((F.col("level") + 1).alias("level"), F.col("key").alias("parent"), F.col("n").alias("n_parent"))
-    rows = nodes.withColumn("parent", F.expr("key & (shiftleft(1L, 8 * level) - 1)")).join(up, ["level", "parent"], "left")
-    contexts = rows.groupBy("level", F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.coalesce("n_parent", F.lit(0))).alias("excluded"))
-    return nodes, contexts
+def tagged(level: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return key.astype(U64) | (level.astype(U64) + U64(1)) << U64(56)
+
+
+def levels(keys: np.ndarray, n: np.ndarray, wanted: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes (level, key, n) of some levels from counted runs of bytes."""
+    parts = []
+    for k in wanted:
+        if len(keys):
+            cut, count = _merge([(keys & ((1 << 8 * (k + 1)) - 1), n)])
+            parts.append((np.full(len(cut), k), cut, count))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+
+
+def contexts(level: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts (level, key, total, kinds, excluded) of nodes."""
+    if not len(key):
+        return (np.zeros(0, np.int64),) * 5
+    up = Table(tagged(level, key)).find(tagged(level - 1, key & ((1 << 8 * level) - 1)))
+    n_parent = np.where(level > 0, n[up], 0)
+    own, first, inverse = np.unique(tagged(level, key >> 8), return_index=True, return_inverse=True)
+    sums = [np.bincount(inverse, w, minlength=len(own)).astype(np.int64) for w in (n, None, n_parent)]
+    return level[first], key[first] >> 8, *sums
+
+
+def frequent_runs(grams: DataFrame, most: int) -> DataFrame:
+    """(key, score) of at most ``most`` runs; their contexts are those of all runs."""
+    before = F.shiftright("key", 8).alias("before")
+    often = grams.where(F.col("n") >= least_count(grams, most)).select("key", "n", before)
+    whole = grams.groupBy(before).agg((F.sum("n") + F.count("*")).alias("mass"))
+    return often.join(whole, "before").select("key", (F.log10("n") - F.log10("mass")).alias("score"))
+
+
+def coded(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, score) of distinct runs of bytes, from the whole trie of ``grams``."""
+    spark = grams.sparkSession
+    shared = (1 << 8 * SHARED) - 1
+    low = grams.groupBy(F.col("key").bitwiseAND(shared).alias("key")).agg(F.sum("n").alias("n"))
+    sent = spark.sparkContext.broadcast(levels(*_columns(low), range(SHARED)))  # runs of SHARED bytes: bounded by the alphabet
+    n_parts = max(1, grams.count() // PART_RUNS)
+    part = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(shared)), F.lit(n_parts)).alias("part")
+
+    def task(asked: pa.Table, grams: pa.Table) -> pa.Table:
+        key = asked.column("key").to_numpy()
+        if not len(key):
+            return pa.table({"key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own = levels(grams.column("key").to_numpy(), grams.column("n").to_numpy(), range(SHARED, ORDER + 1))
+        nodes = tuple(np.concatenate(x) for x in zip(sent.value, own, strict=True))
+        return pa.table({"key": key, "score": Model(nodes, contexts(*nodes)).code(key.view(U64))})
+
+    left, right = asked.select("key", part), grams.select("key", "n", part)
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(task, "key long, score double")
 
 
 class Model:
@@ -173,7 +221,6 @@ class Model:
     def __init__(self, nodes: tuple[np.ndarray, ...], contexts: tuple[np.ndarray, ...]):
         level, key, n = nodes
         c_level, c_key, total, kinds, excluded = contexts
-        tagged = lambda lv, k: k.astype(U64) | (lv.astype(U64) + U64(1)) << U64(56)
         self.contexts = Table(tagged(c_level, c_key))
         parent = np.full(len(c_key), -1)
         deep = c_level > 0
@@ -199,6 +246,8 @@ class Model:
     def code(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each run after the others."""
         out = np.zeros(len(gram))
+        if not len(self.all):
+            return out + self.uniform
         row = self.nodes.find(gram | U64(tag(ORDER)))
         top = row >= 0
         out[top] = self.fresh[row[top]]
@@ -237,25 +286,27 @@ def score_texts(docs: DataFrame, training: DataFrame, most_nodes: int = MAX_NODE
     table = stash(counts(training), "counts")
     seen, grams = table.where("kind = 0").select("key", "n"), table.where("kind = 1").select("key", "n")
     n_all, n_distinct = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    nodes, contexts = trie(grams, most_nodes)
     bar = least_count(seen, most_words)
     frequent, rare = seen.where(F.col("n") >= bar), seen.where(F.col("n") < bar)
-    sent = spark.sparkContext.broadcast((_columns(nodes.select("level", "key", "n")), _columns(contexts.select("level", "key", "total", "kinds", "excluded")), _columns(frequent)))
+    sent = spark.sparkContext.broadcast((_columns(frequent_runs(grams, most_nodes)), _columns(frequent)))
     small_batches(spark)
     name = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ready:
-            key, n = sent.value[2]
+            (run, run_score), (key, n) = sent.value
             _ready.clear()
-            _ready[name] = (Model(*sent.value[:2]), Table(key.view(U64)), np.log10(n + 1.0))
-        model, table, logs = _ready[name]
+            _ready[name] = (Table(run.view(U64) | U64(tag(ORDER))), run_score, Table(key.view(U64)), np.log10(n + 1.0))
+        runs, run_scores, table, logs = _ready[name]
         for batch in batches:
             ids = batch.column("doc_id")
             for i, j, buf, offsets in chunks(batch):
                 starts, ends, doc = words(buf, offsets)
                 gram, owner = symbols(buf, starts, ends, doc, j - i)
-                score = np.bincount(owner, model.code(gram), minlength=j - i)
+                at = runs.find(gram | U64(tag(ORDER)))
+                hit = at >= 0
+                score = np.bincount(owner[hit], run_scores[at[hit]], minlength=j - i)
+                open_, open_of = gram[~hit], np.bincount(owner[~hit], minlength=j - i)
                 h = np.append(word_hashes(buf, starts, ends), np.full(j - i, END_WORD, U64))
                 doc = np.append(doc, np.arange(j - i))
                 row = table.find(h)
@@ -265,17 +316,20 @@ def score_texts(docs: DataFrame, training: DataFrame, most_nodes: int = MAX_NODE
                 left, own = h[~hit], doc[~hit]
                 order = np.argsort(own, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(np.bincount(doc, minlength=j - i)), pa.array(known), pa.array(base.astype(float)), pa.array(score.astype(float)), list_array(signed(left[order]), np.bincount(own, minlength=j - i), pa.int64())],
-                    ["doc_id", "n_tokens", "known", "base", "score", "rare"],
+                    [ids.slice(i, j - i), pa.array(np.bincount(doc, minlength=j - i)), pa.array(known), pa.array(base.astype(float)), pa.array(score.astype(float)), list_array(signed(left[order]), np.bincount(own, minlength=j - i), pa.int64()), list_array(signed(open_), open_of, pa.int64())],
+                    ["doc_id", "n_tokens", "known", "base", "score", "rare", "open"],
                 )
 
-    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>")
+    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, open array<long>")
     first = stash(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     found = first.select("row", F.explode("rare").alias("key")).join(rare, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("rare_base"))
+    runs = first.select("row", F.explode("open").alias("key"))
+    scores = coded(runs.select("key").distinct(), grams)
+    others = runs.join(scores, "key").groupBy("row").agg(F.sum("score").alias("more_score"))
     total = float(np.log10(n_all + n_distinct + 1))
-    rows = first.drop("rare").join(found, "row", "left")
+    rows = first.drop("rare", "open").join(found, "row", "left").join(others, "row", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * total
-    return rows.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return rows.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,43 @@ def test_lm_scoring(docs, rows, empty):
     assert lm_scoring.score_texts(empty, empty).count() == 0
 
 
+def test_lm_scoring_keeps_the_whole_trie(docs, rows, monkeypatch):
+    """However few runs are sent to the tasks and however the trie is dealt out, scores are those of the whole trie."""
+    train = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter()
+    text = lambda t: b"\n" * 5 + b" ".join(split(t)) + b"\n"
+    for t in train:
+        raw = text(t)
+        count.update(raw[e - k - 1 : e] for e in range(6, len(raw) + 1) for k in range(6))
+    after = collections.defaultdict(dict)
+    for run, n in count.items():
+        after[run[:-1]][run[-1]] = n
+
+    def log_p(run):
+        out, known = 0.0, {}
+        for k in range(5, -1, -1):
+            now = after.get(run[5 - k : 5], {})
+            free = {s: n for s, n in now.items() if s not in known}
+            if not free:
+                if now:
+                    known = now
+                continue
+            total = sum(free.values()) + len(free)
+            if run[-1] in free:
+                return out + math.log10(free[run[-1]] / total)
+            out += math.log10(len(free) / total)
+            known = now
+        return out - math.log10(256 - len(known))
+
+    monkeypatch.setattr(lm_scoring, "PART_RUNS", 500)
+    for most in (1_000_000, 5):
+        got = by_id(lm_scoring.score_texts(docs, docs.where(~lm_scoring.is_held_out()), most_nodes=most))
+        for i, t, *_ in rows:
+            raw = text(t)
+            want = sum(log_p(raw[e - 6 : e]) for e in range(6, len(raw) + 1))
+            assert abs(got[i].score - want) <= 1e-4 * abs(want), (most, i)
+
+
 def test_ppm_sums_to_one():
     texts = [b"abab cab abba", b"the cat sat", b"", b"zz top abab"]
     buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
