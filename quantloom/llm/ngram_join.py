@@ -18,7 +18,8 @@ The traversal runs twice: first along neighbours in each tree and with its small
 document, which joins large groups of near copies in linear time; then over all pairs between different components,
 with no limit. Groups beyond BLOCK documents are traversed as pairs of blocks. Shingles are 64-bit hashes.
 
-Repeated rows are equal sets; a component's id is the smallest doc_id in it, so ties cannot arise.
+Rows that share a doc_id are one document, repeated or with other texts, which then links by any of them; whole copies
+of a row are dropped before the trees. A component's id is the smallest doc_id in it, so ties cannot arise.
 """
 
 from __future__ import annotations
@@ -134,7 +135,17 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def features(docs: DataFrame, hot: DataFrame, reps: DataFrame) -> DataFrame:
+def repeated_ids(every: DataFrame):
+    """Bitmap of the ids of several rows; it may let others through, whose rows are then made distinct for nothing."""
+    return id_bitmap(every.groupBy("doc_id").count().where("count > 1"), "doc_id")
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Distinct rows of those marked ``again``, the others as they are, without that column."""
+    return rows.where("not again").drop("again").union(rows.where("again").drop("again").distinct())
+
+
+def features(docs: DataFrame, hot: DataFrame, reps: DataFrame, repeated) -> DataFrame:
     """doc_id, n, signature, prefix (not frequent shingles first, how many of those is ``cold``) of representatives.
 
     Representatives are told by a bitmap of fixed size, which may let copies through; those only link with equals.
@@ -148,6 +159,7 @@ def features(docs: DataFrame, hot: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(keep.value, batch.column("cell").to_numpy())))
             ids = batch.column("doc_id")
+            again = pa.array(in_bitmap(repeated.value, batch.column("cell").to_numpy()))
             for i, sets in shingle_sets(batch):
                 prefix, cold = [], []
                 for s in sets:
@@ -159,12 +171,12 @@ def features(docs: DataFrame, hot: DataFrame, reps: DataFrame) -> DataFrame:
                     cold.append(len(rare))
                     prefix.append(np.concatenate([rare, s[often][: m - len(rare)]]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), pa.array(np.array([len(s) for s in sets])), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary()), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32))],
-                    ["doc_id", "n", "signature", "prefix", "cold"],
+                    [ids.slice(i, len(sets)), pa.array(np.array([len(s) for s in sets])), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary()), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32)), again.slice(i, len(sets))],
+                    ["doc_id", "n", "signature", "prefix", "cold", "again"],
                 )
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("cell", cell_of("doc_id"))
-    return rows.mapInArrow(task, "doc_id long, n long, signature binary, prefix array<long>, cold int").where("n > 0")
+    return rows.mapInArrow(task, "doc_id long, n long, signature binary, prefix array<long>, cold int, again boolean").where("n > 0")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -332,7 +344,7 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
     return few.select("hi", F.explode(F.array_distinct(F.array("least", "best"))).alias("lo"))
 
 
-def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, repeated) -> DataFrame:
     """(a, b) of the pairs (lo, hi) whose sets reach a similarity of 0.8, checked on the sets."""
     wanted = id_bitmap(pairs.select(F.explode(F.array("lo", "hi")).alias("doc")), "doc")
 
@@ -340,11 +352,12 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = in_bitmap(wanted.value, batch.column("cell").to_numpy())
             batch = batch.filter(pa.array(keep))
+            again = pa.array(in_bitmap(repeated.value, batch.column("cell").to_numpy()))
             for i, found in shingle_sets(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(found)), binary_array(np.concatenate(found), np.array([len(s) for s in found]))], ["doc", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(found)), binary_array(np.concatenate(found), np.array([len(s) for s in found])), again.slice(i, len(found))], ["doc", "set", "again"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    table = stash(rows.withColumn("cell", cell_of("doc")).mapInArrow(sets, "doc long, set binary"), "sets")
+    table = without_copies(stash(rows.withColumn("cell", cell_of("doc")).mapInArrow(sets, "doc long, set binary, again boolean"), "sets"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,17 +380,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stash(first_pass(docs), "sets")
     every = first.where("kind = 1")
     equal = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    rows = stash(features(docs, frequent_shingles(first), equal.select("rep")), "features")
+    repeated = repeated_ids(every)
+    rows = without_copies(stash(features(docs, frequent_shingles(first), equal.select("rep"), repeated), "features"))
     leaves = rows.select(F.col("doc_id").alias("doc"), "n", "signature")
     met = meetings(rows)
     near = met.join(leaves, "doc").withColumn("component", F.col("doc"))
-    one = stash(links(stash(candidates(near, every=False), "pairs"), docs), "links")
+    one = stash(links(stash(candidates(near, every=False), "pairs"), docs, repeated), "links")
     so_far = components(one)
     joined = met.join(so_far.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     joined = stash(joined, "joined")
     open_ = joined.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     rest = joined.join(open_, "token", "left_semi").join(leaves, "doc")
-    two = links(stash(candidates(rest, every=True), "pairs"), docs)
+    two = links(stash(candidates(rest, every=True), "pairs"), docs, repeated)
     final = components(one.union(two))
     reps = equal.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     return every.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

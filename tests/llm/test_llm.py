@@ -87,6 +87,18 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_of_repeated_rows(spark):
+    """Each row twice: the pairs of every group still link."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(base), " ".join([*base[:-1], "end"])]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(x.component_id == x.doc_id // 2 * 2 for x in got)
+
+
 def test_trees_match_all_pairs():
     r = np.random.default_rng(1)
     sets = [np.sort(r.choice(2000, size=int(n), replace=False)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in r.integers(20, 60, 60)]
