@@ -68,12 +68,12 @@ query("opt_allocate", f"WITH {BARS}, {MEMBERS} " + select("strategy_id AS univer
     lambda s, d: op.allocate(fixed(s, d).where("symbol <> 'Brand#7'"), 50_000.0, fixed(s, d).select("universe", "symbol"))
 )
 
-# ML: a small forest keeps the query quick; the operator's own defaults are 100 trees of depth 10
+# ML
 
 
 def model(spark, sf_dir):
     data = ml.dataset(bars(spark, sf_dir))
-    fitted, early, late = ml.train(data, trees=10, depth=5)
+    fitted, early, late = ml.train(data)
     return data, fitted, late
 
 

@@ -172,3 +172,11 @@ def test_streams_equal_batches(spark, tmp_path):
     for _ in range(2):  # a retried batch replaces itself
         sink(market.alerts(batch, 0.05, 3.0), 0)
     assert spark.read.parquet(str(tmp_path / "sink")).count() == market.alerts(batch, 0.05, 3.0).count()
+
+
+def test_registered_forest_is_whole(spark):
+    """The queries train the forest of the operator's defaults: 100 trees of depth 10."""
+    from quantloom.plans import review_plans
+
+    forest = review_plans.model(spark, SF)[1].stages[-1]
+    assert forest.getNumTrees == 100 and forest.getOrDefault("maxDepth") == 10
