@@ -70,6 +70,27 @@ def tangency_weights(mean: np.ndarray, cov: np.ndarray, risk_free: float = 0.02)
     return _valid(raw / raw.sum() if raw.sum() else raw)
 
 
+def max_sharpe_weights(mean: np.ndarray, cov: np.ndarray, risk_free: float = 0.02) -> np.ndarray:
+    """The best Sharpe ratio of all weights that are not negative.
+
+    With an asset above the risk-free rate it lies along the y >= 0 that minimises y'Cy / 2 - m'y, found coordinate by
+    coordinate; otherwise (no ratio is positive) it is a single asset's, the ratio being quasiconvex there.
+    """
+    m, c = mean * YEAR - risk_free, cov * YEAR
+    own = np.diag(c)
+    y = np.zeros(len(m))
+    if not (m > 0).any():
+        y[np.argmax(np.where(own > 0, m / np.sqrt(np.where(own > 0, own, 1)), -np.inf))] = 1
+        return y
+    for _ in range(10_000):
+        before = y.copy()
+        for i in np.flatnonzero(own > 0):
+            y[i] = max(0.0, y[i] + (m[i] - c[i] @ y) / own[i])
+        if np.abs(y - before).max() <= 1e-13 * np.abs(y).max():
+            break
+    return _valid(y)
+
+
 WEIGHTS = "universe int, symbol string, weight double"
 
 
@@ -117,6 +138,14 @@ def max_sharpe(candidates: DataFrame, means: DataFrame, cov: DataFrame) -> DataF
     return scored.groupBy("universe").agg(F.max_by(F.struct("candidate", "annual_return", "volatility", "sharpe_ratio"), F.struct("sharpe_ratio", -F.col("candidate"))).alias("v")).select("universe", "v.*")
 
 
+def best_weights(candidates: DataFrame, means: DataFrame, cov: DataFrame) -> DataFrame:
+    """Winner by Sharpe ratio with its weights: of the candidates, the clipped tangency weights (-1) and the maximum (-2)."""
+    columns = ("universe", "candidate", "symbol", "weight")
+    solved = [_solve(means, cov, f).withColumn("candidate", F.lit(k)).select(*columns) for k, f in ((-1, tangency_weights), (-2, max_sharpe_weights))]
+    every = candidates.select(*columns).unionByName(solved[0]).unionByName(solved[1])
+    return every.join(max_sharpe(every, means, cov), ["universe", "candidate"])
+
+
 def allocate(weights: DataFrame, capital: float, symbols: DataFrame) -> DataFrame:
     """Weight times capital of wanted symbols, 0 for unknown ones."""
     return symbols.join(weights, ["universe", "symbol"], "left").select("universe", "symbol", (F.coalesce("weight", F.lit(0.0)) * capital).alias("amount"))

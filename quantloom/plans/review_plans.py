@@ -64,6 +64,7 @@ query(
     f"WITH {RETS}, c0 AS (SELECT strategy_id AS universe, symbol, c::INTEGER AS candidate, 1.0::DOUBLE + CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER) * c % 23 AS w FROM members CROSS JOIN range(20) t(c)), cand AS MATERIALIZED (SELECT universe, symbol, candidate, w / sum(w) OVER (PARTITION BY universe, candidate) AS weight FROM c0), {stats_sql('cand', 'universe, candidate')} "
     + select("universe, candidate", "annual_return; volatility; sharpe_ratio", "FROM stats QUALIFY row_number() OVER (PARTITION BY universe ORDER BY sharpe_ratio DESC, candidate) = 1"),
 )(lambda s, d: op.max_sharpe(candidates(s, d), *op.moments(rets(s, d))))
+query("opt_max_sharpe_weights")(lambda s, d: op.best_weights(candidates(s, d), *op.moments(rets(s, d))))
 query("opt_allocate", f"WITH {BARS}, {MEMBERS} " + select("strategy_id AS universe, symbol", "CASE WHEN symbol = 'Brand#7' THEN 0 ELSE weight * 50000 END AS amount", "FROM members"))(
     lambda s, d: op.allocate(fixed(s, d).where("symbol <> 'Brand#7'"), 50_000.0, fixed(s, d).select("universe", "symbol"))
 )

@@ -180,3 +180,27 @@ def test_registered_forest_is_whole(spark):
 
     forest = review_plans.model(spark, SF)[1].stages[-1]
     assert forest.getNumTrees == 100 and forest.getOrDefault("maxDepth") == 10
+
+
+def test_max_sharpe_is_the_maximum(spark):
+    """No mix of three assets on a grid beats the weights returned, where the clipped closed form may be beaten."""
+    import itertools
+
+    import numpy as np
+
+    from quantloom.operators import optimize as op
+
+    mean = np.array([0.0011, 0.0009, -0.0002])
+    cov = np.array([[4.0, 1.5, 1.9], [1.5, 2.0, 1.2], [1.9, 1.2, 3.0]]) * 1e-4
+    names = ["a", "b", "c"]
+    means = spark.createDataFrame([(1, s, float(x)) for s, x in zip(names, mean, strict=True)], "universe int, symbol string, mean double")
+    pairs = spark.createDataFrame([(1, x, y, float(cov[i, j])) for i, x in enumerate(names) for j, y in enumerate(names)], "universe int, a string, b string, cov double")
+    few = spark.createDataFrame([(1, 0, s, 1 / 3) for s in names], "universe int, candidate int, symbol string, weight double")
+    got = {r.symbol: r for r in op.best_weights(few, means, pairs).collect()}
+    assert set(got) == set(names) and abs(sum(r.weight for r in got.values()) - 1) < 1e-9
+    sharpe = lambda w: (w @ mean * 252 - 0.02) / np.sqrt(w @ cov @ w * 252)
+    grid = [np.array([i, j, 50 - i - j]) / 50 for i, j in itertools.product(range(51), repeat=2) if i + j <= 50]
+    best = sharpe(np.array([got[s].weight for s in names]))
+    assert abs(best - got["a"].sharpe_ratio) < 1e-9 and all(best >= sharpe(w) - 1e-12 for w in grid)
+    falling = op.max_sharpe_weights(-np.abs(mean), cov)
+    assert falling.max() == 1 and all(sharpe_of >= 0 for sharpe_of in falling)
