@@ -9,10 +9,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ALERT = "symbol string, ts timestamp, kind string, value double"
+#: Seconds of ticks that a task of a batch takes together.
+SPAN = 3600
 STATE = "price double, volumes array<double>"
 
 
@@ -43,16 +46,33 @@ def step(rows: pd.DataFrame, last: float | None, volumes: list[float], change: f
     return pd.DataFrame(out, columns=["ts", "kind", "value"]), last, volumes
 
 
+def batch_alerts(ticks: DataFrame, change: float, ratio: float) -> DataFrame:
+    """The alerts of a table by windows over a symbol's ticks of SPAN seconds, with the 19 ticks before them carried in."""
+    order = [F.asc_nulls_last("ts"), F.asc_nulls_last("tick_id")]
+    span = F.coalesce(F.floor(F.col("ts").cast("double") / SPAN), F.lit(2**62)).alias("span")
+    rows = ticks.select("symbol", span, "ts", "tick_id", "price", "volume")
+    back = W.partitionBy("symbol", "span").orderBy(F.desc_nulls_first("ts"), F.desc_nulls_first("tick_id"))
+    # 19 rows a span at most: what a symbol has of them grows with time, not with ticks.
+    ends = rows.withColumn("back", F.row_number().over(back)).where("back <= 19")
+    tick = F.struct("ts", "tick_id", "price", "volume")
+    by_symbol = W.partitionBy("symbol").orderBy("span", *order)
+    ends = ends.withColumns({"carry": F.collect_list(tick).over(by_symbol.rowsBetween(-18, 0)), "next": F.lead("span").over(by_symbol)}).where("back = 1 and next is not null")
+    carried = ends.select("symbol", F.col("next").alias("span"), F.inline("carry")).withColumn("own", F.lit(False))
+    w = W.partitionBy("symbol", "span").orderBy(*order)
+    before = w.rowsBetween(-19, -1)
+    whole = rows.withColumn("own", F.lit(True)).unionByName(carried).withColumns({"last": F.lag("price").over(w), "n": F.count("volume").over(before), "mean": F.avg("volume").over(before)})
+    pct, times = F.col("price") / F.nullif(F.col("last"), F.lit(0.0)) - 1, F.col("volume") / F.nullif(F.col("mean"), F.lit(0.0))
+    found = F.array(
+        F.when(~F.isnan(pct) & (F.abs(pct) >= change), F.struct(F.lit("pct").alias("kind"), (pct * 100).alias("value"))),
+        F.when((F.col("n") == 19) & ~F.isnan(times) & (times > ratio), F.struct(F.lit("volume").alias("kind"), times.alias("value"))),
+    )
+    return whole.where("own").select("symbol", "ts", F.inline(F.array_compact(found)))
+
+
 def alerts(ticks: DataFrame, change: float = 0.1, ratio: float = 3.0) -> DataFrame:
     """Alerts per symbol; in a stream with the previous price and 19 volumes as state."""
     if not ticks.isStreaming:
-
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            found = step(rows, None, [], change, ratio)[0]
-            found.insert(0, "symbol", rows["symbol"].iloc[0])
-            return found
-
-        return ticks.groupBy("symbol").applyInPandas(whole, ALERT)
+        return batch_alerts(ticks, change, ratio)
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, volumes = state.get if state.exists else (None, [])

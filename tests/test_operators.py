@@ -204,3 +204,21 @@ def test_max_sharpe_is_the_maximum(spark):
     assert abs(best - got["a"].sharpe_ratio) < 1e-9 and all(best >= sharpe(w) - 1e-12 for w in grid)
     falling = op.max_sharpe_weights(-np.abs(mean), cov)
     assert falling.max() == 1 and all(sharpe_of >= 0 for sharpe_of in falling)
+
+
+def test_batch_alerts_spread_a_symbol(spark):
+    """A symbol's ticks are dealt by span of time, not all to one function, and the ticks before a span count."""
+    start = dt.datetime(2024, 1, 1)
+    gaps = [7, 7, 300, 1, 1, 1, 59, 120]
+    ts, rows = start, []
+    for i in range(150):
+        ts += dt.timedelta(minutes=gaps[i % 8])
+        rows.append(("a", ts, 100.0 + (i * 7) % 23, float(1 + 50 * (i % 25 == 24)), i))
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["symbol", "ts", "price", "volume", "tick_id"])
+    want = market.step(frame, None, [], 0.05, 3.0)[0]
+    df = market.alerts(spark.createDataFrame(rows, TICK), 0.05, 3.0)
+    assert sorted((r.ts, r.kind, round(r.value, 9)) for r in df.collect()) == sorted((x.ts.to_pydatetime(), x.kind, round(x.value, 9)) for x in want.itertuples())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "span" in plan
