@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontamination, language_id, ngram_join, packing, pii
-from quantloom.llm.common import read, stash
+from quantloom.llm.common import read, row_key, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,16 +25,20 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id."""
-    groups = ngram_join.near_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each component of near duplicates the document with the smallest doc_id; of one without ids a single row."""
+    first = ngram_join.first_of_groups(docs).where(F.col("key") == F.col("component_id"))
+    rows = docs.withColumn("key", row_key())
+    named = rows.where("doc_id is not null").join(first.where("named").select("key"), "key", "left_semi")
+    other = rows.where("doc_id is null").join(first.where("not named").select("key", F.col("n_shingles") > 0).distinct().toDF("key", "has_words"), "key")
+    # Texts without words link with nothing, not even with equal ones.
+    return named.select(*COLUMNS).union(other.where("has_words").dropDuplicates(["key"]).select(*COLUMNS)).union(other.where("not has_words").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without overlap with a benchmark item."""
-    found = decontamination.overlaps(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.withColumn("key", row_key())
+    found = decontamination.overlaps(rows.select(F.col("key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(found, "key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

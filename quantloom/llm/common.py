@@ -22,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key() -> F.Column:
+    """doc_id as a long; of a row without one a hash of its text, so that rows without ids are told apart by their texts."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.coalesce("text", F.lit(""))))
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

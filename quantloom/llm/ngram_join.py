@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, binary_array, cell_of, chunks, components, id_bitmap, in_bitmap, list_array, mix64, powers, read, signed, small_batches, stash, word_hashes, words
+from .common import U64, binary_array, cell_of, chunks, components, id_bitmap, in_bitmap, list_array, mix64, powers, read, row_key, signed, small_batches, stash, word_hashes, words
 
 WORDS = 5
 #: Least number of bits of a signature; it has four bits or more a shingle, in powers of two.
@@ -109,7 +109,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         if held:
             yield often()
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_key().alias("doc_id"), "text")
     return rows.mapInArrow(task, "kind int, doc_id long, n long, f1 long, f2 long")
 
 
@@ -175,7 +175,7 @@ def features(docs: DataFrame, hot: DataFrame, reps: DataFrame, repeated) -> Data
                     ["doc_id", "n", "signature", "prefix", "cold", "again"],
                 )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("cell", cell_of("doc_id"))
+    rows = docs.select(row_key().alias("doc_id"), "text").withColumn("cell", cell_of("doc_id"))
     return rows.mapInArrow(task, "doc_id long, n long, signature binary, prefix array<long>, cold int, again boolean").where("n > 0")
 
 
@@ -356,7 +356,7 @@ def links(pairs: DataFrame, docs: DataFrame, repeated) -> DataFrame:
             for i, found in shingle_sets(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(found)), binary_array(np.concatenate(found), np.array([len(s) for s in found])), again.slice(i, len(found))], ["doc", "set", "again"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
+    rows = docs.select(row_key().alias("doc"), "text")
     table = without_copies(stash(rows.withColumn("cell", cell_of("doc")).mapInArrow(sets, "doc long, set binary, again boolean"), "sets"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,8 +374,8 @@ def links(pairs: DataFrame, docs: DataFrame, repeated) -> DataFrame:
     return first.join(table.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def keyed_duplicates(docs: DataFrame) -> DataFrame:
+    """key (``row_key``), n_shingles, component (the smallest key) of every row."""
     small_batches(docs.sparkSession)
     first = stash(first_pass(docs), "sets")
     every = first.where("kind = 1")
@@ -394,7 +394,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     two = links(stash(candidates(rest, every=True), "pairs"), docs, repeated)
     final = components(one.union(two))
     reps = equal.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return every.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return every.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2", "n"], "left").select(F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component"))
+
+
+def nameless(docs: DataFrame) -> DataFrame:
+    """The keys of rows without doc_id: key, each once."""
+    return docs.where("doc_id is null").select(row_key().alias("key")).distinct()
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """key, named, n_shingles, component_id: of each row the smallest doc_id in its component, or the smallest key if none has one."""
+    keyed = stash(keyed_duplicates(docs), "keyed")
+    none = stash(nameless(docs).withColumn("named", F.lit(False)), "nameless")
+    if none.isEmpty():
+        return keyed.select("key", F.lit(True).alias("named"), "n_shingles", F.col("component").alias("component_id"))
+    keyed = keyed.join(none, "key", "left").withColumn("named", F.coalesce("named", F.lit(True)))
+    least = keyed.groupBy("component").agg(F.min(F.when(F.col("named"), F.col("key"))).alias("least"))
+    return keyed.join(least, "component").select("key", "named", "n_shingles", F.coalesce("least", "component").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    A row without doc_id takes part; a component without any doc_id has a hash of one of its texts as its id.
+    """
+    return first_of_groups(docs).select(F.when(F.col("named"), F.col("key")).alias("doc_id"), "n_shingles", "component_id")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

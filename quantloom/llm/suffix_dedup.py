@@ -15,7 +15,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 4. Each document drops what repeats.
 
 Null texts are empty. Texts below LENGTH bytes keep all. Rows with the same doc_id are each other's copies like any
-others; what repeats in one is taken out of all of them. Strings are judged on the input.
+others; what repeats in one is taken out of all of them. A row without doc_id counts as any other. Strings are judged on the input.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, U64, PrefixHash, chunks, id_bitmap, in_bitmap, mix64, read, signed, small_batches, stash
+from .common import BITMAP_BITS, U64, PrefixHash, chunks, id_bitmap, in_bitmap, mix64, read, row_key, signed, small_batches, stash
 
 LENGTH = 200
 SEED = 56
@@ -142,8 +142,7 @@ def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: i
         if held:
             yield out()
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, ROW)
+    return docs.select(row_key().alias("doc_id"), "text").mapInArrow(task, ROW)
 
 
 class Suffixes:
@@ -318,8 +317,8 @@ def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the bytes kept."""
     spans = removed(docs, length, seed).withColumnRenamed("doc_id", "own_id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = ids.join(spans, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
+    rows = ids.join(spans, F.col("key") == F.col("own_id"), "left").drop("own_id", "key")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -99,6 +99,27 @@ def test_ngram_join_of_repeated_rows(spark):
     assert len(got) == len(rows) and all(x.component_id == x.doc_id // 2 * 2 for x in got)
 
 
+def test_rows_without_id(spark):
+    """They link, stand for their own group and count for repeated strings."""
+    import corpus_pipeline as cp
+
+    r = random.Random(11)
+    say = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+    a, b, c = say(), say(), say()
+    near = lambda x: " ".join([*x[:-1], "end"])
+    data = [(None, " ".join(a)), (7, near(a)), (None, " ".join(b)), (None, near(b)), (None, " ".join(b)), (9, " ".join(c))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = ngram_join.near_duplicates(df).collect()
+    assert len(got) == 6 and sorted(x.component_id for x in got if x.doc_id is not None) == [7, 9]
+    groups = collections.Counter(x.component_id for x in got)
+    assert sorted(groups.values()) == [1, 2, 3] and groups[7] == 2 and groups[9] == 1
+    kept = cp.keep_first_of_group(spark, df, "").collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == [7, 9]
+    assert [x.text in (" ".join(b), near(b)) for x in kept if x.doc_id is None] == [True]
+    gone = suffix_dedup.remove_repeats(df).collect()
+    assert len(gone) == 6 and [x.n_removed > 300 for x in sorted(gone, key=lambda x: x.n_removed)] == [False, True, True, True, True, True]
+
+
 def test_trees_match_all_pairs():
     r = np.random.default_rng(1)
     sets = [np.sort(r.choice(2000, size=int(n), replace=False)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in r.integers(20, 60, 60)]
