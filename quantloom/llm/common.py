@@ -118,6 +118,18 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+_inverse = np.ones(1, U64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """BASE ** -i for i = 0 .. n - 1, modulo 2 ** 64."""
+    global _inverse
+    if len(_inverse) < n:
+        _inverse = np.concatenate([[U64(1)], np.cumprod(np.full(max(n, 4096) - 1, BASE_INVERSE, U64), dtype=U64)])
+    return _inverse[:n]
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and the document (row) of every word in a chunk of whole documents."""
     n = len(buf)
@@ -137,15 +149,59 @@ def words(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased: a polynomial over per-byte random values."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased by ``fold``: a polynomial over per-byte random values."""
     if not len(starts):
         return np.zeros(0, U64)
-    lengths = ends - starts
-    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = inside + np.repeat(starts, lengths)
-    values = BYTE64[LOWER[buf[at]]] * powers(int(lengths.max()))[inside]
-    return mix64(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(U64))
+    out = np.empty(len(starts), U64)
+    values, at = BYTE64[fold], 0
+    while at < len(starts):  # parts of about CHUNK_BYTES, for very long texts
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
+        part = buf[low : int(ends[stop - 1])]
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(values[part] * powers(len(part)), dtype=U64, out=sums[1:])
+        first = starts[at:stop] - low
+        out[at:stop] = (sums[ends[at:stop] - low] - sums[first]) * inverse_powers(len(part))[first]
+        at = stop
+    return mix64(out + (ends - starts).astype(U64))
+
+
+class Table:
+    """Open-addressing table from 64-bit keys (never 0) to row numbers from 0 in order of adding, filled and looked up in bulk."""
+
+    def __init__(self, keys: np.ndarray, room: int = 0):
+        size = 1 << max(4, int(2 * max(len(keys), room) + 1).bit_length())
+        self.mask = U64(size - 1)
+        self.keys, self.rows, self.n = np.zeros(size, U64), np.full(size, -1, np.int32), 0
+        self.add(keys)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add distinct keys that are not there; the table must have been made with room for them."""
+        left, slot = np.arange(len(keys)), mix64(keys) & self.mask
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            mine = left[free[first]]
+            self.keys[at], self.rows[at] = keys[mine], self.n + mine
+            stay = np.ones(len(left), bool)
+            stay[free[first]] = False
+            left, slot = left[stay], slot[stay] + U64(1) & self.mask
+        self.n += len(keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        slot = mix64(keys) & self.mask
+        seen = self.keys[slot]
+        out = np.where(seen == keys, self.rows[slot], -1)
+        todo = np.flatnonzero((seen != keys) & (seen != 0))
+        while len(todo):
+            s = slot[todo] = slot[todo] + U64(1) & self.mask
+            seen = self.keys[s]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.rows[s[hit]]
+            todo = todo[~hit & (seen != 0)]
+        return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -217,18 +273,6 @@ def cell_of(column: str) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
 
 
-BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-_inverse = np.ones(1, U64)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    """BASE ** -i for i = 0 .. n - 1, modulo 2 ** 64."""
-    global _inverse
-    if len(_inverse) < n:
-        _inverse = np.concatenate([[U64(1)], np.cumprod(np.full(max(n, 4096) - 1, BASE_INVERSE, U64), dtype=U64)])
-    return _inverse[:n]
-
-
 class PrefixHash:
     """Polynomial hashes of all substrings of a buffer from the hashes of its prefixes."""
 

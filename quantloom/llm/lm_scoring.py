@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, chunks, list_array, mix64, read, signed, small_batches, stash, word_hashes, words
+from .common import LOWER, U64, Table, chunks, list_array, mix64, read, signed, small_batches, stash, word_hashes, words
 
 ORDER = 5
 MAX_NODES = 1_000_000
@@ -123,40 +123,6 @@ def least_count(table: DataFrame, most: int) -> int:
     return 1
 
 
-class Table:
-    """Open-addressing table from 64-bit keys (never 0) to row numbers, looked up in bulk."""
-
-    def __init__(self, keys: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys) + 1).bit_length())
-        self.mask = U64(size - 1)
-        self.keys, self.rows = np.zeros(size, U64), np.full(size, -1, np.int32)
-        left = np.arange(len(keys))
-        slot = mix64(keys) & self.mask
-        while len(left):
-            free = self.keys[slot] == 0
-            at, first = np.unique(slot[free], return_index=True)
-            mine = left[free][first]
-            self.keys[at], self.rows[at] = keys[mine], mine
-            placed = np.zeros(len(keys), bool)
-            placed[mine] = True
-            stay = ~placed[left]
-            left, slot = left[stay], slot[stay] + U64(1) & self.mask
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, or -1."""
-        slot = mix64(keys) & self.mask
-        seen = self.keys[slot]
-        out = np.where(seen == keys, self.rows[slot], -1)
-        todo = np.flatnonzero((seen != keys) & (seen != 0))
-        while len(todo):
-            s = slot[todo] = slot[todo] + U64(1) & self.mask
-            seen = self.keys[s]
-            hit = seen == keys[todo]
-            out[todo[hit]] = self.rows[s[hit]]
-            todo = todo[~hit & (seen != 0)]
-        return out
-
-
 def tag(level: int) -> int:
     return level + 1 << 56
 

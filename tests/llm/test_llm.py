@@ -369,6 +369,39 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, packing.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 150])
+def test_word_ids_match_the_tokenizer(most):
+    """Random texts of awkward characters, and the same units again when the table has had to drop some."""
+    from tokenizers import Tokenizer
+
+    tok, ids_of, r = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path(), most), random.Random(6)
+    parts = ["a", "B", "the", "don't", "d'depuis", "é", "É", "ß", "Œ", "\u0130", "'", "'s", "'LL", "\u2019", "-", ",", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\t", "\n", "\u0301", "\u0338", "=", "<", "\xa0", "\x85", "\u3000", "7", "\u0663", "中", "\U0001f642", "×", "\x00", "\x1f", "ǅ", "½", "\u200d", "\u05bc"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(4000)] + [f"a{chr(c)}b {chr(c)}. 1{chr(c)}' ,{chr(c)}" for c in range(1, 0x800)]
+    for k in range(0, len(texts), 250):
+        raw = [t.encode() for t in texts[k : k + 250]]
+        ids, counts = ids_of.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for t, got in zip(texts[k : k + 250], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_levels_minimise_the_sum_of_squares():
+    r, closed = random.Random(7), []
+    packer, levels = packing.Packer(closed.append, 32), [0] * 33
+    for i in range(400):
+        n = r.randrange(1, 33)
+        best = []
+        for h in [0, *[h for h in range(1, 33 - n) if levels[h]], *([32 - n] if n < 32 and levels[32 - n] else [])]:
+            after = list(levels)
+            after[h] -= h > 0
+            after[h + n] += h + n < 32
+            best.append((sum(x * x for x in after), h))
+        packer.place((i, 0, n, b"\0\0\0\0" * n))
+        wanted = min(x for x, _ in best)
+        levels = packer.levels[:33].tolist()
+        assert sum(x * x for x in levels) == wanted, i
+    assert sum(len(p) for p in closed) + sum(len(w) for level in packer.open for w in level) == 400
+
+
 def test_decontamination(spark, docs, rows, empty):
     r = random.Random(9)
     item = [f"item{r.randrange(10**6)}" for _ in range(40)]
