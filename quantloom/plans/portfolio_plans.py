@@ -161,14 +161,33 @@ def folded(spark, sf_dir):
     return pf.rebalance(grid(spark, sf_dir), schedule(spark, sf_dir))
 
 
-query("bt_portfolio")(lambda s, d: pf.equity_curve(grid(s, d), folded(s, d)))
-query("bt_trades")(lambda s, d: pf.trades(folded(s, d)))
-query("bt_holdings")(lambda s, d: pf.holdings(folded(s, d)))
-query("bt_turnover")(lambda s, d: pf.turnover(folded(s, d)))
+#: Fractions of a sale's and a purchase's value that costs take.
+_SELL, _BUY = "(0.0003::DOUBLE + 0.001::DOUBLE + 0.0005::DOUBLE)", "(0.0003::DOUBLE + 0.0005::DOUBLE)"
+_EACH = lambda x, n="n": f"list_transform(range(1, {n} + 1), lambda i: {x})"
+_SUM = lambda x, n="n": f"list_sum({_EACH(x, n)})"
+FOLD = f"""{GRID}, rebalances AS MATERIALIZED (SELECT strategy_id, date, count(*) AS n, list(symbol ORDER BY symbol) AS names, list(close ORDER BY symbol) AS px, list(weight ORDER BY symbol) AS w, row_number() OVER (PARTITION BY strategy_id ORDER BY date) AS turn
+ FROM grid JOIN members USING (strategy_id, symbol) WHERE (strategy_id, date) IN (SELECT (strategy_id, min(date)) FROM grid GROUP BY strategy_id, date_trunc('quarter', date)) GROUP BY 1, 2),
+ fold AS (SELECT strategy_id, date, 0::BIGINT AS turn, n, names, px, {_EACH('0.0::DOUBLE')} AS before, {_EACH('0.0::DOUBLE')} AS after, 1e6::DOUBLE AS cash FROM rebalances WHERE turn = 1
+ UNION ALL SELECT strategy_id, date, turn, n, names, px, held, {_EACH('CASE WHEN goal[i] < held[i] THEN goal[i] ELSE held[i] + (goal[i] - held[i]) * part END')}, greatest(have - asked * part, 0)
+ FROM (SELECT *, CASE WHEN asked > 0 THEN least(1, have / asked) ELSE 1 END AS part
+ FROM (SELECT *, old + {_SUM('greatest(held[i] - goal[i], 0) * px[i]')} * (1 - {_SELL}) AS have, {_SUM('greatest(goal[i] - held[i], 0) * px[i]')} * (1 + {_BUY}) AS asked
+ FROM (SELECT *, {_EACH('(old + total) * w[i] / px[i]')} AS goal FROM (SELECT *, {_SUM('held[i] * px[i]')} AS total FROM (SELECT r.*, f.cash AS old, f.after AS held FROM fold f JOIN rebalances r ON r.strategy_id = f.strategy_id AND r.turn = f.turn + 1)))))),
+ folded AS MATERIALIZED (SELECT strategy_id, date, cash, cash + {_SUM('after[i] * px[i]')} AS equity, unnest(names) AS symbol, unnest(px) AS price, unnest(before) AS before, unnest(after) AS after FROM fold WHERE turn > 0),
+ trades AS (SELECT strategy_id, date, symbol, CASE WHEN after < before THEN 'sell' ELSE 'buy' END AS side, abs(after - before) AS shares, price, abs(after - before) * price AS value FROM folded WHERE after <> before)"""
+query(
+    "bt_portfolio",
+    f"""WITH RECURSIVE {FOLD}, spans AS (SELECT *, lead(date) OVER (PARTITION BY strategy_id ORDER BY date) AS until FROM (SELECT DISTINCT strategy_id, date, cash FROM folded)),
+ marked AS (SELECT g.strategy_id, g.date, sum(f.after * g.close) + max(f.cash) AS equity FROM grid g JOIN spans s ON s.strategy_id = g.strategy_id AND g.date >= s.date AND (s.until IS NULL OR g.date < s.until)
+ JOIN folded f ON f.strategy_id = s.strategy_id AND f.date = s.date AND f.symbol = g.symbol GROUP BY 1, 2) """
+    + select("strategy_id, date", "coalesce(equity, 1e6) AS equity", "FROM (SELECT DISTINCT strategy_id, date FROM grid) LEFT JOIN marked USING (strategy_id, date)"),
+)(lambda s, d: pf.equity_curve(grid(s, d), folded(s, d)))
+query("bt_trades", f"WITH RECURSIVE {FOLD} " + select("strategy_id, date, symbol, side", f"shares; price; value AS trade_value; value * CASE side WHEN 'sell' THEN {_SELL} ELSE {_BUY} END AS cost", "FROM trades"))(lambda s, d: pf.trades(folded(s, d)))
+query("bt_holdings", f"WITH RECURSIVE {FOLD} " + select("strategy_id, date, symbol", "after AS shares; after * price / equity AS weight; cash; cash / equity AS cash_weight; equity", "FROM folded"))(lambda s, d: pf.holdings(folded(s, d)))
+query("bt_turnover", f"WITH RECURSIVE {FOLD} " + select("strategy_id", "sum(value) / 1e6 AS turnover", "FROM trades GROUP BY 1"))(lambda s, d: pf.turnover(folded(s, d)))
 
 # Construction: every quarter is a portfolio of candidates scored by their month's return
 
-LIMITS = pf.Constraints(max_holdings=8, min_score=40.0, max_position_weight=0.2, min_position_weight=0.05, max_industry_weight=0.45, cash_weight_min=0.05, cash_weight_max=0.4)
+LIMITS = pf.Constraints(max_holdings=8, min_holdings=6, min_score=40.0, max_position_weight=0.2, min_position_weight=0.05, max_industry_weight=0.45, cash_weight_min=0.05, cash_weight_max=0.4)
 #: Caps that never bind, for which the allocation is proportional to the scores.
 LOOSE = pf.Constraints(max_holdings=8, min_score=40.0, max_position_weight=1.0, max_industry_weight=1.0, cash_weight_min=0.05, cash_weight_max=0.4)
 
@@ -189,7 +208,7 @@ CANDIDATES = f"""{BARS}, {MEMBERS}, c0 AS (SELECT strftime(date_trunc('quarter',
  k0 AS (SELECT *, row_number() OVER (PARTITION BY portfolio, symbol ORDER BY score DESC, ordinal) > 1 AS copy FROM candidates),
  k1 AS (SELECT *, NOT copy AND score >= 40 AS fit FROM k0),
  k2 AS (SELECT *, CASE WHEN fit THEN CAST(row_number() OVER (PARTITION BY portfolio ORDER BY fit DESC, score DESC, ordinal) AS INTEGER) END AS rank FROM k1),
- ranked AS MATERIALIZED (SELECT portfolio, symbol, score, industry, ordinal, rank, CASE WHEN copy THEN 'duplicate symbol with lower score' WHEN score < 40 THEN 'score below minimum' WHEN rank > 8 THEN 'outside max_holdings' END AS reason FROM k2)"""
+ ranked AS MATERIALIZED (SELECT portfolio, symbol, score, industry, ordinal, rank, CASE WHEN copy THEN 'duplicate symbol with lower score' WHEN score < 40 THEN 'score below threshold 40.00' WHEN rank > 8 THEN 'outside top 8 by composite_score' END AS reason FROM k2)"""
 query("rank_candidates", f"WITH {CANDIDATES} " + select("portfolio, symbol, industry, ordinal, rank, reason, reason IS NULL AS selected", "score", "FROM ranked"))(lambda s, d: pf.rank_candidates(candidates(s, d), LIMITS))
 
 
@@ -201,8 +220,40 @@ def budgeted(spark, sf_dir, limits=LIMITS):
 
 _BUDGET = "greatest(1 - 0.4::DOUBLE, least(1 - 0.05::DOUBLE, greatest(0, least(1, 0.5::DOUBLE + CAST(substr(portfolio, 6, 2) AS INTEGER) / 20.0::DOUBLE))))"
 query("equity_budget", f"WITH {CANDIDATES} " + select("portfolio", f"{_BUDGET} AS equity_budget", "FROM (SELECT DISTINCT portfolio FROM ranked)"))(lambda s, d: budgeted(s, d).select("portfolio", "equity_budget").distinct())
-query("allocate_weights", f"WITH {CANDIDATES} " + select("portfolio, symbol", f"{_BUDGET} * greatest(score, 1e-9) / sum(greatest(score, 1e-9)) OVER (PARTITION BY portfolio) AS weight", "FROM ranked WHERE reason IS NULL"))(lambda s, d: pf.allocate(budgeted(s, d, LOOSE), LOOSE))
-query("portfolio_build")(lambda s, d: pf.build(budgeted(s, d), LIMITS).select("portfolio", "symbol", "ordinal", "score", "selected", "reason", "target_weight", "invested_weight", "cash_weight"))
+
+
+def poured(source: str, budget: str) -> str:
+    """CTEs ``pour`` (one row a turn of the allocation under LIMITS) and ``built`` from ranked candidates."""
+    got = "list_transform(list_filter(range(1, n + 1), lambda j: ind[j] = ind[i + 1]), lambda j: got[j])"
+    return f"""picked AS MATERIALIZED (SELECT portfolio, count(*) AS n, list(symbol ORDER BY rank) AS names, list(industry ORDER BY rank) AS ind, list(greatest(score, 1e-9) ORDER BY rank) AS share, any_value({budget}) AS budget FROM {source} WHERE reason IS NULL GROUP BY 1),
+ pour AS (SELECT portfolio, 0::BIGINT AS i, n, names, ind, share, list_transform(share, lambda x: 0.0::DOUBLE) AS got, list_transform(share, lambda x: true) AS open, budget::DOUBLE AS rest, 0.0::DOUBLE AS given, list_sum(share) AS whole, false AS done, false AS stuck FROM picked
+ UNION ALL SELECT portfolio, CASE WHEN i = n THEN 0 ELSE i + 1 END, n, names, ind, share, CASE WHEN i < n THEN list_transform(got, lambda g, j: CASE WHEN j = i + 1 THEN g + part ELSE g END) ELSE got END,
+ CASE WHEN i < n AND open[i + 1] THEN list_transform(open, lambda o, j: CASE WHEN j = i + 1 THEN room - part > 1e-12 ELSE o END) ELSE open END,
+ CASE WHEN i = n THEN rest - given ELSE rest END, CASE WHEN i = n THEN 0 ELSE given + part END, CASE WHEN i = n THEN coalesce(list_sum(list_transform(list_filter(range(1, n + 1), lambda j: open[j]), lambda j: share[j])), 0) ELSE whole END,
+ i = n AND (given <= 1e-12 OR rest - given <= 1e-12 OR NOT list_contains(open, true)), i = n AND given <= 1e-12
+ FROM (SELECT *, CASE WHEN i < n AND open[i + 1] AND least(rest * share[i + 1] / whole, room) > 1e-12 THEN least(rest * share[i + 1] / whole, room) ELSE 0 END AS part
+ FROM (SELECT *, CASE WHEN i < n THEN least(0.2::DOUBLE - got[i + 1], 0.45::DOUBLE - list_sum({got})) END AS room FROM pour WHERE NOT done))),
+ given_out AS MATERIALIZED (SELECT portfolio, unnest(names) AS symbol, unnest(ind) AS industry, unnest(got) AS weight FROM pour WHERE done),
+ b0 AS (SELECT r.*, w.weight, r.reason IS NULL AS chosen, r.reason IS NULL AND coalesce(w.weight, 0) < 0.05 AS small FROM {source} r LEFT JOIN given_out w ON w.portfolio = r.portfolio AND w.symbol = r.symbol),
+ b1 AS (SELECT * EXCLUDE (reason), CASE WHEN small THEN 'weight below min_position_weight after constraints' ELSE reason END AS reason, chosen AND NOT small AS selected, CASE WHEN chosen AND NOT small THEN weight ELSE 0 END AS target_weight FROM b0),
+ built AS MATERIALIZED (SELECT *, sum(target_weight) OVER (PARTITION BY portfolio) AS invested_weight FROM b1)"""
+
+
+POURED = f"WITH RECURSIVE {CANDIDATES}, {poured('ranked', _BUDGET)} "
+query("allocate_weights", POURED + select("portfolio, symbol", "weight", "FROM given_out"))(lambda s, d: pf.allocate(budgeted(s, d), LIMITS))
+query("portfolio_build", POURED + select("portfolio, symbol, ordinal, selected, reason", "score; target_weight; invested_weight; 1 - invested_weight AS cash_weight", "FROM built"))(
+    lambda s, d: pf.build(budgeted(s, d), LIMITS).select("portfolio", "symbol", "ordinal", "score", "selected", "reason", "target_weight", "invested_weight", "cash_weight")
+)
+query(
+    "portfolio_warnings",
+    POURED
+    + """SELECT portfolio, 'selected holdings below min_holdings (' || n || ' < 6)' AS warning FROM picked WHERE n < 6
+ UNION ALL SELECT portfolio, 'remaining equity budget could not be allocated under constraints' FROM pour WHERE stuck UNION ALL SELECT portfolio, symbol || ' reached max_position_weight' FROM given_out WHERE 0.2::DOUBLE - weight <= 1e-12
+ UNION ALL SELECT portfolio, industry || ' reached max_industry_weight' FROM given_out GROUP BY portfolio, industry HAVING 0.45::DOUBLE - sum(weight) <= 1e-12 UNION ALL SELECT portfolio, 'unallocated equity budget left as cash' FROM pour WHERE done AND rest > 1e-8
+ UNION ALL SELECT portfolio, symbol || ' weight below min_position_weight; left as cash' FROM given_out WHERE weight > 0 AND weight < 0.05
+ UNION ALL SELECT DISTINCT portfolio, 'cash_weight below cash_weight_min after allocation' FROM built WHERE 1 - invested_weight < 0.05::DOUBLE - 1e-12
+ UNION ALL SELECT DISTINCT portfolio, 'cash_weight above cash_weight_max due to portfolio constraints' FROM built WHERE 1 - invested_weight > 0.4::DOUBLE + 1e-12""",
+)(lambda s, d: pf.build_warnings(budgeted(s, d), LIMITS))
 query(
     "constraints_check",
     f"""WITH {CANDIDATES}, h AS (SELECT portfolio, symbol, industry, {_BUDGET} * score / sum(score) OVER (PARTITION BY portfolio) AS weight FROM ranked WHERE reason IS NULL),

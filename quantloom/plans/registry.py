@@ -12,8 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: (bound of the absolute value, decimals kept, what keeps halves off the rounding boundary, where engines differ)
-STEPS = ((1e3, 6, 3e-10), (1e6, 4, 3e-8), (None, 2, 3e-6))
+#: (bound of the absolute value, decimals kept, what keeps halves off the rounding boundary, where engines differ); beyond, nine digits.
+STEPS = ((1e3, 6, 3e-10), (1e6, 4, 3e-8), (1e9, 2, 3e-6))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -21,10 +21,10 @@ def rounded(df: DataFrame) -> DataFrame:
 
     def one(c: str) -> Column:
         x = F.when(~F.isnan(c), F.col(c))
-        out = None
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 8)
+        out = F.round(x / unit + 3e-4) * unit
         for bound, digits, nudge in reversed(STEPS):
-            value = F.round(x + nudge, digits)
-            out = value if bound is None else F.when(F.abs(x) < bound, value).otherwise(out)
+            out = F.when(F.abs(x) < bound, F.round(x + nudge, digits)).otherwise(out)
         return out.alias(c)
 
     return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -47,6 +47,7 @@ def select(keys: str, doubles: str, tail: str) -> str:
     out = [keys] if keys else []
     for item in filter(None, (x.strip() for x in doubles.split(";"))):
         x, _, name = item.rpartition(" AS ") if " AS " in item else (item, "", item)
-        cases = " ".join(f"WHEN abs({x}) < {bound} THEN round(({x}) + {nudge}::DOUBLE, {digits})" if bound else f"ELSE round(({x}) + {nudge}::DOUBLE, {digits})" for bound, digits, nudge in STEPS)
-        out.append(f"CASE {cases} END AS {name}")
+        cases = " ".join(f"WHEN abs({x}) < {bound} THEN round(({x}) + {nudge}::DOUBLE, {digits})" for bound, digits, nudge in STEPS)
+        unit = f"pow(10.0::DOUBLE, floor(log10(abs({x}))) - 8)"
+        out.append(f"CASE {cases} WHEN ({x}) IS NOT NULL THEN round(({x}) / {unit} + 3e-4::DOUBLE) * {unit} END AS {name}")
     return f"SELECT {', '.join(out)} {tail}"

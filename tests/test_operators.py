@@ -71,7 +71,7 @@ def test_build_leaves_small_weights_as_cash(spark):
     ranked = portfolio.rank_candidates(spark.createDataFrame(rows, "portfolio string, symbol string, score double, industry string, ordinal int"), limits)
     got = {(r.symbol, r.ordinal): (r.selected, r.reason) for r in portfolio.build(portfolio.equity_budget(ranked.withColumn("multiplier", F.lit(1.0)), limits), limits).collect()}
     assert got["x", 3] == (True, None) and got["y", 2][0] is (got["y", 2][1] is None)
-    assert got["x", 1][1] == "duplicate symbol with lower score" and got["z", 4][1] == "score below minimum" and got["u", 5][1] == "outside max_holdings"
+    assert got["x", 1][1] == "duplicate symbol with lower score" and got["z", 4][1] == "score below threshold 10.00" and got["u", 5][1] == "outside top 2 by composite_score"
 
 
 def test_metrics_by_hand(spark):

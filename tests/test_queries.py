@@ -12,7 +12,7 @@ from quantloom.plans.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 SOME = (
     "ind_full", "ind_ma_app", "ml_features", "sig_technical", "sig_fundamental", "vote_weighted", "reco_rank", "signal_plugin", "holdings_valuation", "strat_sma_cross", "strat_rsi", "bt_single_trades", "bt_single_metrics", "m_all", "m_annual", "m_monthly",
-    "price_grid", "rebalance_dates", "weights_validate", "rank_candidates", "allocate_weights", "constraints_check", "fundamentals_asof", "macro_at_signal", "factor_composite_avail", "factor_coverage", "dq_prices", "dq_benchmark", "source_priority_select",
+    "price_grid", "rebalance_dates", "weights_validate", "bt_portfolio", "bt_trades", "bt_holdings", "bt_turnover", "portfolio_build", "portfolio_warnings", "rank_candidates", "allocate_weights", "constraints_check", "fundamentals_asof", "macro_at_signal", "factor_composite_avail", "factor_coverage", "dq_prices", "dq_benchmark", "source_priority_select",
     "macro_obs_reason", "macro_obs_dedupe", "valuation_availability", "return_moments", "opt_max_sharpe", "alert_all", "stream_alerts", "text_sentiment", "keywords_top", "utterance_entities", "warnings_summary", "curve_downsample", "risk_flags",
 )
 NAMES = [n for n in ORACLES if os.environ.get("ALL_QUERIES") or n in SOME]
