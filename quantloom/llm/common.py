@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows an Arrow batch carries to Python; with long documents it bounds a worker's memory.
 BATCH_ROWS = 1000
 #: Bytes of text that one vectorised step handles (a longer document is handled alone).
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 300_000
 
 U64 = np.uint64
 

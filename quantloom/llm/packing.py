@@ -22,8 +22,8 @@ from .common import SPACE, U64, Table, chunks, read, small_batches, word_hashes,
 
 WINDOW = 2048
 END_ID = 1
-#: Units whose ids a worker keeps; when there are more, the half used longest ago goes.
-MOST_UNITS = 1_000_000
+#: Units whose ids a task keeps; when there are more, the half used longest ago goes.
+MOST_UNITS = 500_000
 #: Units that the tokenizer is asked for at a time, and in one text.
 ENCODE_UNITS, TEXT_UNITS = 4_000, 500
 #: Sequence ids of a task: its partition number times this, and up.
@@ -41,8 +41,6 @@ AS_IS = np.arange(256, dtype=np.uint8)
 #: Set in the hashes of words that are taken whole, whose case may matter.
 WHOLE_SALT = U64(0x5851F42D4C957F2D)
 
-_encoders: dict[str, object] = {}
-
 
 def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, documents, kinds and hashes of the units of a chunk, i.e. of parts whose ids do not depend on what is around them.
@@ -92,7 +90,7 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class WordIds:
-    """Token ids of texts. The tokenizer is asked once for each unit that a worker meets; a table of bounded size keeps the answers.
+    """Token ids of texts. The tokenizer is asked once for each unit that a task meets; a table of bounded size keeps the answers.
 
     Units are told apart by 64-bit hashes.
     """
@@ -171,12 +169,6 @@ class WordIds:
         return out, np.bincount(doc, size, minlength=n).astype(np.int64) + 1
 
 
-def encoder(path: str) -> WordIds:
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
-
-
 class Packer:
     """Open windows by fill level; ``close`` gets the pieces of a window that is done."""
 
@@ -231,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        ids_of = encoder(tokenizer)
+        ids_of = WordIds(tokenizer)
         sequence = TaskContext.get().partitionId() * SEQUENCES_A_TASK
 
         def close(pieces: list[Piece]) -> None:
