@@ -5,11 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import average_available, center, higher, lower
-from ..functions.windows import full, guard, lag, sma, so_far
+from ..functions.windows import by, full, guard, lag, last_rows, sma
 
 #: Least observations of each component (fixed values).
 READINESS = {
@@ -64,18 +63,29 @@ def momentum(bars: DataFrame) -> DataFrame:
     return df.withColumn("momentum_score", average_available(higher(F.col("momentum_6m"), -0.2, 0.5), higher(F.col("momentum_12m"), -0.3, 0.8)))
 
 
-def low_vol(bars: DataFrame, n: int = READINESS["max_drawdown"]) -> DataFrame:
-    """Annualised deviation of n - 1 returns and the drawdown inside the last n closes, on every row.
+def low_vol(bars: DataFrame, n: int = READINESS["max_drawdown"], at: DataFrame | None = None) -> DataFrame:
+    """Annualised deviation of n - 1 returns and the drawdown inside the last n closes, on every row or on the rows ``at`` (symbol, date).
 
-    The drawdown needs a running maximum that starts with the window: a fold over the window's closes.
+    The drawdown needs a running maximum that starts with the window: a fold over the window's closes. For some rows only,
+    those meet the closes before them by blocks of n rows, so that no others are gathered.
     """
-    df = bars.withColumn("_r", F.col("close") / lag("close") - 1)
-    vol = F.when(F.count("close").over(so_far()) >= n, full(F.stddev_samp, "_r", n - 1) * F.sqrt(F.lit(252.0)))
-    frame = F.collect_list("close").over(W.partitionBy("symbol").orderBy("date").rowsBetween(-(n - 1), 0))
+    df = bars.withColumns({"_r": F.col("close") / lag("close") - 1, "_rn": F.row_number().over(by())})
+    vol = F.when(F.col("_rn") >= n, full(F.stddev_samp, "_r", n - 1) * F.sqrt(F.lit(252.0)))
+    df = df.withColumn("annualized_volatility", vol)
+    if at is None:
+        df = df.withColumn("_frame", F.collect_list("close").over(last_rows(n)))
+    else:
+        block = F.floor(F.col("_rn") / n)
+        past = df.select("symbol", block.alias("_block"), F.col("_rn").alias("_k"), F.col("close").alias("_c"))
+        df = df.join(at.select("symbol", "date").distinct(), ["symbol", "date"], "left_semi")
+        asked = df.select("symbol", F.col("_rn"), F.explode(F.array(block, block - 1)).alias("_block"))
+        met = asked.join(past, ["symbol", "_block"]).where((F.col("_k") <= F.col("_rn")) & (F.col("_k") > F.col("_rn") - n))
+        frames = met.groupBy("symbol", "_rn").agg(F.sort_array(F.collect_list(F.struct("_k", "_c"))).alias("_frame"))
+        df = df.join(frames, ["symbol", "_rn"], "left").withColumn("_frame", F.transform("_frame", lambda x: x["_c"]))
     start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("worst"))
     step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), F.least(a["worst"], x / F.greatest(a["top"], x) - 1).alias("worst"))
-    df = df.withColumns({"annualized_volatility": vol, "_frame": frame}).withColumn("max_drawdown", F.when(F.size("_frame") == n, F.aggregate("_frame", start, step, lambda a: a["worst"])))
-    return df.withColumn("low_vol_score", average_available(lower(F.col("annualized_volatility"), 0.12, 0.6), lower(F.abs("max_drawdown"), 0.08, 0.5))).drop("_r", "_frame")
+    df = df.withColumn("max_drawdown", F.when(F.size("_frame") == n, F.aggregate("_frame", start, step, lambda a: a["worst"])))
+    return df.withColumn("low_vol_score", average_available(lower(F.col("annualized_volatility"), 0.12, 0.6), lower(F.abs("max_drawdown"), 0.08, 0.5))).drop("_r", "_rn", "_frame")
 
 
 def obos(bars: DataFrame) -> DataFrame:

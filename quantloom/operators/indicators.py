@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import clip
-from ..functions.windows import change, full, guard, lag, last_rows, sma, so_far
+from ..functions.windows import change, full, guard, lag, sma, so_far
 
 EWM_COLUMNS = "ema12 double, ema26 double, macd double, macd_signal double, macd_hist double, kdj_k double, kdj_d double, kdj_j double"
 
@@ -94,8 +94,7 @@ def dmi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def cci(bars: DataFrame, n: int = 20) -> DataFrame:
     rows = bars.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("_mean", sma("_tp", n))
-    frame = F.collect_list("_tp").over(last_rows(n))
-    spread = F.aggregate(F.transform(frame, lambda x: F.abs(x - F.col("_mean"))), F.lit(0.0), lambda a, x: a + x) / n
+    spread = sum((F.abs(lag("_tp", k) - F.col("_mean")) for k in range(n)), F.lit(0.0)) / n
     return rows.withColumn("_md", spread).withColumn("cci", F.when(F.col("_mean").isNotNull(), (F.col("_tp") - F.col("_mean")) / (0.015 * guard(F.col("_md"))))).drop("_tp", "_mean", "_md")
 
 

@@ -18,7 +18,7 @@ YEAR = 252
 def returns(prices: DataFrame) -> DataFrame:
     """Changes of (universe, date, symbol, close) on dates where every symbol of the universe has a price."""
     size = prices.groupBy("universe").agg(F.count_distinct("symbol").alias("want"))
-    whole = prices.groupBy("universe", "date").agg(F.count_distinct("symbol").alias("have")).join(F.broadcast(size), "universe").where("have = want").select("universe", "date")
+    whole = prices.groupBy("universe", "date").agg(F.count_distinct("symbol").alias("have")).join(size, "universe").where("have = want").select("universe", "date")
     w = W.partitionBy("universe", "symbol").orderBy("date")
     df = prices.join(whole, ["universe", "date"]).withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
     return df.where("ret is not null").select("universe", "date", "symbol", "ret")

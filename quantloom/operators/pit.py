@@ -1,7 +1,8 @@
 """Point-in-time joins: what was public on a date, and nothing later.
 
-Signal dates are few beside the facts; each fact joins the signal dates at or after its publication, and the latest
-fact of each (key, signal date) is kept by a partial aggregate, so that no window gathers a key's history.
+Facts and signal dates go into one table, ordered by the day from which each counts, and a running maximum gives every
+signal date the latest fact: one shuffle by key, and no fact meets more than the dates of its key's window. Signal dates are
+days of a calendar, so that their number does not grow with the facts.
 """
 
 from __future__ import annotations
@@ -27,25 +28,35 @@ def eligible(df: DataFrame, cutoff: Column) -> DataFrame:
 def asof(facts: DataFrame, signals: DataFrame, by: list[str], available: str = "available_date", observed: str = "report_date") -> DataFrame:
     """Latest fact by (available, observed) of each key and signal date (column signal_date), if any is public."""
     values = [c for c in facts.columns if c not in by]
-    rows = facts.join(F.broadcast(signals), (F.col(available) <= F.col("signal_date")) & (F.col(observed) <= F.col("signal_date")))
-    latest = rows.groupBy("signal_date", *by).agg(F.max_by(F.struct(*values), F.struct(available, observed)).alias("v"))
+    known = facts.where(F.col(available).isNotNull() & F.col(observed).isNotNull())
+    rows = known.select(*by, F.greatest(available, observed).alias("_day"), F.lit(None).cast("date").alias("signal_date"), F.struct(*values).alias("_v"), F.struct(available, observed).alias("_order"))
+    asked = known.select(*by).distinct().crossJoin(signals.select("signal_date"))  # a row for each key and signal date is what is asked for
+    asked = asked.select(*by, F.col("signal_date").alias("_day"), "signal_date", F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"), F.lit(None).cast(rows.schema["_order"].dataType).alias("_order"))
+    so_far = W.partitionBy(*by).orderBy("_day").rangeBetween(W.unboundedPreceding, W.currentRow)
+    latest = rows.union(asked).withColumn("v", F.max_by("_v", "_order").over(so_far)).where(F.col("signal_date").isNotNull() & F.col("v").isNotNull())
     return latest.select("signal_date", *by, "v.*")
 
 
 def rejected_counts(facts: DataFrame, signals: DataFrame) -> DataFrame:
-    """Per symbol and signal date: facts without publication, published later, about a later period."""
-    rows = facts.crossJoin(F.broadcast(signals))
-    return rows.groupBy("symbol", "signal_date").agg(
-        F.count_if(F.col("available_date").isNull()).alias("missing_available"),
-        F.count_if(F.col("available_date") > F.col("signal_date")).alias("published_later"),
-        F.count_if(F.col("report_date") > F.col("signal_date")).alias("future_report"),
-    )
+    """Per symbol and signal date: facts without publication, published later, about a later period.
+
+    Facts are counted once a day and symbol; running sums up to each signal date are taken off the totals.
+    """
+    event = lambda day, a, r: facts.where(F.col(day).isNotNull()).select("symbol", F.col(day).alias("day"), F.lit(None).cast("date").alias("signal_date"), F.lit(a).alias("a"), F.lit(r).alias("r"), F.lit(0).alias("m"))
+    unknown = facts.where(F.col("available_date").isNull()).select("symbol", F.lit(None).cast("date"), F.lit(None).cast("date"), F.lit(0), F.lit(0), F.lit(1))
+    daily = event("available_date", 1, 0).union(event("report_date", 0, 1)).union(unknown).groupBy("symbol", "day", "signal_date").agg(*[F.sum(c).alias(c) for c in "arm"])
+    asked = facts.select("symbol").distinct().crossJoin(signals.select("signal_date"))  # as in asof
+    rows = daily.union(asked.select("symbol", F.col("signal_date").alias("day"), "signal_date", *[F.lit(0).cast("long").alias(c) for c in "arm"]))
+    every = W.partitionBy("symbol")
+    so_far = every.orderBy("day").rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.withColumns({"missing_available": F.sum("m").over(every), "published_later": F.sum("a").over(every) - F.sum("a").over(so_far), "future_report": F.sum("r").over(every) - F.sum("r").over(so_far)})
+    return out.where(F.col("signal_date").isNotNull()).select("symbol", "signal_date", "missing_available", "published_later", "future_report")
 
 
 def macro_asof(macro: DataFrame, signals: DataFrame) -> DataFrame:
     """Latest public macro row of each signal date (nulls where none is), with the rows passed over."""
     values = [c for c in macro.columns if c not in ("date", "available_date")]
-    rows = signals.crossJoin(F.broadcast(macro))
+    rows = signals.crossJoin(macro)  # months and signal dates of a calendar
     public = (F.col("available_date") <= F.col("signal_date")) & (F.col("date") <= F.col("signal_date"))
     out = rows.groupBy("signal_date").agg(
         F.max_by(F.when(public, F.struct("date", *values)), F.when(public, F.struct("available_date", "date"))).alias("v"),
@@ -56,13 +67,7 @@ def macro_asof(macro: DataFrame, signals: DataFrame) -> DataFrame:
     return out.select("signal_date", F.col("v.date").alias("macro_date"), *[F.col(f"v.{c}").alias(c) for c in values], "published_later", "missing_available", "eligible")
 
 
-def signal_date(executions: DataFrame, dates: DataFrame) -> DataFrame:
-    """The last date strictly before each execution date; null where there is none."""
-    before = dates.select("date", F.lag("date").over(W.partitionBy(F.lit(0)).orderBy("date")).alias("signal_date"))
-    return executions.join(before, "date", "left")
-
-
 def signal_date_by(executions: DataFrame, dates: DataFrame, by: str) -> DataFrame:
-    """The same within each ``by``."""
+    """The last date of a ``by`` strictly before each of its execution dates; null where there is none."""
     before = dates.select(by, "date", F.lag("date").over(W.partitionBy(by).orderBy("date")).alias("signal_date"))
     return executions.join(before, [by, "date"], "left")

@@ -93,7 +93,7 @@ def aligned_dates(bars: DataFrame, members: DataFrame) -> DataFrame:
     """Dates of each strategy on which all its symbols have a real bar."""
     size = members.groupBy("strategy_id").agg(F.count("*").alias("want"))
     have = members.select("strategy_id", "symbol").join(bars.where(F.col("close").isNotNull()).select("symbol", "date"), "symbol").groupBy("strategy_id", "date").agg(F.count_distinct("symbol").alias("have"))
-    return have.join(F.broadcast(size), "strategy_id").where("have = want").select("strategy_id", "date")
+    return have.join(size, "strategy_id").where("have = want").select("strategy_id", "date")
 
 
 def alignment(bars: DataFrame, members: DataFrame, limit: int = 5) -> DataFrame:
@@ -167,11 +167,14 @@ def macro_indicators(judged: DataFrame) -> DataFrame:
 
 
 def macro_pit(valid: DataFrame, signals: DataFrame) -> DataFrame:
-    """How many signal dates find all, some or none of the indicators public, and how many look past a record."""
+    """How many signal dates find all, some or none of the indicators public, and how many look past a record.
+
+    Both tables are of a calendar: dates, and a fixed set of indicators by month.
+    """
     all_ = valid.agg(F.count_distinct("indicator").alias("want"))
     s, o, a = F.col("signal_date"), F.col("observation_date"), F.col("available_date")
-    rows = signals.crossJoin(F.broadcast(valid)).groupBy("signal_date").agg(F.count_distinct(F.when((o <= s) & (a <= s), F.col("indicator"))).alias("have"), F.max(o > s).alias("future"), F.max((o <= s) & (a > s)).alias("unpublished"))
-    rows = rows.crossJoin(F.broadcast(all_))
+    rows = signals.crossJoin(valid).groupBy("signal_date").agg(F.count_distinct(F.when((o <= s) & (a <= s), F.col("indicator"))).alias("have"), F.max(o > s).alias("future"), F.max((o <= s) & (a > s)).alias("unpublished"))
+    rows = rows.crossJoin(all_)  # one row
     return rows.agg(F.count("*").alias("signal_dates"), F.count_if(F.col("have") == F.col("want")).alias("fully_available"), F.count_if((F.col("have") > 0) & (F.col("have") < F.col("want"))).alias("partially_available"), F.count_if(F.col("have") == 0).alias("unavailable"), F.count_if("future").alias("future_observation"), F.count_if("unpublished").alias("future_available_date"))
 
 
@@ -190,7 +193,7 @@ def valuation_reason(raw: DataFrame) -> DataFrame:
 
 def valuation_availability(records: DataFrame, requested: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Per requested symbol and as-of date: metrics at hand and missing, status and reason."""
-    asked = requested.crossJoin(F.broadcast(cutoffs))
+    asked = requested.crossJoin(cutoffs)  # a row for each pair is what is asked for
     df = asked.join(records.select("symbol", "metric", "available_date"), ["symbol", "metric"], "left")
     public = F.col("available_date") <= F.col("as_of")
     g = df.groupBy("symbol", "as_of").agg(

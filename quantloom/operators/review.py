@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,35 +90,45 @@ def downsample(curve: DataFrame, k: int, by: str = "strategy_id") -> DataFrame:
     return df.where((F.col("_n") <= k) | F.array_contains(at, F.col("_i").cast("long"))).drop("_i", "_n")
 
 
+#: Limits of the flags (fixed values): warnings and price coverage of a run; drawdown (medium, high), largest weight, cash.
+MANY_WARNINGS, LITTLE_COVERAGE = 100, 0.5
+DRAWDOWN, CONCENTRATION, MUCH_CASH = (-0.2, -0.35), 0.12, 0.3
+
+
+def _fired(df: DataFrame, name: str, rules: dict[str, tuple[Column, Column | str]], otherwise: str | None = None) -> DataFrame:
+    """(run_id, name, severity) of the rules {value: (condition, severity)} that hold in each row; ``otherwise`` with severity low if none does."""
+    pair = lambda value, severity: F.struct(F.lit(value).alias(name), severity.alias("severity"))
+    flags = F.array_compact(F.array(*[F.when(when, pair(value, F.lit(severity) if isinstance(severity, str) else severity)) for value, (when, severity) in rules.items()]))
+    if otherwise:
+        flags = F.when(F.size(flags) > 0, flags).otherwise(F.array(pair(otherwise, F.lit("low"))))
+    return df.select("run_id", F.explode(flags).alias("f")).select("run_id", "f.*")
+
+
 def risk_flags(coverage: DataFrame, min_holdings: int = 3, threshold: float = 0.8) -> DataFrame:
     """(run_id, code, severity) of runs' coverage rows with run_status, warning_count and reported_warning_count."""
     c = F.col
-    rules = [
-        ("run_not_complete", c("run_status") != "success", F.when(c("run_status") == "failed", "high").otherwise("medium")),
-        ("benchmark_not_available", c("benchmark_status") != "available", F.lit("medium")),
-        ("persisted_warnings", c("warning_count") > 0, F.when(c("warning_count") >= 100, "high").otherwise("medium")),
-        ("warning_count_mismatch", c("reported_warning_count") != c("warning_count"), F.lit("medium")),
-        ("incomplete_price_coverage", c("price_coverage_ratio") < 1, F.when(c("price_coverage_ratio") < 0.5, "high").otherwise("medium")),
-        ("macro_neutral_fallback", c("macro_observations") == 0, F.lit("medium")),
-        ("holdings_below_minimum", c("least_holdings") < min_holdings, F.lit("medium")),
-        ("insufficient_factor_coverage", c("least_factor_coverage") < threshold, F.lit("medium")),
-    ]
-    flags = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(code).alias("code"), severity.alias("severity"))) for code, when, severity in rules]))
-    return coverage.select("run_id", F.explode(flags).alias("f")).select("run_id", "f.*")
+    high_if = lambda x: F.when(x, "high").otherwise("medium")
+    return _fired(coverage, "code", {
+        "run_not_complete": (c("run_status") != "success", high_if(c("run_status") == "failed")),
+        "benchmark_not_available": (c("benchmark_status") != "available", "medium"),
+        "persisted_warnings": (c("warning_count") > 0, high_if(c("warning_count") >= MANY_WARNINGS)),
+        "warning_count_mismatch": (c("reported_warning_count") != c("warning_count"), "medium"),
+        "incomplete_price_coverage": (c("price_coverage_ratio") < 1, high_if(c("price_coverage_ratio") < LITTLE_COVERAGE)),
+        "macro_neutral_fallback": (c("macro_observations") == 0, "medium"),
+        "holdings_below_minimum": (c("least_holdings") < min_holdings, "medium"),
+        "insufficient_factor_coverage": (c("least_factor_coverage") < threshold, "medium"),
+    })
 
 
 def metric_flags(metrics: DataFrame) -> DataFrame:
     """(run_id, category, severity) by drawdown, largest weight, cash and warnings of a run; general if none fires."""
     d, t = F.col("max_drawdown"), F.col("top_weight")
-    cases = [
-        (d.isNotNull(), "drawdown", F.when(d <= -0.35, "high").when(d <= -0.2, "medium").otherwise("low")),
-        (t.isNotNull(), "concentration", F.when(t >= 0.12, "medium").otherwise("low")),
-        (F.col("cash_weight") >= 0.3, "cash_weight", F.lit("medium")),
-        (F.col("warning_count") > 0, "pipeline_warnings", F.lit("medium")),
-    ]
-    flags = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("category"), severity.alias("severity"))) for when, name, severity in cases]))
-    general = F.array(F.struct(F.lit("general_review").alias("category"), F.lit("low").alias("severity")))
-    return metrics.select("run_id", F.explode(F.when(F.size(flags) > 0, flags).otherwise(general)).alias("f")).select("run_id", "f.*")
+    return _fired(metrics, "category", {
+        "drawdown": (d.isNotNull(), F.when(d <= DRAWDOWN[1], "high").when(d <= DRAWDOWN[0], "medium").otherwise("low")),
+        "concentration": (t.isNotNull(), F.when(t >= CONCENTRATION, "medium").otherwise("low")),
+        "cash_weight": (F.col("cash_weight") >= MUCH_CASH, "medium"),
+        "pipeline_warnings": (F.col("warning_count") > 0, "medium"),
+    }, "general_review")
 
 
 def consistency(weights: DataFrame, selected: DataFrame, curve: DataFrame) -> DataFrame:

@@ -16,17 +16,30 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
 
 
+def pairs(text: Column) -> Column:
+    """Distinct characters and pairs of neighbours of a text."""
+    n = F.length(text)
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.array_distinct(F.concat(F.transform(at, lambda i: F.substr(text, i, F.lit(1))), F.transform(at, lambda i: F.substr(text, i, F.lit(2)))))
+
+
+def holding(rows: DataFrame, words: DataFrame, word: str) -> DataFrame:
+    """rows (with a column text) joined with the words that occur in the text: an equi-join on a word's first two characters, then a check."""
+    keyed = rows.withColumn("_key", F.explode(pairs(F.col("text"))))
+    return keyed.join(words.withColumn("_key", F.substring(word, 1, 2)), "_key").where(F.contains("text", word)).drop("_key")
+
+
 def sentiment(posts: DataFrame, lexicon: DataFrame, key: str = "post_id") -> DataFrame:
     """positive, negative, score and label of each post, by a lexicon (word, polarity 1 or -1).
 
-    Words without CJK characters match tokens, by a join with the lexicon, which is small by its nature; in texts with
-    CJK characters its CJK words match as substrings.
+    Words without CJK characters match tokens, by a join with the lexicon; in texts with CJK characters its CJK words match as
+    substrings.
     """
     cjk_words = lexicon.where(F.col("word").rlike(CJK))
     rows = posts.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    latin = rows.select(key, F.explode(tokens(F.col("text"))).alias("word")).join(F.broadcast(lexicon.where(~F.col("word").rlike(CJK))), "word").groupBy(key).agg(F.count_if(F.col("polarity") > 0).alias("p"), F.count_if(F.col("polarity") < 0).alias("n"))
+    latin = rows.select(key, F.explode(tokens(F.col("text"))).alias("word")).join(lexicon.where(~F.col("word").rlike(CJK)), "word").groupBy(key).agg(F.count_if(F.col("polarity") > 0).alias("p"), F.count_if(F.col("polarity") < 0).alias("n"))
     times = (F.length("text") - F.length(F.replace("text", "word", F.lit("")))) / F.length("word")
-    cjk = rows.where(F.col("text").rlike(CJK)).join(F.broadcast(cjk_words)).where(F.contains("text", "word")).groupBy(key).agg(F.sum(F.when(F.col("polarity") > 0, times).otherwise(0)).cast("long").alias("p"), F.sum(F.when(F.col("polarity") < 0, times).otherwise(0)).cast("long").alias("n"))
+    cjk = holding(rows.where(F.col("text").rlike(CJK)), cjk_words, "word").groupBy(key).agg(F.sum(F.when(F.col("polarity") > 0, times).otherwise(0)).cast("long").alias("p"), F.sum(F.when(F.col("polarity") < 0, times).otherwise(0)).cast("long").alias("n"))
     both = latin.unionByName(cjk).groupBy(key).agg(F.sum("p").alias("positive"), F.sum("n").alias("negative"))
     df = rows.select(key).join(both, key, "left").fillna(0, ["positive", "negative"])
     return labelled(df.withColumn("score", F.when(F.col("positive") + F.col("negative") > 0, F.col("positive") / (F.col("positive") + F.col("negative"))).otherwise(0.5)))
@@ -59,7 +72,7 @@ def keywords(posts: DataFrame, stop_words: DataFrame, n: int = 10, by: str = "pl
     """
     cjk = F.regexp_extract_all("text", F.lit(f"{CJK}{{2,4}}"), F.lit(0))
     words = F.posexplode(F.concat(F.filter(tokens(F.col("text")), lambda t: F.length(t) > 1), cjk)).alias("pos", "word")
-    df = posts.select(by, "seq", words).join(F.broadcast(stop_words), "word", "left_anti")
+    df = posts.select(by, "seq", words).join(stop_words, "word", "left_anti")
     counted = df.groupBy(by, "word").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
     rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "first"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= n).select(by, "word", "n", "rank")
@@ -104,7 +117,7 @@ def entities(messages: DataFrame, names: DataFrame) -> DataFrame:
     """Symbols (by code, and by name from a small table (name, symbol)), strategy, capital, target return, holdings."""
     text = F.coalesce("text", F.lit(""))
     df = messages.withColumn("_codes", symbols(text))
-    named = messages.select("message_id", text.alias("text")).join(F.broadcast(names)).where(F.contains("text", "name")).groupBy("message_id").agg(F.array_sort(F.collect_set("symbol")).alias("_named"))
+    named = holding(messages.select("message_id", text.alias("text")), names, "name").groupBy("message_id").agg(F.array_sort(F.collect_set("symbol")).alias("_named"))
     df = df.join(named, "message_id", "left")
     strategy = F.when(text.rlike("(?i)买入持有|買入持有|buy.?hold|持有策略|长期持有|長期持有"), "buy_hold").when(text.rlike("(?i)均线交叉|均線交叉|sma.?cross|moving.average|双均线|雙均線"), "sma_cross").when(text.rlike("(?i)rsi|相对强弱|相對強弱"), "rsi").otherwise("buy_hold")
     money = r"(?:本金|资金|資金|capital|initial)\s*(?:为|為|是|:)?\s*([0-9]+(?:\.[0-9]+)?)\s*(万|萬|w)?"

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import factors as fa
 from ..operators import macro as mc
 from ..operators import pit
+from ..operators import portfolio as pf
 from ..sources.normalize import normalize_fundamentals
 from .adapters import BARS, MACRO, MEMBERS, RAW_FUNDAMENTALS, SIGNAL_DATES, bars, macro, raw_fundamentals, signal_dates, strategy_members
 from .indicator_plans import full, lag
+from .portfolio_plans import LIMITS, poured
 from .registry import query, select
 
 AVERAGE = lambda *p: f"CASE WHEN {' + '.join(f'({x} IS NOT NULL)::INTEGER' for x in p)} > 0 THEN ({' + '.join(f'coalesce({x}, 0)' for x in p)}) / ({' + '.join(f'({x} IS NOT NULL)::INTEGER' for x in p)}) ELSE 50 END"
@@ -127,11 +129,6 @@ for _name, _c in (("score_higher", "higher"), ("score_lower", "lower"), ("score_
 query("average_available", _COMP + select("symbol, report_date", f"{AVERAGE('higher', 'flat')} AS mean", "FROM x"))(lambda s, d: components(s, d).select("symbol", "report_date", "mean"))
 
 
-def prices(spark, sf_dir):
-    """Price factors of every row."""
-    return bars(spark, sf_dir).transform(fa.momentum).transform(fa.low_vol).transform(fa.obos)
-
-
 _PAST = lambda n: f"CASE WHEN {lag('close', n)} > 0 THEN {lag('close', 21)} / {lag('close', n)} - 1 END"
 _GUARD = lambda x: f"(CASE WHEN {x} = 0 THEN 1e-10 ELSE {x} END)"
 PRICES = f"""p0 AS MATERIALIZED (SELECT *, {_PAST(147)} AS momentum_6m, {_PAST(273)} AS momentum_12m, close - {lag('close')} AS step, close / {lag('close')} - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, {lag('close', 20)} AS base FROM bars),
@@ -149,16 +146,20 @@ query("factor_momentum", f"WITH {BARS}, {SIGNAL_DATES}, {ROWS}, {PRICES} " + sel
 query("factor_obos", f"WITH {BARS}, {SIGNAL_DATES}, {ROWS}, {PRICES} " + select("symbol, date", "rsi; bollinger_position; short_term_return; volume_ratio_60; obos_score", "FROM px"))(lambda s, d: fa.obos(bars(s, d)).select("symbol", "date", "rsi", "bollinger_position", "short_term_return", "volume_ratio_60", "obos_score"))
 
 
+def last_rows(spark, sf_dir, b):
+    """(signal_date, symbol, date): a symbol's last row at or before each signal date."""
+    return pit.asof(b.select("symbol", "date"), signals(spark, sf_dir), ["symbol"], "date", "date")
+
+
 def asof_prices(spark, sf_dir, step):
-    """A price factor on the last row at or before each signal date."""
+    """Price factors on the last row at or before each signal date; ``step`` takes the bars and those rows."""
     b = bars(spark, sf_dir)
-    # One pass by date: the last row of a symbol up to each signal date.
-    last = b.join(F.broadcast(signals(spark, sf_dir)), F.col("date") <= F.col("signal_date")).groupBy("signal_date", "symbol").agg(F.max("date").alias("date"))
-    return last.join(step(b), ["symbol", "date"])
+    last = last_rows(spark, sf_dir, b)
+    return last.join(step(b, last), ["symbol", "date"])
 
 
 query("factor_low_vol", f"WITH {BARS}, {SIGNAL_DATES}, {ROWS}, {PRICES} " + select("signal_date, symbol", "annualized_volatility; max_drawdown; low_vol_score", "FROM asof_rows JOIN px USING (symbol, date)"))(
-    lambda s, d: asof_prices(s, d, fa.low_vol).select("signal_date", "symbol", "annualized_volatility", "max_drawdown", "low_vol_score")
+    lambda s, d: asof_prices(s, d, lambda b, at: fa.low_vol(b, at=at)).select("signal_date", "symbol", "annualized_volatility", "max_drawdown", "low_vol_score")
 )
 query(
     "factor_readiness",
@@ -170,7 +171,7 @@ query(
 def all_factors(spark, sf_dir):
     """Fundamental and price factors of every symbol with prices at each signal date."""
     f = fundamental_factors(spark, sf_dir)
-    step = lambda b: b.transform(fa.momentum).transform(fa.low_vol).transform(fa.obos)
+    step = lambda b, at: fa.low_vol(b.transform(fa.momentum).transform(fa.obos), at=at)
     df = asof_prices(spark, sf_dir, step).join(f.drop("available_date", "source", "fetched_at", "point_in_time"), ["signal_date", "symbol"], "left")
     return fa.composite(fa.availability(df), only_available=True)
 
@@ -203,28 +204,35 @@ query("universe_fixed", f"WITH {BARS} SELECT DISTINCT symbol, false AS point_in_
 
 def snapshot(spark, sf_dir):
     """One row per signal date and symbol: scores, availability, the macro regime, target weight or rejection."""
-    from ..operators import portfolio as pf
-    from .portfolio_plans import LIMITS
-
     scored = all_factors(spark, sf_dir).join(strategy_members(bars(spark, sf_dir)).select("symbol", "industry"), "symbol")
     ranked = pf.rank_candidates(scored.where(F.col("composite_score").isNotNull()).select(F.col("signal_date").cast("string").alias("portfolio"), "symbol", F.round("composite_score", 6).alias("score"), "industry", F.regexp_extract("symbol", "[0-9]+", 0).cast("int").alias("ordinal")), LIMITS)
     regime = mc.at_signals(pit.macro_asof(macro(spark, sf_dir), signals(spark, sf_dir))).select(F.col("signal_date").cast("string").alias("portfolio"), "regime", "multiplier")
-    return pf.build(pf.equity_budget(ranked.join(F.broadcast(regime), "portfolio"), LIMITS), LIMITS)
+    return pf.build(pf.equity_budget(ranked.join(regime, "portfolio"), LIMITS), LIMITS)
 
 
-query("factor_snapshot")(lambda s, d: snapshot(s, d).select("portfolio", "symbol", "score", "rank", "selected", "reason", "target_weight", "cash_weight", "regime", "multiplier"))
+SNAPSHOT = f"""{ALLF}, {MACRO}, {MEMBERS}, {MASOF.replace(BARS + ", ", "").replace(MACRO + ", ", "").replace(SIGNAL_DATES + ", ", "")}, {mscores('masof')},
+ n0 AS (SELECT CAST(signal_date AS VARCHAR) AS portfolio, symbol, round(composite_score, 6) AS score, industry, CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER) AS ordinal FROM af JOIN members USING (symbol) WHERE composite_score IS NOT NULL),
+ n1 AS (SELECT *, CASE WHEN score >= 40 THEN CAST(row_number() OVER (PARTITION BY portfolio ORDER BY score >= 40 DESC, score DESC, ordinal) AS INTEGER) END AS rank FROM n0),
+ n2 AS MATERIALIZED (SELECT n1.*, regime, CASE WHEN macro_date IS NULL THEN 1.0 ELSE multiplier END AS multiplier, CASE WHEN score < 40 THEN 'score below threshold 40.00' WHEN rank > 8 THEN 'outside top 8 by composite_score' END AS reason FROM n1 JOIN mm ON CAST(mm.signal_date AS VARCHAR) = portfolio),
+ {poured('n2', 'greatest(1 - 0.4::DOUBLE, least(1 - 0.05::DOUBLE, greatest(0, least(1, multiplier))))')}"""
+query("factor_snapshot", f"WITH RECURSIVE {SNAPSHOT} " + select("portfolio, symbol, rank, selected, reason, regime", "score; target_weight; 1 - invested_weight AS cash_weight; multiplier", "FROM built"))(
+    lambda s, d: snapshot(s, d).select("portfolio", "symbol", "score", "rank", "selected", "reason", "target_weight", "cash_weight", "regime", "multiplier")
+)
 
 
 def weight_schedule(spark, sf_dir):
     """Weights by execution date: each signal date's portfolio is traded on the next bar date."""
-    dates = bars(spark, sf_dir).select("date").distinct()
-    from pyspark.sql import Window as W
+    days = bars(spark, sf_dir).select("date").distinct()
+    after = signals(spark, sf_dir).join(days, F.col("date") > F.col("signal_date")).groupBy("signal_date").agg(F.min("date").alias("execution_date"))  # days of a calendar
+    rows = snapshot(spark, sf_dir).where("target_weight > 0").join(after.select(F.col("signal_date").cast("string").alias("portfolio"), "execution_date"), "portfolio")
+    return rows.select("execution_date", "portfolio", "symbol", "target_weight")
 
-    nxt = dates.select(F.col("date").cast("string").alias("portfolio"), F.lead("date").over(W.partitionBy(F.lit(0)).orderBy("date")).alias("execution_date"))
-    return snapshot(spark, sf_dir).where("target_weight > 0").join(nxt, "portfolio").where(F.col("execution_date").isNotNull()).select("execution_date", "portfolio", "symbol", "target_weight")
 
-
-query("weight_schedule")(weight_schedule)
+query(
+    "weight_schedule",
+    f"WITH RECURSIVE {SNAPSHOT}, after AS (SELECT CAST(s.date AS VARCHAR) AS portfolio, min(b.date) AS execution_date FROM signal_dates s JOIN (SELECT DISTINCT date FROM bars) b ON b.date > s.date GROUP BY 1) "
+    + select("execution_date, portfolio, symbol", "target_weight", "FROM built JOIN after USING (portfolio) WHERE target_weight > 0"),
+)(weight_schedule)
 query(
     "signal_date",
     f"WITH {BARS}, {MEMBERS}, t AS (SELECT DISTINCT strategy_id, date FROM bars JOIN members USING (symbol)) SELECT strategy_id, date, lag(date) OVER (PARTITION BY strategy_id ORDER BY date) AS signal_date FROM t",

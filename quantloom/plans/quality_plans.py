@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as q
 from ..sources import normalize as no
 from .adapters import BARS, MACRO, MEMBERS, SIGNAL_DATES, WEEKLY, bars, macro, signal_dates, strategy_members, table, weekly
+from .portfolio_plans import GRID, schedule
 from .registry import query, select
 
 K = "CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER)"
@@ -77,7 +78,7 @@ query("dq_price_state", f"WITH {FLAWED} SELECT symbol, count(*) FILTER (close IS
 
 def orders(spark, sf_dir):
     b = flawed(spark, sf_dir)
-    return b.select("symbol").distinct().crossJoin(F.broadcast(signal_dates(spark, sf_dir)))
+    return b.select("symbol").distinct().crossJoin(signal_dates(spark, sf_dir))
 
 
 query("dq_tradability", f"WITH {FLAWED}, {SIGNAL_DATES} SELECT s.symbol, d.date, CASE WHEN f.symbol IS NULL THEN 'no_bar' WHEN volume IS NULL THEN 'volume_missing' WHEN volume <= 0 THEN 'zero_volume' END AS reason FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN signal_dates d LEFT JOIN flawed f ON f.symbol = s.symbol AND f.date = d.date")(
@@ -237,17 +238,21 @@ query("price_frame_prepare", f"WITH {BARS} " + select("symbol, date", "close", f
 
 
 def bench_cover(spark, sf_dir):
-    k = brand()
-    return q.benchmark_coverage(bars(spark, sf_dir).select("symbol").distinct().where(k <= 6), bars(spark, sf_dir).where((k != 2) & (k != 5)))
+    """Every brand is asked for; brands with a number of 2 modulo 5 have no metrics."""
+    b = bars(spark, sf_dir).select("symbol").distinct()
+    return q.benchmark_coverage(b, b.where(brand() % 5 != 2))
 
 
-query("benchmark_coverage", "SELECT 'partial' AS status, 'Brand#1,Brand#3,Brand#4,Brand#6' AS available, 'Brand#2,Brand#5' AS unavailable")(bench_cover)
+query(
+    "benchmark_coverage",
+    f"""WITH b AS (SELECT DISTINCT p_brand AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT symbol, {K} % 5 <> 2 AS has FROM b)
+ SELECT CASE WHEN count(*) FILTER (has) = 0 THEN 'unavailable' WHEN count(*) FILTER (has) < count(*) THEN 'partial' ELSE 'available' END AS status, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (has), '') AS available,
+ coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (NOT has), '') AS unavailable FROM c""",
+)(bench_cover)
 
 
 def run_tables(spark, sf_dir):
     """Coverage of five runs, one a strategy: run 1 lacks prices, 2 fundamentals, 3 a benchmark, 4 everything."""
-    from .portfolio_plans import schedule
-
     m = strategy_members(bars(spark, sf_dir)).withColumnRenamed("strategy_id", "run_id")
     k = brand()
     prices = m.where((F.col("run_id") != 4) & ~((F.col("run_id") == 1) & (k % 5 == 0)))
@@ -255,12 +260,18 @@ def run_tables(spark, sf_dir):
     holdings = schedule(spark, sf_dir).withColumnRenamed("strategy_id", "run_id").where("run_id <> 4")
     runs = m.select("run_id").distinct()
     benchmark = runs.withColumn("status", F.when(F.col("run_id") == 3, "partial").otherwise("available"))
-    macro_rows = runs.where("run_id <> 3").crossJoin(F.broadcast(macro(spark, sf_dir).select("date")))
+    macro_rows = runs.where("run_id <> 3").crossJoin(macro(spark, sf_dir).select("date"))
     factor = runs.withColumn("coverage_ratio", 0.71 + F.col("run_id") / 10)
     return q.run_coverage(m, prices, fundamentals, holdings, benchmark, macro_rows, factor)
 
 
-query("run_coverage_summary")(run_tables)
-query("run_status", "SELECT * FROM (VALUES (0, 'partial_success', 'insufficient_factor_coverage'), (1, 'partial_success', 'candidate_prices_unavailable'), (2, 'success', ''), (3, 'partial_success', 'benchmarks_unavailable,macro_neutral'), (4, 'failed', 'no_price_or_rebalance_coverage')) t(run_id, status, reasons)")(
-    lambda s, d: q.run_status(run_tables(s, d), 3)
-)
+COVERAGE = f"""{MACRO}, {GRID}, c0 AS (SELECT strategy_id AS run_id, symbol, strategy_id <> 4 AND NOT (strategy_id = 1 AND {K} % 5 = 0) AS has FROM members),
+ c1 AS (SELECT *, has AND NOT (run_id = 2 AND {K} % 5 < 2) AS funded FROM c0), c2 AS (SELECT strategy_id AS run_id, date FROM (SELECT strategy_id, min(date) AS date FROM grid WHERE strategy_id <> 4 GROUP BY strategy_id, date_trunc('quarter', date))),
+ c3 AS (SELECT run_id, count(*) AS rebalances, min(n) AS least FROM (SELECT run_id, date, count(*) AS n FROM c2 JOIN members ON strategy_id = run_id WHERE weight > 0 GROUP BY 1, 2) GROUP BY 1),
+ cover AS MATERIALIZED (SELECT c1.run_id, count(*) AS requested, count(*) FILTER (has) AS successful_prices, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (NOT has), '') AS failed_prices, count(*) FILTER (has) / count(*) AS price_coverage_ratio,
+ coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (has AND NOT funded), '') AS failed_fundamentals, coalesce(any_value(rebalances), 0) AS rebalance_count, any_value(least) AS least_holdings, CASE WHEN c1.run_id = 3 THEN 'partial' ELSE 'available' END AS benchmark_status,
+ CASE WHEN c1.run_id = 3 THEN 0 ELSE (SELECT count(*) FROM macro) END AS macro_observations, 0.71::DOUBLE + c1.run_id / 10 AS least_factor_coverage FROM c1 LEFT JOIN c3 USING (run_id) GROUP BY c1.run_id),
+ runs AS MATERIALIZED (SELECT *, CASE WHEN successful_prices = 0 OR rebalance_count = 0 THEN 'failed' WHEN reasons <> '' THEN 'partial_success' ELSE 'success' END AS status FROM (SELECT *, concat_ws(',', CASE WHEN failed_prices <> '' THEN 'candidate_prices_unavailable' END,
+ CASE WHEN benchmark_status <> 'available' THEN 'benchmarks_unavailable' END, CASE WHEN macro_observations = 0 THEN 'macro_neutral' END, CASE WHEN least_holdings < 3 THEN 'below_min_holdings' END, CASE WHEN least_factor_coverage < 0.8 THEN 'insufficient_factor_coverage' END) AS reasons FROM cover))"""
+query("run_coverage_summary", f"WITH {COVERAGE} " + select("run_id, requested, successful_prices, failed_prices, failed_fundamentals, rebalance_count, least_holdings, benchmark_status, macro_observations", "price_coverage_ratio; least_factor_coverage", "FROM cover"))(run_tables)
+query("run_status", f"WITH {COVERAGE} SELECT run_id, status, CASE WHEN status = 'failed' THEN 'no_price_or_rebalance_coverage' ELSE reasons END AS reasons FROM runs")(lambda s, d: q.run_status(run_tables(s, d), 3))

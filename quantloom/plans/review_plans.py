@@ -9,11 +9,12 @@ from ..operators import ml
 from ..operators import optimize as op
 from ..operators import review as rv
 from ..operators import text as tx
+from ..operators.portfolio import trades
 from ..streaming import market as sm
 from .adapters import BARS, MEMBERS, WEEKLY, bars, equity, strategy_members, table, weekly
 from .indicator_plans import IND, lag
-from .portfolio_plans import EQUITY, GRID, SID, folded, grid, schedule
-from .quality_plans import run_tables
+from .portfolio_plans import _BUY, _SELL, EQUITY, FOLD, GRID, SID, folded, grid, schedule
+from .quality_plans import COVERAGE, run_tables
 from .registry import query, select
 
 # Mean-variance: a universe is a strategy's five brands
@@ -97,7 +98,7 @@ def rules(spark, sf_dir):
     spec = [("price", "above", None), ("price", "below", None), ("pct", "up", 5.0), ("pct", "down", 5.0), ("pct", "any", 1.0), ("volume", "above", 1.2), ("macd", "any", 0.0), ("macd", "golden", 0.0)]
     table_ = spark.createDataFrame([(i, *x) for i, x in enumerate(spec)], "i int, kind string, direction string, threshold double")
     k = F.regexp_extract("symbol", "[0-9]+", 0).cast("int")
-    return b.crossJoin(F.broadcast(table_)).select((k * 10 + F.col("i")).alias("rule_id"), "symbol", "kind", "direction", F.coalesce("threshold", "mean").alias("threshold"), ((k + F.col("i")) % 6 != 0).alias("active"))
+    return b.crossJoin(table_).select((k * 10 + F.col("i")).alias("rule_id"), "symbol", "kind", "direction", F.coalesce("threshold", "mean").alias("threshold"), ((k + F.col("i")) % 6 != 0).alias("active"))
 
 
 ALERTS = f"""{IND}, l0 AS (SELECT *, {lag('close')} AS prior, {lag('macd')} AS m1, {lag('macd_signal')} AS s1, avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING) AS mean19, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM ind),
@@ -236,7 +237,9 @@ query(
 query("factor_evidence", f"WITH {HELD} " + select("run_id, count(*) AS rows, count(DISTINCT symbol) AS symbols, max(date) AS latest, count(*) FILTER (weight > 0.18) AS selected", "min(weight * 100) AS least; max(weight * 100) AS most", "FROM held GROUP BY run_id"))(
     lambda s, d: rv.factor_evidence(held(s, d).select("run_id", "symbol", "date", (F.col("weight") > 0.18).alias("selected"), (F.col("weight") * 100).alias("score")))
 )
-query("trade_evidence")(lambda s, d: rv.trade_evidence(folded(s, d).where("kind = 'trade'").select(F.col("strategy_id").alias("run_id"), "side", F.col("value").alias("trade_value"), "cost", "date")))
+query("trade_evidence", f"WITH RECURSIVE {FOLD} " + select("strategy_id AS run_id, count(*) AS trades, count(*) FILTER (side = 'buy') AS buys, count(*) FILTER (side = 'sell') AS sells, max(date) AS latest", f"sum(value) AS value; sum(value * CASE side WHEN 'sell' THEN {_SELL} ELSE {_BUY} END) AS cost", "FROM trades GROUP BY 1"))(
+    lambda s, d: rv.trade_evidence(trades(folded(s, d)).withColumnRenamed("strategy_id", "run_id"))
+)
 query("holdings_long", f"WITH {HELD} " + select("run_id, date, symbol", "weight", "FROM held"))(
     lambda s, d: rv.holdings_long(held(s, d).groupBy("run_id", "date").pivot("symbol", [f"Brand#{i}" for i in range(1, 26)]).agg(F.max("weight")), ("run_id", "date"))
 )
@@ -258,8 +261,11 @@ def flagged(spark, sf_dir):
 
 query(
     "risk_flags",
-    "SELECT * FROM (VALUES (0, 'run_not_complete', 'medium'), (0, 'insufficient_factor_coverage', 'medium'), (1, 'run_not_complete', 'medium'), (1, 'persisted_warnings', 'medium'), (1, 'incomplete_price_coverage', 'medium'), (2, 'persisted_warnings', 'medium'), (2, 'warning_count_mismatch', 'medium'), (3, 'run_not_complete', 'medium'), (3, 'benchmark_not_available', 'medium'), "
-    "(3, 'persisted_warnings', 'high'), (3, 'macro_neutral_fallback', 'medium'), (4, 'run_not_complete', 'high'), (4, 'persisted_warnings', 'high'), (4, 'incomplete_price_coverage', 'high')) t(run_id, code, severity)",
+    f"""WITH {COVERAGE}, w AS (SELECT *, run_id * 40 AS n, CASE WHEN run_id = 2 THEN 1 ELSE run_id * 40 END AS reported FROM runs)
+ SELECT run_id, 'run_not_complete' AS code, CASE WHEN status = 'failed' THEN 'high' ELSE 'medium' END AS severity FROM w WHERE status <> 'success' UNION ALL SELECT run_id, 'benchmark_not_available', 'medium' FROM w WHERE benchmark_status <> 'available'
+ UNION ALL SELECT run_id, 'persisted_warnings', CASE WHEN n >= 100 THEN 'high' ELSE 'medium' END FROM w WHERE n > 0 UNION ALL SELECT run_id, 'warning_count_mismatch', 'medium' FROM w WHERE n <> reported
+ UNION ALL SELECT run_id, 'incomplete_price_coverage', CASE WHEN price_coverage_ratio < 0.5 THEN 'high' ELSE 'medium' END FROM w WHERE price_coverage_ratio < 1 UNION ALL SELECT run_id, 'macro_neutral_fallback', 'medium' FROM w WHERE macro_observations = 0
+ UNION ALL SELECT run_id, 'holdings_below_minimum', 'medium' FROM w WHERE least_holdings < 3 UNION ALL SELECT run_id, 'insufficient_factor_coverage', 'medium' FROM w WHERE least_factor_coverage < 0.8""",
 )(lambda s, d: rv.risk_flags(flagged(s, d)))
 
 

@@ -142,7 +142,7 @@ def select_source(quality: DataFrame, priority: DataFrame, data: DataFrame) -> t
 
     quality: (symbol, source, reason); priority: (source, priority); data: (symbol, source, ...).
     """
-    attempts = quality.join(F.broadcast(priority), "source")
+    attempts = quality.join(priority, "source")
     w = W.partitionBy("symbol").orderBy("priority")
     ranked = attempts.withColumn("chosen", F.when(F.col("reason") == "success", F.row_number().over(W.partitionBy("symbol", F.col("reason") == "success").orderBy("priority")) == 1).otherwise(False)).withColumn("attempt", F.row_number().over(w))
     return data.join(ranked.where("chosen").select("symbol", "source"), ["symbol", "source"], "left_semi"), ranked
