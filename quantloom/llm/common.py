@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ BATCH_ROWS = 1000
 CHUNK_BYTES = 300_000
 
 U64 = np.uint64
+_local: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,18 +34,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one is set only where the session names none (tests)."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``; where that is unset the warehouse, and on a local master a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(where)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
+    if not where and spark.sparkContext.master.startswith("local["):
+        if _local[:1] != [spark.sparkContext.applicationId]:
+            _local[:] = [spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-")]
+        where = _local[1]
+    return where or f"{spark.conf.get('spark.sql.warehouse.dir')}/written"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -4,13 +4,15 @@ Vectors become integers floor(64 * x). With M the largest norm, a data vector y
 sqrt(M^2 - |y|^2) and a query q a zero, so that the largest inner products are the smallest Euclidean distances.
 Queries are grouped by their nearest pivot (a bounded sample of the data). From summaries, i.e. the k + 1 smallest
 distances to each pivot and the interval of a group's distances to every pivot, each group of queries gets a bound on
-its k-th distance; a data vector is copied only to the groups whose bound it can meet by the triangle inequality.
-Groups are solved block by block: a task holds at most QUERY_BLOCK queries and about DATA_BLOCK vectors, and the
+its k-th distance; a data vector is copied only to the groups whose bound it can meet by the triangle inequality. Groups
+whose bounds let nearly the same vectors through (judged on a bounded sample) are solved as one, so that a vector is not
+copied to both. Groups are solved block by block: a task holds at most QUERY_BLOCK queries and about DATA_BLOCK vectors, and the
 blocks' best k are merged for each query. Bounds carry a margin for rounding; scores are exact integers.
 
-Null ids, null vectors and vectors that hold null or non-finite components take no part; components beyond
-2 ** 20 after scaling are out of range and taken as that bound. Shorter vectors count as padded with zeros. Ties go to
-the smaller vec_id; rows that share a query's id count as its own row. Empty tables give no rows.
+Null ids, null vectors and vectors that hold null or non-finite components take no part. Components are 64-bit integers
+and scores are ranked exactly whatever their size; a component or score beyond 64 bits is returned as the bound of that
+type. Shorter vectors count as padded with zeros. Ties go to the smaller vec_id; rows that share a query's id count as its own
+row, and repeated rows count each. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,29 +32,33 @@ from .common import read, small_batches, stash
 TOP_K = 20
 QUERY_STEP = 20
 SCALE = 64
-LIMIT = 1 << 20
 MAX_PIVOTS = 64
-QUERY_BLOCK = 512
-DATA_BLOCK = 16384
+QUERY_BLOCK = 2048
+DATA_BLOCK = 8192
+#: Vectors that groups are compared on, and what joint groups may cost more in comparisons.
+SAMPLE, WORSE = 2000, 1.1
+INT64 = np.iinfo(np.int64)
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of long), norm2 of the vectors that take part."""
+    """vec_id, v (array of long), norm2 (double), most (the largest magnitude) of the vectors that take part."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
-    whole = F.transform(x, lambda c: F.greatest(F.least(F.floor(c.cast("double") * SCALE), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
+    whole = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c.cast("long") * c.cast("long")))
+    sums = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+    return rows.withColumns({"norm2": sums, "most": F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c.cast("double"))))})
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int, kind: type = np.float64) -> np.ndarray:
+    """Rows padded with zeros to ``dim`` components."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy().astype(np.float64)
+    values = column.flatten().to_numpy().astype(kind)
     if len(values) == len(column) * dim:
         return values.reshape(-1, dim)
-    out = np.zeros((len(column), dim))
+    out = np.zeros((len(column), dim), kind)
     out[np.arange(dim) < lengths[:, None]] = values
     return out
 
@@ -66,6 +72,57 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0))
 
 
+def joint_groups(kept: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The number of the joint group of each group, from (vector, group) marks on a sample and the groups' queries.
+
+    Two groups become one where that costs hardly more comparisons; it always saves copies. ``most``: queries of a joint group.
+    """
+    marks, n, label = [kept[:, g] for g in range(kept.shape[1])], sizes.astype(float).tolist(), np.arange(kept.shape[1])
+    alive = list(range(len(marks)))
+    while True:
+        best = None
+        for i, g in enumerate(alive):
+            for h in alive[i + 1 :]:
+                if n[g] + n[h] <= most:
+                    both = int((marks[g] | marks[h]).sum())
+                    apart = marks[g].sum() * n[g] + marks[h].sum() * n[h]
+                    if both * (n[g] + n[h]) <= WORSE * apart:
+                        saved = marks[g].sum() + marks[h].sum() - both
+                        if best is None or saved > best[0]:
+                            best = saved, g, h
+        if best is None:
+            return np.searchsorted(np.array(alive), label)
+        _, g, h = best
+        marks[g], n[g] = marks[g] | marks[h], n[g] + n[h]
+        alive.remove(h)
+        label[label == h] = g
+
+
+def scores(x: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of integer rows; ``most`` bounds them. Doubles, 64-bit integers or Python's, whichever is large enough."""
+    if most < 2**52:
+        return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    if most < 2**62:
+        return x @ y.T
+    return x.astype(object) @ y.astype(object).T
+
+
+def best_rows(score: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's k best columns that are not its ``own`` row; ties to the first. Fewer if there are not so many."""
+    if score.dtype == object:
+        order = np.array([sorted(range(len(r)), key=lambda j: (o[j], -r[j], j)) for r, o in zip(score, own, strict=True)])[:, :k]
+        out = np.zeros(score.shape, bool)
+        np.put_along_axis(out, order, True, axis=1)
+        return out & ~own
+    score = np.where(own, INT64.min, score)
+    if score.shape[1] <= k:
+        return ~own
+    kth = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+    out = score > kth
+    ties = score == kth
+    return (out | ties & (np.cumsum(ties, axis=1) <= k - out.sum(axis=1, keepdims=True))) & ~own
+
+
 def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP_K, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best other rows."""
     spark = vectors.sparkSession
@@ -73,13 +130,16 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP_K, data_blo
     data = stash(quantized(vectors), "vectors")
     queries = data.where(is_query)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n, dim, top = data.agg(F.count("*"), F.max(F.size("v")), F.max("norm2")).first()
+    n, dim, top, most = data.agg(F.count("*"), F.max(F.size("v")), F.max("norm2"), F.max("most")).first()
     n_queries = queries.count()
     if not n or not n_queries:
         return empty
+    kind = "array<int>" if most < 2**31 - 1 else "array<long>"
+    data, queries = (t.select("vec_id", F.col("v").cast(kind).alias("v")) for t in (data, queries))
     n_pivots = max(4, min(MAX_PIVOTS, int(math.sqrt(n_queries) / 3)))
-    sample = data.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).toArrow()
-    pivots = np.unique(_lift(_matrix(sample.column("v"), dim), top), axis=0)
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, n_pivots)).toArrow()
+    sampled = _lift(_matrix(sample.column("v"), dim), top)
+    pivots = np.unique(sampled[:n_pivots], axis=0)
     shared = spark.sparkContext.broadcast(pivots)
     margin = 1e-6 * (1 + math.sqrt(top))
     blocks = max(1, -(-n // data_block))
@@ -107,58 +167,69 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP_K, data_blo
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(bound), flat], ["query_id", "q", "cell", "bound", "d"])
 
-    grouped = stash(queries.select("vec_id", "v").mapInArrow(group, "query_id long, q array<int>, cell int, bound double, d array<double>"), "queries")
+    grouped = stash(queries.mapInArrow(group, f"query_id long, q {kind}, cell int, bound double, d array<double>"), "queries")
     ends = [f(F.col("d")[j]).alias(f"{name}{j}") for j in range(len(pivots)) for f, name in ((F.min, "lo"), (F.max, "hi"))]
-    cells = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("bound").alias("bound"), *ends).toPandas()  # a row a pivot
+    cells = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("bound").alias("bound"), *ends).orderBy("cell").toPandas()  # a row a pivot
     low = cells[[f"lo{j}" for j in range(len(pivots))]].to_numpy()
     high = cells[[f"hi{j}" for j in range(len(pivots))]].to_numpy()
     bounds = cells["bound"].to_numpy() + margin
-    ids = cells["cell"].to_numpy()
-    parts = {int(c): max(1, -(-int(m) // query_block)) for c, m in zip(ids, cells["n"], strict=True)}
-    subs = np.array([parts[int(c)] for c in ids])
+    ids, sizes = cells["cell"].to_numpy(), cells["n"].to_numpy()
+
+    def reached(v: np.ndarray) -> np.ndarray:
+        """Marks (vector, group of queries): whether the vector can be among the k best there."""
+        d = _distances(v, shared.value)
+        return np.maximum(d[:, None, :] - high, low - d[:, None, :]).max(axis=2) <= bounds
+
+    joint = joint_groups(reached(sampled), sizes, query_block)
+    total = np.bincount(joint, sizes).astype(np.int64)
+    subs = np.maximum(1, -(-total // query_block))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each part of each group of queries that a vector can serve."""
+        """A row for each part of each joint group of queries that a vector can serve."""
         for batch in batches:
-            d = _distances(_lift(_matrix(batch.column("v"), dim), top), shared.value)
-            far = np.maximum(d[:, None, :] - high, low - d[:, None, :]).max(axis=2)
-            row, col = np.nonzero(far <= bounds)
+            near = reached(_lift(_matrix(batch.column("v"), dim), top))
+            marks = np.zeros((len(near), len(total)), bool)
+            for g, j in enumerate(joint):
+                marks[:, j] |= near[:, g]
+            row, col = np.nonzero(marks)
             times = subs[col]
             sub = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             row, col = np.repeat(row, times), np.repeat(col, times)
             at = pa.array(row)
             block = np.asarray(batch.column("block"))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col].astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(block), batch.column("vec_id").take(at), batch.column("v").take(at)], ["cell", "sub", "block", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(col.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(block), batch.column("vec_id").take(at), batch.column("v").take(at)], ["part", "sub", "block", "vec_id", "v"])
 
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    candidates = data.select("vec_id", "v", block).mapInArrow(replicate, "cell int, sub int, block int, vec_id long, v array<int>")
-    n_parts = F.create_map(*[F.lit(x) for c, m in parts.items() for x in (c, m)])
-    sub = F.pmod(F.xxhash64("query_id"), n_parts[F.col("cell")]).cast("int").alias("sub")
-    asked = grouped.select("cell", sub, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "q")
+    candidates = data.select("vec_id", "v", block).mapInArrow(replicate, f"part int, sub int, block int, vec_id long, v {kind}")
+    part_of = F.create_map(*[F.lit(int(x)) for c, j in zip(ids, joint, strict=True) for x in (c, j)])
+    subs_of = F.create_map(*[F.lit(int(x)) for j, m in enumerate(subs) for x in (j, m)])
+    asked = grouped.withColumn("part", part_of[F.col("cell")]).withColumn("sub", F.pmod(F.xxhash64("query_id"), subs_of[F.col("part")]).cast("int"))
+    asked = asked.select("part", "sub", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "q")
 
     def solve(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         c = c.sort_values("vec_id")
         own = c["vec_id"].to_numpy()
-        y = _matrix(pa.array(c["v"]), dim)
-        x = _matrix(pa.array(q["q"]), dim)
+        y, x = _matrix(pa.array(c["v"]), dim, np.int64), _matrix(pa.array(q["q"]), dim, np.int64)
         asks, out = q["query_id"].to_numpy(), []
-        exact_float = float(np.abs(y).max(initial=0)) * float(np.abs(x).max(initial=0)) * dim < 2**52
+        limit = float(np.abs(y.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * dim
         for i in range(0, len(x), 128):
-            score = (x[i : i + 128] @ y.T).astype(np.int64) if exact_float else x[i : i + 128].astype(np.int64) @ y.T.astype(np.int64)
-            key = score * len(own) + np.arange(len(own))[::-1]
-            key[asks[i : i + 128, None] == own] = np.iinfo(np.int64).min
-            best = np.argpartition(key, len(own) - k, axis=1)[:, -k:] if len(own) > k else np.tile(np.arange(len(own)), (len(key), 1))
-            r = np.repeat(np.arange(len(best)), best.shape[1])
-            b = best.ravel()
-            real = key[r, b] > np.iinfo(np.int64).min
-            out.append(pd.DataFrame({"query_id": asks[i + r[real]], "vec_id": own[b[real]], "score": score[r[real], b[real]]}))
+            score = scores(x[i : i + 128], y, limit)
+            r, b = np.nonzero(best_rows(score, asks[i : i + 128, None] == own, k))
+            found = score[r, b]
+            if found.dtype == object:
+                # The exact value goes along as text, for ranking; what 64 bits cannot hold is cut only in the result.
+                out.append(pd.DataFrame({"query_id": asks[i + r], "vec_id": own[b], "score": [min(max(int(s), INT64.min), INT64.max) for s in found], "exact": [str(s) for s in found]}))
+            else:
+                out.append(pd.DataFrame({"query_id": asks[i + r], "vec_id": own[b], "score": found, "exact": None}))
         return pd.concat(out)
 
-    keys = ["cell", "sub", "block"]
-    partial = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    keys = ["part", "sub", "block"]
+    partial = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long, exact string")
+    # Scores beyond 64 bits are few digits apart at worst: 38 digits hold products of 64-bit components.
+    order = [F.desc(F.coalesce(F.expr("try_cast(exact AS decimal(38, 0))"), F.col("score").cast("decimal(38, 0)"))) if most * most * dim >= 2**62 else F.desc("score"), F.col("vec_id")]
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("int")
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -275,6 +275,24 @@ def test_exact_topk(spark):
     assert len(got) == 15
 
 
+def test_exact_topk_has_no_bounds(spark):
+    """Large components keep their exact scores and order, and groups that share their vectors are solved together."""
+    rows = [(0, [1.0, 0.0]), (1, [20000.0, 0.0]), (2, [30000.0, 1.0]), (3, [-3e9, 2.0]), (4, [3e9, 2.0]), (5, [3e9, 2.0]), (20, [4e9, 1e9]), (6, [1e-3, -5e15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [math.floor(64 * c) for c in x] for i, x in rows}
+    got = collections.defaultdict(list)
+    for r in exact_topk.exact_top_k(df, F.col("vec_id") % 20 == 0, 6, data_block=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (0, 20):
+        exact = {i: sum(a * b for a, b in zip(v[q], x, strict=True)) for i, x in v.items() if i != q}
+        order = sorted(exact, key=lambda i: (-exact[i], i))[:6]
+        assert got[q] == [(i, min(max(exact[i], -(2**63)), 2**63 - 1)) for i in order]
+    whole = np.ones((10, 6), bool)
+    assert exact_topk.joint_groups(whole, np.full(6, 100), 300).tolist() == [0, 0, 0, 1, 1, 1]
+    apart = np.repeat(np.eye(2, dtype=bool), 5, axis=0)
+    assert exact_topk.joint_groups(apart, np.full(2, 100), 300).tolist() == [0, 1]
+
+
 def test_language_id(spark, docs, empty):
     got = by_id(language_id.identify(docs, language_id.profiles(docs)))
     assert {got[i].lang_pred for i in (0, 1, 2, 7)} == {"und"} and all(0 <= r.score <= 1 for r in got.values())
