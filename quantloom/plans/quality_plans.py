@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as q
 from ..sources import normalize as no
+from ..sources.shared import new_folder
 from .adapters import BARS, MACRO, MEMBERS, SIGNAL_DATES, WEEKLY, bars, macro, signal_dates, strategy_members, table, weekly
 from .portfolio_plans import GRID, schedule
 from .registry import query, select
@@ -237,6 +238,52 @@ query("price_frame_prepare", f"WITH {BARS} " + select("symbol, date", "close", f
 )
 
 
+# Tables written and read back
+
+
+def macro_file(spark, sf_dir):
+    """The macro table as CSV, with a comment line in each file, scanned."""
+    path = new_folder(spark, "macro")
+    fields = ["date", "available_date", *no.MACRO_FIELDS, "source"]
+    m = macro(spark, sf_dir).withColumn("source", F.lit("orders"))
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
+    text = m.select(F.explode(F.array(F.lit("# a comment"), line)).alias("value"))
+    text.write.text(path)
+    return no.scan_macro_csv(spark, path, header=False)
+
+
+query("macro_csv_scan", f"WITH {MACRO} " + select("date, available_date, 'orders' AS source", "; ".join(no.MACRO_FIELDS), "FROM macro"))(macro_file)
+
+
+def stored(spark, sf_dir):
+    path = new_folder(spark, "bars")
+    no.write_bars(bars(spark, sf_dir), path, "qfq", 16)
+    return path
+
+
+_BARS = "open; high; low; close; volume; amount"
+query("bars_sink", f"WITH {BARS} " + select("symbol, date", _BARS, "FROM bars"))(lambda s, d: no.scan_bars(s, stored(s, d), "qfq", buckets=16))
+query("bars_scan", f"WITH {BARS} " + select("symbol, date", _BARS, "FROM bars WHERE symbol IN ('Brand#4', 'Brand#17')"))(lambda s, d: no.scan_bars(s, stored(s, d), "qfq", ["Brand#4", "Brand#17"], 16))
+
+
+def stored_runs(spark, sf_dir):
+    """Two runs of two tables each, read back; a run that is there is refused."""
+    path, b = new_folder(spark, "runs"), bars(spark, sf_dir).select("symbol", "date", "close")
+    for run in ("r1", "r2"):
+        no.write_run({"bars": b, "last": b.groupBy("symbol").agg(F.max("date").alias("date"))}, path, run)
+    try:
+        no.write_run({"bars": b}, path, "r2")
+    except FileExistsError:
+        refused = True
+    else:
+        refused = False
+    rows = spark.read.parquet(f"{path}/bars").groupBy("run_id", "symbol").agg(F.count("*").alias("n"), F.sum("close").alias("total"))
+    return rows.join(spark.read.parquet(f"{path}/last"), ["run_id", "symbol"]).withColumn("refused", F.lit(refused))
+
+
+query("run_tables_sink", f"WITH {BARS} " + select("run_id, symbol, n, date, true AS refused", "total", "FROM (SELECT symbol, count(*) AS n, sum(close) AS total, max(date) AS date FROM bars GROUP BY 1) CROSS JOIN (VALUES ('r1'), ('r2')) r(run_id)"))(stored_runs)
+
+
 def bench_cover(spark, sf_dir):
     """Every brand is asked for; brands with a number of 2 modulo 5 have no metrics."""
     b = bars(spark, sf_dir).select("symbol").distinct()

@@ -10,12 +10,13 @@ from ..operators import optimize as op
 from ..operators import review as rv
 from ..operators import text as tx
 from ..operators.portfolio import trades
+from ..sources.shared import new_folder
 from ..streaming import market as sm
 from .adapters import BARS, MEMBERS, WEEKLY, bars, equity, strategy_members, table, weekly
 from .indicator_plans import IND, lag
 from .portfolio_plans import _BUY, _SELL, EQUITY, FOLD, GRID, SID, folded, grid, schedule
 from .quality_plans import COVERAGE, run_tables
-from .registry import query, select
+from .registry import ORACLES, query, select
 
 # Mean-variance: a universe is a strategy's five brands
 
@@ -114,11 +115,26 @@ for _name, _kind, _f in (("alert_price", "price", al.price), ("alert_pct", "pct"
     query(_name, f"{ALERTS} " + select(*_AL, f"FROM alerts WHERE kind = '{_kind}'"))(lambda s, d, f=_f: f(rules(s, d), al.latest(bars(s, d))))
 
 
-def ticks(spark, sf_dir):
-    """Events as ticks; each comes twice."""
+def ticks(spark, sf_dir, live=False):
+    """Events as ticks, as a table or as a stream of its files."""
     e = table(spark, sf_dir, "events")
-    df = e.select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (F.col("user_id") % 50).cast("double").alias("volume"))
-    return df
+    if live:
+        e = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder
+    return e.select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (F.col("user_id") % 50).cast("double").alias("volume"))
+
+
+def live(spark, sf_dir, step, mode="append"):
+    """What a stream over the events has written when it has seen them all, with the epoch of each row."""
+    path = new_folder(spark, "stream")
+    sm.run_once(step(ticks(spark, sf_dir, live=True)), path, mode)
+    return spark.read.parquet(f"{path}/out")
+
+
+def live_bars(spark, sf_dir):
+    """A window's last update."""
+    out = live(spark, sf_dir, sm.bars, "update")
+    values = [c for c in out.columns if c not in ("symbol", "start", "epoch")]
+    return out.groupBy("symbol", "start").agg(F.max_by(F.struct(*values), "epoch").alias("v")).select("symbol", "start", "v.*")
 
 
 query("stream_bars", "SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, " + select("", "first(value ORDER BY ts, event_id) AS open; max(value) AS high; min(value) AS low; last(value ORDER BY ts, event_id) AS close; sum(user_id % 50) AS volume", "")[7:] + " FROM events GROUP BY event_type, date_trunc('hour', ts)")(
@@ -133,6 +149,23 @@ query(
     + select("symbol, ts, 'volume' AS kind", "volume / mean19 AS value", "FROM t WHERE rn > 19 AND mean19 > 0 AND volume / mean19 > 3"),
 )(lambda s, d: sm.alerts(ticks(s, d)))
 
+# The same as real streams, and the table that alerts are written to
+query("stream_bars_live", ORACLES["stream_bars"])(live_bars)
+query("stream_dedupe_live", ORACLES["stream_dedupe"])(lambda s, d: live(s, d, lambda t: sm.dedupe(t.union(t))).groupBy("symbol").agg(F.count("*").alias("n")))
+query("stream_alerts_live", ORACLES["stream_alerts"])(lambda s, d: live(s, d, sm.alerts).drop("epoch"))
+
+
+def sent_alerts(spark, sf_dir):
+    """Alerts that the sink has taken, one batch twice."""
+    path, found = new_folder(spark, "alerts"), sm.alerts(ticks(spark, sf_dir))
+    send = sm.sink(path)
+    for epoch, kind in enumerate(("pct", "volume", "pct")):
+        send(found.where(F.col("kind") == kind), epoch % 2)
+    return spark.read.parquet(path).where("sent_at is not null").select("symbol", "ts", "kind", "value")
+
+
+query("alert_sink", ORACLES["stream_alerts"])(sent_alerts)
+
 # Text: a lexicon of words that the invented documents hold
 
 LEXICON = {"thing": 1, "attion": 1, "thble": 1, "inoran": -1, "ononst": -1, "erble": -1}

@@ -94,10 +94,10 @@ def universe_fixed(spark: SparkSession, symbols: list[str]) -> DataFrame:
 MACRO_FIELDS = ("pmi", "cpi_yoy", "ppi_yoy", "m2_yoy", "social_financing_yoy", "ten_year_yield", "usd_cny", "policy_score", "external_risk_score")
 
 
-def scan_macro_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Macro rows of CSV files with # comments; what cannot be read is null."""
+def scan_macro_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Macro rows of CSV files with # comments, with or without a header line; what cannot be read is null."""
     fields = ["date", "available_date", *MACRO_FIELDS, "source"]
-    raw = spark.read.schema(T.StructType([T.StructField(f, T.StringType()) for f in fields])).option("header", True).option("comment", "#").option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(T.StructType([T.StructField(f, T.StringType()) for f in fields])).option("header", header).option("comment", "#").option("mode", "PERMISSIVE").csv(path)
     return raw.select(*[F.expr(f"try_cast(trim({c}) AS {'date' if c.endswith('date') else 'double'})").alias(c) if c != "source" else F.col(c) for c in fields])
 
 

@@ -91,3 +91,12 @@ def sink(path: str) -> Callable[[DataFrame, int], None]:
         batch.withColumn("sent_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
+    """Run a stream over all that is there: each batch becomes a partition of the table ``path``/out, written over on a retry."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
