@@ -11,11 +11,16 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 3. The contexts of an anchor are sorted by what follows the anchor and by what precedes it, in merge sorts that compare
    suffixes by their longest common extension: a binary search over hashes from prefix polynomial hashes. Neighbours in
    these orders have the longest extensions; extensions are then verified byte by byte. If what neighbours
-   share does not settle which strings repeat, hashes of the strings in doubt do.
+   share does not settle which strings repeat, hashes of the strings in doubt do, and equal ones are compared by bytes too, as
+   are contexts before one stands for others.
 4. Each document drops what repeats.
 
+An anchor with more than HOT occurrences would gather its contexts in one task. Those are dealt out by more of the text
+around the anchor, in DEALS ways of which every string of LENGTH bytes shares one, so that only contexts with more than
+LENGTH - REACH / DEALS equal bytes meet.
+
 Null texts are empty. Texts below LENGTH bytes keep all. Rows with the same doc_id are each other's copies like any
-others; what repeats in one is taken out of all of them. A row without doc_id counts as any other. Strings are judged on the input.
+others, each judged by its own text; a row without doc_id counts as any other. Ties cannot arise: strings are judged on the input.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ LENGTH = 200
 SEED = 56
 #: Contexts a task sorts together (a hot anchor's distinct contexts may be more).
 BUCKET_ROWS = 8000
+#: Occurrences beyond which an anchor's contexts are dealt out, and in how many ways.
+HOT, DEALS = 20_000, 6
 #: Contexts that a task gathers before it hands them on.
 HELD_ROWS = 40_000
 NEVER = U64(2**64 - 1)
@@ -90,14 +97,27 @@ def _cells(h: np.ndarray) -> np.ndarray:
 ROW = "anchor long, fp long, before int, context binary, doc long, start long, size int, many boolean"
 
 
-def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """A row for each occurrence of a repeated anchor with its context, as ROW.
+def dealt(pos: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray, hot: np.ndarray, hashes: PrefixHash, reach: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group) of contexts: the anchor's hash as the group, for hot anchors groups by more of the text, a row for each."""
+    rows, groups = [np.flatnonzero(~hot)], [h[~hot]]
+    at = np.flatnonzero(hot)
+    for i in range(DEALS if len(at) else 0):
+        left, right = reach * i // DEALS, reach - reach * (i + 1) // DEALS
+        own = at[(pos[at] - left >= low[at]) & (pos[at] + seed + right <= high[at])]
+        rows.append(own)
+        groups.append(mix64(hashes.of(pos[own] - left, left + seed + right) + U64(i + 1)))
+    return np.concatenate(rows), np.concatenate(groups)
+
+
+def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """A row for each occurrence of a repeated anchor with its context, as ROW; docs has (key, text).
 
     A context that a task meets twice repeats for certain: its occurrences come as rows without context (the whole
     of it goes), and one row without document stands for it, so that hot passages make few rows and no hot task.
     """
     cell = F.col("anchor").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("cell")
     sent = id_bitmap(repeated.select(cell), "cell", hashed=False)
+    warm = id_bitmap(repeated.where(F.col("n") > hot).select(cell), "cell", hashed=False)
     reach = length - seed
     names = [c.split()[0] for c in ROW.split(", ")]
 
@@ -111,6 +131,7 @@ def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: i
             order = np.lexsort((fp, anchor))
             anchor, fp, before, size, doc, start = (x[order] for x in (anchor, fp, before, size, doc, start))
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (fp[1:] != fp[:-1])])
+            new |= differs([texts[i] for i in order.tolist()], new)
             count = np.diff(np.append(np.flatnonzero(new), len(new)))
             many = np.repeat(count > 1, count)
             lead = np.flatnonzero(new & many)
@@ -123,7 +144,7 @@ def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: i
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("key").to_numpy(zero_copy_only=False)
             for i, _, buf, offsets in chunks(batch):
                 pos, h, hashes = anchors(buf, offsets, length, seed)
                 keep = in_bitmap(sent.value, _cells(h))
@@ -134,15 +155,25 @@ def contexts(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, seed: i
                 pos, h, doc, low, high = (x[keep] for x in (pos, h, doc, low, high))
                 if not len(pos):
                     continue
+                row, group = dealt(pos, low, high, h, in_bitmap(warm.value, _cells(h)), hashes, reach, seed)
+                pos, doc, low, high = (x[row] for x in (pos, doc, low, high))
                 fp = mix64(hashes.of(low, high - low) + mix64(((pos - low) << 20 | (high - low)).astype(U64)))
                 raw = buf.tobytes()
-                held.append((h, fp, pos - low, high - low, ids[doc + i], low - offsets[doc], [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+                held.append((group, fp, pos - low, high - low, ids[doc + i], low - offsets[doc], [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
                 if sum(len(x[0]) for x in held) > HELD_ROWS:
                     yield out()
         if held:
             yield out()
 
-    return docs.select(row_key().alias("doc_id"), "text").mapInArrow(task, ROW)
+    return docs.select("key", "text").mapInArrow(task, ROW)
+
+
+def differs(texts: list[bytes], new: np.ndarray) -> np.ndarray:
+    """Marks of rows that are not ``new`` but whose text is not that of the row before: hashes collided."""
+    out = np.zeros(len(new), bool)
+    for i in np.flatnonzero(~new).tolist():
+        out[i] = texts[i] != texts[i - 1]
+    return out
 
 
 class Suffixes:
@@ -211,8 +242,65 @@ class Suffixes:
             order, width = out, 2 * width
 
 
-def repeats(anchor: np.ndarray, before: np.ndarray, texts: list[bytes], many: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each context the ranges of bytes that repeated strings cover; ``many``: the context occurs twice itself.
+def inside(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the ranges start .. start + size - 1."""
+    row = np.repeat(np.arange(len(start)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+#: More than any position in a context.
+WIDE = 1 << 32
+
+
+def joined(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges a .. b - 1 of rows, overlapping and touching ones made one, in order."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    if not len(row):
+        return row, a, b
+    far = np.maximum.accumulate(row * WIDE + b)
+    new = np.concatenate([[True], row[1:] * WIDE + a[1:] > far[:-1]])
+    first = np.flatnonzero(new)
+    return row[first], a[first], far[np.append(first[1:], len(row)) - 1] - row[first] * WIDE
+
+
+def doubtful(right: Suffixes, begin: np.ndarray, before: np.ndarray, after: np.ndarray, group: np.ndarray, asked: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of strings that repeat among a group's strings with that offset; asked: (context, offset) in doubt.
+
+    Strings with equal hashes are compared by their bytes with the first of them.
+    """
+    size_of, first_of = np.bincount(group), np.searchsorted(group, np.arange(int(group.max(initial=-1)) + 1))
+    pair = np.unique(group[asked[0]] * WIDE + asked[1])
+    g, offset = pair // WIDE, pair % WIDE
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    done = 0
+    while done < len(pair):
+        stop = max(done + 1, int(np.searchsorted(np.cumsum(size_of[g[done:]]), 200_000, "right")) + done)
+        k, member = inside(first_of[g[done:stop]], size_of[g[done:stop]])
+        a = offset[done:stop][k]
+        fit = (before[member] >= a) & (after[member] >= length - a)
+        k, member, a = k[fit], member[fit], a[fit]
+        at = begin[member] + before[member] - a
+        h = right.hashes.of(at, length)
+        order = np.lexsort((h, k))
+        k, member, a, at, h = (x[order] for x in (k, member, a, at, h))
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(k) else np.zeros(0, bool)
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
+        other = np.flatnonzero(~new)
+        same = np.zeros(len(k), bool)
+        for j in range(0, len(other), 10_000):
+            o = other[j : j + 10_000]
+            step = np.arange(length)
+            equal = (right.buf[at[o][:, None] + step] == right.buf[at[lead[o]][:, None] + step]).all(axis=1)
+            same[o] = equal
+            same[lead[o[equal]]] = True
+        out.append((member[same], a[same]))
+        done = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def repeats(anchor: np.ndarray, before: np.ndarray, texts: list[bytes], many: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first byte, end) of the ranges that repeated strings cover, in order of context; ``many``: the context occurs twice itself.
 
     Contexts of one anchor stand together.
     """
@@ -224,7 +312,6 @@ def repeats(anchor: np.ndarray, before: np.ndarray, texts: list[bytes], many: np
     group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])) - 1
     right = Suffixes(buf, begin + before, after)
     left = Suffixes(buf[::-1].copy(), len(buf) - (begin + before), before)
-    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     r_most, l_most = np.zeros(n, np.int64), np.zeros(n, np.int64)
     spans = []
     for own in (right, left):
@@ -239,54 +326,43 @@ def repeats(anchor: np.ndarray, before: np.ndarray, texts: list[bytes], many: np
             spans.append((x, r, l))
     x, r, l = (np.concatenate(c) for c in zip(*spans, strict=True))  # noqa: E741
     low = np.maximum(length - r, 0)
-    ok = low <= l
-    x, low, high = x[ok], low[ok], l[ok]
+    ok = (low <= l) & ~many[x]
     # Strings that begin `a` bytes before the anchor, a from low to high, repeat.
-    order = np.lexsort((low, x))
-    doubtful: dict[int, list[int]] = {}
-    reached: dict[int, int] = {}
-    for i, a, b in zip(x[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
-        done = reached.get(i)
-        if done is None:
-            done = max(0, length - int(r_most[i])) - 1
-        if a > done + 1:
-            doubtful.setdefault(i, []).extend(range(done + 1, a))
-        if not many[i]:
-            found[i].append((a, b))
-        reached[i] = max(done, b)
+    x, low, high = joined(x[ok], low[ok], l[ok] + 1)
+    # In doubt is what lies between the longest extensions on either side but in none of these ranges.
     open_ = np.flatnonzero((length - r_most <= l_most) & ~many)
-    for i in open_.tolist():
-        done = reached.get(i, max(0, length - int(r_most[i])) - 1)
-        doubtful.setdefault(i, []).extend(range(done + 1, int(l_most[i]) + 1))
-    groups: dict[int, set[int]] = {}
-    for i, offsets in doubtful.items():
-        if offsets and not many[i]:
-            groups.setdefault(int(group[i]), set()).update(offsets)
-    for g, offsets in groups.items():
-        members = np.flatnonzero(group == g)
-        for a in sorted(offsets):
-            fit = members[(before[members] >= a) & (after[members] >= length - a)]
-            h = right.hashes.of(begin[fit] + before[fit] - a, length)
-            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-            for i in fit[count[inverse] > 1].tolist():
-                found[i].append((a, a))
-    out = []
-    for i in range(n):
-        if many[i]:
-            out.append([(0, int(size[i]))])
-        else:
-            out.append([(int(before[i]) - b, int(before[i]) - a + length) for a, b in found[i]])
-    return out
-
-
-def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, spans): the ranges of bytes of each document that repeated strings cover, unmerged."""
-    small_batches(docs.sparkSession)
-    repeated = stash(repeated_anchors(docs, length, seed), "anchors")
+    edge_row = np.concatenate([open_, x])
+    edge = np.concatenate([np.maximum(0, length - r_most[open_]), high])
+    stop_row, stop = np.concatenate([x, open_]), np.concatenate([low, l_most[open_] + 1])
+    o1, o2 = np.lexsort((edge, edge_row)), np.lexsort((stop, stop_row))
+    row, gap, end = edge_row[o1], edge[o1], stop[o2]
+    wide = end > gap
+    k, offset = inside(gap[wide], (end - gap)[wide])
+    more, a = doubtful(right, begin, before, after, group, (row[wide][k], offset), length) if len(k) else (np.zeros(0, np.int64),) * 2
+    more, a = more[~many[more]], a[~many[more]]
+    x, low, high = np.concatenate([x, more]), np.concatenate([low, a]), np.concatenate([high, a + 1])
+    whole = np.flatnonzero(many)
+    return joined(np.concatenate([x, whole]), np.concatenate([before[x] - high + 1, np.zeros(len(whole), np.int64)]), np.concatenate([before[x] - low + length, size[whole]]))
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): doc_id as the key of a row, and where several rows have it, a hash of it and the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
+    several = stash(rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        return rows
+    rows = rows.join(several, "key", "left")
+    return rows.select("doc_id", "text", F.when(F.col("several"), F.xxhash64("key", F.coalesce("text", F.lit("")))).otherwise(F.col("key")).alias("key"))
+
+
+def removed(rows: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """(own_key, spans): the ranges of bytes of each row of (key, text) that repeated strings cover, unmerged."""
+    small_batches(rows.sparkSession)
+    repeated = stash(repeated_anchors(rows, length, seed), "anchors")
     n_buckets = max(1, (repeated.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS)
     # Rows that need no comparing are dealt by document.
-    key = F.when(F.col("context").isNull(), F.xxhash64("doc", "start")).otherwise(F.xxhash64("anchor"))
-    rows = contexts(docs, repeated, length, seed).withColumn("bucket", F.pmod(key, F.lit(n_buckets)))
+    deal = F.when(F.col("context").isNull(), F.xxhash64("doc", "start")).otherwise(F.xxhash64("anchor"))
+    found = contexts(rows, repeated, length, seed, hot).withColumn("bucket", F.pmod(deal, F.lit(n_buckets)))
 
     def task(table: pa.Table) -> pa.Table:
         has_text = np.asarray(table.column("context").is_valid())
@@ -298,49 +374,51 @@ def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
             anchor, fp = table.column("anchor").to_numpy(), table.column("fp").to_numpy()
             order = np.lexsort((fp, anchor))
             table, anchor, fp = table.take(pa.array(order)), anchor[order], fp[order]
+            texts = table.column("context").to_pylist()
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (fp[1:] != fp[:-1])])
+            new |= differs(texts, new)
             first, own = np.flatnonzero(new), np.cumsum(new) - 1
             times = np.bincount(own, np.where(table.column("many").to_numpy(), 2, 1))
-            one = table.take(pa.array(first))
-            got = repeats(anchor[first], one.column("before").to_numpy().astype(np.int64), one.column("context").to_pylist(), times > 1, length)
+            before = table.column("before").to_numpy().astype(np.int64)[first]
+            row, a, b = repeats(anchor[first], before, [texts[i] for i in first.tolist()], times > 1, length)
             real = np.asarray(table.column("doc").is_valid())
-            for k, doc, start in zip(own[real].tolist(), table.column("doc").filter(pa.array(real)).to_pylist(), table.column("start").filter(pa.array(real)).to_pylist(), strict=True):
-                if got[k]:
-                    out.append((np.full(len(got[k]), doc), *(start + np.array(got[k], np.int64).T)))
+            doc, start = (table.column(c).filter(pa.array(real)).to_numpy() for c in ("doc", "start"))
+            low = np.searchsorted(row, own[real])
+            k, span = inside(low, np.searchsorted(row, own[real], "right") - low)
+            out.append((doc[k], start[k] + a[span], start[k] + b[span]))
         doc, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-        return pa.table({"doc_id": doc, "a": a, "b": b})
+        ids, row = np.unique(doc, return_inverse=True)
+        row, a, b = joined(row, a, b)
+        return pa.table({"own_key": ids[row], "a": a, "b": b})
 
-    hit = rows.groupBy("bucket").applyInArrow(task, "doc_id long, a long, b long")
-    return hit.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    hit = found.groupBy("bucket").applyInArrow(task, "own_key long, a long, b long")
+    return hit.groupBy("own_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the bytes kept."""
-    spans = removed(docs, length, seed).withColumnRenamed("doc_id", "own_id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
-    rows = ids.join(spans, F.col("key") == F.col("own_id"), "left").drop("own_id", "key")
+    keyed = with_keys(docs)
+    rows = keyed.join(removed(keyed.select("key", "text"), length, seed, hot), F.col("key") == F.col("own_key"), "left").select("doc_id", "text", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                text = text or b""
-                kept, at, gone, n_spans = [], 0, 0, 0
-                last = -1
-                for a, b in sorted((s["a"], min(s["b"], len(text))) for s in spans or ()):
-                    if a > last:
-                        kept.append(text[at:a])
-                        n_spans += 1
-                        gone += b - a
-                        at = last = b
-                    elif b > last:
-                        gone += b - last
-                        at = last = b
+            lists = batch.column("spans")
+            flat = lists.flatten()
+            count = np.asarray(lists.value_lengths().fill_null(0))
+            row, a, b = joined(np.repeat(np.arange(len(count)), count), flat.field(0).to_numpy(), flat.field(1).to_numpy())
+            n_spans, gone = np.bincount(row, minlength=len(count)), np.bincount(row, b - a, minlength=len(count)).astype(np.int64)
+            ends, n_bytes, sha, left = np.cumsum(n_spans), [], [], []
+            for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                text, at, kept = text or b"", 0, []
+                for k in range(int(ends[i] - n_spans[i]), int(ends[i])):
+                    kept.append(text[at : a[k]])
+                    at = int(b[k])
                 kept.append(text[at:])
-                left = b"".join(kept)
-                out.append((len(text), gone, n_spans, hashlib.sha256(left).hexdigest(), left if keep_text else None))
-            n_bytes, gone, n_spans, sha, left = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                kept = b"".join(kept)
+                n_bytes.append(len(text))
+                sha.append(hashlib.sha256(kept).hexdigest())
+                left.append(kept if keep_text else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(gone), pa.array(n_spans.astype(np.int64)), pa.array(sha, pa.string()), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = rows.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")

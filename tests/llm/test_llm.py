@@ -328,26 +328,56 @@ def test_pii(docs, rows, empty):
     assert pii.report(pii.find(empty, pii.train(empty))).count() == 0
 
 
-@pytest.mark.parametrize(("length", "seed"), [(200, 56), (40, 8)])
-def test_suffix_dedup(docs, rows, empty, length, seed):
-    seen = collections.Counter()
-    for _, t, *_ in rows:
+def without_repeats(texts, length):
+    """(bytes, removed, spans, kept) of each text by counting every string."""
+    seen, out = collections.Counter(), []
+    for t in texts:
         raw = (t or "").encode()
         seen.update(raw[k : k + length] for k in range(len(raw) - length + 1))
-    got = by_id(suffix_dedup.remove_repeats(docs, length, seed, keep_text=True))
-    for i, t, *_ in rows:
+    for t in texts:
         raw = (t or "").encode()
         gone = bytearray(len(raw))
         for k in range(len(raw) - length + 1):
             if seen[raw[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
-        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+        out.append((len(raw), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), kept))
+    return out
+
+
+@pytest.mark.parametrize(("length", "seed", "hot"), [(200, 56, 20_000), (40, 8, 20_000), (40, 8, 0), (60, 20, 1)])
+def test_suffix_dedup(docs, rows, empty, length, seed, hot):
+    """Also with every anchor dealt out as a hot one."""
+    got = by_id(suffix_dedup.remove_repeats(docs, length, seed, keep_text=True, hot=hot))
+    for (i, *_), want in zip(rows, without_repeats([t for _, t, *_ in rows], length), strict=True):
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(raw), sum(gone), spans, kept)
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_judges_each_row_by_its_text(spark):
+    """Rows without id, and different texts under one id, keep what repeats nowhere."""
+    r = random.Random(12)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b = say(400), say(300)
+    texts = [(None, a), (1, a), (2, say(50) + b + say(190)), (2, say(500)), (3, b), (None, None), (None, say(100)), (4, a[:199] + "!" + a[200:]), (2, say(500)), (5, ""), (5, "")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), keep_text=True).collect()
+    want = [(i, *w) for (i, _), w in zip(texts, without_repeats([t for _, t in texts], 200), strict=True)]
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=key) == sorted(((i or 0, *w) for i, *w in want), key=key)
+
+
+def test_suffix_dedup_of_random_repeats(spark):
+    """Short alphabets, where many strings are in doubt."""
+    r = random.Random(13)
+    parts = ["".join(r.choice("ab") for _ in range(r.randrange(5, 60))) for _ in range(12)]
+    texts = [(i, "".join(r.choice(parts) for _ in range(r.randrange(1, 8)))) for i in range(150)]
+    for hot in (20_000, 3):
+        got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), 50, 12, keep_text=True, hot=hot))
+        for (i, _), want in zip(texts, without_repeats([t for _, t in texts], 50), strict=True):
+            assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == want
+
+
 def test_suffix_sort():
     r = random.Random(4)
     texts = ["".join(r.choice("ab") for _ in range(r.randrange(1, 12))).encode() for _ in range(200)]
