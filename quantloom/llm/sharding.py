@@ -1,7 +1,8 @@
 """Operator 4: minimax contiguous partition of atomic groups into shards.
 
 Equal texts form one atomic group. Groups are ordered by a hash of their text and cut into consecutive shards so
-that the largest shard is as small as possible: a binary search over the capacity, each candidate checked greedily.
+that the largest shard is as small as possible: a binary search over the capacity, each candidate checked greedily. Under
+that capacity every cut is laid as near as it can be to an equal share of what is left, so that no shard starves.
 
 The driver never sees the groups. It sees totals of hash ranges (segments): an upper bound on the best capacity
 comes from segments taken as atomic, a lower bound from the mean and the largest group, and only the segments in
@@ -25,8 +26,8 @@ SHARDS = 24
 HASH_BITS = 60
 #: Each refinement splits a segment into 2 ** STEP_BITS.
 STEP_BITS = 10
-#: Row numbers are dealt per (shard, bucket): no task numbers a whole shard.
-SLOT_BUCKETS = 64
+#: Rows that are numbered together, about: no task numbers a whole shard.
+CELL_ROWS = 20_000
 
 Segment = tuple[int, int, int, int]  # first hash, width in bits, bytes, groups
 
@@ -69,6 +70,26 @@ def _segments(groups: DataFrame, ranges: list[tuple[int, int]] | None, bits: int
     return sorted((r.cell << bits, bits, int(r.bytes), int(r.n)) for r in out.collect())
 
 
+def level_cuts(prefix: list[int], capacity: int, shards: int) -> list[int]:
+    """Cuts (ends) of ``shards`` consecutive parts under a feasible capacity, each as near to an equal share of the rest as possible.
+
+    An end is late enough for the parts after it, and early enough for its own.
+    """
+    n, first = len(prefix) - 1, [len(prefix) - 1]
+    for _ in range(shards - 1):  # the earliest ends, from the back
+        first.append(bisect.bisect_left(prefix, prefix[first[-1]] - capacity))
+    cuts, at = [], 0
+    for k in range(1, shards):
+        low, high = max(at, first[shards - k]), bisect.bisect_right(prefix, prefix[at] + capacity) - 1
+        goal = prefix[at] + (prefix[n] - prefix[at]) / (shards - k + 1)
+        end = bisect.bisect_left(prefix, goal)
+        if end and goal - prefix[end - 1] <= prefix[min(end, n)] - goal:
+            end -= 1
+        at = min(max(end, low), high)
+        cuts.append(at)
+    return [*cuts, n]
+
+
 def cut_points(groups: DataFrame, shards: int) -> list[int]:
     """First hash of each shard but the first, for groups (g, bytes)."""
     bits = HASH_BITS - STEP_BITS
@@ -81,16 +102,20 @@ def cut_points(groups: DataFrame, shards: int) -> list[int]:
             prefix.append(prefix[-1] + s)
         low = max(largest, -(-prefix[-1] // shards))
         high = smallest_capacity(sizes, shards)
+        splits = lambda i: segments[i][3] > 1 and segments[i][1] > 0  # noqa: B023, E731
         # The k-th cut lies at or beyond where whole segments under the lower bound end, and within k * upper bound.
         wanted, at = set(), 0
         for k in range(1, shards):
             end = max(at, bisect.bisect_right(prefix, prefix[at] + low) - 1)
             last = min(bisect.bisect_left(prefix, k * high + 1), len(segments))
-            wanted.update(i for i in range(end, last) if segments[i][3] > 1 and segments[i][1] > 0)
+            wanted.update(i for i in range(end, last) if splits(i))
             at = end
         if not wanted:
-            cuts = greedy(prefix, high, shards)
-            return [segments[c][0] for c in cuts if c < len(segments)]
+            # The capacity is settled; segments beside the cuts may still hold a better place.
+            cuts = level_cuts(prefix, high, shards)
+            wanted = {i for c in cuts[:-1] for i in (c - 1, c) if 0 <= i < len(segments) and splits(i)}
+            if not wanted:
+                return [segments[c][0] if c < len(segments) else 1 << HASH_BITS for c in cuts[:-1]]
         by_bits: dict[int, list[tuple[int, int]]] = {}
         for i in wanted:
             by_bits.setdefault(segments[i][1], []).append(segments[i][:2])
@@ -119,11 +144,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shard = F.lit(len(giants)) + sum((F.when(F.col("g") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     for i, g in enumerate(giants):
         shard = F.when(F.col("g") == g, i).otherwise(shard)
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)))
-    # shards * SLOT_BUCKETS rows at most
+    cells = max(1, rows.count() // (shards * CELL_ROWS))
+    placed = rows.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id", "g"), F.lit(cells)))
+    # A row for each cell, i.e. for about CELL_ROWS rows.
     before = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", (F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
     slot = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32")) - 1
-    return placed.withColumn("in_cell", slot).join(F.broadcast(before), ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("in_cell")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.withColumn("in_cell", slot).join(before, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("in_cell")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,12 +246,47 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty, 4).count() == 0
 
 
-def test_smallest_capacity():
+def least_largest(sizes, k):
+    """The smallest largest part over all ways to cut, by dynamic programming."""
+    best = [0] + [math.inf] * len(sizes)
+    for _ in range(k):
+        best = [min((max(best[i], sum(sizes[i:j])) for i in range(j + 1)), default=0) for j in range(len(sizes) + 1)]
+    return best[-1]
+
+
+def test_capacity_is_the_smallest():
     r = random.Random(3)
-    for _ in range(50):
-        sizes, k = [r.randrange(1, 30) for _ in range(r.randrange(1, 9))], r.randrange(1, 4)
-        best = min(c for c in range(1, 300) if sharding.greedy([0, *np.cumsum(sizes).tolist()], c, k) is not None)
+    for _ in range(200):
+        sizes, k = [r.randrange(1, 30) for _ in range(r.randrange(1, 12))], r.randrange(1, 5)
+        best = least_largest(sizes, k)
         assert sharding.smallest_capacity(sizes, k) == best
+        prefix = [0, *np.cumsum(sizes).tolist()]
+        cuts = sharding.level_cuts(prefix, best, k)
+        assert len(cuts) == k and cuts == sorted(cuts) and cuts[-1] == len(sizes)
+        assert max(prefix[b] - prefix[a] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)) == best
+
+
+def test_shards_are_minimal_and_level(spark, monkeypatch):
+    """Cut points from hash ranges against all groups; then whole tables of documents of like size."""
+    r = random.Random(14)
+    sizes = {r.randrange(1 << 60): r.randrange(1, 400) for _ in range(900)}
+    groups = spark.createDataFrame(list(sizes.items()), "g long, bytes long")
+    order = [sizes[g] for g in sorted(sizes)]
+    for k in (2, 7):
+        points = sharding.cut_points(groups, k)
+        got = [sum(v for g, v in sizes.items() if a <= g < b) for a, b in zip([0, *points], [*points, 1 << 60], strict=True)]
+        prefix = [0, *np.cumsum(order).tolist()]
+        assert len(got) == k and max(got) == sharding.smallest_capacity(order, k) and sum(got) == prefix[-1]
+        assert max(got) - min(got) <= 2 * max(order)
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    out = sharding.op4_sharding(spark, "/root/testdata/sf0.01").collect()
+    total = collections.Counter()
+    for x in out:
+        total[x.shard] += x.size
+    assert len(total) == 24 and max(total.values()) <= 1.2 * min(total.values())  # one document is half a shard
+    for shard in range(24):
+        own = sorted(x.slot for x in out if x.shard == shard)
+        assert own == list(range(len(own)))
 
 
 def test_exact_topk(spark):
