@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch carries to Python; with long documents it bounds a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes that an Arrow batch carries to Python, and rows of a batch that a Parquet reader makes.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 1000, 4 << 20, 512
 #: Bytes of text that one vectorised step handles (a longer document is handled alone).
 CHUNK_BYTES = 300_000
 
@@ -30,7 +30,10 @@ def row_key() -> F.Column:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds on what a task holds at a time, so that long documents do not need much memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

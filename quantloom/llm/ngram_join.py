@@ -38,17 +38,19 @@ WORDS = 5
 #: Least number of bits of a signature; it has four bits or more a shingle, in powers of two.
 SIGNATURE = 256
 FANOUT = 4
-#: Documents of one group that a task holds on either side.
-BLOCK = 2000
-#: Documents, of all groups, that a task has at once.
-BUCKET_ROWS = 20_000
+#: Documents of one group, and bytes of their signatures, that a task holds on either side.
+BLOCK, BLOCK_BYTES = 2000, 1_000_000
+#: Bytes of signatures, of all groups, that a task has at once, about.
+BUCKET_BYTES = 4_000_000
 #: Leaves of a subtree that the first traversal stays in.
 NEAR_LEVEL = 2
 #: Bytes of signatures compared at a time.
-FRONTIER_BYTES = 16_000_000
+FRONTIER_BYTES = 2_000_000
 #: A shingle is frequent if it is in this share of the documents.
 HOT_SHARE = 0.005
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
+#: A group is large with more than LARGE_GROUP documents and one in LARGE_GROUPS of all meetings, so that there are at most so many.
+LARGE_GROUP, LARGE_GROUPS = 200, 10_000
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -180,8 +182,11 @@ def features(docs: DataFrame, hot: DataFrame, reps: DataFrame, repeated) -> Data
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(token, doc, size): documents that meet over a shingle of their prefixes, one shingle for each set of documents."""
+    """(token, doc, size, bytes): documents that meet over a shingle of their prefixes, one shingle for each set of documents; size
+    and bytes of signatures of the whole set."""
     own = rows.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "prefix", "cold")
+    # Bytes of a signature, as ``width`` has it.
+    weight = F.greatest(F.lit(SIGNATURE), F.pow(F.lit(2), F.length(F.bin(4 * F.col("n") - 1))).cast("long")) / 8
     cold = own.select("doc", "n", F.explode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("token"))
     w = W.partitionBy("token")
     # A set only links with sets of at most a quarter more; in order of size that means with a neighbour.
@@ -196,15 +201,19 @@ def meetings(rows: DataFrame) -> DataFrame:
     # Two sets that link share `common_needed` shingles of their prefixes, and the smaller has four fifths of the other's size.
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 20))
     enough = both.groupBy("doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("doc")
-    kept = stash(both.join(enough, "doc", "left_semi").select("token", "doc"), "kept")
-    groups = kept.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("members")).where(F.col("size") > 1)
-    one = groups.groupBy("members", "size").agg(F.min("token").alias("token")).select("token", "size")
-    return stash(kept.join(one, "token"), "meetings")
+    kept = stash(both.join(enough, "doc", "left_semi").select("token", "doc", weight.cast("long").alias("w")), "kept")
+    groups = kept.groupBy("token").agg(F.count("*").alias("size"), F.sum("w").alias("bytes"), F.bit_xor(F.xxhash64("doc")).alias("members")).where(F.col("size") > 1)
+    one = stash(groups.groupBy("members", "size").agg(F.min("token").alias("token"), F.min("bytes").alias("bytes")).select("token", "size", "bytes"), "groups")
+    # Of large groups there are few; their rows stay where they are.
+    large = F.col("size") > max(LARGE_GROUP, kept.count() // LARGE_GROUPS)
+    few, many = one.where(large), one.where(~large)
+    met = kept.select("token", "doc").join(F.broadcast(few), "token").union(kept.select("token", "doc").join(many, "token"))
+    return stash(met, "meetings")
 
 
 def _blocks(rows: DataFrame, every: bool) -> DataFrame:
     """Rows dealt to pairs of blocks of their group: (group, side); all pairs, or each block alone and with the first."""
-    k = F.ceil(F.col("size") / BLOCK)
+    k = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES))
     rows = rows.withColumn("k", k.cast("int")).withColumn("b", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     if every:
         pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
@@ -300,26 +309,31 @@ def _pairs(group: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.ndarray,
 def candidates(rows: DataFrame, every: bool) -> DataFrame:
     """(lo, hi, bound) of documents of one group that may link."""
     dealt = _blocks(rows, every)
-    total = max(1, rows.count() // BUCKET_ROWS)
-    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(total)))
+    copies = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)) if every else F.lit(1)
+    total = rows.agg(F.sum(F.octet_length("signature") * copies)).first()[0] or 0
+    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(max(1, total // BUCKET_BYTES))))
 
     def task(table: pa.Table) -> pa.Table:
         group, side, doc, n, component = (table.column(c).to_numpy() for c in ("group", "side", "doc", "n", "component"))
-        signs = table.column("signature").to_pylist()
-        bits_of = np.array([len(x) * 8 for x in signs])
+        signs = table.column("signature").combine_chunks()
+        ends = np.frombuffer(signs.buffers()[1], np.int32)[signs.offset : signs.offset + len(signs) + 1].astype(np.int64) // 8
+        cells, at_cell, bits_of = np.frombuffer(signs.buffers()[2], np.uint64), ends[:-1], np.diff(ends) * 64
         found = []
         # Sets that link differ by a quarter in size at most: those just above a width are folded into its trees too.
         for w in np.unique(bits_of).tolist():
             own = np.flatnonzero(bits_of == w)
             wider = np.flatnonzero((bits_of == 2 * w) & (16 * n <= 5 * w))
-            bits = np.frombuffer(b"".join(signs[i] for i in own), np.uint64).reshape(-1, w // 64)
-            if len(wider):
-                more = np.frombuffer(b"".join(signs[i] for i in wider), np.uint64).reshape(-1, 2, w // 64)
-                bits = np.concatenate([bits, more[:, 0] | more[:, 1]])
             at = np.concatenate([own, wider])
-            order = np.lexsort((bits[:, 0], n[at], component[at], side[at], group[at])) if every else np.lexsort((bits[:, 0], n[at], side[at], group[at]))
+            fold = np.concatenate([np.zeros(len(own), np.int64), np.full(len(wider), w // 64)])
+            head = cells[at_cell[at]] | cells[at_cell[at] + fold]
+            order = np.lexsort((head, n[at], component[at], side[at], group[at])) if every else np.lexsort((head, n[at], side[at], group[at]))
+            place = (at_cell[at][order])[:, None] + np.arange(w // 64)
+            bits = cells[place]
+            if len(wider):
+                bits |= cells[place + fold[order][:, None]]
+            del place
             at = at[order]
-            for a, b, over in _pairs(group[at], side[at], doc[at], n[at], component[at], bits[order], every):
+            for a, b, over in _pairs(group[at], side[at], doc[at], n[at], component[at], bits, every):
                 found.append((doc[at[a]], doc[at[b]], over))
         a, b, over = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         lo, hi = np.minimum(a, b), np.maximum(a, b)

@@ -64,7 +64,15 @@ def split(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", low(t))
 
 
-def test_ngram_join(docs, rows, empty):
+@pytest.mark.parametrize("block", [None, 3])
+def test_ngram_join(docs, rows, empty, block, monkeypatch):
+    """Also with groups in blocks of a few documents, and buckets of a few signatures."""
+    if block:
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 300)
+        monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 500)
+        monkeypatch.setattr(ngram_join, "LARGE_GROUP", 3)
+        monkeypatch.setattr(ngram_join, "FRONTIER_BYTES", 1)
     sets = {}
     for i, t, *_ in rows:
         w = split(t)
