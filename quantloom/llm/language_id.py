@@ -7,7 +7,7 @@ language whose profile its own best ``TOP`` n-grams are least out of place again
 is TOP places out. The score is the share of the largest possible distance that was saved.
 
 Null or empty texts, and texts without letters, are ``und`` with score 0. Ties go to the language first in order.
-Without any training row everything is ``und``. Rows are not merged: repeated rows each get their prediction.
+Without any training row everything is ``und``. Rows without doc_id do not train. Rows are not merged: repeated rows each get their prediction.
 """
 
 from __future__ import annotations
@@ -21,22 +21,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, small_batches, stash
+from .common import U64, read, small_batches, stash
 
 TOP = 400
-#: Characters are told apart modulo this, which keeps all scripts below U+0400 exact.
-ALPHABET = 1 << 10
+#: Bits of a character in an n-gram.
+BITS = 18
 UNKNOWN = "und"
 
 
 def _table() -> np.ndarray:
-    """Class of each code point below 0x30000: 0 for what is no letter, else its folded code point modulo ALPHABET."""
-    out = np.zeros(0x30000, np.uint32)
+    """Class of each code point below 0x30000: 0 for what is no letter, else its folded code point."""
+    out = np.zeros(0x30000, np.uint64)
     for cp in range(0x30000):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
-            out[cp] = ord(low[0]) % (ALPHABET - 1) + 1
+            out[cp] = ord(low[0])
     return out
 
 
@@ -54,19 +54,19 @@ def ranked(text: str) -> tuple[np.ndarray, np.ndarray]:
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = classes()
     kinds = table[np.minimum(cps, len(table) - 1)]
-    padded = np.zeros(len(kinds) + 2, np.uint32)
+    padded = np.zeros(len(kinds) + 2, np.uint64)
     padded[1:-1] = kinds
     keep = np.ones(len(padded), bool)
     keep[1:] = (padded[1:] > 0) | (padded[:-1] > 0)
     c = padded[keep]
     if len(c) < 2 or not c.any():
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if c[-1]:
-        c = np.append(c, np.uint32(0))
-    pairs = c[:-1] << np.uint32(10) | c[1:]
-    one = c[c > 0] | np.uint32(1 << 30)
-    two = pairs | np.uint32(2 << 30)
-    three = (c[:-2] << np.uint32(20) | pairs[1:])[c[1:-1] > 0]
+        c = np.append(c, U64(0))
+    pairs = c[:-1] << U64(BITS) | c[1:]
+    one = c[c > 0] | U64(1 << 3 * BITS)
+    two = pairs | U64(2 << 3 * BITS)
+    three = (c[:-2] << U64(2 * BITS) | pairs[1:])[c[1:-1] > 0]
     grams = np.concatenate([one, two, three])
     grams.sort()
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
@@ -118,11 +118,11 @@ def identify(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
     small_batches(spark)
     table = learned.toPandas()  # top rows a language
     langs = sorted(table["lang"].unique())
-    grams = np.sort(table["gram"].unique()).astype(np.uint32)
+    grams = np.sort(table["gram"].unique()).astype(np.uint64)
     ranks = np.full((len(langs), len(grams) + 1), -1, np.int32)
     for i, lang in enumerate(langs):
         own = table[table["lang"] == lang]
-        ranks[i, np.searchsorted(grams, own["gram"].to_numpy().astype(np.uint32))] = own["rank"]
+        ranks[i, np.searchsorted(grams, own["gram"].to_numpy().astype(np.uint64))] = own["rank"]
     model = spark.sparkContext.broadcast((langs, grams, ranks))
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -1,7 +1,7 @@
 """Operator 7: personal data by weak-supervision aggregation, in DataFrame functions only.
 
 Four base kinds (email, ip, card, phone) are found by pattern and checked; they always stay. More candidates come from
-wider patterns (local phone numbers, masked addresses, secrets after a trigger word, dashed id numbers). On every candidate,
+wider patterns (local phone numbers, masked addresses, secrets after a trigger word, keys by their prefix, dashed id numbers). On every candidate,
 base ones too, labelers vote yes, no or nothing: a pattern labeler on its form, a gazetteer labeler on trigger
 words before it, and context labelers on what touches it. Votes are counted by combination over all documents;
 expectation-maximisation on these counts estimates each labeler's reliability and the posterior of each combination,
@@ -47,6 +47,7 @@ KINDS = (
     Kind("local_phone", r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+] ?)(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", triggers="tel|phone|call|fax|mobil"),
     Kind("masked_email", r"(?i)[(\[]at[)\]]", rf"(?i)[{LOCAL}]{{1,64}}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{{1,63}}+){{1,8}}+", triggers="mail|contact|write"),
     Kind("secret", r"(?i)(?:token|secret|passw|key)", r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,8}+[=:][ \t]{0,8}+[\"']?([A-Za-z0-9+/_-]{16,}+)", group=1, triggers="token|secret|passw|key"),
+    Kind("key_id", "AKIA|ASIA|gh[opsu]_|xox[abps]-|sk[-_]", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,}+|xox[abps]-[A-Za-z0-9-]{10,}+|sk[-_][A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])", triggers="token|secret|key|id|aws"),
     Kind("id_number", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", triggers="ssn|social|security|id"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -66,16 +67,35 @@ def matches(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.hint), found).otherwise(F.array().cast(SPAN))
 
 
+#: Items of the short array that an aggregate appends to, before it goes into the long one.
+RUN = 256
+
+
+def _more(acc: Column, item: Column, kind: str) -> list[Column]:
+    """``item`` appended to the items of an aggregate's state, an array of arrays: appending copies RUN items, not all."""
+    full = F.size(acc["run"]) >= RUN
+    one = F.array(item).cast(kind)
+    return [F.when(full, one).otherwise(F.concat(acc["run"], one)).alias("run"), F.when(full, F.concat(acc["runs"], F.array(acc["run"]))).otherwise(acc["runs"]).alias("runs")]
+
+
+def _items(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["runs"], F.array(acc["run"])))
+
+
+def _no_items(kind: str) -> list[Column]:
+    return [F.array().cast(kind).alias("run"), F.array().cast(f"array<{kind}>").alias("runs")]
+
+
 def _positions(x: Column) -> Column:
     def step(acc: Column, i: Column) -> Column:
         gap, w, g = F.get(x["p"], i), F.get(x["w"], i), F.get(x["g"], i)
         end = acc["pos"] + F.length(gap) + F.length(w)
         span = F.struct((end - F.length(g)).alias("s"), end.alias("e"), g.alias("v"), F.right(gap, F.lit(40)).alias("pre"), F.left(F.get(x["p"], i + 1), F.lit(20)).alias("post"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"))
+        return F.struct(end.alias("pos"), *_more(acc, span, SPAN))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), *_no_items(SPAN))
     index = F.when(F.size(x["w"]) > 0, F.sequence(F.lit(0), F.size(x["w"]) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(index, start, step, lambda acc: acc["out"])
+    return F.aggregate(index, start, step, _items)
 
 
 def luhn(digits: Column) -> Column:
@@ -234,8 +254,11 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    counts = [F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(tuple(k.name for k in KINDS)).alias("spans"))
+    """The base kinds' counts and digest, all spans, and the number of all spans and of those that the method added."""
+    size = lambda k: F.size(f"spans_{k}").cast("long")
+    counts = [size(k).alias(f"n_{k}") for k in BASE]
+    total = lambda base: sum((size(k.name) for k in KINDS if k.base or not base), F.lit(0).cast("long"))
+    return found.select("doc_id", *counts, F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(tuple(k.name for k in KINDS)).alias("spans"), total(False).alias("n_spans"), (total(False) - total(True)).alias("n_added"))
 
 
 def redact(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -246,12 +269,11 @@ def redact(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         """Overlapping spans become one, under the tag of the first."""
-        apart = x["s"] >= acc["pos"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, x["s"] - acc["pos"]), x["tag"])
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
+        piece = F.when(x["s"] >= acc["pos"], F.concat(F.substring(F.col("text"), acc["pos"] + 1, x["s"] - acc["pos"]), x["tag"])).otherwise("")
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), *_more(acc, piece, "array<string>"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    rebuilt = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    start = F.struct(F.lit(0).alias("pos"), *_no_items("array<string>"))
+    rebuilt = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(_items(acc), ""), F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
     marked = found.withColumn("spans", spans)
     text = F.when(F.size("spans") > 0, rebuilt).otherwise(F.col("text"))
     n_chars = F.when(F.size("spans") > 0, F.length(rebuilt).cast("long")).otherwise(F.col("n_chars"))

@@ -8,7 +8,7 @@ logistic classifier is trained on the posteriors and scores every document from
 
 Labels are used from training rows only, at most LABELLED_ROWS of them (chosen by a hash of doc_id). Votes are counted
 over all documents. Null and empty texts score like any text without hits; without labels the model starts from
-its priors. Each row is scored by itself; several labels of one document count as 1 if any is 1.
+its priors. Rows without doc_id have no label. Each row is scored by itself; several labels of one document count as 1 if any is 1.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_WORD, U64, binary_array, chunks, read, signed, small_batches, stash, word_hashes, words
 
 #: Bound on the labelled rows that take part in training.
 LABELLED_ROWS = 40_000
+#: Combinations of features, the most frequent ones, that the classifier is fitted on; the label model sees all documents.
+FIT_ROWS = 100_000
 THRESHOLD = 0.3
 #: Posterior of rows labelled 0 and 1 (labels err), and what such a row counts.
 GOLD, GOLD_WEIGHT = (0.02, 0.97), 4.0
@@ -201,18 +203,33 @@ def posteriors(vote: np.ndarray, gold: np.ndarray, n: np.ndarray, rounds: int =
 class Model:
     weights: tuple[float, ...]
     bias: float
-    rho: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.bias, -50, 50)))
 
 
-def fit(x: np.ndarray, gold: np.ndarray, n: np.ndarray) -> Model:
-    """Label model on votes (anchored by gold labels where known), then weighted logistic regression by Newton steps."""
+def voted(seen: DataFrame) -> list[tuple[Row, float]]:
+    """((votes v, label g, rows n), posterior) of every combination of votes and label, from the label model over all documents."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(votes(x).tolist(), pa.list_(pa.int64())), batch.column("g"), batch.column("n")], ["v", "g", "n"])
+
+    # Votes are 0 and 1, of the last one -1: at most 3 * 2 ** len(VOTERS) rows, of which few occur.
+    table = seen.mapInArrow(task, "v array<long>, g int, n long").groupBy("v", "g").agg(F.sum("n").alias("n")).orderBy("v", "g").collect()
+    if not table:
+        return []
+    n = np.array([r.n * (1.0 if r.g == 0 else GOLD_WEIGHT) for r in table])
+    post, _, _ = posteriors(np.array([r.v for r in table]), np.array([r.g for r in table]), n)
+    return list(zip(table, post.tolist(), strict=True))
+
+
+def fit(x: np.ndarray, post: np.ndarray, gold: np.ndarray, n: np.ndarray) -> Model:
+    """Weighted logistic regression of the posteriors on the features by Newton steps; labelled rows count more."""
     if not len(n):
-        return Model((0.0,) * len(FEATURES), -3.0, np.zeros((len(VOTERS),) * 2))
+        return Model((0.0,) * len(FEATURES), -3.0)
     n = n * np.where(gold == 0, 1.0, GOLD_WEIGHT)
-    post, _, rho = posteriors(votes(x), gold, n)
     a = np.column_stack([x.astype(float), np.ones(len(x))])
     w = np.zeros(a.shape[1])
     w[-1] = -2.0
@@ -225,7 +242,7 @@ def fit(x: np.ndarray, gold: np.ndarray, n: np.ndarray) -> Model:
         w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return Model(tuple(w[:-1].tolist()), float(w[-1]), rho)
+    return Model(tuple(w[:-1].tolist()), float(w[-1]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,10 +252,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gold = stash(sampled_labels(labels), "gold")
     rows = stash(features(ids, learned_words(ids, gold)), "features")
-    # Rows: combinations of a few small counts.
-    seen = rows.join(F.broadcast(gold), "doc_id", "left").groupBy("x", F.coalesce(F.when(F.col("gold") > 0, 1).otherwise(F.when(F.col("gold").isNotNull(), -1)), F.lit(0)).alias("g")).agg(F.count("*").alias("n")).orderBy("x", "g").collect()
-    x = np.array([list(r.x) for r in seen], np.uint8).reshape(-1, len(FEATURES))
-    model = fit(x, np.array([r.g for r in seen], np.int64), np.array([r.n for r in seen]))
+    label = F.coalesce(F.when(F.col("gold") > 0, 1).otherwise(F.when(F.col("gold").isNotNull(), -1)), F.lit(0))
+    seen = stash(rows.join(F.broadcast(gold), "doc_id", "left").groupBy("x", label.alias("g")).agg(F.count("*").alias("n")), "seen")
+    post = {(tuple(r.v), r.g): p for r, p in voted(seen)}
+    fitted = seen.orderBy(F.desc("n"), "x", "g").limit(FIT_ROWS).collect()
+    x = np.array([list(r.x) for r in fitted], np.uint8).reshape(-1, len(FEATURES))
+    model = fit(x, np.array([post[tuple(v), r.g] for v, r in zip(votes(x).tolist(), fitted, strict=True)]), np.array([r.g for r in fitted], np.int64), np.array([r.n for r in fitted]))
     z = sum((F.conv(F.hex(F.substring("x", k + 1, 1)), 16, 10).cast("double") * w for k, w in enumerate(model.weights)), F.lit(model.bias))
     return rows.withColumn("score", 1 / (1 + F.exp(-z))).select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
