@@ -508,6 +508,116 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.contamination(docs, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize(("n", "k", "least"), [(12, 3, 1.0), (14, 3, 1.0), (16, 4, 0.98), (20, 3, 1.0), (24, 4, 0.97), (40, 8, 0.8)])
+def test_decontamination_recall(spark, n, k, least):
+    """Items with k of n words substituted, held against a check of every alignment; rows without id are found too."""
+    r = random.Random(n * 100 + k)
+    items = [[f"w{r.randrange(10**7)}" for _ in range(n)] for _ in range(60)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        other = list(item)
+        for j in r.sample(range(n), k):
+            other[j] = "other"
+        same = [x == y for x, y in zip(item, other, strict=True)]
+        size = min(16, n)
+        if max(sum(same[j : j + size]) for j in range(n - size + 1)) >= math.ceil(0.75 * size):
+            want.add(i)
+        docs.append((i, "before it " + " ".join(other) + " after it"))
+    docs += [(None, " ".join(items[0])), (None, "nothing here to see at all in any way whatever it may be")]
+    bench = spark.createDataFrame(list(enumerate(map(" ".join, items))), "item_id long, text string")
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    found = {x.doc_id for x in got if x.contaminated and x.doc_id is not None}
+    assert found <= want and len(found) >= least * len(want)
+    assert sorted(x.contaminated for x in got if x.doc_id is None) == [False, True]
+
+
+def test_language_distances(docs, rows):
+    """Predictions against profiles and out-of-place distances computed with dictionaries."""
+    def grams(text):
+        word = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+        word = " " + " ".join(word.split()) + " "
+        out = collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(len(word) - n + 1):
+                g = word[i : i + n]
+                if n == 1 and g != " " or n == 2 or n == 3 and g[1] != " ":
+                    out[g] += 1
+        return out if word.strip() else collections.Counter()
+
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]) % 3, x[0].replace(" ", chr(0))))][: language_id.TOP]
+    sums = collections.defaultdict(collections.Counter)
+    for i, t, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang].update(grams(t or ""))
+    place = {lang: {g: k for k, g in enumerate(order(c))} for lang, c in sums.items()}
+    got = by_id(language_id.identify(docs, language_id.profiles(docs)))
+    for i, t, *_ in rows:
+        own = order(grams(t or ""))
+        if not own:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else language_id.TOP for k, g in enumerate(own)) for lang, p in place.items()}
+        best = min(sorted(away), key=lambda x: away[x])
+        assert got[i].lang_pred == best and abs(got[i].score - max(0, 1 - away[best] / (language_id.TOP * len(own)))) < 1e-9
+
+
+def test_label_model_recovers_the_voters():
+    """Votes drawn from known accuracies: the posteriors tell the classes apart, and a copied voter counts less."""
+    r = np.random.default_rng(15)
+    truth = r.random(6000) < 0.15
+    m = len(toxicity.VOTERS)
+    rate = np.linspace(0.55, 0.9, m)
+    vote = (np.where(truth[:, None], r.random((6000, m)) < rate, r.random((6000, m)) < 0.04)).astype(np.int64)
+    vote[:, -1] = np.where(vote[:, :-1].any(axis=1), 0, -1)
+    vote[:, 1] = vote[:, 0]
+    keys, inverse, n = np.unique(vote, axis=0, return_inverse=True, return_counts=True)
+    post, table, rho = toxicity.posteriors(keys, np.zeros(len(keys), np.int64), n)
+    hit = post[inverse.ravel()] > 0.5
+    assert (hit == truth).mean() > 0.97 and rho[0, 1] > 0.9
+    assert all(abs(table[1, j, 2] - rate[j]) < 0.1 for j in range(2, m - 1))
+
+
+def test_span_model_recovers_the_labelers():
+    r = random.Random(16)
+    counted = collections.Counter()
+    for _ in range(5000):
+        real = r.random() < 0.7
+        counted[tuple((1 if real else -1) * (1 if r.random() < g else -1) for g in (0.95, 0.9, 0.8, 0.75, 0.7, 0.6))] += 1
+    model = pii.fit([("card", v, n) for v, n in sorted(counted.items())])
+    assert all(abs(a - b) < 0.08 for a, b in zip(model.reliability, (0.95, 0.9, 0.8, 0.75, 0.7, 0.6), strict=True))
+    score = lambda v: model.kinds["card"] + sum(a * b for a, b in zip(model.labelers, v, strict=True))
+    assert score((1,) * 6) > 0 > score((-1,) * 6)
+
+
+def test_pii_finds_secrets(spark):
+    """Every token and key in the given documents is among the spans, and texts without digits or @ have none."""
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = by_id(pii.report(pii.find(docs, pii.train(docs))))
+    wanted = {i: [m.span(1) for m in re.finditer(r"(?:token|password|api_key|secret) ?[=:] ?\"?([A-Za-z0-9]{16,})", t)] for i, t in texts.items()}
+    found = {i: {tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x} for i in texts}
+    assert sum(map(len, wanted.values())) > 5 and all(set(w) <= found[i] for i, w in wanted.items())
+    assert all(not found[i] and got[i].n_spans == 0 for i, t in texts.items() if not re.search(r"[0-9@]", t))
+    assert all(got[i].n_added == got[i].n_spans - got[i].n_email - got[i].n_ip - got[i].n_card - got[i].n_phone for i in texts)
+    many = spark.createDataFrame([(1, " ".join(f"a{k}@b.co" for k in range(1000)), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert pii.redact(many, pii.train(many)).first().text == " ".join(["<EMAIL>"] * 1000)
+
+
+def test_pipeline_edges(spark, rows):
+    """Nulls in any column, empty and equal texts, clashing columns, rows without id, and an empty table pass every stage."""
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([*rows, rows[13], (None, "some words of a text without an id to keep", None, None, None, 1.0, 7, "b"), (None, None, None, None, None, None, None, None)], SCHEMA)
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert tuple(got.columns) == cp.COLUMNS, name
+        assert stage(spark, docs.where("doc_id < 0"), "/root/testdata/sf0.001").count() == 0
+        n = got.count()
+        assert 0 < n <= docs.count() and (n == docs.count() or name != "pii"), name
+        assert got.where("doc_id is null and text like 'some words%'").count() == 1, name
+    assert cp.STAGES[-1][1](spark, docs, "").where("doc_id is null").count() >= 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
