@@ -92,9 +92,19 @@ INTENTS = {
     "analyze_batch": "批量|batch|多个|多支|多隻|一起分析|全部|所有股票",
     "analyze_single": "分析|查看|评估|評估|analyz|evaluate|诊断|診斷|怎么样|怎麼樣|如何",
 }
-CODES = r"[63][0-9]{5}\.SS|[03][0-9]{5}\.SZ|[0-9]{4}\.HK|(?<![0-9])[036][0-9]{5}(?![0-9])|(?<![A-Za-z0-9])[A-Z]{1,5}(?:-[A-Z])?(?![A-Za-z0-9])"
+#: Codes of listed shares: mainland, Hong Kong, Korean, capitals alone and with a two-letter suffix (fixed values).
+CODES = r"[0368][0-9]{5}\.(?:SS|SZ)|[0-9]{6}\.KS|[0-9]{4}\.HK|[A-Z]{2,5}\.[A-Z]{2}|(?<![0-9])[036][0-9]{5}(?![0-9])|(?<![A-Za-z0-9])[A-Z]{1,5}(?:-[A-Z])?(?![A-Za-z0-9])"
 #: Capitals that are no symbols (fixed values).
-NOT_CODES = ("I", "A", "RSI", "MACD", "SMA", "EMA", "KDJ", "PE", "PB", "ROE", "ETF", "USD", "CNY", "AI", "OK")
+NOT_CODES = tuple(
+    """POST GET API NLP AI HTTP HTTPS JSON XML HTML CSS SQL URL USA UK EU UN NASA FBI CIA IBM CPU GPU RAM SSD HDD USB PDF DOC XLS PPT CSV TXT JPG PNG GIF MP3 MP4 AVI WAV ZIP RAR
+    TAR GZ EXE DLL BAT CMD SH PY JS TS JAVA CPP GO RUST PHP RUBY PERL LUA SWIFT KOTLIN SCALA CLOJURE HASKELL ERLANG ELIXIR DART FLUTTER REACT VUE ANGULAR SVELTE NEXT NUXT DJANGO
+    FLASK FASTAPI SPRING LARAVEL SYMFONY RAILS EXPRESS NEST ASPNET HK SS SZ KS SW PA""".split()
+)
+#: Names of strategies in messages, the first that occurs counts (fixed values).
+STRATEGIES = {"buy_hold": "买入持有|買入持有|buy.?hold|持有策略|长期持有|長期持有", "sma_cross": "均线交叉|均線交叉|sma.?cross|moving.average|双均线|雙均線", "rsi": "rsi|相对强弱|相對強弱"}
+#: Words before a sum of money, ten-thousands after it, shares, and words before what a share cost (fixed values).
+MONEY, MYRIAD, SHARES, COST = "本金|资金|資金|capital|initial", "万|萬|w", "股|shares?", "成本|cost|均价|平均成本"
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
 def symbols(text: Column) -> Column:
@@ -113,22 +123,44 @@ def intent(messages: DataFrame) -> DataFrame:
     return messages.withColumn("intent", out)
 
 
+def _with_symbol(rows: DataFrame, names: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """rows (keys, text, ...) with the symbol that the text names: a code, or the longest name in it; null if it names none."""
+    named = holding(rows.select(*keys, "text"), names, "name").groupBy(*keys).agg(F.max_by("symbol", F.struct(F.length("name"), "name")).alias("_named"))
+    return rows.join(named, list(keys), "left").withColumn("symbol", F.coalesce("_named", F.get(symbols(F.col("text")), 0))).drop("_named")
+
+
+def holdings(messages: DataFrame, names: DataFrame) -> DataFrame:
+    """(message_id, holdings): symbol:shares:cost of each holding that a message states, joined with commas.
+
+    A holding is a number of shares and a name, with what it cost if that follows. In a message without such a one, every part
+    between commas is one if it holds a number of shares and a symbol in any order.
+    """
+    rows = messages.select("message_id", F.coalesce("text", F.lit("")).alias("text"))
+    stated = rf"({NUMBER})\s*(?:{SHARES})\s*([^0-9\s,，、;；]+?)(?:\s*(?:{COST})\s*({NUMBER})|(?=[0-9\s,，、;；]|$))"
+    parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(stated), F.lit(i)).alias(n) for i, n in ((1, "shares"), (2, "text"), (3, "cost"))])
+    keys = ("message_id", "pos")
+    first = rows.select("message_id", F.posexplode(parts).alias("pos", "h")).select("message_id", "pos", "h.*")
+    first = _with_symbol(first, names, keys).where("symbol is not null")
+    rest = rows.where(F.col("text").rlike(rf"{NUMBER}\s*(?:{SHARES})")).join(first.select("message_id").distinct(), "message_id", "left_anti")
+    part = rest.select("message_id", F.posexplode(F.split("text", "[,，、;；]")).alias("pos", "text"))
+    part = part.select(*keys, F.regexp_extract("text", rf"({NUMBER})\s*(?:{SHARES})", 1).alias("shares"), "text", F.regexp_extract("text", rf"(?:{COST}|@|at)\s*({NUMBER})", 1).alias("cost")).where("shares <> ''")
+    second = _with_symbol(part, names, keys).where("symbol is not null")
+    one = F.struct("pos", F.concat_ws(":", "symbol", "shares", F.when(F.coalesce("cost", F.lit("")) == "", "0").otherwise(F.col("cost"))).alias("h"))
+    return first.unionByName(second).groupBy("message_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["h"]), ",").alias("holdings"))
+
+
 def entities(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """Symbols (by code, and by name from a small table (name, symbol)), strategy, capital, target return, holdings."""
+    """Symbols (by code, and by name from a table (name, symbol)), strategy, capital, target return, holdings."""
     text = F.coalesce("text", F.lit(""))
-    df = messages.withColumn("_codes", symbols(text))
     named = holding(messages.select("message_id", text.alias("text")), names, "name").groupBy("message_id").agg(F.array_sort(F.collect_set("symbol")).alias("_named"))
-    df = df.join(named, "message_id", "left")
-    strategy = F.when(text.rlike("(?i)买入持有|買入持有|buy.?hold|持有策略|长期持有|長期持有"), "buy_hold").when(text.rlike("(?i)均线交叉|均線交叉|sma.?cross|moving.average|双均线|雙均線"), "sma_cross").when(text.rlike("(?i)rsi|相对强弱|相對強弱"), "rsi").otherwise("buy_hold")
-    money = r"(?:本金|资金|資金|capital|initial)\s*(?:为|為|是|:)?\s*([0-9]+(?:\.[0-9]+)?)\s*(万|萬|w)?"
+    df = messages.join(named, "message_id", "left").join(holdings(messages, names), "message_id", "left")
+    strategy = F.lit("buy_hold")
+    for name, pattern in reversed(STRATEGIES.items()):
+        strategy = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(strategy)
+    money = rf"(?:{MONEY})\s*(?:为|為|是|:)?\s*({NUMBER})\s*({MYRIAD})?"
     amount = F.expr("try_cast(_amount AS double)")
-    goal = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)\s*%", 1)
-    held = r"([0-9]+(?:\.[0-9]+)?)\s*(?:股|shares?)\s*([^0-9\s,，、;；]+?)(?:\s*(?:成本|cost|均价|平均成本)\s*([0-9]+(?:\.[0-9]+)?)|(?=[0-9\s,，、;；]|$))"
-    parts = [F.regexp_extract_all(text, F.lit(held), F.lit(i)) for i in (1, 2, 3)]
-    holdings = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("q", "s", "c"), strict=True)]), lambda x: F.concat_ws(":", x["s"], x["q"], F.when(F.coalesce(x["c"], F.lit("")) == "", "0").otherwise(x["c"])))
+    goal = F.regexp_extract(text, rf"({NUMBER})\s*%", 1)
     df = df.withColumns({"_amount": F.regexp_extract(text, money, 1), "_unit": F.regexp_extract(text, money, 2)})
     capital = F.when(amount.isNull(), 100_000.0).when(F.col("_unit") != "", amount * 10_000).otherwise(amount)
-    return df.select(
-        "message_id", F.array_join(F.array_distinct(F.concat(F.coalesce("_named", F.array().cast("array<string>")), "_codes")), ",").alias("symbols"), strategy.alias("strategy"), capital.alias("capital"),
-        (F.when(goal != "", goal).cast("double") / 100).alias("target_return"), F.array_join(holdings, ",").alias("holdings"),
-    )
+    every = F.array_distinct(F.concat(F.coalesce("_named", F.array().cast("array<string>")), symbols(text)))
+    return df.select("message_id", F.array_join(every, ",").alias("symbols"), strategy.alias("strategy"), capital.alias("capital"), (F.when(goal != "", goal).cast("double") / 100).alias("target_return"), F.coalesce("holdings", F.lit("")).alias("holdings"))

@@ -210,7 +210,7 @@ query("keywords_top", f"WITH {KEYS} SELECT platform, word, n, rank FROM kt")(top
 query("keywords_merge", f"WITH {KEYS} SELECT word, sum(n)::BIGINT AS n FROM kt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d: tx.merge_keywords(top_words(s, d)))
 
 #: Message endings, dealt to the users' messages by number, so that every rule meets rows.
-ENDINGS = ("回测 600519.SS 均线交叉 本金5万", "portfolio: 100股AAPL成本150", "market overview", "优化 AAPL,TSLA 目标收益10%", "分析贵州茅台", "", "batch everything", "RSI capital 2000")
+ENDINGS = ("回测 600519.SS 均线交叉 本金5万", "portfolio: 100股AAPL成本150, 20股苹果公司", "market overview", "优化 AAPL,TSLA 目标收益10%", "分析贵州茅台", "持仓 TSLA 50股, 特斯拉 10 shares at 170", "batch everything API 005930.KS", "RSI capital 2000")
 
 
 def messages(spark, sf_dir):
@@ -220,7 +220,7 @@ def messages(spark, sf_dir):
     return c.select(k, "conv_id", F.concat(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ ]", ""), F.lit(" "), ending).alias("text"))
 
 
-_WANT = ("backtest", "portfolio", "market", "optimize", "analyze_single", "unknown", "analyze_batch", "unknown")
+_WANT = ("backtest", "portfolio", "market", "optimize", "analyze_single", "portfolio", "analyze_batch", "analyze_single")
 query("utterance_intent", "SELECT conv_id * 10 + turn AS message_id, CASE conv_id % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WANT)) + " END AS intent FROM conversations WHERE role = 'user'")(lambda s, d: tx.intent(messages(s, d)).select("message_id", "intent"))
 
 
@@ -230,9 +230,9 @@ def names(spark):
 
 query(
     "utterance_entities",
-    "SELECT conv_id * 10 + turn AS message_id, CASE conv_id % 8 WHEN 0 THEN '600519.SS' WHEN 1 THEN 'AAPL' WHEN 3 THEN 'AAPL,TSLA' WHEN 4 THEN '600519.SS' ELSE '' END AS symbols, CASE conv_id % 8 WHEN 0 THEN 'sma_cross' WHEN 7 THEN 'rsi' ELSE 'buy_hold' END AS strategy, "
+    "SELECT conv_id * 10 + turn AS message_id, CASE conv_id % 8 WHEN 0 THEN '600519.SS' WHEN 1 THEN 'AAPL' WHEN 3 THEN 'AAPL,TSLA' WHEN 4 THEN '600519.SS' WHEN 5 THEN 'TSLA' WHEN 6 THEN '005930.KS' WHEN 7 THEN 'RSI' ELSE '' END AS symbols, CASE conv_id % 8 WHEN 0 THEN 'sma_cross' WHEN 7 THEN 'rsi' ELSE 'buy_hold' END AS strategy, "
     + select("", "CASE conv_id % 8 WHEN 0 THEN 50000 WHEN 7 THEN 2000 ELSE 100000 END AS capital; CASE conv_id % 8 WHEN 3 THEN 0.1 END AS target_return", "")[7:]
-    + ", CASE conv_id % 8 WHEN 1 THEN 'AAPL:100:150' ELSE '' END AS holdings FROM conversations WHERE role = 'user'",
+    + ", CASE conv_id % 8 WHEN 1 THEN 'AAPL:100:150,AAPL:20:0' WHEN 5 THEN 'TSLA:50:0,TSLA:10:170' ELSE '' END AS holdings FROM conversations WHERE role = 'user'",
 )(lambda s, d: tx.entities(messages(s, d), names(s)))
 
 # Review: warnings are made from events
