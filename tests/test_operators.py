@@ -222,3 +222,42 @@ def test_batch_alerts_spread_a_symbol(spark):
     assert sorted((r.ts, r.kind, round(r.value, 9)) for r in df.collect()) == sorted((x.ts.to_pydatetime(), x.kind, round(x.value, 9)) for x in want.itertuples())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "span" in plan
+
+
+def test_mean_variance_weights(spark):
+    """Least variance against a grid of mixes; a target return is met; the frontier runs from the one to the best asset."""
+    import itertools
+
+    import numpy as np
+
+    from quantloom.operators import optimize as op
+
+    mean = np.array([0.0010, 0.0006, 0.0002])
+    cov = np.array([[4.0, 0.5, 0.3], [0.5, 2.0, 0.4], [0.3, 0.4, 1.0]]) * 1e-4
+    names = ["a", "b", "c"]
+    means = spark.createDataFrame([(1, s, float(x)) for s, x in zip(names, mean, strict=True)], "universe int, symbol string, mean double")
+    pairs = spark.createDataFrame([(1, x, y, float(cov[i, j])) for i, x in enumerate(names) for j, y in enumerate(names)], "universe int, a string, b string, cov double")
+    vector = lambda rows: np.array([{r.symbol: r.weight for r in rows}[s] for s in names])
+    least = vector(op.min_variance(means, pairs).collect())
+    grid = [np.array([i, j, 100 - i - j]) / 100 for i, j in itertools.product(range(101), repeat=2) if i + j <= 100]
+    assert abs(least.sum() - 1) < 1e-9 and least @ cov @ least <= min(w @ cov @ w for w in grid) + 1e-12
+    met = vector(op.target_return(means, pairs, 0.15).collect())
+    assert abs(met.sum() - 1) < 1e-9 and abs(met @ mean * 252 - 0.15) < 1e-9
+    near = [w for w in grid if w @ mean * 252 >= 0.15]
+    assert met @ cov @ met <= min(w @ cov @ w for w in near) + 1e-12
+    points = op.frontier(means, pairs, 5).orderBy("point").collect()
+    targets = sorted({r.target for r in points})
+    assert len(points) == 15 and abs(targets[0] - least @ mean * 252) < 1e-9 and abs(targets[-1] - mean.max() * 252) < 1e-9
+
+
+def test_forest_on_held_out_rows(spark):
+    """Metrics of rows later than those trained on, a prediction a symbol, importances that sum to 1."""
+    from quantloom.operators import ml
+
+    data = ml.dataset(bars(spark, SF).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3')")).cache()
+    fitted, early, late = ml.train(data, trees=10, depth=4)
+    assert early.agg(F.max("date")).first()[0] <= late.agg(F.max("date")).first()[0] and early.count() + late.count() == data.where("label is not null").count()
+    scores = ml.evaluate(fitted, late)
+    assert scores and all(v == v for v in scores.values())
+    assert sorted(r.symbol for r in ml.predict(fitted, data).collect()) == ["Brand#1", "Brand#2", "Brand#3"]
+    assert abs(sum(x for _, x in ml.importance(fitted)) - 1) < 1e-6
