@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task: its worker lives on and counts as the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def row_key() -> F.Column:
     """doc_id as a long; of a row without one a hash of its text, so that rows without ids are told apart by their texts."""
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.coalesce("text", F.lit(""))))

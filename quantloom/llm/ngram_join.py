@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, binary_array, cell_of, chunks, components, id_bitmap, in_bitmap, list_array, mix64, powers, read, row_key, signed, small_batches, stash, word_hashes, words
+from .common import U64, binary_array, cell_of, chunks, components, give_back, id_bitmap, in_bitmap, list_array, mix64, powers, read, row_key, signed, small_batches, stash, word_hashes, words
 
 WORDS = 5
 #: Least number of bits of a signature; it has four bits or more a shingle, in powers of two.
@@ -110,6 +110,8 @@ def first_pass(docs: DataFrame) -> DataFrame:
                         held, size, n_docs = [], 0, 0
         if held:
             yield often()
+        held.clear()
+        give_back()
 
     rows = docs.select(row_key().alias("doc_id"), "text")
     return rows.mapInArrow(task, "kind int, doc_id long, n long, f1 long, f2 long")
@@ -176,6 +178,7 @@ def features(docs: DataFrame, hot: DataFrame, reps: DataFrame, repeated) -> Data
                     [ids.slice(i, len(sets)), pa.array(np.array([len(s) for s in sets])), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary()), list_array(signed(np.concatenate(prefix)), np.array([len(x) for x in prefix]), pa.int64()), pa.array(np.array(cold, np.int32)), again.slice(i, len(sets))],
                     ["doc_id", "n", "signature", "prefix", "cold", "again"],
                 )
+        give_back()
 
     rows = docs.select(row_key().alias("doc_id"), "text").withColumn("cell", cell_of("doc_id"))
     return rows.mapInArrow(task, "doc_id long, n long, signature binary, prefix array<long>, cold int, again boolean").where("n > 0")
@@ -349,7 +352,9 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
             order = np.lexsort((hi[keep], lo[keep]))
             keep = keep[order]
             keep = keep[np.concatenate([[True], (lo[keep][1:] != lo[keep][:-1]) | (hi[keep][1:] != hi[keep][:-1])])]
-        return pa.table({"lo": lo[keep], "hi": hi[keep], "bound": over[keep]})
+        out = pa.table({"lo": lo[keep], "hi": hi[keep], "bound": over[keep]})
+        give_back()
+        return out
 
     found = dealt.groupBy("bucket").applyInArrow(task, "lo long, hi long, bound long")
     if every:
@@ -369,6 +374,7 @@ def links(pairs: DataFrame, docs: DataFrame, repeated) -> DataFrame:
             again = pa.array(in_bitmap(repeated.value, batch.column("cell").to_numpy()))
             for i, found in shingle_sets(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(found)), binary_array(np.concatenate(found), np.array([len(s) for s in found])), again.slice(i, len(found))], ["doc", "set", "again"])
+        give_back()
 
     rows = docs.select(row_key().alias("doc"), "text")
     table = without_copies(stash(rows.withColumn("cell", cell_of("doc")).mapInArrow(sets, "doc long, set binary, again boolean"), "sets"))
@@ -383,9 +389,11 @@ def links(pairs: DataFrame, docs: DataFrame, repeated) -> DataFrame:
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
                 keep[i] = len(x) > 0 and 100 * both >= 80 * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
-    first = pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")).join(table.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
-    return first.join(table.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    # A large group's pairs share their smaller document: they meet it last, with their own sets, so that a skewed join shows its size.
+    first = pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")).join(table.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+    return first.join(table.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def keyed_duplicates(docs: DataFrame) -> DataFrame:

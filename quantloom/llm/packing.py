@@ -10,6 +10,7 @@ Null text is empty and packs as its end token alone. Empty tables give no rows;
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import SPACE, U64, Table, chunks, read, small_batches, word_hashes, words
+from .common import SPACE, U64, Table, chunks, give_back, read, small_batches, word_hashes, words
 
 WINDOW = 2048
 END_ID = 1
@@ -96,6 +97,8 @@ class WordIds:
     """
 
     def __init__(self, path: str, most: int = MOST_UNITS):
+        # Tasks are what runs side by side; threads of the tokenizer would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -255,6 +258,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         packer.finish()
         if rows:
             yield out()
+        del ids_of
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
 
