@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, U64, binary_array, chunks, mix64, powers, read, row_key, signed, small_batches, word_hashes, words
+from .common import NOT_WORD, U64, binary_array, chunks, give_back, mix64, powers, read, row_key, signed, small_batches, word_hashes, words
 
 SPAN = 12
 MASKS = ("111111110000", "110110110110", "101101101101", "000011111111", "111000111011")
@@ -100,6 +100,7 @@ def seeds(docs: DataFrame, key: str, bitmap=None) -> DataFrame:
                         [pa.array(ids[i:j][own], pa.int64()), pa.array(np.full(len(at), k, np.int32)), pa.array(signed(seed)), pa.array(at - first[own]), pa.array(n_words[own].astype(np.int64)), pa.array((at - low).astype(np.int32)), binary_array(ctx, size)],
                         ["id", "mask", "seed", "pos", "n_words", "before", "context"],
                     )
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("id"), "text").where("id is not null").mapInArrow(task, SEEDS)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, read, small_batches, stash
+from .common import U64, give_back, read, small_batches, stash
 
 TOP = 400
 #: Bits of a character in an n-gram.
@@ -104,6 +104,8 @@ def profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
         for lang, parts in sums.items():
             grams, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        sums.clear()
+        give_back()
 
     learned = docs.where(~is_held_out() & F.col("lang").isNotNull()).select("lang", "text")
     counted = learned.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -144,6 +146,7 @@ def identify(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
                 names.append(langs[int(out.argmin())])
                 scores.append(max(0.0, 1.0 - float(out.min()) / (top * len(own))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        give_back()
 
     return docs.mapInArrow(score, schema)
 
