@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an Arrow batch carries to Python, and rows of a batch that a Parquet reader makes.
@@ -63,6 +64,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[F.Column], keep: list[str]) -> DataFrame:
+    """``keep`` and, of each row, its place ``i`` from 0 in its group by ``order``, and the group's number of rows ``n``; null is a group too.
+
+    Rows are sorted by ranges, so a group of any size lies over many tasks, and a row's place is the rows of its group in earlier tasks plus
+    those before it in its own. The input's order of rows must be the same each time it is read, as that of a table is: it parts equal rows.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in group] + order
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*keys, F.col("_tie")).sortWithinPartitions(*keys, "_tie").select(*dict.fromkeys([*group, *keep]), F.monotonically_increasing_id().alias("_at"))
+    rows = stash(rows, "ranged").withColumn("_task", F.shiftright("_at", 33))
+    tasks = rows.groupBy(*group, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    by = W.partitionBy(*group)
+    before = F.sum("_rows").over(by.orderBy("_task").rowsBetween(W.unboundedPreceding, 0)) - F.col("_rows")
+    tasks = tasks.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_task").alias("__task"), (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(by).alias("n"))
+    same = F.col("_task") == F.col("__task")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(tasks, same).select(*keep, (F.col("_at") + F.col("_shift")).alias("i"), "n")
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,6 +18,9 @@ MODULES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_decontamination": "decontamination",
+    "op11_conversation_trie": "conversation_trie",
+    "op12_merkle_manifest": "merkle",
+    "op13_url_filters": "url_filters",
 }
 
 
