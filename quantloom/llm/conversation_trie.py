@@ -243,9 +243,10 @@ def trie(rebuilt: DataFrame) -> DataFrame:
     anc = F.when(F.col("depth") > F.col("seg") * SEGMENT, F.col("parent")).otherwise(F.col("under"))
     tree = roots.join(goes_on.select("key", F.col("cid").alias("under")), "key", "left").select("cid", anc.alias("anc"), "leaves", "saved")
     sums = over_subtrees(tree)
-    from_below = goes_on.select(F.col("key").alias("cid"), F.explode("up").alias("key")).join(sums, "cid").groupBy("key").agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+    # By unit, too: the root of a unit has the key of the node that it continues.
+    from_below = goes_on.select(F.col("key").alias("cid"), "seg", F.explode("up").alias("key")).join(sums, "cid").groupBy("key", "seg").agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
     plus = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
-    inner = swept.join(from_below, "key", "left").select("key", "parent", "seg", "depth", "n", "least", "children", plus("leaves"), plus("saved"))
+    inner = swept.join(from_below, ["key", "seg"], "left").select("key", "parent", "seg", "depth", "n", "least", "children", plus("leaves"), plus("saved"))
     below = roots.where(F.col("depth") > F.col("seg") * SEGMENT).groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("children"))
     outer = heads.drop("leaves", "saved", "children").join(sums.drop("anc"), "cid").join(below, "key").select(*inner.columns)
     # The root of a unit is the node where the segment before ends: it adds its children there, all else is counted by that node.

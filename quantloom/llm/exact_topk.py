@@ -134,8 +134,10 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP_K, data_blo
     n_queries = queries.count()
     if not n or not n_queries:
         return empty
+    dim = max(1, dim)  # all vectors may be empty
     kind = "array<int>" if most < 2**31 - 1 else "array<long>"
     data, queries = (t.select("vec_id", F.col("v").cast(kind).alias("v")) for t in (data, queries))
+    wide = most * most * dim >= 2**62
     n_pivots = max(4, min(MAX_PIVOTS, int(math.sqrt(n_queries) / 3)))
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, n_pivots)).toArrow()
     sampled = _lift(_matrix(sample.column("v"), dim), top)
@@ -208,7 +210,7 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP_K, data_blo
 
     def solve(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "high": [], "low": []})
         c = c.sort_values("vec_id")
         own = c["vec_id"].to_numpy()
         y, x = _matrix(pa.array(c["v"]), dim, np.int64), _matrix(pa.array(q["q"]), dim, np.int64)
@@ -219,16 +221,17 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP_K, data_blo
             r, b = np.nonzero(best_rows(score, asks[i : i + 128, None] == own, k))
             found = score[r, b]
             if found.dtype == object:
-                # The exact value goes along as text, for ranking; what 64 bits cannot hold is cut only in the result.
-                out.append(pd.DataFrame({"query_id": asks[i + r], "vec_id": own[b], "score": [min(max(int(s), INT64.min), INT64.max) for s in found], "exact": [str(s) for s in found]}))
+                # The exact value goes along in two parts, for ranking; what 64 bits cannot hold is cut only in the result.
+                halves = [divmod(int(s), 1 << 64) for s in found]
+                out.append(pd.DataFrame({"query_id": asks[i + r], "vec_id": own[b], "score": [min(max(int(s), INT64.min), INT64.max) for s in found], "high": [str(h) for h, _ in halves], "low": [str(x) for _, x in halves]}))
             else:
-                out.append(pd.DataFrame({"query_id": asks[i + r], "vec_id": own[b], "score": found, "exact": None}))
+                out.append(pd.DataFrame({"query_id": asks[i + r], "vec_id": own[b], "score": found, "high": [str(s >> 63 >> 1) for s in found.tolist()] if wide else None, "low": [str(s & (1 << 64) - 1) for s in found.tolist()] if wide else None}))
         return pd.concat(out)
 
     keys = ["part", "sub", "block"]
-    partial = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long, exact string")
-    # Scores beyond 64 bits are few digits apart at worst: 38 digits hold products of 64-bit components.
-    order = [F.desc(F.coalesce(F.expr("try_cast(exact AS decimal(38, 0))"), F.col("score").cast("decimal(38, 0)"))) if most * most * dim >= 2**62 else F.desc("score"), F.col("vec_id")]
+    partial = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long, high string, low string")
+    # Sums of products of 64-bit components have more than 38 digits: the parts above and below 2**64 are ranked one after the other.
+    order = [*([F.desc(F.col(c).cast("decimal(38, 0)")) for c in ("high", "low")] if wide else [F.desc("score")]), F.col("vec_id")]
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("int")
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

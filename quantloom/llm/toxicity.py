@@ -13,6 +13,7 @@ its priors. Rows without doc_id have no label. Each row is scored by itself; sev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from .common import NOT_WORD, U64, binary_array, chunks, read, signed, small_bat
 
 #: Bound on the labelled rows that take part in training.
 LABELLED_ROWS = 40_000
-#: Combinations of features, the most frequent ones, that the classifier is fitted on; the label model sees all documents.
-FIT_ROWS = 100_000
+#: Tasks that add up a Newton step, each for its part of the combinations of features.
+FIT_TASKS = 16
 THRESHOLD = 0.3
 #: Posterior of rows labelled 0 and 1 (labels err), and what such a row counts.
 GOLD, GOLD_WEIGHT = (0.02, 0.97), 4.0
@@ -225,21 +226,50 @@ def voted(seen: DataFrame) -> list[tuple[Row, float]]:
     return list(zip(table, post.tolist(), strict=True))
 
 
-def fit(x: np.ndarray, post: np.ndarray, gold: np.ndarray, n: np.ndarray) -> Model:
-    """Weighted logistic regression of the posteriors on the features by Newton steps; labelled rows count more."""
-    if not len(n):
-        return Model((0.0,) * len(FEATURES), -3.0)
-    n = n * np.where(gold == 0, 1.0, GOLD_WEIGHT)
-    a = np.column_stack([x.astype(float), np.ones(len(x))])
-    w = np.zeros(a.shape[1])
+def weighed(seen: DataFrame, post: dict[tuple[tuple[int, ...], int], float]) -> DataFrame:
+    """x, p and n of every combination of features and label: its posterior from its votes, and what it counts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+            g = batch.column("g").to_pylist()
+            n = batch.column("n").to_numpy() * np.where(np.array(g) == 0, 1.0, GOLD_WEIGHT)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([post[tuple(v), k] for v, k in zip(votes(x).tolist(), g, strict=True)]), pa.array(n)], ["x", "p", "n"])
+
+    return seen.mapInArrow(task, "x binary, p double, n double")
+
+
+def fit(rows: DataFrame) -> Model:
+    """Weighted logistic regression of posteriors p on features x by Newton steps over all rows (x, p, n).
+
+    A task adds up its rows' part of the gradient and the Hessian, a row of fixed width; the driver adds those and solves.
+    """
+    rows, width = rows.coalesce(FIT_TASKS), len(FEATURES) + 1
+    w = np.zeros(width)
     w[-1] = -2.0
-    weight = n / n.sum()
+
+    def added(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(1 + width + width * width)
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+                a = np.column_stack([x.astype(float), np.ones(len(x))])
+                n, post = batch.column("n").to_numpy(), batch.column("p").to_numpy()
+                p = 1 / (1 + np.exp(-np.clip(a @ at, -30, 30)))
+                sums += np.concatenate([[n.sum()], a.T @ (n * (post - p)), ((a * (n * p * (1 - p))[:, None]).T @ a).ravel()])
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+        parts = sorted(r.sums for r in rows.mapInArrow(task, "sums array<double>").collect())
+        total = np.array([math.fsum(c) for c in zip(*parts, strict=True)]) if parts else np.zeros(1 + width + width * width)
+        n = max(total[0], 1.0)
+        return total[1 : 1 + width] / n - 1e-4 * at, total[1 + width :].reshape(width, width) / n + 1e-4 * np.eye(width)
+
+    if rows.isEmpty():
+        return Model((0.0,) * len(FEATURES), -3.0)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (weight * (post - p)) - 1e-4 * w
-        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(len(w))
+        gradient, hessian = added(w)
         step = np.linalg.solve(hessian, gradient)
-        w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     return Model(tuple(w[:-1].tolist()), float(w[-1]))
@@ -255,9 +285,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label = F.coalesce(F.when(F.col("gold") > 0, 1).otherwise(F.when(F.col("gold").isNotNull(), -1)), F.lit(0))
     seen = stash(rows.join(F.broadcast(gold), "doc_id", "left").groupBy("x", label.alias("g")).agg(F.count("*").alias("n")), "seen")
     post = {(tuple(r.v), r.g): p for r, p in voted(seen)}
-    fitted = seen.orderBy(F.desc("n"), "x", "g").limit(FIT_ROWS).collect()
-    x = np.array([list(r.x) for r in fitted], np.uint8).reshape(-1, len(FEATURES))
-    model = fit(x, np.array([post[tuple(v), r.g] for v, r in zip(votes(x).tolist(), fitted, strict=True)]), np.array([r.g for r in fitted], np.int64), np.array([r.n for r in fitted]))
+    model = fit(stash(weighed(seen, post), "weighed"))
     z = sum((F.conv(F.hex(F.substring("x", k + 1, 1)), 16, 10).cast("double") * w for k, w in enumerate(model.weights)), F.lit(model.bias))
     return rows.withColumn("score", 1 / (1 + F.exp(-z))).select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
