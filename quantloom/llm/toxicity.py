@@ -4,11 +4,12 @@ Voters look at a whole text: lexicons of insults by family, two lexicons learned
 patterns (several different insults, their density, shouting, an insult near an address). A generative label model
 over the counted combinations of votes estimates, by expectation-maximisation, how each voter votes under either
 class, and the correlation between voters that the classes do not explain; correlated voters count less. A
-logistic classifier is trained on the posteriors and scores every document from the counts behind the votes.
+logistic classifier is trained on the posteriors of all documents, each Newton step a sum over tasks, and scores every document from
+the counts behind the votes.
 
 Labels are used from training rows only, at most LABELLED_ROWS of them (chosen by a hash of doc_id). Votes are counted
 over all documents. Null and empty texts score like any text without hits; without labels the model starts from
-its priors. Rows without doc_id have no label. Each row is scored by itself; several labels of one document count as 1 if any is 1.
+its priors. Rows without doc_id have no label and are not held out. Each row is scored by itself; several labels of one document count as 1 if any is 1.
 """
 
 from __future__ import annotations
@@ -292,4 +293,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -167,6 +167,60 @@ def test_toxicity_held_out(spark):
     assert hits >= 0.6 * sum(r.toxic for r in out) and wrong <= 0.1 * len(out)
 
 
+def test_toxicity_brute_force(spark):
+    """Scores against plain loops over words: features, votes, the label model over all documents, and Newton steps on all of them at once."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, sf).collect()}
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    learned = set(toxicity.learned_words(ids, toxicity.sampled_labels(labels)).tolist())
+    ordered = toxicity.learned_words(ids, toxicity.sampled_labels(labels)).tolist()
+    family = collections.defaultdict(list)
+    for k, words in enumerate(toxicity.LEXICONS.values()):
+        for w in words.split():
+            family[int(toxicity.hashes(w)[0])].append(k)
+    for n, h in enumerate(ordered):
+        family[h].append(len(toxicity.LEXICONS) + (n >= len(ordered) // 2))
+    near = {int(h) for h in toxicity.hashes(toxicity.ADDRESS)}
+    assert learned == set(ordered)
+    rows, x = docs.select("doc_id", "text").collect(), []
+    for r in rows:
+        text = (r.text or "").encode()
+        h = [int(v) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text) for v in toxicity.hashes(w.decode(errors="replace"))[:1]]
+        hits = [i for i, v in enumerate(h) if v in family]
+        f = [min(3, sum(k in family[h[i]] for i in hits)) for k in range(len(toxicity.FAMILIES))]
+        close = sum(any(h[j] in near for j in range(max(0, i - 4), min(len(h), i + 5))) for i in hits)
+        ups, lows = (sum(len(m) for m in re.findall(p, text)) for p in (rb"[A-Z]", rb"[a-z]"))
+        x.append([*f, min(4, len({h[i] for i in hits})), min(4, len(hits) * 100 // max(1, len(h))), int(ups > 2 * lows), min(2, close), int(bool(hits))])
+    x = np.array(x, np.uint8)
+    gold = {r.doc_id: max(r.toxic, 0) for r in labels.orderBy("toxic").collect() if r.toxic is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    g = np.array([0 if r.doc_id not in gold else 1 if gold[r.doc_id] else -1 for r in rows])
+    weight = np.where(g == 0, 1.0, toxicity.GOLD_WEIGHT)
+    keys, back = np.unique(np.column_stack([toxicity.votes(x), g]), axis=0, return_inverse=True)
+    n = np.bincount(back.ravel(), weight)
+    post = toxicity.posteriors(keys[:, :-1], keys[:, -1], n)[0][back.ravel()]
+    a, w = np.column_stack([x.astype(float), np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    w[-1] = -2
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (weight * p * (1 - p) / weight.sum())[:, None]).T @ a + 1e-4 * np.eye(len(w)), a.T @ (weight * (post - p)) / weight.sum() - 1e-4 * w)
+        w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+    want = 1 / (1 + np.exp(-(a @ w)))
+    assert max(abs(got[r.doc_id].score - s) for r, s in zip(rows, want.tolist(), strict=True)) < 1e-5
+    assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_toxicity_edges(spark):
+    """Repeated rows score alike, a row without id is not held out, one text may be longer than a vectorised step."""
+    long = "you are worthless scum. " * 20_000
+    given = [(1, long), (1, long), (2, "fine words"), (2, "fine words"), (None, "fine words"), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 6 and len({r.score for r in out if r.doc_id == 2}) == 1 and len({r.score for r in out if r.doc_id == 1}) == 1
+    assert {r.doc_id for r in out if r.predicted} <= {1}
+
+
 def test_lm_scoring(docs, rows, empty):
     tokens = {i: [*split(t), None] for i, t, *_ in rows}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -336,6 +390,32 @@ def test_exact_topk_has_no_bounds(spark):
     assert exact_topk.joint_groups(apart, np.full(2, 100), 300).tolist() == [0, 1]
 
 
+def test_exact_topk_of_empty_and_huge_vectors(spark):
+    """All vectors empty: every score is 0. Scores of 39 digits are ranked exactly, also where negative; repeated rows count each."""
+    none = spark.createDataFrame([(0, []), (1, []), (20, []), (3, None)], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in exact_topk.exact_top_k(none, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 1, 0), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0)]
+    rows = [(0, [1e17] * 4), (1, [1e17] * 4), (2, [1.1e17] * 4), (3, [1e16] * 4), (4, [-1e17] * 4), (5, [-1.1e17] * 4), (6, [0.0] * 4), (7, [1e17, 1e17, 1e17, 1e17 + 16]), (2, [1.1e17] * 4)]
+    huge = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = exact_topk.exact_top_k(huge, F.col("vec_id") % 20 == 0, 8, data_block=3).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [2, 2, 7, 1, 3, 6, 4, 5]
+
+
+def test_exact_topk_prunes_structured_data(spark):
+    """Well apart clusters: a vector goes to fewer groups of queries than there are, and results stay exact."""
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(8, 16)) * 40
+    v = (centre[np.arange(1600) % 8] + r.normal(size=(1600, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    q = np.floor(v.astype(float) * 64).astype(np.int64)
+    got = collections.defaultdict(list)
+    for x in exact_topk.exact_top_k(df, F.col("vec_id") % 20 == 0, 20, query_block=12).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    for i in range(0, 1600, 20):
+        s = q @ q[i]
+        assert got[i] == [(j, s[j]) for j in sorted((j for j in range(1600) if j != i), key=lambda j: (-s[j], j))[:20]]
+
+
 def test_language_id(spark, docs, empty):
     got = by_id(language_id.identify(docs, language_id.profiles(docs)))
     assert {got[i].lang_pred for i in (0, 1, 2, 7)} == {"und"} and all(0 <= r.score <= 1 for r in got.values())
@@ -618,6 +698,19 @@ def test_pipeline_edges(spark, rows):
     assert cp.STAGES[-1][1](spark, docs, "").where("doc_id is null").count() >= 2
 
 
+def test_pipeline_repeated_rows(spark):
+    """One row stays of a group, whether its copies are rows of one document, of several, or of none."""
+    import corpus_pipeline as cp
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    plain = lambda d, t, s="s": (d, t, "en", s, None, 1.0, 7, "b")
+    given = [plain(5, text), plain(5, text), plain(6, text + " more"), plain(8, "a b c", "z"), plain(8, "a b c", "y"), plain(9, "d"), plain(None, "some other words without any id here"), plain(None, "some other words without any id here"), plain(10, text), plain(10, "")]
+    got = cp.keep_first_of_group(spark, spark.createDataFrame(given, SCHEMA).repartition(3), "").collect()
+    assert sorted(map(str, ((r.doc_id, r.source, r.text) for r in got))) == sorted(map(str, ((5, "s", text), (8, "y", "a b c"), (9, "s", "d"), (None, "s", "some other words without any id here"))))
+    empty = spark.createDataFrame([plain(1, None), plain(1, ""), plain(2, " "), plain(None, ""), plain(None, None)], SCHEMA)
+    assert sorted(str(r.doc_id) for r in cp.keep_first_of_group(spark, empty, "").collect()) == ["1", "2", "None", "None"]
+
+
 def test_pipeline(spark):
     """The given documents against plain loops: letters, all pairs of shingle sets, every alignment with every benchmark item."""
     import corpus_pipeline as cp
