@@ -19,35 +19,42 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; null, empty and letterless texts go."""
+    """Rows whose text has a language; null, empty and letterless texts go. Each row is judged by its text, repeated ones and those without doc_id too."""
     learned = stash(language_id.profiles(docs), "profiles")
     return language_id.identify(docs.select(*COLUMNS), learned).where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id; of one without ids a single row."""
-    first = ngram_join.first_of_groups(docs).where(F.col("key") == F.col("component_id"))
-    rows = docs.withColumn("key", row_key())
-    named = rows.where("doc_id is not null").join(first.where("named").select("key"), "key", "left_semi")
-    other = rows.where("doc_id is null").join(first.where("not named").select("key", F.col("n_shingles") > 0).distinct().toDF("key", "has_words"), "key")
-    # Texts without words link with nothing, not even with equal ones.
-    return named.select(*COLUMNS).union(other.where("has_words").dropDuplicates(["key"]).select(*COLUMNS)).union(other.where("not has_words").select(*COLUMNS))
+    """Of each component of near duplicates one row, with the smallest doc_id; of rows that share it, the first by their columns.
+
+    Rows without doc_id take part: a component of only such rows keeps one. Null, empty and wordless texts link with nothing, so each
+    doc_id keeps one of its rows and those without doc_id all stay.
+    """
+    first = ngram_join.first_of_groups(docs).groupBy("key").agg(F.min(F.col("key") == F.col("component_id")).alias("stays"), F.max("named").alias("named"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"))
+    stays = stash(first.where("stays").select("key", F.expr("rows > 1 and (named or size > 0)").alias("several")), "stays")
+    # Both parts use one shuffle of the rows by key.
+    rows = docs.select(*COLUMNS, row_key().alias("key")).join(stays, "key")
+    one = rows.where("several").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.where("not several").select(*COLUMNS).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without overlap with a benchmark item."""
+    """Documents without overlap with a benchmark item; null and empty texts stay.
+
+    A document is all rows of one doc_id: if one of them overlaps, all go. Rows without doc_id are told apart by their texts, so equal ones share their fate.
+    """
     rows = docs.withColumn("key", row_key())
     found = decontamination.overlaps(rows.select(F.col("key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
     return rows.join(found, "key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced; n_chars follows the text."""
+    """Every row, repeated ones and those without doc_id too, personal data replaced; n_chars follows the text. A null text stays null."""
     return pii.redact(docs, pii.train(docs)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document in sequences; the columns of the packing operator."""
+    """Pieces of every row in sequences; the columns of the packing operator. A null or empty text is its end token alone; repeated rows are packed each."""
     return packing.pack(docs, packing.tokenizer_path())
 
 
