@@ -1,7 +1,7 @@
-"""Alert rules joined with the last rows of each symbol.
+"""Alert rules on the rows of each symbol: on the last one, on every one, or on a stream of them.
 
 Rules: (rule_id, symbol, kind, direction, threshold, active); kinds price, pct, volume, macd. Alerts: (rule_id, symbol, date, kind,
-severity, value).
+severity, value). A state row has what the rules need of a bar or tick and those before it; a rule fires on a state.
 """
 
 from __future__ import annotations
@@ -13,48 +13,68 @@ from pyspark.sql import functions as F
 from ..functions.windows import by, lag
 from .indicators import ewm
 
+KINDS = ("price", "pct", "volume", "macd")
+#: What a rule looks at: this row's and the one before's price and MACD, the mean of the 19 volumes before, and the rows so far.
+STATE = ("symbol", "date", "close", "volume", "before", "macd", "macd_signal", "macd1", "signal1", "mean19", "rows")
+
+
+def states(bars: DataFrame, block: Column | None = None) -> DataFrame:
+    """The state of every bar; ``block`` as for ``ewm``."""
+    mean = F.avg("volume").over(by().rowsBetween(-19, -1))
+    df = ewm(bars, block).withColumns({"before": lag("close"), "macd1": lag("macd"), "signal1": lag("macd_signal"), "mean19": mean, "rows": F.row_number().over(by())})
+    return df.select(*STATE)
+
 
 def latest(bars: DataFrame) -> DataFrame:
-    """Each symbol's last row with what the rules need; symbols with fewer than two rows have none."""
-    w = by()
-    df = ewm(bars).withColumns(
-        {"before": lag("close"), "macd1": lag("macd"), "signal1": lag("macd_signal"), "mean19": F.avg("volume").over(w.rowsBetween(-19, -1)), "rows": F.count("*").over(W.partitionBy("symbol")), "_k": F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date")))}
-    )
-    return df.where("_k = 1 and rows >= 2").select("symbol", "date", "close", "volume", "before", "macd", "macd_signal", "macd1", "signal1", "mean19", "rows")
+    """Each symbol's last state; symbols with fewer than two rows have none."""
+    return states(bars).withColumn("_k", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date")))).where("_k = 1 and rows >= 2").select(*STATE)
 
 
-def _hits(rules: DataFrame, last: DataFrame, kind: str, fires: Column, value: Column, severity: Column) -> DataFrame:
-    df = rules.where(F.col("active") & (F.col("kind") == kind)).join(last, "symbol")
-    return df.where(fires).select("rule_id", "symbol", "date", "kind", severity.alias("severity"), value.alias("value"))
+def _tests() -> dict[str, tuple[Column, Column, Column]]:
+    """By kind: whether a rule fires on a state, its value and its severity."""
+    t, d = F.col("threshold"), F.col("direction")
+    price, change, times = F.col("close"), (F.col("close") / F.col("before") - 1) * 100, F.col("volume") / F.col("mean19")
+    golden = (F.col("macd1") <= F.col("signal1")) & (F.col("macd") > F.col("macd_signal"))
+    death = (F.col("macd1") >= F.col("signal1")) & (F.col("macd") < F.col("macd_signal"))
+    return {
+        "price": (((d == "above") & (price > t)) | ((d == "below") & (price < t)), price, F.lit("warning")),
+        "pct": (((d == "up") & (change >= t)) | ((d == "down") & (change <= -t)) | ((d == "any") & (F.abs(change) >= t)), change, F.when(F.abs(change) >= 10, "critical").otherwise("warning")),
+        "volume": ((F.col("rows") >= 20) & (F.col("mean19") > 0) & (times > t), times, F.lit("info")),
+        "macd": ((golden & d.isin("golden", "any")) | (death & d.isin("death", "any")), F.col("macd") - F.col("macd_signal"), F.when(golden, "info").otherwise("warning")),
+    }
 
 
-def price(rules: DataFrame, last: DataFrame) -> DataFrame:
-    c, t, d = F.col("close"), F.col("threshold"), F.col("direction")
-    return _hits(rules, last, "price", ((d == "above") & (c > t)) | ((d == "below") & (c < t)), c, F.lit("warning"))
+def fired(rules: DataFrame, on: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Alerts of the active rules of some kinds on states: one join by symbol, in a stream with the rules as its static side."""
+    tests = _tests()
+    fires = value = severity = F.when(F.lit(False), None)
+    for k in kinds:
+        fires, value, severity = (out.when(F.col("kind") == k, x) for out, x in zip((fires, value, severity), tests[k], strict=True))
+    active = rules.where(F.col("active") & F.col("kind").isin(*kinds)).select("rule_id", "symbol", "kind", "direction", "threshold")
+    return on.where("rows >= 2").join(active, "symbol").where(fires).select("rule_id", "symbol", "date", "kind", severity.alias("severity"), value.cast("double").alias("value"))
 
 
-def pct(rules: DataFrame, last: DataFrame) -> DataFrame:
-    x, t, d = (F.col("close") / F.col("before") - 1) * 100, F.col("threshold"), F.col("direction")
-    fires = ((d == "up") & (x >= t)) | ((d == "down") & (x <= -t)) | ((d == "any") & (F.abs(x) >= t))
-    return _hits(rules, last, "pct", fires, x, F.when(F.abs(x) >= 10, "critical").otherwise("warning"))
+def price(rules: DataFrame, on: DataFrame) -> DataFrame:
+    return fired(rules, on, ("price",))
 
 
-def volume(rules: DataFrame, last: DataFrame) -> DataFrame:
-    x = F.col("volume") / F.col("mean19")
-    return _hits(rules, last, "volume", (F.col("rows") >= 20) & (F.col("mean19") > 0) & (x > F.col("threshold")), x, F.lit("info"))
+def pct(rules: DataFrame, on: DataFrame) -> DataFrame:
+    return fired(rules, on, ("pct",))
 
 
-def macd_cross(rules: DataFrame, last: DataFrame) -> DataFrame:
-    golden = (F.col("macd1") <= F.col("signal1")) & (F.col("macd") > F.col("macd_signal"))
-    death = (F.col("macd1") >= F.col("signal1")) & (F.col("macd") < F.col("macd_signal"))
-    d = F.col("direction")
-    fires = (golden & d.isin("golden", "any")) | (death & d.isin("death", "any"))
-    return _hits(rules, last, "macd", fires, F.col("macd") - F.col("macd_signal"), F.when(golden, "info").otherwise("warning"))
+def volume(rules: DataFrame, on: DataFrame) -> DataFrame:
+    return fired(rules, on, ("volume",))
+
+
+def macd_cross(rules: DataFrame, on: DataFrame) -> DataFrame:
+    return fired(rules, on, ("macd",))
 
 
 def every(rules: DataFrame, bars: DataFrame) -> DataFrame:
-    last = latest(bars)
-    out = price(rules, last)
-    for f in (pct, volume, macd_cross):
-        out = out.unionByName(f(rules, last))
-    return out
+    """Alerts of all kinds on each symbol's last bar."""
+    return fired(rules, latest(bars))
+
+
+def history(rules: DataFrame, bars: DataFrame) -> DataFrame:
+    """Alerts of all kinds on every bar that has one before it."""
+    return fired(rules, states(bars))

@@ -1,12 +1,12 @@
 """Technical indicators: bars (symbol, date, open, high, low, close, volume) with columns added.
 
-All native indicators share one window sort per symbol. Exponential averages are recursions; one grouped Arrow
-function computes them all in a single visit per symbol.
+Everything is native. Indicators over the last n rows share one window sort per symbol; exponential averages are a scan over blocks of a symbol's rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,33 +14,105 @@ from pyspark.sql import functions as F
 from ..functions.scores import clip
 from ..functions.windows import change, full, guard, lag, sma, so_far
 
-EWM_COLUMNS = "ema12 double, ema26 double, macd double, macd_signal double, macd_hist double, kdj_k double, kdj_d double, kdj_j double"
+EWM = ("ema12", "ema26", "macd", "macd_signal", "macd_hist", "kdj_k", "kdj_d", "kdj_j")
 
 
 def ma(bars: DataFrame, spans: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
     return bars.withColumns({f"ma{n}": sma("close", n) for n in spans})
 
 
-def ewm(bars: DataFrame) -> DataFrame:
-    """EMA 12 and 26, MACD with its signal line and histogram, and KDJ: one visit of each symbol in order of date.
+#: Smoothing of the averages of MACD and of KDJ's %K and %D, and the rows of KDJ's range.
+FAST, SLOW, SIGNAL, SMOOTH = 2 / 13, 2 / 27, 2 / 10, 1 / 3
+RANGE = 9
 
-    A task holds one symbol's series, the unit of the recursion.
-    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        fast, slow = (rows["close"].ewm(span=n, adjust=False).mean() for n in (12, 26))
-        macd = fast - slow
-        signal = macd.ewm(span=9, adjust=False).mean()
-        low, high = rows["low"].rolling(9).min(), rows["high"].rolling(9).max()
-        rsv = (rows["close"] - low) / (high - low).replace(0, 1e-10) * 100
-        k = rsv.ewm(com=2, adjust=False).mean()
-        d = k.ewm(com=2, adjust=False).mean()
-        return rows.assign(ema12=fast, ema26=slow, macd=macd, macd_signal=signal, macd_hist=macd - signal, kdj_k=k, kdj_d=d, kdj_j=3 * k - 2 * d)
-
-    types = dict(bars.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in bars.columns), EWM_COLUMNS])
-    return bars.groupBy("symbol").applyInPandas(fold, schema)
+def ewm(bars: DataFrame, block: Column | None = None) -> DataFrame:
+    """EMA 12 and 26, MACD with its signal line and histogram, and KDJ, as a parallel scan over blocks.
+
+    Each of them is a linear recurrence y -> (1 - s) * y + s * x, started at its first x. A symbol's rows are cut into blocks, by default of a calendar year (``block`` must
+    not fall in order of date, and a block have fewer than 1,500 rows, for powers to stay within range). A block's part that comes from its own rows is a running sum, and what it makes of the values it starts from is a closed form
+    of the number of rows; so a block is summed up in one row, the maps of a symbol's blocks are composed in order of
+    time (a row a year), and each block is finished from the values that reach it. No task needs more of a symbol than a year.
+    A row without a close keeps the averages, one without a full range of RANGE highs and lows those of KDJ; before the first value they are null.
+    """
+    keys = ["symbol", "_block"]
+    rows = bars.withColumn("_block", (F.coalesce(F.year("date"), F.lit(-1)) if block is None else block).cast("int"))
+    inside = W.partitionBy(*keys).orderBy("date")
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    before = RANGE - 1
+    # The last highs and lows before a block: at most RANGE - 1 of them, from as many blocks.
+    ends = rows.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("date", "low", "high")), asc=False), 1, before).alias("ends"))
+    back = W.partitionBy("symbol").orderBy(F.desc("_block")).rowsBetween(1, before)
+    ends = ends.select(*keys, F.slice(F.flatten(F.collect_list("ends").over(back)), 1, before).alias("_ends"))
+    at = F.row_number().over(inside)
+    last = inside.rowsBetween(-before, 0)
+    rows = rows.join(ends, keys).withColumns({"_at": at, "_lows": F.count("low").over(last), "_highs": F.count("high").over(last), "_low": F.min("low").over(last), "_high": F.max("high").over(last)})
+    more = F.when(F.col("_at") < RANGE, F.slice("_ends", 1, F.greatest(F.lit(0), F.lit(RANGE) - F.col("_at"))))
+
+    def spread(name: str, least: Callable[..., Column], of: Callable[[Column], Column]) -> Column:
+        old = F.filter(F.transform(more, lambda e: e[name]), lambda v: v.isNotNull())
+        n = F.col(f"_{name}s") + F.coalesce(F.size(old), F.lit(0))
+        return F.when(n == RANGE, F.coalesce(least(F.col(f"_{name}"), of(old)), F.col(f"_{name}")))
+
+    low, high = spread("low", F.least, F.array_min), spread("high", F.greatest, F.array_max)
+    rows = rows.withColumns({"_low": low, "_high": high})
+    rows = rows.withColumn("_rsv", (F.col("close") - F.col("_low")) / guard(F.col("_high") - F.col("_low")) * 100).drop("_ends", "_lows", "_highs", "_low", "_high", "_at")
+    rows = rows.withColumns({"_n": F.count("close").over(upto), "_m": F.count("_rsv").over(upto), "_f": F.first("close", ignorenulls=True).over(upto), "_g": F.first("_rsv", ignorenulls=True).over(upto)})
+    # Running sums of s * x / keep ** place; times keep ** place they are the values of a recurrence that starts from 0. The x are taken
+    # less the block's first one, which is added again in the end: a recurrence that starts there starts without any rounding.
+    keep = {"ema12": 1 - FAST, "ema26": 1 - SLOW, "signal": 1 - SIGNAL, "k": 1 - SMOOTH}
+
+    def power(name: str, n: str) -> Column:
+        return F.pow(F.lit(keep[name]), F.col(n).cast("double"))
+
+    def own(x: Column, name: str, n: str) -> Column:
+        return F.coalesce(F.sum((1 - keep[name]) * x / power(name, n)).over(upto), F.lit(0.0)) * power(name, n)
+
+    rows = rows.withColumns({"_ema12": own(F.col("close") - F.col("_f"), "ema12", "_n"), "_ema26": own(F.col("close") - F.col("_f"), "ema26", "_n"), "_k": own(F.col("_rsv") - F.col("_g"), "k", "_m")})
+    rows = rows.withColumns({"_signal": own(F.when(F.col("close").isNotNull(), F.col("_ema12") - F.col("_ema26")), "signal", "_n"), "_d": own(F.when(F.col("_rsv").isNotNull(), F.col("_k")), "k", "_m")})
+    parts = ("_n", "_m", "_f", "_g", "_ema12", "_ema26", "_signal", "_k", "_d")
+    blocks = rows.groupBy(*keys).agg(F.max_by(F.struct(*parts), "date").alias("end")).select(*keys, "end.*")
+
+    def reached(start: Column, own_part: Callable[[str], Column]) -> list[Column]:
+        """Values after the rows of a block up to some row, from those at its start and the block's own parts."""
+        n, m = own_part("_n").cast("double"), own_part("_m").cast("double")
+        p = {c: F.pow(F.lit(v), m if c == "k" else n) for c, v in keep.items()}
+        # What reaches the signal line from an average at the start: the sum of keep ** rows of both, a geometric series; %K and %D share theirs.
+        series = {c: SIGNAL * keep[c] / (keep[c] - keep["signal"]) * (p[c] - p["signal"]) for c in ("ema12", "ema26")}
+        f, g = F.coalesce(own_part("_f"), F.lit(0.0)), F.coalesce(own_part("_g"), F.lit(0.0))
+        fast, slow, k, d = start["ema12"] - f, start["ema26"] - f, start["k"] - g, start["d"] - g
+        return [
+            (f + (p["ema12"] * fast + own_part("_ema12"))).alias("ema12"),
+            (f + (p["ema26"] * slow + own_part("_ema26"))).alias("ema26"),
+            (p["signal"] * start["signal"] + own_part("_signal") + (series["ema12"] * fast - series["ema26"] * slow)).alias("signal"),
+            (g + (p["k"] * k + own_part("_k"))).alias("k"),
+            (g + (p["k"] * (d + SMOOTH * m * k) + own_part("_d"))).alias("d"),
+        ]
+
+    none = F.lit(None).cast("double")
+    state = "struct<ema12:double,ema26:double,signal:double,k:double,d:double>"
+    start = F.struct(*[none.alias(c) for c in ("ema12", "ema26", "signal", "k", "d")]).cast(state)
+
+    def entered(now: Column, block: Column) -> Column:
+        """The values at a block's start: a recurrence that has none yet starts from the block's first value, as its average of one."""
+        price, rsv = block["_f"], block["_g"]
+        return F.struct(F.coalesce(now["ema12"], price).alias("ema12"), F.coalesce(now["ema26"], price).alias("ema26"), F.coalesce(now["signal"], price * 0).alias("signal"), F.coalesce(now["k"], rsv).alias("k"), F.coalesce(now["d"], rsv).alias("d"))
+
+    def step(acc: Column, block: Column) -> Column:
+        begin = entered(acc["now"], block)
+        after = F.struct(*[F.coalesce(v, acc["now"][c]).alias(c) for v, c in zip(reached(begin, lambda c: block[c]), ("ema12", "ema26", "signal", "k", "d"), strict=True)])
+        out = F.struct(block["_block"].alias("_block"), begin.cast(state).alias("_start"), acc["now"]["ema12"].isNotNull().alias("_priced"), acc["now"]["k"].isNotNull().alias("_ranged"))
+        return F.struct(after.cast(state).alias("now"), F.array_append(acc["out"], out).alias("out"))
+
+    empty = F.array().cast(f"array<struct<_block:int,_start:{state},_priced:boolean,_ranged:boolean>>")
+    of_symbol = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_block", *parts))).alias("blocks"))
+    starts = of_symbol.select("symbol", F.inline(F.aggregate("blocks", F.struct(start.alias("now"), empty.alias("out")), step, lambda acc: acc["out"])))
+    values = dict(zip(("ema12", "ema26", "macd_signal", "kdj_k", "kdj_d"), reached(F.col("_start"), F.col), strict=True))
+    # A block's start has the first value already for rows before it, which have none of their own.
+    seen = {c: F.when((F.col("_m") > 0) | F.col("_ranged") if c.startswith("kdj") else (F.col("_n") > 0) | F.col("_priced"), v) for c, v in values.items()}
+    done = rows.join(starts, keys).withColumns(seen)
+    done = done.withColumns({"macd": F.col("ema12") - F.col("ema26"), "macd_hist": F.col("ema12") - F.col("ema26") - F.col("macd_signal"), "kdj_j": 3 * F.col("kdj_k") - 2 * F.col("kdj_d")})
+    return done.select(*bars.columns, *EWM)
 
 
 def simple_rsi(close: str = "close", n: int = 14) -> tuple[Column, Column]:

@@ -97,9 +97,9 @@ def rules(spark, sf_dir):
     """Eight rules a brand, some inactive."""
     b = bars(spark, sf_dir).groupBy("symbol").agg(F.avg("close").alias("mean"))
     spec = [("price", "above", None), ("price", "below", None), ("pct", "up", 5.0), ("pct", "down", 5.0), ("pct", "any", 1.0), ("volume", "above", 1.2), ("macd", "any", 0.0), ("macd", "golden", 0.0)]
-    table_ = spark.createDataFrame([(i, *x) for i, x in enumerate(spec)], "i int, kind string, direction string, threshold double")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.lit(way).alias("direction"), F.lit(t).cast("double").alias("threshold")) for i, (kind, way, t) in enumerate(spec)])
     k = F.regexp_extract("symbol", "[0-9]+", 0).cast("int")
-    return b.crossJoin(table_).select((k * 10 + F.col("i")).alias("rule_id"), "symbol", "kind", "direction", F.coalesce("threshold", "mean").alias("threshold"), ((k + F.col("i")) % 6 != 0).alias("active"))
+    return b.select("symbol", "mean", F.inline(each)).select((k * 10 + F.col("i")).alias("rule_id"), "symbol", "kind", "direction", F.coalesce("threshold", "mean").alias("threshold"), ((k + F.col("i")) % 6 != 0).alias("active"))
 
 
 ALERTS = f"""{IND}, l0 AS (SELECT *, {lag('close')} AS prior, {lag('macd')} AS m1, {lag('macd_signal')} AS s1, avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING) AS mean19, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM ind),
@@ -152,7 +152,68 @@ query(
 # The same as real streams, and the table that alerts are written to
 query("stream_bars_live", ORACLES["stream_bars"])(live_bars)
 query("stream_dedupe_live", ORACLES["stream_dedupe"])(lambda s, d: live(s, d, lambda t: sm.dedupe(t.union(t))).groupBy("symbol").agg(F.count("*").alias("n")))
-query("stream_alerts_live", ORACLES["stream_alerts"])(lambda s, d: live(s, d, sm.alerts).drop("epoch"))
+
+
+def ended(spark, sf_dir, step, source=None, delay="2 hours"):
+    """What a stream of ticks has written when its session has ended: a run over the ticks, then one from its checkpoint over the closing row."""
+    path = new_folder(spark, "stream")
+    given = source(True) if source else ticks(spark, sf_dir, live=True)
+    last = (source(False) if source else ticks(spark, sf_dir)).agg((F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    closing = last.select(F.lit(sm.CLOSING).cast("long").alias("tick_id"), F.lit("session").alias("symbol"), "ts", *[F.lit(None).cast("double").alias(c) for c in ("price", "volume")])
+    closing.where("false").write.parquet(f"{path}/closing")
+    stream = step(given.unionByName(spark.readStream.schema(closing.schema).parquet(f"{path}/closing")))
+    sm.run_once(stream, path)
+    closing.write.mode("append").parquet(f"{path}/closing")
+    sm.run_once(stream, path)
+    return spark.read.parquet(f"{path}/out").drop("epoch")
+
+
+query("stream_alerts_live", ORACLES["stream_alerts"])(lambda s, d: ended(s, d, sm.alerts))
+
+
+def tick_rules(spark, sf_dir):
+    """Eight rules a kind of event, some inactive."""
+    b = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.avg("value").alias("mean"))
+    spec = [("price", "above", None), ("price", "below", None), ("pct", "up", 900.0), ("pct", "down", 90.0), ("pct", "any", 2000.0), ("volume", "above", 1.9), ("macd", "death", 0.0), ("macd", "golden", 0.0)]
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), F.lit(x).alias("direction"), F.lit(t).cast("double").alias("threshold")) for i, (k, x, t) in enumerate(spec)])
+    return b.select("symbol", "mean", F.inline(each)).select((F.length("symbol") * 10 + F.col("i")).alias("rule_id"), "symbol", "kind", "direction", F.coalesce("threshold", F.col("mean") * F.when(F.col("direction") == "above", 1.9).otherwise(0.1)).alias("threshold"), ((F.length("symbol") + F.col("i")) % 5 != 0).alias("active"))
+
+
+TICK_RULES = """WITH RECURSIVE t AS MATERIALIZED (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS date, event_id, value AS close, CAST(user_id % 50 AS DOUBLE) AS volume, row_number() OVER w AS rn, lag(value) OVER w AS before,
+  avg(user_id % 50) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING) AS mean19 FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+ e AS (SELECT symbol, rn, close AS f, close AS s, 0.0::DOUBLE AS g FROM t WHERE rn = 1
+  UNION ALL SELECT t.symbol, t.rn, e.f + 2.0::DOUBLE / 13 * (t.close - e.f), e.s + 2.0::DOUBLE / 27 * (t.close - e.s), e.g + 0.2::DOUBLE * ((e.f + 2.0::DOUBLE / 13 * (t.close - e.f)) - (e.s + 2.0::DOUBLE / 27 * (t.close - e.s)) - e.g) FROM e JOIN t ON t.symbol = e.symbol AND t.rn = e.rn + 1),
+ st AS (SELECT t.*, f - s AS macd, g AS sig, lag(f - s) OVER w AS m1, lag(g) OVER w AS s1 FROM t JOIN e USING (symbol, rn) WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+ spec(i, kind, direction, th) AS (VALUES (0, 'price', 'above', NULL), (1, 'price', 'below', NULL), (2, 'pct', 'up', 900.0), (3, 'pct', 'down', 90.0), (4, 'pct', 'any', 2000.0), (5, 'volume', 'above', 1.9), (6, 'macd', 'death', 0.0), (7, 'macd', 'golden', 0.0)),
+ rules AS (SELECT length(symbol) * 10 + i AS rule_id, symbol, kind, direction, coalesce(th::DOUBLE, mean * CASE WHEN direction = 'above' THEN 1.9::DOUBLE ELSE 0.1::DOUBLE END) AS threshold FROM (SELECT event_type AS symbol, avg(value) AS mean FROM events GROUP BY 1) CROSS JOIN spec WHERE (length(symbol) + i) % 5 <> 0),
+ j AS (SELECT *, (close / before - 1) * 100 AS x, volume / mean19 AS v, m1 <= s1 AND macd > sig AS golden, m1 >= s1 AND macd < sig AS death FROM rules JOIN st USING (symbol) WHERE rn >= 2),
+ alerts AS (SELECT rule_id, symbol, date, kind, CASE kind WHEN 'price' THEN 'warning' WHEN 'pct' THEN CASE WHEN abs(x) >= 10 THEN 'critical' ELSE 'warning' END WHEN 'volume' THEN 'info' ELSE CASE WHEN golden THEN 'info' ELSE 'warning' END END AS severity,
+  CASE kind WHEN 'price' THEN close WHEN 'pct' THEN x WHEN 'volume' THEN v ELSE macd - sig END AS value FROM j WHERE CASE kind WHEN 'price' THEN (direction = 'above' AND close > threshold) OR (direction = 'below' AND close < threshold)
+  WHEN 'pct' THEN (direction = 'up' AND x >= threshold) OR (direction = 'down' AND x <= -threshold) OR (direction = 'any' AND abs(x) >= threshold) WHEN 'volume' THEN rn >= 20 AND mean19 > 0 AND v > threshold ELSE (golden AND direction IN ('golden', 'any')) OR (death AND direction IN ('death', 'any')) END) """
+query("stream_rules", TICK_RULES + select(*_AL, "FROM alerts"))(lambda s, d: al.fired(tick_rules(s, d), sm.states(ticks(s, d))))
+query("stream_rules_live", ORACLES["stream_rules"])(lambda s, d: ended(s, d, lambda t: al.fired(tick_rules(s, d), sm.states(t))))
+
+
+def bars_as_ticks(spark, sf_dir, path):
+    """Daily bars as ticks, written in a few files that need not be in order; as a stream one file is a batch."""
+    day = F.col("date").cast("timestamp")
+    rows = bars(spark, sf_dir).select(F.datediff("date", F.lit("1970-01-01")).cast("long").alias("tick_id"), "symbol", day.alias("ts"), F.col("close").alias("price"), F.col("volume").cast("double").alias("volume"))
+    rows.repartitionByRange(2, "ts").write.parquet(path)
+    return lambda live: (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path) if live else spark.read.parquet(path))
+
+
+def live_rules(spark, sf_dir):
+    """Alerts of a stream of daily bars on each symbol's last bar."""
+    source = bars_as_ticks(spark, sf_dir, f"{new_folder(spark, 'bars')}/rows")
+    known = rules(spark, sf_dir)
+    found = ended(spark, sf_dir, lambda t: al.fired(known, sm.states(t, "3650 days")), source, "3650 days")
+    last = source(False).groupBy("symbol").agg(F.to_date(F.max("ts")).alias("date"))
+    return found.withColumn("date", F.to_date("date")).join(last, ["symbol", "date"]).select("rule_id", "symbol", "date", "kind", "severity", "value")
+
+
+query("alert_all_live", ORACLES["alert_all"])(live_rules)
+_HISTORY = ALERTS.replace("back = 1 AND n >= 2", "rn >= 2").replace("WHEN 'volume' THEN n >= 20", "WHEN 'volume' THEN rn >= 20")
+query("alert_history", f"{_HISTORY} " + select(*_AL, "FROM alerts"))(lambda s, d: al.history(rules(s, d), bars(s, d)))
 
 
 def sent_alerts(spark, sf_dir):

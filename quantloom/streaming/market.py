@@ -5,18 +5,24 @@ Every function also takes a batch table and then gives the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-ALERT = "symbol string, ts timestamp, kind string, value double"
+from ..operators import alerts as rules
+from ..operators.indicators import FAST, SIGNAL, SLOW
+
+MINUTE_US = 60_000_000
 #: Seconds of ticks that a task of a batch takes together.
 SPAN = 3600
-STATE = "price double, volumes array<double>"
+#: The tick_id of a row that ends a session, and the state store that timers and maps need.
+CLOSING = -1
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def bars(ticks: DataFrame, length: str = "1 hour", delay: str = "2 hours") -> DataFrame:
@@ -33,19 +39,6 @@ def dedupe(ticks: DataFrame, key: tuple[str, ...] = ("tick_id",), delay: str = "
     return df.dropDuplicatesWithinWatermark(list(key)) if ticks.isStreaming else df.dropDuplicates(list(key))
 
 
-def step(rows: pd.DataFrame, last: float | None, volumes: list[float], change: float, ratio: float) -> tuple[pd.DataFrame, float | None, list[float]]:
-    """Alerts of ticks in order of time: a change of ``change`` on the tick before, a volume over ``ratio`` means of the last 19."""
-    out = []
-    for ts, tick, price, volume in rows.sort_values(["ts", "tick_id"])[["ts", "tick_id", "price", "volume"]].itertuples(index=False):
-        del tick
-        if last and abs(price / last - 1) >= change:
-            out.append((ts, "pct", (price / last - 1) * 100))
-        if len(volumes) == 19 and sum(volumes) and volume / (sum(volumes) / 19) > ratio:
-            out.append((ts, "volume", volume / (sum(volumes) / 19)))
-        last, volumes = price, [*volumes, volume][-19:]
-    return pd.DataFrame(out, columns=["ts", "kind", "value"]), last, volumes
-
-
 def batch_alerts(ticks: DataFrame, change: float, ratio: float) -> DataFrame:
     """The alerts of a table by windows over a symbol's ticks of SPAN seconds, with the 19 ticks before them carried in."""
     order = [F.asc_nulls_last("ts"), F.asc_nulls_last("tick_id")]
@@ -69,19 +62,92 @@ def batch_alerts(ticks: DataFrame, change: float, ratio: float) -> DataFrame:
     return whole.where("own").select("symbol", "ts", F.inline(F.array_compact(found)))
 
 
-def alerts(ticks: DataFrame, change: float = 0.1, ratio: float = 3.0) -> DataFrame:
-    """Alerts per symbol; in a stream with the previous price and 19 volumes as state."""
+class TickStates(StatefulProcessor):
+    """The state row of every tick of a symbol, in order of event time.
+
+    Ticks wait by minute until the watermark has passed it; then the minute's ticks are taken in order of (ts, tick_id), and only
+    the last price, 19 volumes and the averages of MACD stay. So what is held of a symbol is the ticks of the watermark's delay and a minute at a time,
+    and a tick that comes late, but within the delay, is counted where it belongs.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "minute long", "ticks array<struct<us:long,tick_id:long,price:double,volume:double>>")
+        self.carried = handle.getValueState("carried", "rows long, price double, volumes array<double>, priced boolean, ema12 double, ema26 double, macd double, signal double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        timed = set(self.handle.listTimers())
+        for chunk in rows:
+            for minute, ticks in chunk.groupby(chunk["us"].astype("int64") // MINUTE_US):
+                minute = int(minute)
+                before = self.waiting.getValue((minute,))[0] if self.waiting.containsKey((minute,)) else []
+                new = [(int(us), None if pd.isna(i) else int(i), *(None if pd.isna(v) else float(v) for v in rest)) for us, i, *rest in ticks[["us", "tick_id", "price", "volume"]].itertuples(index=False)]
+                self.waiting.updateValue((minute,), ([*map(tuple, before), *new],))
+                end = (minute + 1) * MINUTE_US // 1000 - 1
+                if end not in timed:
+                    timed.add(end)
+                    self.handle.registerTimer(end)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 // MINUTE_US
+        now = list(self.carried.get()) if self.carried.exists() else [0, None, [], False, None, None, None, None]
+        for minute in sorted(m for (m,) in self.waiting.keys() if m < over):
+            ticks = sorted(map(tuple, self.waiting.getValue((minute,))[0]), key=lambda t: (t[0], t[1] is not None, t[1] or 0))
+            self.waiting.removeKey((minute,))
+            yield pd.DataFrame([(key[0], *next_state(now, t)) for t in ticks], columns=[c.split()[0] for c in TICK_STATE.split(", ")])
+        self.carried.update(tuple(now))
+
+    def close(self) -> None:
+        pass
+
+
+TICK_STATE = "symbol string, us long, close double, volume double, before double, macd double, macd_signal double, macd1 double, signal1 double, mean19 double, known19 long, rows long"
+
+
+def next_state(now: list, tick: tuple) -> tuple:
+    """The state row of the next tick of a symbol; ``now`` (rows, price, 19 volumes, priced, ema12, ema26, macd, signal) moves on."""
+    rows, before, volumes, priced, fast, slow, macd1, signal1 = now
+    us, _, price, volume = tick
+    macd, signal = macd1, signal1
+    if price is not None:
+        fast, slow = (fast + FAST * (price - fast), slow + SLOW * (price - slow)) if priced else (price, price)
+        macd = fast - slow
+        signal = signal1 + SIGNAL * (macd - signal1) if priced else macd
+        priced = True
+    known = [v for v in volumes if v is not None]
+    now[:] = [rows + 1, price, [*volumes, volume][-19:], priced, fast, slow, macd, signal]
+    return us, price, volume, before, macd, signal, macd1, signal1, sum(known) / len(known) if known else None, len(known), rows + 1
+
+
+def states(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """The state row of every tick (``alerts.STATE``), that rules look at; in a stream once the watermark has passed the tick's minute.
+
+    The batch form has the same rows. Ticks later than ``delay`` are dropped in a stream; in both, ticks without a time are left out. A tick whose tick_id is
+    CLOSING only moves the watermark: it ends a session.
+    """
+    real = F.coalesce("tick_id", F.lit(0)) != CLOSING
+    if not ticks.isStreaming:
+        rows = ticks.where(F.col("ts").isNotNull() & real).select("symbol", F.struct("ts", "tick_id").alias("date"), F.col("price").alias("close"), "volume", *[F.lit(None).cast("double").alias(c) for c in ("high", "low")])
+        place = F.row_number().over(W.partitionBy("symbol").orderBy("date"))
+        return rules.states(rows.withColumn("_place", place), F.floor(F.col("_place") / 1024)).withColumn("date", F.col("date.ts"))
+    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A condition on the event time stays above the watermark, which a closing row must reach.
+    timed = ticks.withWatermark("ts", delay).where(F.when(real, F.col("ts")).isNotNull()).select("symbol", "ts", F.unix_micros("ts").alias("us"), "tick_id", "price", "volume")
+    out = timed.groupBy("symbol").transformWithStateInPandas(TickStates(), TICK_STATE, "Append", "EventTime")
+    return out.select("symbol", F.timestamp_micros("us").alias("date"), *[c for c in out.columns if c not in ("symbol", "us")])
+
+
+def alerts(ticks: DataFrame, change: float = 0.1, ratio: float = 3.0, delay: str = "2 hours") -> DataFrame:
+    """Alerts per symbol on a change of ``change`` on the tick before and a volume over ``ratio`` means of the last 19; in a stream from states."""
     if not ticks.isStreaming:
         return batch_alerts(ticks, change, ratio)
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, volumes = state.get if state.exists else (None, [])
-        found, last, volumes = step(pd.concat(list(chunks)), last, list(volumes or []), change, ratio)
-        state.update((last, volumes))
-        found.insert(0, "symbol", key[0])
-        yield found
-
-    return ticks.groupBy("symbol").applyInPandasWithState(update, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
+    pct, times = F.col("close") / F.nullif(F.col("before"), F.lit(0.0)) - 1, F.col("volume") / F.nullif(F.col("mean19"), F.lit(0.0))
+    found = F.array(
+        F.when(~F.isnan(pct) & (F.abs(pct) >= change), F.struct(F.lit("pct").alias("kind"), (pct * 100).alias("value"))),
+        F.when((F.col("known19") == 19) & ~F.isnan(times) & (times > ratio), F.struct(F.lit("volume").alias("kind"), times.alias("value"))),
+    )
+    return states(ticks, delay).select("symbol", F.col("date").alias("ts"), F.inline(F.array_compact(found)))
 
 
 def sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -94,7 +160,10 @@ def sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Run a stream over all that is there: each batch becomes a partition of the table ``path``/out, written over on a retry."""
+    """Run a stream over all that is there: each batch becomes a partition of the table ``path``/out, written over on a retry.
+
+    Run again, it goes on from the checkpoint in ``path``/state with what is new since.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
