@@ -31,11 +31,14 @@ def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     doc_id keeps one of its rows and those without doc_id all stay.
     """
     first = ngram_join.first_of_groups(docs).groupBy("key").agg(F.min(F.col("key") == F.col("component_id")).alias("stays"), F.max("named").alias("named"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"))
-    stays = stash(first.where("stays").select("key", F.expr("rows > 1 and (named or size > 0)").alias("several")), "stays")
-    # Both parts use one shuffle of the rows by key.
-    rows = docs.select(*COLUMNS, row_key().alias("key")).join(stays, "key")
-    one = rows.where("several").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return rows.where("not several").select(*COLUMNS).unionByName(one)
+    several = F.expr("stays and rows > 1 and (named or size > 0)")
+    judged = stash(first.select("key", "stays", several.alias("several")), "judged")
+    gone, several = (stash(judged.where(c).select("key"), name) for c, name in (("not stays or several", "gone"), ("several", "several")))
+    rows = docs.select(*COLUMNS, row_key().alias("key"))
+    kept = rows.join(gone, "key", "left_anti").select(*COLUMNS)
+    if several.isEmpty():
+        return kept
+    return kept.unionByName(rows.join(several, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = docs.withColumn("key", row_key())
     found = decontamination.overlaps(rows.select(F.col("key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
-    return rows.join(found, "key", "left_anti").select(*COLUMNS)
+    return rows.join(stash(found, "overlaps"), "key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
