@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import average_available, center, higher, lower
@@ -63,29 +64,34 @@ def momentum(bars: DataFrame) -> DataFrame:
     return df.withColumn("momentum_score", average_available(higher(F.col("momentum_6m"), -0.2, 0.5), higher(F.col("momentum_12m"), -0.3, 0.8)))
 
 
-def low_vol(bars: DataFrame, n: int = READINESS["max_drawdown"], at: DataFrame | None = None) -> DataFrame:
-    """Annualised deviation of n - 1 returns and the drawdown inside the last n closes, on every row or on the rows ``at`` (symbol, date).
+def sliding_drawdown(close: str, place: str, n: int) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The largest drawdown inside the last n closes (positive ones), from states of blocks of n rows that merge.
 
-    The drawdown needs a running maximum that starts with the window: a fold over the window's closes. For some rows only,
-    those meet the closes before them by blocks of n rows, so that no others are gathered.
+    The state of some rows in order is their highest and lowest close and their worst drop; two states merge into the higher and lower of these, and the worst
+    of both drops and of the later low against the earlier top. The last n rows are the end of one block and the beginning of
+    the next, so running states forward and backward in a block give each window by one merge, whatever n is.
+    Two steps of columns to add, and the drawdown; ``place`` numbers a symbol's rows from 0.
     """
-    df = bars.withColumns({"_r": F.col("close") / lag("close") - 1, "_rn": F.row_number().over(by())})
-    vol = F.when(F.col("_rn") >= n, full(F.stddev_samp, "_r", n - 1) * F.sqrt(F.lit(252.0)))
-    df = df.withColumn("annualized_volatility", vol)
-    if at is None:
-        df = df.withColumn("_frame", F.collect_list("close").over(last_rows(n)))
-    else:
-        block = F.floor(F.col("_rn") / n)
-        past = df.select("symbol", block.alias("_block"), F.col("_rn").alias("_k"), F.col("close").alias("_c"))
+    block = F.floor(F.col(place) / n)
+    forward = W.partitionBy("symbol", block).orderBy(place).rowsBetween(W.unboundedPreceding, 0)
+    backward = W.partitionBy("symbol", block).orderBy(F.desc(place)).rowsBetween(W.unboundedPreceding, 0)
+    x = F.col(close)
+    first = {"_top": F.max(x).over(forward), "_low": F.min(x).over(forward), "_top_on": F.max(x).over(backward), "_low_on": F.min(x).over(backward)}
+    second = {"_drop": F.min(x / F.col("_top") - 1).over(forward), "_drop_on": F.min(F.col("_low_on") / x - 1).over(backward)}
+    start = lambda c: lag(c, n - 1)
+    merged = F.least("_drop", start("_drop_on"), F.col("_low") / start("_top_on") - 1)
+    return first, second, F.when(F.col(place) % n == n - 1, F.col("_drop")).otherwise(merged)
+
+
+def low_vol(bars: DataFrame, n: int = READINESS["max_drawdown"], at: DataFrame | None = None) -> DataFrame:
+    """Annualised deviation of n - 1 returns and the drawdown inside the last n closes, on every row or on the rows ``at`` (symbol, date)."""
+    df = bars.withColumns({"_r": F.col("close") / lag("close") - 1, "_rn": F.row_number().over(by()) - 1, "_have": F.count("close").over(last_rows(n))})
+    vol = F.when(F.col("_rn") >= n - 1, full(F.stddev_samp, "_r", n - 1) * F.sqrt(F.lit(252.0)))
+    first, second, worst = sliding_drawdown("close", "_rn", n)
+    df = df.withColumn("annualized_volatility", vol).withColumns(first).withColumns(second).withColumn("max_drawdown", F.when(F.col("_have") == n, worst))
+    if at is not None:
         df = df.join(at.select("symbol", "date").distinct(), ["symbol", "date"], "left_semi")
-        asked = df.select("symbol", F.col("_rn"), F.explode(F.array(block, block - 1)).alias("_block"))
-        met = asked.join(past, ["symbol", "_block"]).where((F.col("_k") <= F.col("_rn")) & (F.col("_k") > F.col("_rn") - n))
-        frames = met.groupBy("symbol", "_rn").agg(F.sort_array(F.collect_list(F.struct("_k", "_c"))).alias("_frame"))
-        df = df.join(frames, ["symbol", "_rn"], "left").withColumn("_frame", F.transform("_frame", lambda x: x["_c"]))
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("worst"))
-    step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), F.least(a["worst"], x / F.greatest(a["top"], x) - 1).alias("worst"))
-    df = df.withColumn("max_drawdown", F.when(F.size("_frame") == n, F.aggregate("_frame", start, step, lambda a: a["worst"])))
-    return df.withColumn("low_vol_score", average_available(lower(F.col("annualized_volatility"), 0.12, 0.6), lower(F.abs("max_drawdown"), 0.08, 0.5))).drop("_r", "_rn", "_frame")
+    return df.withColumn("low_vol_score", average_available(lower(F.col("annualized_volatility"), 0.12, 0.6), lower(F.abs("max_drawdown"), 0.08, 0.5))).drop("_r", "_rn", "_have", *first, *second)
 
 
 def obos(bars: DataFrame) -> DataFrame:

@@ -23,10 +23,26 @@ def pairs(text: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(at, lambda i: F.substr(text, i, F.lit(1))), F.transform(at, lambda i: F.substr(text, i, F.lit(2)))))
 
 
+#: Keys of a word list that texts are looked through for before they are joined with it; a longer list is joined at once.
+KEYS = 100_000
+
+
+def with_keys(rows: DataFrame, words: DataFrame, key: Column) -> DataFrame:
+    """rows with ``_keys``, the distinct keys of ``words``: one broadcast row of KEYS keys at most; null if there are more."""
+    some = words.select(key.alias("_key")).distinct().limit(KEYS + 1).agg(F.collect_set("_key").alias("_keys"))
+    return rows.crossJoin(F.broadcast(some.select(F.when(F.size("_keys") <= KEYS, F.col("_keys")).alias("_keys"))))
+
+
+def among(found: Column) -> Column:
+    """Distinct items of an array that are among ``_keys``."""
+    return F.when(F.col("_keys").isNull(), F.array_distinct(found)).otherwise(F.array_intersect(found, "_keys"))
+
+
 def holding(rows: DataFrame, words: DataFrame, word: str) -> DataFrame:
     """rows (with a column text) joined with the words that occur in the text: an equi-join on a word's first two characters, then a check."""
-    keyed = rows.withColumn("_key", F.explode(pairs(F.col("text"))))
-    return keyed.join(words.withColumn("_key", F.substring(word, 1, 2)), "_key").where(F.contains("text", word)).drop("_key")
+    start = F.substring(word, 1, 2)
+    keyed = with_keys(rows, words, start).withColumn("_key", F.explode(among(pairs(F.col("text"))))).drop("_keys")
+    return keyed.join(words.withColumn("_key", start), "_key").where(F.contains("text", word)).drop("_key")
 
 
 def sentiment(posts: DataFrame, lexicon: DataFrame, key: str = "post_id") -> DataFrame:
@@ -37,7 +53,12 @@ def sentiment(posts: DataFrame, lexicon: DataFrame, key: str = "post_id") -> Dat
     """
     cjk_words = lexicon.where(F.col("word").rlike(CJK))
     rows = posts.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    latin = rows.select(key, F.explode(tokens(F.col("text"))).alias("word")).join(lexicon.where(~F.col("word").rlike(CJK)), "word").groupBy(key).agg(F.count_if(F.col("polarity") > 0).alias("p"), F.count_if(F.col("polarity") < 0).alias("n"))
+    plain = lexicon.where(~F.col("word").rlike(CJK))
+    # Only words of the lexicon leave their text, each once, with its count.
+    split = with_keys(rows.select(key, tokens(F.col("text")).alias("_tokens")), plain, F.col("word"))
+    hits = split.select(key, "_tokens", F.explode(among(F.col("_tokens"))).alias("word")).select(key, "word", F.size(F.filter("_tokens", lambda t: t == F.col("word"))).alias("_times"))
+    counted = lambda sign: F.sum(F.when(sign, F.col("_times")).otherwise(0)).cast("long")
+    latin = hits.join(plain, "word").groupBy(key).agg(counted(F.col("polarity") > 0).alias("p"), counted(F.col("polarity") < 0).alias("n"))
     times = (F.length("text") - F.length(F.replace("text", "word", F.lit("")))) / F.length("word")
     cjk = holding(rows.where(F.col("text").rlike(CJK)), cjk_words, "word").groupBy(key).agg(F.sum(F.when(F.col("polarity") > 0, times).otherwise(0)).cast("long").alias("p"), F.sum(F.when(F.col("polarity") < 0, times).otherwise(0)).cast("long").alias("n"))
     both = latin.unionByName(cjk).groupBy(key).agg(F.sum("p").alias("positive"), F.sum("n").alias("negative"))
@@ -102,11 +123,29 @@ NOT_CODES = tuple(
 )
 #: Names of strategies in messages, the first that occurs counts (fixed values).
 STRATEGIES = {"buy_hold": "买入持有|買入持有|buy.?hold|持有策略|长期持有|長期持有", "sma_cross": "均线交叉|均線交叉|sma.?cross|moving.average|双均线|雙均線", "rsi": "rsi|相对强弱|相對強弱"}
-#: Words before a sum of money, ten-thousands after it, shares, and words before what a share cost (fixed values).
-MONEY, MYRIAD, SHARES, COST = "本金|资金|資金|capital|initial", "万|萬|w", "股|shares?", "成本|cost|均价|平均成本"
+#: Words before a sum of money, what may stand between, ten-thousands after it, words for shares, before what a share cost, and between holdings (fixed values).
+MONEY, LINKS, MYRIAD, SHARES, COST, BREAKS = ("本金", "资金", "資金", "capital", "initial"), "为為是:", ("万", "萬", "w"), ("股", "shares", "share"), ("平均成本", "成本", "cost", "均价"), ",，、;；"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
+def after(text: Column, words: tuple[str, ...]) -> Column:
+    """What follows each occurrence of one of the words, up to the next one."""
+    pieces = F.split(text, "|".join(words))
+    return F.slice(pieces, 2, F.size(pieces))
+
+
+def leading(text: Column) -> Column:
+    """The number at the start of a text, else empty."""
+    return F.regexp_extract(F.ltrim(text), f"^{NUMBER}", 0)
+
+
+def quantities(text: Column) -> Column:
+    """Each number of shares in a text and what follows it, up to the next one."""
+    unit = rf"({NUMBER})\s*(?:{'|'.join(SHARES)})"
+    pieces = F.split(text, unit)
+    return F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(unit), F.lit(1)).alias("shares"), F.slice(pieces, 2, F.size(pieces)).alias("rest")), lambda q: F.struct(q["shares"].alias("shares"), q["rest"].alias("rest")))
+
+
 def symbols(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(CODES), F.lit(0))
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(*NOT_CODES)))
@@ -136,19 +175,38 @@ def holdings(messages: DataFrame, names: DataFrame) -> DataFrame:
     between commas is one if it holds a number of shares and a symbol in any order.
     """
     rows = messages.select("message_id", F.coalesce("text", F.lit("")).alias("text"))
-    stated = rf"({NUMBER})\s*(?:{SHARES})\s*([^0-9\s,，、;；]+?)(?:\s*(?:{COST})\s*({NUMBER})|(?=[0-9\s,，、;；]|$))"
-    parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(stated), F.lit(i)).alias(n) for i, n in ((1, "shares"), (2, "text"), (3, "cost"))])
     keys = ("message_id", "pos")
-    first = rows.select("message_id", F.posexplode(parts).alias("pos", "h")).select("message_id", "pos", "h.*")
-    first = _with_symbol(first, names, keys).where("symbol is not null")
-    rest = rows.where(F.col("text").rlike(rf"{NUMBER}\s*(?:{SHARES})")).join(first.select("message_id").distinct(), "message_id", "left_anti")
-    part = rest.select("message_id", F.posexplode(F.split("text", "[,，、;；]")).alias("pos", "text"))
-    part = part.select(*keys, F.regexp_extract("text", rf"({NUMBER})\s*(?:{SHARES})", 1).alias("shares"), "text", F.regexp_extract("text", rf"(?:{COST}|@|at)\s*({NUMBER})", 1).alias("cost")).where("shares <> ''")
+    # What follows a quantity belongs to it as far as the next break: a name, then perhaps what it cost.
+    rest = F.split(F.col("h.rest"), f"[{BREAKS}]")[0]
+    paid = F.get(after(rest, COST), 0)
+    name = F.regexp_extract(F.ltrim(F.when(paid.isNotNull(), F.split(rest, "|".join(COST))[0]).otherwise(rest)), r"^[^0-9\s]+", 0)
+    first = rows.select("message_id", F.posexplode(quantities(F.col("text"))).alias("pos", "h")).select(*keys, F.col("h.shares").alias("shares"), name.alias("text"), leading(F.coalesce(paid, F.lit(""))).alias("cost"))
+    first = _with_symbol(first.where("text <> ''"), names, keys).where("symbol is not null")
+    others = rows.where(F.size(quantities(F.col("text"))) > 0).join(first.select("message_id").distinct(), "message_id", "left_anti")
+    part = others.select("message_id", F.posexplode(F.split("text", f"[{BREAKS}]")).alias("pos", "text"))
+    prices = F.filter(F.transform(after(F.col("text"), (*COST, "@", r"\bat\b")), leading), lambda x: x != "")
+    part = part.select(*keys, F.get(quantities(F.col("text")), 0)["shares"].alias("shares"), "text", F.coalesce(F.get(prices, 0), F.lit("")).alias("cost")).where("shares is not null")
     second = _with_symbol(part, names, keys).where("symbol is not null")
-    one = F.struct("pos", F.concat_ws(":", "symbol", "shares", F.when(F.coalesce("cost", F.lit("")) == "", "0").otherwise(F.col("cost"))).alias("h"))
+    one = F.struct("pos", F.concat_ws(":", "symbol", "shares", F.when(F.col("cost") == "", "0").otherwise(F.col("cost"))).alias("h"))
     return first.unionByName(second).groupBy("message_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["h"]), ",").alias("holdings"))
 
 
+def capital(text: Column) -> Column:
+    """The first sum after a word for money, in units; 100,000 if none is named."""
+    said = F.transform(after(text, MONEY), lambda x: F.regexp_replace(x, rf"^[\s{LINKS}]+", ""))
+    sums = F.filter(F.transform(said, lambda x: F.struct(leading(x).alias("amount"), F.ltrim(F.regexp_replace(x, f"^{NUMBER}", "")).alias("rest"))), lambda s: s["amount"] != "")
+    one = F.get(sums, 0)
+    times = F.when(F.exists(F.array(*map(F.lit, MYRIAD)), lambda u: F.startswith(one["rest"], u)), 10_000.0).otherwise(1.0)
+    return F.coalesce(one["amount"].try_cast("double") * times, F.lit(100_000.0))
+
+
+def target_return(text: Column) -> Column:
+    """The first percentage, as a share; null if there is none."""
+    ends = F.transform(F.split(text, "%"), lambda x: F.regexp_extract(F.rtrim(x), f"{NUMBER}$", 0))
+    stated = F.filter(F.slice(ends, 1, F.size(ends) - 1), lambda x: x != "")
+    return F.get(stated, 0).try_cast("double") / 100
+
+
 def entities(messages: DataFrame, names: DataFrame) -> DataFrame:
     """Symbols (by code, and by name from a table (name, symbol)), strategy, capital, target return, holdings."""
     text = F.coalesce("text", F.lit(""))
@@ -157,10 +215,5 @@ def entities(messages: DataFrame, names: DataFrame) -> DataFrame:
     strategy = F.lit("buy_hold")
     for name, pattern in reversed(STRATEGIES.items()):
         strategy = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(strategy)
-    money = rf"(?:{MONEY})\s*(?:为|為|是|:)?\s*({NUMBER})\s*({MYRIAD})?"
-    amount = F.expr("try_cast(_amount AS double)")
-    goal = F.regexp_extract(text, rf"({NUMBER})\s*%", 1)
-    df = df.withColumns({"_amount": F.regexp_extract(text, money, 1), "_unit": F.regexp_extract(text, money, 2)})
-    capital = F.when(amount.isNull(), 100_000.0).when(F.col("_unit") != "", amount * 10_000).otherwise(amount)
     every = F.array_distinct(F.concat(F.coalesce("_named", F.array().cast("array<string>")), symbols(text)))
-    return df.select("message_id", F.array_join(every, ",").alias("symbols"), strategy.alias("strategy"), capital.alias("capital"), (F.when(goal != "", goal).cast("double") / 100).alias("target_return"), F.coalesce("holdings", F.lit("")).alias("holdings"))
+    return df.select("message_id", F.array_join(every, ",").alias("symbols"), strategy.alias("strategy"), capital(text).alias("capital"), target_return(text).alias("target_return"), F.coalesce("holdings", F.lit("")).alias("holdings"))

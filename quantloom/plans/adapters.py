@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
+_written: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def written_once() -> Iterator[None]:
+    """Within this, the tables below are computed and written to the shared folder at their first use, and read from there at each use."""
+    token = _written.set({})
+    try:
+        yield
+    finally:
+        _written.reset(token)
+
+
+def shared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known, key = _written.get(), (f.__name__, sf_dir)
+        if known is None:
+            return f(spark, sf_dir)
+        if key not in known:
+            path = new_folder(spark, f.__name__)
+            df = f(spark, sf_dir)
+            df.write.parquet(path)
+            known[key] = spark.read.schema(df.schema).parquet(path)
+        return known[key]
+
+    return get
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@shared
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of each brand: one shuffle on (symbol, date) with partial aggregation."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
@@ -40,6 +76,7 @@ def resampled_sql(name: str, unit: str) -> str:
  min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume, sum(amount) AS amount FROM bars GROUP BY 1, 2)"""
 
 
+@shared
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(bars(spark, sf_dir), "week")
 
@@ -52,6 +89,7 @@ def brand_number(symbol: str = "symbol") -> F.Column:
     return F.regexp_extract(symbol, "[0-9]+", 0).cast("int")
 
 
+@shared
 def raw_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly reports per brand, with some missing or impossible publication dates and a later duplicate."""
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
@@ -87,6 +125,7 @@ RAW_FUNDAMENTALS = """raw_fundamentals AS MATERIALIZED (SELECT symbol, report_da
  avg(l_tax) AS t, avg(p_size) AS z, sum(l_quantity) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)))"""
 
 
+@shared
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly macro indicators from orders, published ten days after the month; some are missing."""
     o = table(spark, sf_dir, "orders")
@@ -120,6 +159,7 @@ MACRO = """macro AS MATERIALIZED (SELECT date, date + 10 AS available_date, CASE
 MACRO_FIELDS = ("pmi", "cpi_yoy", "ppi_yoy", "m2_yoy", "social_financing_yoy", "ten_year_yield", "usd_cny", "policy_score", "external_risk_score")
 
 
+@shared
 def signal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first bar date of each quarter."""
     days = bars(spark, sf_dir).select("date").distinct()

@@ -9,7 +9,7 @@ from ..operators import macro as mc
 from ..operators import pit
 from ..operators import portfolio as pf
 from ..sources.normalize import normalize_fundamentals
-from .adapters import BARS, MACRO, MEMBERS, RAW_FUNDAMENTALS, SIGNAL_DATES, bars, macro, raw_fundamentals, signal_dates, strategy_members
+from .adapters import BARS, MACRO, MEMBERS, RAW_FUNDAMENTALS, SIGNAL_DATES, bars, macro, raw_fundamentals, shared, signal_dates, strategy_members
 from .indicator_plans import full, lag
 from .portfolio_plans import LIMITS, poured
 from .registry import query, select
@@ -55,6 +55,7 @@ ASOF = f"""{SIGNAL_DATES}, fa0 AS MATERIALIZED (SELECT d.date AS signal_date, c.
  QUALIFY row_number() OVER (PARTITION BY d.date, c.symbol ORDER BY c.available_date DESC, c.report_date DESC) = 1)"""
 
 
+@shared
 def fundamentals(spark, sf_dir):
     return pit.asof(clean(spark, sf_dir), signals(spark, sf_dir), ["symbol"])
 
@@ -168,6 +169,7 @@ query(
 )(lambda s, d: fa.readiness(bars(s, d).where(F.col("date") < F.lit("1995-12-31").cast("date")).groupBy("symbol").agg(F.count("*").alias("observations"))))
 
 
+@shared
 def all_factors(spark, sf_dir):
     """Fundamental and price factors of every symbol with prices at each signal date."""
     f = fundamental_factors(spark, sf_dir)
@@ -202,6 +204,7 @@ query("universe_fixed", f"WITH {BARS} SELECT DISTINCT symbol, false AS point_in_
 )
 
 
+@shared
 def snapshot(spark, sf_dir):
     """One row per signal date and symbol: scores, availability, the macro regime, target weight or rejection."""
     scored = all_factors(spark, sf_dir).join(strategy_members(bars(spark, sf_dir)).select("symbol", "industry"), "symbol")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators import portfolio as pf
 from ..operators import strategies as st
-from .adapters import BARS, EQUITY, MEMBERS, WEEKLY, bars, equity, strategy_members, weekly
+from .adapters import BARS, EQUITY, MEMBERS, WEEKLY, bars, equity, shared, strategy_members, weekly
 from .indicator_plans import full, lag
 from .registry import query, select
 
@@ -112,6 +112,7 @@ def members(spark, sf_dir):
     return strategy_members(bars(spark, sf_dir))
 
 
+@shared
 def grid(spark, sf_dir):
     return pf.price_grid(members(spark, sf_dir), weekly(spark, sf_dir))
 
@@ -136,6 +137,7 @@ query(
 )(every_frequency)
 
 
+@shared
 def schedule(spark, sf_dir):
     """Fixed weights of each strategy on its quarterly rebalance dates."""
     dates = pf.rebalance_dates(grid(spark, sf_dir).select("strategy_id", "date").distinct(), "quarterly")
@@ -157,6 +159,7 @@ query(
 )(lambda s, d: pf.weights_reason(flawed(s, d), 0.3, 0.05, grid(s, d)))
 
 
+@shared
 def folded(spark, sf_dir):
     return pf.rebalance(grid(spark, sf_dir), schedule(spark, sf_dir))
 
@@ -192,6 +195,7 @@ LIMITS = pf.Constraints(max_holdings=8, min_holdings=6, min_score=40.0, max_posi
 LOOSE = pf.Constraints(max_holdings=8, min_score=40.0, max_position_weight=1.0, max_industry_weight=1.0, cash_weight_min=0.05, cash_weight_max=0.4)
 
 
+@shared
 def candidates(spark, sf_dir):
     from .adapters import resampled
 

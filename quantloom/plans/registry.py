@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .adapters import written_once
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -30,11 +33,24 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+#: Queries that use a derived table several times: it is written once a call and read from there.
+REPEATED = frozenset(
+    "rebalance_dates weights_validate bt_portfolio bt_trades bt_holdings bt_turnover price_grid weight_schedule constraints_check portfolio_build portfolio_warnings allocate_weights "
+    "factor_low_vol factor_availability factor_composite factor_composite_avail factor_snapshot factor_buckets factor_coverage fundamentals_asof fundamentals_eligible run_coverage_summary run_status "
+    "ind_ema ind_macd ind_kdj ind_full ml_features sig_macd sig_kdj sig_technical vote_weighted confidence_weighted signal_plugin reco_rank market_overview alert_price alert_pct alert_volume alert_macd_cross alert_all alert_history ml_train_rf ml_predict ml_importance "
+    "return_moments opt_portfolio_stats opt_min_variance opt_target_return opt_frontier opt_max_sharpe opt_max_sharpe_weights alert_all_live".split()
+)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; its doubles are rounded."""
 
     def add(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with written_once() if name in REPEATED else nullcontext():
+                return rounded(f(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
