@@ -32,9 +32,68 @@ def moments(rets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return means, cov
 
 
-def _groups(means: DataFrame, cov: DataFrame) -> DataFrame:
+#: Symbols of a vector segment, and dates whose outer products a task sums at a time.
+SEGMENT, DATES = 256, 1024
+
+
+def wide_moments(rets: DataFrame, segment: int = SEGMENT, dates: int = DATES) -> tuple[DataFrame, DataFrame]:
+    """The same as ``moments`` for universes of thousands of symbols, as a Gram matrix by blocks.
+
+    A date's centred returns are a vector in segments of ``segment`` symbols. Two segments of a date meet in one row, so a date has
+    (symbols / segment) ** 2 / 2 rows instead of symbols ** 2; the outer products of ``dates`` dates are one matrix product in a task, and the
+    sums of those are added up block by block. ``rets`` must have every symbol of a universe on every one of its dates, as ``returns`` gives them.
+    """
+    means = rets.groupBy("universe", "symbol").agg(F.avg("ret").alias("mean"), F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("universe").orderBy("symbol")) - 1
+    placed = means.withColumns({"segment": F.floor(place / segment).cast("int"), "place": (place % segment).cast("int")})
+    centred = rets.join(placed, ["universe", "symbol"]).select("universe", "date", "segment", "place", (F.col("ret") - F.col("mean")).alias("x"))
+    vectors = centred.groupBy("universe", "date", "segment").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda v: v["x"]).alias("v"))
+    other = vectors.select("universe", "date", F.col("segment").alias("other"), F.col("v").alias("w"))
+    met = vectors.join(other, ["universe", "date"]).where("segment <= other")
+    count = rets.groupBy("universe").agg(F.count_distinct("date").alias("all"))
+    chunk = F.pmod(F.xxhash64("date"), F.ceil(F.col("all") / dates)).cast("int")
+    met = met.join(count, "universe").withColumn("chunk", chunk)
+
+    def product(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(rows["v"].to_numpy()), np.stack(rows["w"].to_numpy())
+        return rows[["universe", "segment", "other"]].head(1).assign(rows=x.shape[1], sums=[(x.T @ y).ravel()])
+
+    keys = ["universe", "segment", "other"]
+    parts = met.groupBy(*keys, "chunk").applyInPandas(product, "universe int, segment int, other int, rows int, sums array<double>")
+    # A cell's sum over the chunks: of each chunk one row a cell, added before and after a shuffle.
+    cells = parts.select(*keys, "rows", F.size("sums").alias("size"), F.posexplode("sums").alias("cell", "sum")).groupBy(*keys, "cell").agg(F.sum("sum").alias("sum"), F.max("rows").alias("rows"), F.max("size").alias("size"))
+    width = F.col("size") / F.col("rows")
+    cells = cells.select(*keys, F.floor(F.col("cell") / width).cast("int").alias("row"), (F.col("cell") % width).cast("int").alias("column"), "sum")
+    whole = cells.unionByName(cells.where("segment < other").select("universe", F.col("other").alias("segment"), F.col("segment").alias("other"), F.col("column").alias("row"), F.col("row").alias("column"), "sum"))
+    name = lambda c, at, seg: placed.select("universe", F.col("symbol").alias(c), F.col("segment").alias(seg), F.col("place").alias(at), "n")
+    cov = whole.join(name("a", "row", "segment"), ["universe", "segment", "row"]).join(name("b", "column", "other").drop("n"), ["universe", "other", "column"])
+    return means.drop("n"), cov.select("universe", "a", "b", F.when(F.col("n") > 1, F.col("sum") / (F.col("n") - 1)).alias("cov"))
+
+
+def rolling_moments(rets: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Means (universe, date, symbol, mean) and covariances (universe, date, a, b, cov) of the n dates that end at each date.
+
+    Running sums of centred returns and of their products a date; a window's sums are differences of two of them, whatever n is.
+    """
+    overall = W.partitionBy("universe", "symbol")
+    rows = rets.withColumn("centre", F.avg("ret").over(overall)).withColumn("x", F.col("ret") - F.col("centre"))
+
+    def window(df: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:
+        w = W.partitionBy("universe", *keys).orderBy("date")
+        sums = {f"_{c}": F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)) for c in columns}
+        df = df.withColumns({"_rn": F.row_number().over(w), **sums})
+        return df.withColumns({c: F.col(f"_{c}") - F.lag(f"_{c}", n, 0.0).over(w) for c in columns}).where(F.col("_rn") >= n).drop("_rn", *sums)
+
+    means = window(rows, ("symbol",), "x").select("universe", "date", "symbol", (F.col("x") / n + F.col("centre")).alias("mean"))
+    other = rows.select("universe", "date", F.col("symbol").alias("b"), F.col("x").alias("y"))
+    both = rows.select("universe", "date", F.col("symbol").alias("a"), "x").join(other, ["universe", "date"]).withColumn("xy", F.col("x") * F.col("y"))
+    sums = window(both, ("a", "b"), "x", "y", "xy")
+    return means, sums.select("universe", "date", "a", "b", ((F.col("xy") - F.col("x") * F.col("y") / n) / (n - 1)).alias("cov"))
+
+
+def _groups(means: DataFrame, cov: DataFrame, by: tuple[str, ...] = ("universe",)) -> DataFrame:
     """One row a pair of assets, with the mean of the first."""
-    return cov.join(means.select("universe", F.col("symbol").alias("a"), "mean"), ["universe", "a"])
+    return cov.join(means.select(*by, F.col("symbol").alias("a"), "mean"), [*by, "a"])
 
 
 def _matrices(rows: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -91,23 +150,27 @@ def max_sharpe_weights(mean: np.ndarray, cov: np.ndarray, risk_free: float = 0.0
     return _valid(y)
 
 
-WEIGHTS = "universe int, symbol string, weight double"
+def _solve(means: DataFrame, cov: DataFrame, f, by: tuple[str, ...] = ("universe",)) -> DataFrame:
+    """Weights of each universe, or with ``by`` of each universe and window end."""
 
-
-def _solve(means: DataFrame, cov: DataFrame, f) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         symbols, mean, c = _matrices(rows)
-        return pd.DataFrame({"universe": rows["universe"].iloc[0], "symbol": symbols, "weight": f(mean, c)})
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(symbols) for k in by}, "symbol": symbols, "weight": f(mean, c)})
+
+    types = dict(cov.dtypes)
+    return _groups(means, cov, by).groupBy(*by).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in by) + ", symbol string, weight double")
+
 
-    return _groups(means, cov).groupBy("universe").applyInPandas(one, WEIGHTS)
+def min_variance(means: DataFrame, cov: DataFrame, by: tuple[str, ...] = ("universe",)) -> DataFrame:
+    return _solve(means, cov, lambda m, c: min_variance_weights(c), by)
 
 
-def min_variance(means: DataFrame, cov: DataFrame) -> DataFrame:
-    return _solve(means, cov, lambda m, c: min_variance_weights(c))
+def target_return(means: DataFrame, cov: DataFrame, target: float, by: tuple[str, ...] = ("universe",)) -> DataFrame:
+    return _solve(means, cov, lambda m, c: target_weights(m, c, target), by)
 
 
-def target_return(means: DataFrame, cov: DataFrame, target: float) -> DataFrame:
-    return _solve(means, cov, lambda m, c: target_weights(m, c, target))
+def best_sharpe(means: DataFrame, cov: DataFrame, by: tuple[str, ...] = ("universe",)) -> DataFrame:
+    return _solve(means, cov, max_sharpe_weights, by)
 
 
 def frontier(means: DataFrame, cov: DataFrame, n: int = 10) -> DataFrame:
@@ -122,12 +185,12 @@ def frontier(means: DataFrame, cov: DataFrame, n: int = 10) -> DataFrame:
     return _groups(means, cov).groupBy("universe").applyInPandas(one, "universe int, point int, target double, symbol string, weight double")
 
 
-def stats(weights: DataFrame, means: DataFrame, cov: DataFrame, keys: tuple[str, ...] = ("universe",), risk_free: float = 0.02) -> DataFrame:
-    """Annual return, variance, volatility and Sharpe ratio of weights (keys, symbol, weight): joins and sums."""
-    ret = weights.join(means, ["universe", "symbol"]).groupBy(*keys).agg((F.sum(F.col("weight") * F.col("mean")) * YEAR).alias("annual_return"))
+def stats(weights: DataFrame, means: DataFrame, cov: DataFrame, keys: tuple[str, ...] = ("universe",), risk_free: float = 0.02, by: tuple[str, ...] = ("universe",)) -> DataFrame:
+    """Annual return, variance, volatility and Sharpe ratio of weights (keys, symbol, weight) by moments of ``by``: joins and sums."""
+    ret = weights.join(means, [*by, "symbol"]).groupBy(*keys).agg((F.sum(F.col("weight") * F.col("mean")) * YEAR).alias("annual_return"))
     a = weights.select(*keys, F.col("symbol").alias("a"), F.col("weight").alias("wa"))
     b = weights.select(*keys, F.col("symbol").alias("b"), F.col("weight").alias("wb"))
-    var = a.join(cov, ["universe", "a"]).join(b, [*keys, "b"]).groupBy(*keys).agg((F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * YEAR).alias("variance"))
+    var = a.join(cov, [*by, "a"]).join(b, [*keys, "b"]).groupBy(*keys).agg((F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * YEAR).alias("variance"))
     out = ret.join(var, list(keys)).withColumn("volatility", F.sqrt("variance"))
     return out.withColumn("sharpe_ratio", F.when(F.col("volatility") != 0, (F.col("annual_return") - risk_free) / F.col("volatility")))
 

@@ -54,17 +54,24 @@ def rejected_counts(facts: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def macro_asof(macro: DataFrame, signals: DataFrame) -> DataFrame:
-    """Latest public macro row of each signal date (nulls where none is), with the rows passed over."""
+    """Latest public macro row of each signal date (nulls where none is), with the rows passed over.
+
+    A sweep over days: a row becomes public on the later of its date and its publication. What happens on a day is one row, and a
+    signal date sees the running maximum and counts up to it.
+    """
     values = [c for c in macro.columns if c not in ("date", "available_date")]
-    rows = signals.crossJoin(macro)  # months and signal dates of a calendar
-    public = (F.col("available_date") <= F.col("signal_date")) & (F.col("date") <= F.col("signal_date"))
-    out = rows.groupBy("signal_date").agg(
-        F.max_by(F.when(public, F.struct("date", *values)), F.when(public, F.struct("available_date", "date"))).alias("v"),
-        F.count_if(F.col("available_date") > F.col("signal_date")).alias("published_later"),
-        F.count_if(F.col("available_date").isNull()).alias("missing_available"),
-        F.count_if(public).alias("eligible"),
-    )
-    return out.select("signal_date", F.col("v.date").alias("macro_date"), *[F.col(f"v.{c}").alias(c) for c in values], "published_later", "missing_available", "eligible")
+    row = F.struct("available_date", "date", *values)
+    kind = dict(macro.select(row.alias("v")).dtypes)["v"]
+    none, no, one = F.lit(None).cast(kind), F.lit(0), F.lit(1)
+    signal = F.lit(None).cast("date").alias("signal_date")
+    public = macro.where("date is not null and available_date is not null").select(F.greatest("date", "available_date").alias("day"), signal, row.alias("v"), one.alias("e"), no.alias("a"), no.alias("m"))
+    published = macro.select(F.col("available_date").alias("day"), signal, none, no, F.col("available_date").isNotNull().cast("int"), F.col("available_date").isNull().cast("int"))
+    asked = signals.select(F.col("signal_date").alias("day"), "signal_date", none, no, no, no)
+    days = public.union(published).union(asked).groupBy("day", "signal_date").agg(F.max("v").alias("v"), *[F.sum(c).alias(c) for c in "eam"])
+    every = W.partitionBy()  # days of a calendar
+    so_far = every.orderBy("day").rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = days.withColumns({"v": F.max("v").over(so_far), "eligible": F.sum("e").over(so_far), "published_later": F.sum("a").over(every) - F.sum("a").over(so_far), "missing_available": F.sum("m").over(every)})
+    return out.where("signal_date is not null").select("signal_date", F.col("v.date").alias("macro_date"), *[F.col(f"v.{c}").alias(c) for c in values], "published_later", "missing_available", "eligible")
 
 
 def signal_date_by(executions: DataFrame, dates: DataFrame, by: str) -> DataFrame:

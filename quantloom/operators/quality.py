@@ -42,23 +42,30 @@ def prices(bars: DataFrame) -> DataFrame:
     return g.select("symbol", (F.size("errors") == 0).alias("passed"), F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "first_date", "last_date")
 
 
-def benchmarks(rows: DataFrame, start: str, end: str, ratio: float = MIN_RATIO) -> DataFrame:
-    """First reason why a (symbol, source)'s rows (date and close as text) are not fit, else success."""
+def benchmarks(rows: DataFrame, start: str, end: str, ratio: float = MIN_RATIO, requested: DataFrame | None = None) -> DataFrame:
+    """First reason why a (symbol, source)'s rows (date and close as text) are not fit, else success.
+
+    A pair of ``requested`` (symbol, source) without rows is an empty response; one whose rows have no date or no close at all lacks that column.
+    """
     a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
     df = rows.withColumns({"_date": F.expr("try_cast(date AS date)"), "_close": F.expr("try_cast(close AS double)")})
     days = df.groupBy("symbol", "source", "_date").count().groupBy("symbol", "source").agg(F.coalesce(F.sum(F.when((F.col("count") > 1) & F.col("_date").isNotNull(), F.col("count"))), F.lit(0)).alias("twice"))
     c = F.col("_close")
     infinite = F.isnan(c) | (F.abs(c) == float("inf"))
     g = df.groupBy("symbol", "source").agg(
-        F.count("date").alias("n"), F.count_if(F.col("_date").isNull() & F.col("date").isNotNull()).alias("unread"), F.count_if(~F.col("_date").between(a, b)).alias("outside"), F.count_if(c.isNull()).alias("missing"),
+        F.count("*").alias("rows"), F.count("close").alias("closes"), F.count("date").alias("n"), F.count_if(F.col("_date").isNull() & F.col("date").isNotNull()).alias("unread"), F.count_if(~F.col("_date").between(a, b)).alias("outside"), F.count_if(c.isNull()).alias("missing"),
         F.count_if(infinite).alias("infinite"), F.count_if(c <= 0).alias("negative"), F.min("_date").alias("first_date"), F.max("_date").alias("last_date"),
     )
-    g = g.join(days, ["symbol", "source"]).withColumn("days", F.greatest(weekdays(a, F.date_add(b, 1)), F.lit(1)))
+    g = g.join(days, ["symbol", "source"])
+    if requested is not None:
+        g = requested.select("symbol", "source").distinct().join(g, ["symbol", "source"], "left").fillna(0, ["rows", "closes", "n", "unread", "outside", "missing", "infinite", "negative", "twice"])
+    g = g.withColumn("days", F.greatest(weekdays(a, F.date_add(b, 1)), F.lit(1)))
     g = g.withColumn("least", F.when(F.col("days") == 1, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("days") * ratio))))
     edge = F.least(F.lit(MAX_EDGE_GAP), F.greatest(F.col("days") - F.col("least") - 1, F.lit(0)))
     covered = F.least(F.col("n") / F.col("days"), F.lit(1.0))
     reason = (
-        F.when(F.col("n") == 0, "empty_response")
+        F.when(F.col("rows") == 0, "empty_response")
+        .when((F.col("n") == 0) | (F.col("closes") == 0), "invalid_schema")
         .when(F.col("unread") > 0, "invalid_dates")
         .when(F.col("outside") > 0, "invalid_dates")
         .when(F.col("missing") > 0, "missing_close")
@@ -132,6 +139,12 @@ def macro_reason(raw: DataFrame) -> DataFrame:
         .when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "non_finite_value")
         .when(~F.coalesce(F.col("source").rlike(SOURCE), F.lit(False)), "invalid_schema")
     )
+    if "revision" in raw.columns:  # an integer or text that is not blank
+        kind = dict(raw.dtypes)["revision"]
+        odd = F.trim("revision") == "" if kind == "string" else F.lit(kind not in ("tinyint", "smallint", "int", "bigint", "void"))
+        reason = reason.when(F.col("revision").isNotNull() & odd, "invalid_schema")
+    for c in {"unit", "frequency"} & set(raw.columns):  # text
+        reason = reason.when(F.col(c).isNotNull() & F.lit(dict(raw.dtypes)[c] not in ("string", "void")), "invalid_schema")
     return raw.withColumn("reason", reason)
 
 
@@ -169,13 +182,22 @@ def macro_indicators(judged: DataFrame) -> DataFrame:
 def macro_pit(valid: DataFrame, signals: DataFrame) -> DataFrame:
     """How many signal dates find all, some or none of the indicators public, and how many look past a record.
 
-    Both tables are of a calendar: dates, and a fixed set of indicators by month.
+    A sweep over days, one row each: the indicators (a bit each) that become public on it, and the records observed but not yet
+    public that begin and end. A signal date sees the running OR of the bits and the running number of such records.
     """
-    all_ = valid.agg(F.count_distinct("indicator").alias("want"))
-    s, o, a = F.col("signal_date"), F.col("observation_date"), F.col("available_date")
-    rows = signals.crossJoin(valid).groupBy("signal_date").agg(F.count_distinct(F.when((o <= s) & (a <= s), F.col("indicator"))).alias("have"), F.max(o > s).alias("future"), F.max((o <= s) & (a > s)).alias("unpublished"))
-    rows = rows.crossJoin(all_)  # one row
-    return rows.agg(F.count("*").alias("signal_dates"), F.count_if(F.col("have") == F.col("want")).alias("fully_available"), F.count_if((F.col("have") > 0) & (F.col("have") < F.col("want"))).alias("partially_available"), F.count_if(F.col("have") == 0).alias("unavailable"), F.count_if("future").alias("future_observation"), F.count_if("unpublished").alias("future_available_date"))
+    o, a = F.col("observation_date"), F.col("available_date")
+    bit = F.call_function("shiftleft", F.lit(1), F.array_position(F.array(*map(F.lit, INDICATORS)), F.col("indicator")).cast("int") - 1)
+    waits = F.coalesce(o < a, F.lit(False)).cast("int")
+    moments = F.array(*[F.struct(day.alias("day"), bits.alias("bits"), waiting.alias("waiting"), seen.alias("seen")) for day, bits, waiting, seen in ((F.when(o.isNotNull() & a.isNotNull(), F.greatest(o, a)), bit, F.lit(0), o), (o, F.lit(0), waits, o), (a, F.lit(0), -waits, o))])
+    happened = valid.select(F.inline(moments)).withColumn("asked", F.lit(0)).where("day is not null")
+    asked = signals.select(F.col("signal_date").alias("day"), F.lit(0), F.lit(0), F.lit(None).cast("date"), F.lit(1))
+    days = happened.union(asked).groupBy("day").agg(F.bit_or("bits").alias("bits"), F.sum("waiting").alias("waiting"), F.max("seen").alias("seen"), F.sum("asked").alias("asked"))
+    every = W.partitionBy()  # days of a calendar
+    so_far = every.orderBy("day").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = days.withColumns({"have": F.bit_or("bits").over(so_far), "want": F.bit_or("bits").over(every), "open": F.sum("waiting").over(so_far), "last": F.max("seen").over(every)}).where("asked > 0")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("asked"))), F.lit(0)).cast("long")
+    have, want = F.col("have"), F.col("want")
+    return rows.agg(F.coalesce(F.sum("asked"), F.lit(0)).cast("long").alias("signal_dates"), n(have == want).alias("fully_available"), n((have != 0) & (have != want)).alias("partially_available"), n(have == 0).alias("unavailable"), n(F.col("last") > F.col("day")).alias("future_observation"), n(F.col("open") > 0).alias("future_available_date"))
 
 
 def valuation_reason(raw: DataFrame) -> DataFrame:

@@ -20,7 +20,15 @@ CATEGORIES = {
     "fundamental_data": ("fundamental", "historical pe", "historical pb", "dividend_yield"),
     "factor_coverage": ("factor warning", "excluded unavailable factors", "missing pe", "missing pb", "missing roe", "beta scoring", "factor coverage"),
 }
+#: Severities and scopes of a warning, forms of its source and of the artifacts that it names, and the names of those (fixed values).
 SEVERITIES = ("info", "warning", "error")
+SCOPES = ("price_provider", "benchmark", "fundamental", "macro", "universe", "factor", "portfolio")
+SOURCE = r"^[a-z][a-z0-9_.-]*$"
+ARTIFACT = r"^[A-Za-z0-9][A-Za-z0-9_.-]*\.(?:json|parquet)(?:#(?:/[^#]*)?)?$"
+ARTIFACTS = (
+    "config.json", "run_manifest.json", "metrics.json", "benchmark_metrics.json", "benchmark_diagnostics.json", "warnings.json",
+    "equity_curve.parquet", "benchmark_curve.parquet", "holdings.parquet", "trades.parquet", "factor_snapshots.parquet",
+)
 
 
 def dedupe(warnings: DataFrame) -> DataFrame:
@@ -43,9 +51,31 @@ def summarize(warnings: DataFrame, k: int = 3) -> DataFrame:
     return g.select("run_id", "category", "total", F.array_join(F.transform("s", lambda x: x["message"]), " | ").alias("samples"), (F.col("total") > k).alias("truncated"))
 
 
+def totals(warnings: DataFrame) -> DataFrame:
+    """(run_id, dimension, value, total): warnings of each run by every category, severity and scope, also where there are none.
+
+    Categories count all warnings; severities and scopes those that are well formed (``reason`` null).
+    """
+    names = {"category": (*CATEGORIES, "system"), "severity": SEVERITIES, "scope": SCOPES}
+    pair = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
+    good = F.col("reason").isNull()
+    seen = warnings.select("run_id", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), (F.col(d) if d == "category" else F.when(good, F.col(d))).alias("value")) for d in names]))).where("value is not null")
+    every = warnings.select("run_id").distinct().select("run_id", F.inline(F.array(*[pair(d, F.lit(v)) for d, values in names.items() for v in values])))
+    counted = seen.groupBy("run_id", "dimension", "value").agg(F.count("*").alias("total"))
+    return every.join(counted, ["run_id", "dimension", "value"], "left").fillna(0, ["total"])
+
+
 def validate(warnings: DataFrame) -> DataFrame:
-    source = F.coalesce(F.col("source").rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$"), F.lit(False))
-    reason = F.when(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)), "invalid_severity").when(~source, "invalid_source").when(F.trim(F.coalesce("message", F.lit(""))) == "", "empty_message")
+    """First reason against each warning, null if none: severity, scope, message, source, then the artifacts it names (an array, may be null)."""
+    unknown = lambda c, names: ~F.coalesce(F.col(c).isin(*names), F.lit(False))
+    bad = F.exists(F.coalesce("artifact_refs", F.array().cast("array<string>")), lambda r: r.isNull() | ~r.rlike(ARTIFACT) | ~F.substring_index(r, "#", 1).isin(*ARTIFACTS))
+    reason = (
+        F.when(unknown("severity", SEVERITIES), "invalid_severity")
+        .when(unknown("scope", SCOPES), "invalid_scope")
+        .when(F.trim(F.coalesce("message", F.lit(""))) == "", "empty_message")
+        .when(~F.coalesce(F.col("source").rlike(SOURCE), F.lit(False)), "invalid_source")
+        .when(bad, "invalid_artifact_reference")
+    )
     return warnings.withColumn("reason", reason)
 
 

@@ -38,11 +38,11 @@ START, END = "1996-01-01", "1999-12-31"
 
 
 def benchmark_rows(spark, sf_dir):
-    """Daily closes of nine brands as text from two sources, with flaws by brand: 2 unread dates, 3 no close, 4 not finite, 5 negative, 6 twice, 7 half of the days."""
+    """Daily closes as text from two sources, with flaws of the first by brand: 2 unread dates, 3 closes missing, 4 not finite, 5 negative, 6 twice, 7 half of the days, 8 no closes at all."""
     k = brand()
-    b = bars(spark, sf_dir).where((k <= 9) & F.col("date").between(START, END)).withColumn("k", k)
+    b = bars(spark, sf_dir).where(F.col("date").between(START, END)).withColumn("k", k)
     first = F.dayofmonth("date") == 1
-    close = F.when(first & (F.col("k") == 3), None).when(first & (F.col("k") == 4), "NaN").when(first & (F.col("k") == 5), "-1").otherwise(F.col("close").cast("string"))
+    close = F.when(first & (F.col("k") == 3), None).when(first & (F.col("k") == 4), "NaN").when(first & (F.col("k") == 5), "-1").when(F.col("k") != 8, F.col("close").cast("string"))
     day = F.when(first & (F.col("k") == 2), "never").otherwise(F.col("date").cast("string"))
     rows = b.select("symbol", F.lit("a").alias("source"), day.alias("date"), close.alias("close"), "k", F.col("date").alias("d"))
     rows = rows.where((F.col("k") != 7) | (F.dayofmonth("d") > 15))
@@ -54,16 +54,26 @@ def first_of(condition: str, day: str):
     return F.expr(f"{condition} AND dayofmonth({day}) = 2")
 
 
-BROWS = f"""{BARS}, b0 AS (SELECT *, {K} AS k FROM bars WHERE {K} <= 9 AND date BETWEEN DATE '{START}' AND DATE '{END}'),
- b1 AS (SELECT symbol, 'a' AS source, CASE WHEN day(date) = 1 AND k = 2 THEN 'never' ELSE CAST(date AS VARCHAR) END AS date, CASE WHEN day(date) = 1 AND k = 3 THEN NULL WHEN day(date) = 1 AND k = 4 THEN 'NaN' WHEN day(date) = 1 AND k = 5 THEN '-1' ELSE CAST(close AS VARCHAR) END AS close, k, date AS d FROM b0 WHERE k <> 7 OR day(date) > 15),
+BROWS = f"""{BARS}, b0 AS (SELECT *, {K} AS k FROM bars WHERE date BETWEEN DATE '{START}' AND DATE '{END}'),
+ b1 AS (SELECT symbol, 'a' AS source, CASE WHEN day(date) = 1 AND k = 2 THEN 'never' ELSE CAST(date AS VARCHAR) END AS date, CASE WHEN day(date) = 1 AND k = 3 THEN NULL WHEN day(date) = 1 AND k = 4 THEN 'NaN' WHEN day(date) = 1 AND k = 5 THEN '-1' WHEN k <> 8 THEN CAST(close AS VARCHAR) END AS close, k, date AS d FROM b0 WHERE k <> 7 OR day(date) > 15),
  brows AS MATERIALIZED (SELECT * FROM b1 UNION ALL SELECT * FROM b1 WHERE k = 6 AND day(d) = 2 UNION ALL SELECT symbol, 'b', CAST(date AS VARCHAR), CAST(close AS VARCHAR), k, date FROM b0 WHERE k > 1),
- bq0 AS (SELECT symbol, source, count(*) AS n, count(*) FILTER (try_cast(date AS DATE) IS NULL) AS unread, count(*) FILTER (close IS NULL) AS missing, count(*) FILTER (NOT isfinite(try_cast(close AS DOUBLE))) AS infinite, count(*) FILTER (try_cast(close AS DOUBLE) <= 0) AS negative,
+ bq0 AS (SELECT symbol, source, count(*) AS n, count(close) AS closes, count(*) FILTER (try_cast(date AS DATE) IS NULL) AS unread, count(*) FILTER (close IS NULL) AS missing, count(*) FILTER (NOT isfinite(try_cast(close AS DOUBLE))) AS infinite, count(*) FILTER (try_cast(close AS DOUBLE) <= 0) AS negative,
  count(*) - count(DISTINCT date) AS twice, min(try_cast(date AS DATE)) AS first_date, max(try_cast(date AS DATE)) AS last_date, {DAYS(f"DATE '{START}'", f"(DATE '{END}' + 1)")} AS days FROM brows GROUP BY 1, 2),
  cal AS MATERIALIZED (SELECT CAST(x AS DATE) AS day FROM range(TIMESTAMP '{START}', TIMESTAMP '2000-01-01', INTERVAL 1 DAY) t(x) WHERE isodow(x) <= 5),
  bq1 AS (SELECT bq0.*, (SELECT count(*) FROM cal WHERE day < first_date) AS head, (SELECT count(*) FROM cal WHERE day > last_date) AS tail, greatest(2, ceil(days * 0.8)) AS least FROM bq0),
- bq AS MATERIALIZED (SELECT symbol, source, n, first_date, last_date, least(n / days, 1.0::DOUBLE) AS coverage_ratio, CASE WHEN unread > 0 THEN 'invalid_dates' WHEN missing > 0 THEN 'missing_close' WHEN infinite > 0 THEN 'non_finite_close' WHEN negative > 0 THEN 'non_positive_close'
+ bq AS MATERIALIZED (SELECT symbol, source, n, first_date, last_date, least(n / days, 1.0::DOUBLE) AS coverage_ratio, CASE WHEN closes = 0 THEN 'invalid_schema' WHEN unread > 0 THEN 'invalid_dates' WHEN missing > 0 THEN 'missing_close' WHEN infinite > 0 THEN 'non_finite_close' WHEN negative > 0 THEN 'non_positive_close'
  WHEN twice > 0 THEN 'duplicate_dates' WHEN n < least THEN 'insufficient_coverage' WHEN greatest(head, tail) > least(5, greatest(days - least - 1, 0)) THEN 'insufficient_coverage' ELSE 'success' END AS reason FROM bq1)"""
-query("dq_benchmark", f"WITH {BROWS} " + select("symbol, source, n, first_date, last_date, reason", "coverage_ratio", "FROM bq"))(lambda s, d: q.benchmarks(benchmark_rows(s, d), START, END))
+#: Every brand is asked of three sources; the third answers nothing, the second nothing for brand 1.
+_ASKED = "FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(source) LEFT JOIN bq USING (symbol, source)"
+
+
+def asked(spark, sf_dir):
+    return bars(spark, sf_dir).select("symbol").distinct().select("symbol", F.explode(F.array(*map(F.lit, "abc"))).alias("source"))
+
+
+query("dq_benchmark", f"WITH {BROWS} " + select("symbol, source, coalesce(n, 0) AS n, first_date, last_date, coalesce(reason, 'empty_response') AS reason", "coalesce(coverage_ratio, 0) AS coverage_ratio", _ASKED))(
+    lambda s, d: q.benchmarks(benchmark_rows(s, d), START, END, requested=asked(s, d))
+)
 
 
 def chosen(spark, sf_dir):
@@ -109,6 +119,8 @@ def raw_observations(spark, sf_dir):
         F.when((m == 3) & (i == "m2_yoy"), None).when((m == 4) & (i == "m2_yoy"), F.lit("1999/01/01")).when((m == 5) & (i == "m2_yoy"), F.lit("1980-01-01")).otherwise(F.col("available_date").cast("string")).alias("available_date"),
         F.when((m == 6) & (i == "m2_yoy"), F.lit("NaN")).when((m == 7) & (i == "m2_yoy"), F.lit("high")).otherwise(F.round("value", 4).cast("string")).alias("value"),
         F.when((m == 8) & (i == "m2_yoy"), F.lit("a b")).otherwise(F.col("source")).alias("source"),
+        F.when(m % 2 == 0, F.when((m == 10) & (i == "m2_yoy"), F.lit("  ")).otherwise(F.concat(F.lit("r"), m.cast("string")))).alias("revision"),
+        F.lit("percent").alias("unit"),
     )
 
 
@@ -116,10 +128,10 @@ _R = lambda cond, then: f"WHEN {cond} THEN {then}"
 RAW = f"""{LONG}, raw AS MATERIALIZED (SELECT CASE WHEN m = 1 AND indicator = 'pmi' THEN NULL WHEN m = 1 AND indicator = 'ppi_yoy' THEN 'gdp' ELSE indicator END AS indicator,
  CASE WHEN m = 2 AND indicator = 'pmi' THEN NULL WHEN m = 2 AND indicator = 'ppi_yoy' THEN 'soon' ELSE CAST(observation_date AS VARCHAR) END AS observation_date,
  CASE WHEN m = 3 AND indicator = 'm2_yoy' THEN NULL WHEN m = 4 AND indicator = 'm2_yoy' THEN '1999/01/01' WHEN m = 5 AND indicator = 'm2_yoy' THEN '1980-01-01' ELSE CAST(available_date AS VARCHAR) END AS available_date,
- CASE WHEN m = 6 AND indicator = 'm2_yoy' THEN 'NaN' WHEN m = 7 AND indicator = 'm2_yoy' THEN 'high' ELSE 'x' END AS value, CASE WHEN m = 8 AND indicator = 'm2_yoy' THEN 'a b' ELSE source END AS source FROM (SELECT *, month(observation_date) AS m FROM long)),
+ CASE WHEN m = 6 AND indicator = 'm2_yoy' THEN 'NaN' WHEN m = 7 AND indicator = 'm2_yoy' THEN 'high' ELSE 'x' END AS value, CASE WHEN m = 8 AND indicator = 'm2_yoy' THEN 'a b' ELSE source END AS source, CASE WHEN m = 10 AND indicator = 'm2_yoy' THEN '  ' WHEN m % 2 = 0 THEN 'r' || m END AS revision FROM (SELECT *, month(observation_date) AS m FROM long)),
  judged AS (SELECT indicator, observation_date, available_date, CASE WHEN indicator IS NULL THEN 'missing_indicator' WHEN indicator NOT IN ({', '.join(f"'{c}'" for c in q.INDICATORS)}) THEN 'invalid_schema' WHEN observation_date IS NULL THEN 'missing_observation_date'
  WHEN NOT regexp_matches(observation_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'invalid_observation_date' WHEN available_date IS NULL THEN 'missing_available_date' WHEN NOT regexp_matches(available_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'invalid_available_date'
- WHEN available_date < observation_date THEN 'available_before_observation' WHEN value IN ('NaN', 'high') THEN 'non_finite_value' WHEN source = 'a b' THEN 'invalid_schema' END AS reason FROM raw)"""
+ WHEN available_date < observation_date THEN 'available_before_observation' WHEN value IN ('NaN', 'high') THEN 'non_finite_value' WHEN source = 'a b' OR trim(revision) = '' THEN 'invalid_schema' END AS reason FROM raw)"""
 query("macro_obs_reason", f"WITH {RAW} SELECT * FROM judged")(lambda s, d: q.macro_reason(raw_observations(s, d)).select("indicator", "observation_date", "available_date", "reason"))
 
 

@@ -35,10 +35,10 @@ def rounded(df: DataFrame) -> DataFrame:
 
 #: Queries that use a derived table several times: it is written once a call and read from there.
 REPEATED = frozenset(
-    "rebalance_dates weights_validate bt_portfolio bt_trades bt_holdings bt_turnover price_grid weight_schedule constraints_check portfolio_build portfolio_warnings allocate_weights "
+    "dq_benchmark source_priority_select rebalance_dates weights_validate bt_portfolio bt_trades bt_holdings bt_turnover price_grid weight_schedule constraints_check portfolio_build portfolio_warnings allocate_weights "
     "factor_low_vol factor_availability factor_composite factor_composite_avail factor_snapshot factor_buckets factor_coverage fundamentals_asof fundamentals_eligible run_coverage_summary run_status "
     "ind_ema ind_macd ind_kdj ind_full ml_features sig_macd sig_kdj sig_technical vote_weighted confidence_weighted signal_plugin reco_rank market_overview alert_price alert_pct alert_volume alert_macd_cross alert_all alert_history ml_train_rf ml_predict ml_importance "
-    "return_moments opt_portfolio_stats opt_min_variance opt_target_return opt_frontier opt_max_sharpe opt_max_sharpe_weights alert_all_live".split()
+    "return_moments return_moments_wide rolling_moments opt_rolling_min_variance opt_rolling_best_sharpe opt_portfolio_stats opt_min_variance opt_target_return opt_frontier opt_max_sharpe opt_max_sharpe_weights alert_all_live".split()
 )
 
 

@@ -12,7 +12,7 @@ from ..operators import text as tx
 from ..operators.portfolio import trades
 from ..sources.shared import new_folder
 from ..streaming import market as sm
-from .adapters import BARS, MEMBERS, WEEKLY, bars, equity, strategy_members, table, weekly
+from .adapters import BARS, MEMBERS, WEEKLY, bars, equity, shared, strategy_members, table, weekly
 from .indicator_plans import IND, lag
 from .portfolio_plans import _BUY, _SELL, EQUITY, FOLD, GRID, SID, folded, grid, schedule
 from .quality_plans import COVERAGE, run_tables
@@ -26,6 +26,7 @@ def universe(spark, sf_dir):
     return weekly(spark, sf_dir).join(m, "symbol").select("universe", "date", "symbol", "close")
 
 
+@shared
 def rets(spark, sf_dir):
     return op.returns(universe(spark, sf_dir))
 
@@ -35,6 +36,27 @@ RETS = f"""{WEEKLY}, {MEMBERS}, u0 AS (SELECT strategy_id AS universe, date, sym
  means AS MATERIALIZED (SELECT universe, symbol, avg(ret) AS mean FROM rets GROUP BY 1, 2), cov AS MATERIALIZED (SELECT x.universe, x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS cov FROM rets x JOIN rets y ON x.universe = y.universe AND x.date = y.date GROUP BY 1, 2, 3)"""
 query("returns_matrix", f"WITH {RETS} " + select("universe, date, symbol", "ret", "FROM rets"))(rets)
 query("return_moments", f"WITH {RETS} " + select("universe, a, b", "cov; mean", "FROM cov JOIN (SELECT universe, symbol AS a, mean FROM means) USING (universe, a)"))(lambda s, d: (lambda m: m[1].join(m[0].withColumnRenamed("symbol", "a"), ["universe", "a"]).select("universe", "a", "b", "cov", "mean"))(op.moments(rets(s, d))))
+# All brands as one universe, by blocks of four symbols
+_ALL = RETS.replace("SELECT strategy_id AS universe, date", "SELECT 0 AS universe, date").replace("PARTITION BY universe, date) = 5", "PARTITION BY universe, date) = 25")
+
+
+def all_rets(spark, sf_dir):
+    return op.returns(universe(spark, sf_dir).withColumn("universe", F.lit(0)))
+
+
+query("return_moments_wide", f"WITH {_ALL} " + select("universe, a, b", "cov; mean", "FROM cov JOIN (SELECT universe, symbol AS a, mean FROM means) USING (universe, a)"))(
+    lambda s, d: (lambda m: m[1].join(m[0].withColumnRenamed("symbol", "a"), ["universe", "a"]).select("universe", "a", "b", "cov", "mean"))(op.wide_moments(all_rets(s, d), 4))
+)
+#: Weeks of a rolling window.
+WINDOW = 52
+_ROLL = "(PARTITION BY x.universe, x.symbol, y.symbol ORDER BY x.date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)"
+query(
+    "rolling_moments",
+    f"WITH {RETS}, roll AS (SELECT x.universe, x.date, x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) OVER {_ROLL} AS cov, avg(x.ret) OVER {_ROLL} AS mean, count(*) OVER {_ROLL} AS n FROM rets x JOIN rets y ON x.universe = y.universe AND x.date = y.date) "
+    + select("universe, date, a, b", "cov; mean", "FROM roll WHERE n = 52"),
+)(lambda s, d: (lambda m: m[1].join(m[0].withColumnRenamed("symbol", "a"), ["universe", "date", "a"]).select("universe", "date", "a", "b", "cov", "mean"))(op.rolling_moments(rets(s, d), WINDOW)))
+query("opt_rolling_min_variance")(lambda s, d: op.min_variance(*op.rolling_moments(rets(s, d), WINDOW), by=("universe", "date")))
+query("opt_rolling_best_sharpe")(lambda s, d: op.best_sharpe(*op.rolling_moments(rets(s, d), WINDOW), by=("universe", "date")))
 query("opt_min_variance")(lambda s, d: op.min_variance(*op.moments(rets(s, d))))
 query("opt_target_return")(lambda s, d: op.target_return(*op.moments(rets(s, d)), 0.5))
 query("opt_frontier")(lambda s, d: op.frontier(*op.moments(rets(s, d)), 8))
@@ -303,15 +325,28 @@ def warnings(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     words = F.array(*[F.lit(x) for x in ("Benchmark missing", "Macro data empty", "Universe is fixed", "cash_weight high", "Fundamental report late", "disk slow", "")])
     k = F.col("event_id")
-    return e.select((k % 20).alias("run_id"), k.alias("seq"), F.element_at(words, (k % 7 + 1).cast("int")).alias("message"), F.when(k % 11 == 0, "fatal").otherwise("warning").alias("severity"), F.when(k % 13 == 0, "bad source").otherwise(F.col("event_type")).alias("source"))
+    return e.select((k % 20).alias("run_id"), k.alias("seq"), F.element_at(words, (k % 7 + 1).cast("int")).alias("message"), F.when(k % 11 == 0, "fatal").otherwise("warning").alias("severity"), F.when(k % 13 == 0, "bad source").otherwise(F.col("event_type")).alias("source"),
+        F.element_at(F.array(*map(F.lit, (*rv.SCOPES, "elsewhere"))), (k % 8 + 1).cast("int")).alias("scope"), F.when(k % 3 == 0, F.array(F.lit("metrics.json"), F.element_at(F.array(*map(F.lit, REFERENCES)), (k % len(REFERENCES) + 1).cast("int")))).alias("artifact_refs"))
+
+
+#: Artifacts that warnings name; the first three are well formed.
+REFERENCES = ("holdings.parquet#/rows/3", "warnings.json#", "trades.parquet", "../metrics.json", "other.json", "metrics.json#rows")
 
 
 WARN = """w AS MATERIALIZED (SELECT event_id % 20 AS run_id, event_id AS seq, list_extract(['Benchmark missing', 'Macro data empty', 'Universe is fixed', 'cash_weight high', 'Fundamental report late', 'disk slow', ''], event_id % 7 + 1) AS message,
- list_extract(['benchmark', 'macro_data', 'universe_bias', 'portfolio_constraints', 'fundamental_data', 'system', 'system'], event_id % 7 + 1) AS category, event_id % 11 = 0 AS fatal, event_id % 13 = 0 AS odd FROM events)"""
+ list_extract(['benchmark', 'macro_data', 'universe_bias', 'portfolio_constraints', 'fundamental_data', 'system', 'system'], event_id % 7 + 1) AS category, event_id % 11 = 0 AS fatal, event_id % 13 = 0 AS odd, list_extract(['price_provider', 'benchmark', 'fundamental', 'macro', 'universe', 'factor', 'portfolio', NULL], event_id % 8 + 1) AS scope,
+ event_id % 3 = 0 AND event_id % 6 >= 3 AS broken FROM events),
+ checked AS MATERIALIZED (SELECT *, CASE WHEN fatal THEN 'invalid_severity' WHEN scope IS NULL THEN 'invalid_scope' WHEN message = '' THEN 'empty_message' WHEN odd THEN 'invalid_source' WHEN broken THEN 'invalid_artifact_reference' END AS reason FROM w)"""
 query("warnings_dedupe", f"WITH {WARN} SELECT run_id, message, min(seq) AS seq FROM w GROUP BY 1, 2")(lambda s, d: rv.dedupe(warnings(s, d)))
 query("warnings_category", f"WITH {WARN} SELECT run_id, seq, category FROM w")(lambda s, d: rv.categorize(warnings(s, d)).select("run_id", "seq", "category"))
 query("warnings_summary", f"WITH {WARN}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, category ORDER BY seq) AS r FROM w) SELECT run_id, category, count(*) AS total, string_agg(message, ' | ' ORDER BY seq) FILTER (r <= 3) AS samples, count(*) > 3 AS truncated FROM k GROUP BY 1, 2")(lambda s, d: rv.summarize(rv.categorize(warnings(s, d))))
-query("warnings_validate", f"WITH {WARN} SELECT run_id, seq, CASE WHEN fatal THEN 'invalid_severity' WHEN odd THEN 'invalid_source' WHEN message = '' THEN 'empty_message' END AS reason FROM w")(lambda s, d: rv.validate(warnings(s, d)).select("run_id", "seq", "reason"))
+_NAMES = ", ".join(f"('{d}', '{v}')" for d, values in (("category", (*rv.CATEGORIES, "system")), ("severity", rv.SEVERITIES), ("scope", rv.SCOPES)) for v in values)
+query(
+    "warnings_totals",
+    f"""WITH {WARN}, names(dimension, value) AS (VALUES {_NAMES}), seen AS (SELECT run_id, 'category' AS dimension, category AS value FROM w UNION ALL SELECT run_id, 'severity', 'warning' FROM checked WHERE reason IS NULL UNION ALL SELECT run_id, 'scope', scope FROM checked WHERE reason IS NULL)
+ SELECT r.run_id, n.dimension, n.value, count(s.value) AS total FROM (SELECT DISTINCT run_id FROM w) r CROSS JOIN names n LEFT JOIN seen s ON s.run_id = r.run_id AND s.dimension = n.dimension AND s.value = n.value GROUP BY ALL""",
+)(lambda s, d: rv.totals(rv.validate(rv.categorize(warnings(s, d)))))
+query("warnings_validate", f"WITH {WARN} SELECT run_id, seq, reason FROM checked")(lambda s, d: rv.validate(warnings(s, d)).select("run_id", "seq", "reason"))
 query("runs_list", "SELECT o_orderkey AS run_id, CAST(o_orderdate AS TIMESTAMP) AS run_time, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")(lambda s, d: rv.runs(table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("run_time"), F.col("o_orderstatus").alias("status"))))
 query("numeric_summary", f"WITH {BARS} " + select("symbol, count(close) AS count", "min(close) AS min; avg(close) AS mean; max(close) AS max", "FROM bars GROUP BY symbol"))(lambda s, d: rv.numeric_summary(bars(s, d), "close", "symbol"))
 
