@@ -28,6 +28,15 @@ def train(data: DataFrame, share: float = 0.8, trees: int = 100, depth: int = 10
     return Pipeline(stages=stages).fit(early), early, late
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """The scaler and the forest with their parameters, as Spark ML writes them; an existing folder is refused."""
+    model.write().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def evaluate(model: PipelineModel, data: DataFrame) -> dict[str, float]:
     scored = model.transform(data)
     return {m: RegressionEvaluator(labelCol="label", metricName=m).evaluate(scored) for m in ("mse", "mae", "r2")}
@@ -43,4 +52,4 @@ def importance(model: PipelineModel) -> list[tuple[str, float]]:
     return list(zip(ML_FEATURES, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
 
 
-__all__ = ["dataset", "evaluate", "importance", "predict", "train"]
+__all__ = ["dataset", "evaluate", "importance", "load", "predict", "save", "train"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.windows import sma
 from ..operators import quality as q
 from ..sources import normalize as no
+from ..sources import provider as pv
 from ..sources.shared import new_folder
 from .adapters import BARS, MACRO, MEMBERS, SIGNAL_DATES, WEEKLY, bars, macro, signal_dates, strategy_members, table, weekly
 from .portfolio_plans import GRID, schedule
@@ -278,6 +282,29 @@ query("bars_sink", f"WITH {BARS} " + select("symbol, date", _BARS, "FROM bars"))
 query("bars_scan", f"WITH {BARS} " + select("symbol, date", _BARS, "FROM bars WHERE symbol IN ('Brand#4', 'Brand#17')"))(lambda s, d: no.scan_bars(s, stored(s, d), "qfq", ["Brand#4", "Brand#17"], 16))
 
 
+def provided(spark, sf_dir):
+    """Bars of some symbols and years from a provider that reads a vendor's folder of files, here written from the bars."""
+    path = new_folder(spark, "vendor")
+    bars(spark, sf_dir).withColumn("volume", F.col("volume").cast("double")).repartition("symbol").write.partitionBy("symbol").parquet(path)
+    vendor = pv.read_provider(spark, lambda: pv.FolderProvider(path), 4)
+    return vendor.where(F.col("symbol").isin("Brand#4", "Brand#17", "Brand#21") & (F.col("date") >= F.lit("1996-01-01").cast("date")) & (F.col("date") < F.lit("1998-01-01").cast("date"))).select("symbol", "date", "open", "high", "low", "close")
+
+
+query("bars_provider", f"WITH {BARS} " + select("symbol, date", "open; high; low; close", "FROM bars WHERE symbol IN ('Brand#4', 'Brand#17', 'Brand#21') AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'"))(provided)
+
+
+def from_table(spark, sf_dir):
+    """A mean over 20 rows of each symbol of one market, from a bucketed table of all."""
+    name = f"bars_{uuid.uuid4().hex}"
+    market = lambda c: F.concat(F.lit("market_"), F.floor((brand(c) - 1) / 5).cast("string")).alias("market")
+    no.save_bars(bars(spark, sf_dir).select("*", market("symbol")), name, new_folder(spark, name))
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), market("p_brand")).distinct()
+    return no.of_universe(spark, name, brands.where(brand().between(6, 10))).select("symbol", "date", sma("close", 20).alias("ma20"))
+
+
+query("bars_table", f"WITH {BARS} " + select("symbol, date", "CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS ma20", "FROM bars WHERE CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER) BETWEEN 6 AND 10 WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))(from_table)
+
+
 def stored_runs(spark, sf_dir):
     """Two runs of two tables each, read back; a run that is there is refused."""
     path, b = new_folder(spark, "runs"), bars(spark, sf_dir).select("symbol", "date", "close")

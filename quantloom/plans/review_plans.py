@@ -96,14 +96,23 @@ query("opt_allocate", f"WITH {BARS}, {MEMBERS} " + select("strategy_id AS univer
 # ML
 
 
+_models: dict[tuple[str, str], str] = {}
+
+
 def model(spark, sf_dir):
+    """The feature rows, and the model fitted on them: the first query of an application trains and writes it, the others load it."""
     data = ml.dataset(bars(spark, sf_dir))
-    fitted, early, late = ml.train(data)
-    return data, fitted, late
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        path = new_folder(spark, "model")
+        ml.save(ml.train(data)[0], path)
+        _models[key] = path
+    return data, ml.load(_models[key])
 
 
 def ml_train(spark, sf_dir):
-    _, fitted, late = model(spark, sf_dir)
+    data, fitted = model(spark, sf_dir)
+    late = data.where("label is not null and place > 0.8")
     scores = ml.evaluate(fitted, late)
     return late.agg(F.count("*").alias("rows")).select("rows", *[F.lit(v).alias(k) for k, v in scores.items()])
 

@@ -126,6 +126,17 @@ def scan_bars(spark: SparkSession, path: str, adjust: str, symbols: list[str] |
     return df.drop("adjust", "symbol_bucket")
 
 
+def save_bars(bars: DataFrame, name: str, path: str, by: str = "market", buckets: int = 16) -> None:
+    """Bars as a table in ``path``, partitioned by ``by`` and bucketed by symbol in order of date: windows and joins by symbol read it without a shuffle,
+    and a join with a universe that names ``by`` reads its partitions only."""
+    bars.repartition(buckets, "symbol").write.mode("overwrite").partitionBy(by).bucketBy(buckets, "symbol").sortBy("symbol", "date").option("path", path).saveAsTable(name)
+
+
+def of_universe(spark: SparkSession, name: str, universe: DataFrame, by: str = "market") -> DataFrame:
+    """The bars of a universe (symbol, ``by``) from such a table: the join prunes partitions as it runs."""
+    return spark.table(name).join(universe, [by, "symbol"], "left_semi")
+
+
 def write_run(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
     """The tables of a run, partitioned by run_id; an existing run is refused."""
     for name, df in tables.items():
