@@ -286,7 +286,7 @@ def provided(spark, sf_dir):
     """Bars of some symbols and years from a provider that reads a vendor's folder of files, here written from the bars."""
     path = new_folder(spark, "vendor")
     bars(spark, sf_dir).withColumn("volume", F.col("volume").cast("double")).repartition("symbol").write.partitionBy("symbol").parquet(path)
-    vendor = pv.read_provider(spark, lambda: pv.FolderProvider(path), 4)
+    vendor = pv.read_provider(spark, lambda: pv.FolderProvider(path), 4, push_filters=True)
     return vendor.where(F.col("symbol").isin("Brand#4", "Brand#17", "Brand#21") & (F.col("date") >= F.lit("1996-01-01").cast("date")) & (F.col("date") < F.lit("1998-01-01").cast("date"))).select("symbol", "date", "open", "high", "low", "close")
 
 

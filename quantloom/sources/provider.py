@@ -4,9 +4,11 @@ A provider is an object that workers can import or unpickle, with ``symbols() ->
 Arrow record batches of COLUMNS for some symbols and an inclusive span of dates (None: open). It is asked in tasks, never on the driver,
 except for its list of symbols; a lost task asks again.
 
-    register(spark)
-    bars = read_provider(spark, lambda: MyProvider(key), symbols_a_task=50)
+    bars = read_provider(spark, lambda: MyProvider(key), push_filters=True)
     bars.where("symbol in ('AAPL', 'TSLA') and date >= '2024-01-01'")     # asks for two symbols from that day on
+
+Spark 4.1 keeps one reader for all uses of such a DataFrame in a query, with the filters of the last: with ``push_filters`` use it once a query, and read
+again for a second use. Without, filters stay with Spark and the DataFrame may be used like any other.
 """
 
 from __future__ import annotations
@@ -77,14 +79,17 @@ class Span(InputPartition):
 
 
 class ProviderReader(DataSourceReader):
-    def __init__(self, provider: Provider, a_task: int):
-        self.provider, self.a_task = provider, a_task
+    def __init__(self, provider: Provider, a_task: int, push: bool):
+        self.provider, self.a_task, self.push = provider, a_task, push
         self.wanted: set[str] | None = None
         self.start: dt.date | None = None
         self.end: dt.date | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes over what says which symbols and which days; returns the rest to Spark."""
+        if not self.push:
+            yield from filters
+            return
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name == "symbol" and isinstance(f, EqualTo | In):
@@ -113,7 +118,7 @@ class ProviderReader(DataSourceReader):
 
 
 class ProviderSource(DataSource):
-    """Options: ``provider``, a pickled maker or the path ``module:name`` of one (called without arguments), and ``symbols_a_task``."""
+    """Options: ``provider``, a pickled maker or the path ``module:name`` of one (called without arguments), ``symbols_a_task`` and ``push_filters``."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,7 +134,7 @@ class ProviderSource(DataSource):
         else:
             module, _, name = maker.partition(":")
             make = getattr(importlib.import_module(module), name)
-        return ProviderReader(make(), int(self.options.get("symbols_a_task", 50)))
+        return ProviderReader(make(), int(self.options.get("symbols_a_task", 50)), self.options.get("push_filters", "false") == "true")
 
 
 def register(spark: SparkSession) -> None:
@@ -137,8 +142,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ProviderSource)
 
 
-def read_provider(spark: SparkSession, make: Callable[[], Provider] | str, symbols_a_task: int = 50) -> DataFrame:
-    """Bars of the provider that ``make`` (a function, or its path) gives."""
+def read_provider(spark: SparkSession, make: Callable[[], Provider] | str, symbols_a_task: int = 50, push_filters: bool = False) -> DataFrame:
+    """Bars of the provider that ``make`` (a function, or its path) gives; with ``push_filters`` for one use a query."""
     register(spark)
     maker = make if isinstance(make, str) else "pickle:" + base64.b64encode(cloudpickle.dumps(make)).decode()
-    return spark.read.format(NAME).option("provider", maker).option("symbols_a_task", symbols_a_task).load()
+    rows = spark.read.format(NAME).option("provider", maker).option("symbols_a_task", symbols_a_task).option("push_filters", str(push_filters).lower()).load()
+    # A reader keeps the filters that it was given last; a filter that is always there gives each query a new one.
+    return rows.where("symbol is not null")
