@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import average_available, center, clip, clip_score
@@ -11,6 +14,15 @@ INPUTS = ("pmi", "cpi_yoy", "ppi_yoy", "m2_yoy", "social_financing_yoy", "ten_ye
 DIMENSIONS = ("growth_score", "inflation_score", "liquidity_score", "credit_score", "policy", "external_risk")
 #: Base multiplier of each regime (fixed values).
 BASE = {"recession": 0.6, "slowdown": 0.8, "uncertain": 0.9, "stagflation": 0.75, "recovery": 1.0, "expansion": 1.1}
+#: Missing inputs from which nothing is said, and regimes in order: bounds of scores (from, below) that all hold, and others of which one does (fixed values).
+MISSING = 5
+REGIMES = (
+    ("recession", {"growth": (None, 35), "credit": (None, 45)}, {}),
+    ("stagflation", {"growth": (None, 45), "inflation": (None, 40)}, {}),
+    ("slowdown", {"growth": (None, 50)}, {"liquidity": (None, 50), "credit": (None, 50)}),
+    ("recovery", {"growth": (45, 60)}, {"liquidity": (55, None), "credit": (55, None)}),
+    ("expansion", {"growth": (60, None), "inflation": (45, None), "liquidity": (45, None)}, {}),
+)
 
 
 def scores(df: DataFrame) -> DataFrame:
@@ -31,17 +43,20 @@ def scores(df: DataFrame) -> DataFrame:
 
 
 def regime(scored: DataFrame) -> DataFrame:
-    g, i, m, c = (F.col(f"{x}_score") for x in ("growth", "inflation", "liquidity", "credit"))
-    value = (
-        F.when(F.col("missing_inputs") >= 5, "uncertain")
-        .when((g < 35) & (c < 45), "recession")
-        .when((g < 45) & (i < 40), "stagflation")
-        .when((g < 50) & ((m < 50) | (c < 50)), "slowdown")
-        .when((g >= 45) & (g < 60) & ((m >= 55) | (c >= 55)), "recovery")
-        .when((g >= 60) & (i >= 45) & (m >= 45), "expansion")
-        .otherwise("uncertain")
-    )
-    return scored.withColumn("regime", value)
+    """The first regime whose bounds the scores keep; ``uncertain`` if none does or too many inputs are missing."""
+
+    def within(bounds: dict[str, tuple[float | None, float | None]]) -> list[Column]:
+        out = []
+        for name, (low, high) in bounds.items():
+            x = F.col(f"{name}_score")
+            out.append((x >= low if low is not None else F.lit(True)) & (x < high if high is not None else F.lit(True)))
+        return out
+
+    value = F.when(F.col("missing_inputs") >= MISSING, "uncertain")
+    for name, every, some in REGIMES:
+        holds = reduce(and_, within(every))
+        value = value.when(holds & reduce(or_, within(some)) if some else holds, name)
+    return scored.withColumn("regime", value.otherwise("uncertain"))
 
 
 def multiplier(df: DataFrame) -> DataFrame:

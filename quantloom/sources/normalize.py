@@ -138,14 +138,25 @@ def of_universe(spark: SparkSession, name: str, universe: DataFrame, by: str = "
 
 
 def write_run(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """The tables of a run, partitioned by run_id; an existing run is refused."""
-    for name, df in tables.items():
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/run_id={run_id}")
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-            raise FileExistsError(f"run {run_id} exists")
-    for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+    """The tables of a run, partitioned by run_id; an existing run is refused.
+
+    A run is claimed by making a file that must not be there, which one job only can do; a job that fails takes back its claim and what it wrote.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    claim = at(f"{path}/_runs/{run_id}")
+    store = claim.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(claim.getParent())
+    parts = [at(f"{path}/{name}/run_id={run_id}") for name in tables]
+    if not store.createNewFile(claim):
+        raise FileExistsError(f"run {run_id} exists")
+    try:
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{path}/{name}/run_id={run_id}")
+    except Exception:
+        for p in (*parts, claim):
+            store.delete(p, True)
+        raise
 
 
 def select_source(quality: DataFrame, priority: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -146,6 +146,12 @@ def test_sources(spark, tmp_path):
     no.write_run({"bars": b}, str(tmp_path / "runs"), "r1")
     with pytest.raises(FileExistsError):
         no.write_run({"bars": b}, str(tmp_path / "runs"), "r1")
+    # A job that fails leaves neither its claim nor rows; the run can be written again.
+    broken = b.select("symbol", F.raise_error(F.lit("broken")).alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        no.write_run({"bars": b, "broken": broken}, str(tmp_path / "runs"), "r2")
+    assert [r.run_id for r in spark.read.parquet(str(tmp_path / "runs" / "bars")).select("run_id").distinct().collect()] == ["r1"]
+    no.write_run({"bars": b}, str(tmp_path / "runs"), "r2")
 
 
 TICK = "symbol string, ts timestamp, price double, volume double, tick_id long"
