@@ -185,11 +185,14 @@ query("stream_bars_live", ORACLES["stream_bars"])(live_bars)
 query("stream_dedupe_live", ORACLES["stream_dedupe"])(lambda s, d: live(s, d, lambda t: sm.dedupe(t.union(t))).groupBy("symbol").agg(F.count("*").alias("n")))
 
 
-def ended(spark, sf_dir, step, source=None, delay="2 hours"):
+HOUR = 60 * sm.MINUTE_US
+
+
+def ended(spark, sf_dir, step, source=None, delay="2 hours", span="1 hour"):
     """What a stream of ticks has written when its session has ended: a run over the ticks, then one from its checkpoint over the closing row."""
     path = new_folder(spark, "stream")
     given = source(True) if source else ticks(spark, sf_dir, live=True)
-    last = (source(False) if source else ticks(spark, sf_dir)).agg((F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    last = (source(False) if source else ticks(spark, sf_dir)).agg((F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {span}")).alias("ts"))
     closing = last.select(F.lit(sm.CLOSING).cast("long").alias("tick_id"), F.lit("session").alias("symbol"), "ts", *[F.lit(None).cast("double").alias(c) for c in ("price", "volume")])
     closing.where("false").write.parquet(f"{path}/closing")
     stream = step(given.unionByName(spark.readStream.schema(closing.schema).parquet(f"{path}/closing")))
@@ -199,7 +202,7 @@ def ended(spark, sf_dir, step, source=None, delay="2 hours"):
     return spark.read.parquet(f"{path}/out").drop("epoch")
 
 
-query("stream_alerts_live", ORACLES["stream_alerts"])(lambda s, d: ended(s, d, sm.alerts))
+query("stream_alerts_live", ORACLES["stream_alerts"])(lambda s, d: ended(s, d, lambda t: sm.alerts(t, delay="2 hours", span=HOUR)))
 
 
 def tick_rules(spark, sf_dir):
@@ -222,7 +225,7 @@ TICK_RULES = """WITH RECURSIVE t AS MATERIALIZED (SELECT event_type AS symbol, C
   CASE kind WHEN 'price' THEN close WHEN 'pct' THEN x WHEN 'volume' THEN v ELSE macd - sig END AS value FROM j WHERE CASE kind WHEN 'price' THEN (direction = 'above' AND close > threshold) OR (direction = 'below' AND close < threshold)
   WHEN 'pct' THEN (direction = 'up' AND x >= threshold) OR (direction = 'down' AND x <= -threshold) OR (direction = 'any' AND abs(x) >= threshold) WHEN 'volume' THEN rn >= 20 AND mean19 > 0 AND v > threshold ELSE (golden AND direction IN ('golden', 'any')) OR (death AND direction IN ('death', 'any')) END) """
 query("stream_rules", TICK_RULES + select(*_AL, "FROM alerts"))(lambda s, d: al.fired(tick_rules(s, d), sm.states(ticks(s, d))))
-query("stream_rules_live", ORACLES["stream_rules"])(lambda s, d: ended(s, d, lambda t: al.fired(tick_rules(s, d), sm.states(t))))
+query("stream_rules_live", ORACLES["stream_rules"])(lambda s, d: ended(s, d, lambda t: al.fired(tick_rules(s, d), sm.states(t, span=HOUR))))
 
 
 def bars_as_ticks(spark, sf_dir, path):
@@ -237,7 +240,7 @@ def live_rules(spark, sf_dir):
     """Alerts of a stream of daily bars on each symbol's last bar."""
     source = bars_as_ticks(spark, sf_dir, f"{new_folder(spark, 'bars')}/rows")
     known = rules(spark, sf_dir)
-    found = ended(spark, sf_dir, lambda t: al.fired(known, sm.states(t, "3650 days")), source, "3650 days")
+    found = ended(spark, sf_dir, lambda t: al.fired(known, sm.states(t, "3650 days", 31 * 24 * HOUR)), source, "3650 days", "31 days")
     last = source(False).groupBy("symbol").agg(F.to_date(F.max("ts")).alias("date"))
     return found.withColumn("date", F.to_date("date")).join(last, ["symbol", "date"]).select("rule_id", "symbol", "date", "kind", "severity", "value")
 

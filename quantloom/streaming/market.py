@@ -65,36 +65,44 @@ def batch_alerts(ticks: DataFrame, change: float, ratio: float) -> DataFrame:
 class TickStates(StatefulProcessor):
     """The state row of every tick of a symbol, in order of event time.
 
-    Ticks wait by minute until the watermark has passed it; then the minute's ticks are taken in order of (ts, tick_id), and only
-    the last price, 19 volumes and the averages of MACD stay. So what is held of a symbol is the ticks of the watermark's delay and a minute at a time,
-    and a tick that comes late, but within the delay, is counted where it belongs.
+    Ticks wait by spans of ``span`` microseconds until the watermark has passed one; then its ticks are taken in order of (ts, tick_id), and only
+    the last price, 19 volumes and the averages of MACD stay. So what is held of a symbol is the ticks of the watermark's delay and a span at a time,
+    and a tick that comes late, but within the delay, is counted where it belongs. Without ``wait`` the ticks of a batch are taken at its end, span by span.
     """
 
+    def __init__(self, wait: bool = True, span: int = MINUTE_US):
+        self.wait, self.span = wait, span
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "minute long", "ticks array<struct<us:long,tick_id:long,price:double,volume:double>>")
+        self.waiting = handle.getMapState("waiting", "span long", "ticks array<struct<us:long,tick_id:long,price:double,volume:double>>")
         self.carried = handle.getValueState("carried", "rows long, price double, volumes array<double>, priced boolean, ema12 double, ema26 double, macd double, signal double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        timed = set(self.handle.listTimers())
+        timed = set(self.handle.listTimers()) if self.wait else set()
         for chunk in rows:
-            for minute, ticks in chunk.groupby(chunk["us"].astype("int64") // MINUTE_US):
-                minute = int(minute)
-                before = self.waiting.getValue((minute,))[0] if self.waiting.containsKey((minute,)) else []
+            for span, ticks in chunk.groupby(chunk["us"].astype("int64") // self.span):
+                span = int(span)
+                before = self.waiting.getValue((span,))[0] if self.waiting.containsKey((span,)) else []
                 new = [(int(us), None if pd.isna(i) else int(i), *(None if pd.isna(v) else float(v) for v in rest)) for us, i, *rest in ticks[["us", "tick_id", "price", "volume"]].itertuples(index=False)]
-                self.waiting.updateValue((minute,), ([*map(tuple, before), *new],))
-                end = (minute + 1) * MINUTE_US // 1000 - 1
-                if end not in timed:
+                self.waiting.updateValue((span,), ([*map(tuple, before), *new],))
+                end = (span + 1) * self.span // 1000 - 1
+                if self.wait and end not in timed:
                     timed.add(end)
                     self.handle.registerTimer(end)
-        yield from ()
+        if not self.wait:
+            yield from self.taken(key, sorted(m for (m,) in self.waiting.keys()))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 // MINUTE_US
+        # Timers come in order of time, one a span that has ticks.
+        yield from self.taken(key, [(expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 // self.span - 1])
+
+    def taken(self, key: tuple, spans: list[int]) -> Iterator[pd.DataFrame]:
+        """States of the waiting ticks of some spans in order."""
         now = list(self.carried.get()) if self.carried.exists() else [0, None, [], False, None, None, None, None]
-        for minute in sorted(m for (m,) in self.waiting.keys() if m < over):
-            ticks = sorted(map(tuple, self.waiting.getValue((minute,))[0]), key=lambda t: (t[0], t[1] is not None, t[1] or 0))
-            self.waiting.removeKey((minute,))
+        for span in spans:
+            ticks = sorted(map(tuple, self.waiting.getValue((span,))[0]), key=lambda t: (t[0], t[1] is not None, t[1] or 0))
+            self.waiting.removeKey((span,))
             yield pd.DataFrame([(key[0], *next_state(now, t)) for t in ticks], columns=[c.split()[0] for c in TICK_STATE.split(", ")])
         self.carried.update(tuple(now))
 
@@ -120,10 +128,11 @@ def next_state(now: list, tick: tuple) -> tuple:
     return us, price, volume, before, macd, signal, macd1, signal1, sum(known) / len(known) if known else None, len(known), rows + 1
 
 
-def states(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """The state row of every tick (``alerts.STATE``), that rules look at; in a stream once the watermark has passed the tick's minute.
+def states(ticks: DataFrame, delay: str | None = "2 hours", span: int = MINUTE_US) -> DataFrame:
+    """The state row of every tick (``alerts.STATE``), that rules look at; in a stream once the watermark has passed the tick's span of microseconds.
 
-    The batch form has the same rows. Ticks later than ``delay`` are dropped in a stream; in both, ticks without a time are left out. A tick whose tick_id is
+    The batch form has the same rows. Ticks later than ``delay`` are dropped in a stream; with None a stream takes each batch's ticks at once, in order within
+    the batch only. In both, ticks without a time are left out. A tick whose tick_id is
     CLOSING only moves the watermark: it ends a session.
     """
     real = F.coalesce("tick_id", F.lit(0)) != CLOSING
@@ -132,14 +141,23 @@ def states(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
         place = F.row_number().over(W.partitionBy("symbol").orderBy("date"))
         return rules.states(rows.withColumn("_place", place), F.floor(F.col("_place") / 1024)).withColumn("date", F.col("date.ts"))
     ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if delay is None:
+        now = ticks.where(F.col("ts").isNotNull() & real).select("symbol", F.unix_micros("ts").alias("us"), "tick_id", "price", "volume")
+        return _tick_dates(now.groupBy("symbol").transformWithStateInPandas(TickStates(False, span), TICK_STATE, "Append", "None"))
     # A condition on the event time stays above the watermark, which a closing row must reach.
     timed = ticks.withWatermark("ts", delay).where(F.when(real, F.col("ts")).isNotNull()).select("symbol", "ts", F.unix_micros("ts").alias("us"), "tick_id", "price", "volume")
-    out = timed.groupBy("symbol").transformWithStateInPandas(TickStates(), TICK_STATE, "Append", "EventTime")
+    return _tick_dates(timed.groupBy("symbol").transformWithStateInPandas(TickStates(True, span), TICK_STATE, "Append", "EventTime"))
+
+
+def _tick_dates(out: DataFrame) -> DataFrame:
     return out.select("symbol", F.timestamp_micros("us").alias("date"), *[c for c in out.columns if c not in ("symbol", "us")])
 
 
-def alerts(ticks: DataFrame, change: float = 0.1, ratio: float = 3.0, delay: str = "2 hours") -> DataFrame:
-    """Alerts per symbol on a change of ``change`` on the tick before and a volume over ``ratio`` means of the last 19; in a stream from states."""
+def alerts(ticks: DataFrame, change: float = 0.1, ratio: float = 3.0, delay: str | None = None, span: int = MINUTE_US) -> DataFrame:
+    """Alerts per symbol on a change of ``change`` on the tick before and a volume over ``ratio`` means of the last 19; in a stream from states.
+
+    ``delay`` and ``span`` as for ``states``: None alerts at once, a delay puts late ticks of other batches in order first.
+    """
     if not ticks.isStreaming:
         return batch_alerts(ticks, change, ratio)
     pct, times = F.col("close") / F.nullif(F.col("before"), F.lit(0.0)) - 1, F.col("volume") / F.nullif(F.col("mean19"), F.lit(0.0))
@@ -147,7 +165,7 @@ def alerts(ticks: DataFrame, change: float = 0.1, ratio: float = 3.0, delay: str
         F.when(~F.isnan(pct) & (F.abs(pct) >= change), F.struct(F.lit("pct").alias("kind"), (pct * 100).alias("value"))),
         F.when((F.col("known19") == 19) & ~F.isnan(times) & (times > ratio), F.struct(F.lit("volume").alias("kind"), times.alias("value"))),
     )
-    return states(ticks, delay).select("symbol", F.col("date").alias("ts"), F.inline(F.array_compact(found)))
+    return states(ticks, delay, span).select("symbol", F.col("date").alias("ts"), F.inline(F.array_compact(found)))
 
 
 def sink(path: str) -> Callable[[DataFrame, int], None]:
