@@ -15,7 +15,7 @@ out by those, and only the levels below, which the alphabet bounds, go to every
 The unigram base counts words and one end token a text, exactly; the counts of frequent words are sent to the tasks
 (at most MAX_WORDS), the other words are joined. Words are told apart by 64-bit hashes.
 
-Null texts are empty: one end token. Rows are scored one by one, repeated or not. Without training rows the model is
+Null texts are empty: one end token. Rows are scored one by one, repeated or not; op3 never trains on rows without doc_id. Without training rows the model is
 uniform over bytes, N and V are 0.
 """
 

@@ -5,7 +5,8 @@ document first; what is left goes into the open window whose fill level minimise
 windows at each level. What is open when a task ends is closed by cutting pieces: full windows, then one window for
 each power of two in the remainder, so that no token of padding is needed.
 
-Null text is empty and packs as its end token alone. Empty tables give no rows; copies are packed each.
+Null text is empty and packs as its end token alone. Empty tables give no rows; copies, repeated rows and rows
+without doc_id are packed each.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ expectation-maximisation on these counts estimates each labeler's reliability an
 and a logistic span classifier is trained on the posteriors. Candidates it accepts are added.
 
 Positions are code points; patterns use possessive loops, so that long runs neither recurse nor backtrack.
-Null and empty texts have no spans; ties cannot arise (spans of a kind do not overlap); each row is judged by itself.
+Null and empty texts have no spans; ties cannot arise (spans of a kind do not overlap); each row is judged by itself,
+repeated ones and those without doc_id too.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ The driver never sees the groups. It sees totals of hash ranges (segments): an u
 comes from segments taken as atomic, a lower bound from the mean and the largest group, and only the segments in
 which a cut can still fall are split further, by another aggregation, until each of them is a single group.
 
-Null text counts as empty. Empty tables give no rows. Equal sizes are ordered by hash, rows of a shard by
+Null text counts as empty. Repeated rows and rows without doc_id are rows like others. Empty tables give no rows. Equal sizes are ordered by hash, rows of a shard by
 (bucket, doc_id). A group above the mean shard size gets a shard of its own.
 """
 
