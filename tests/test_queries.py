@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SOME = (
     "ind_full", "ind_ma_app", "ml_features", "sig_technical", "sig_fundamental", "vote_weighted", "reco_rank", "signal_plugin", "holdings_valuation", "strat_sma_cross", "strat_rsi", "bt_single_trades", "bt_single_metrics", "m_all", "m_annual", "m_monthly",
     "price_grid", "rebalance_dates", "weights_validate", "bt_portfolio", "bt_trades", "bt_holdings", "bt_turnover", "portfolio_build", "portfolio_warnings", "rank_candidates", "allocate_weights", "constraints_check", "fundamentals_asof", "fundamentals_rejected_counts", "factor_low_vol", "factor_snapshot", "weight_schedule", "run_coverage_summary", "run_status", "benchmark_coverage", "trade_evidence", "macro_at_signal", "factor_composite_avail", "factor_coverage", "dq_prices", "dq_benchmark", "source_priority_select",
-    "macro_obs_reason", "macro_obs_dedupe", "valuation_availability", "return_moments", "opt_max_sharpe", "alert_all", "stream_alerts", "stream_bars_live", "stream_dedupe_live", "stream_alerts_live", "alert_sink", "macro_csv_scan", "bars_sink", "bars_scan", "run_tables_sink", "text_sentiment", "keywords_top", "utterance_entities", "warnings_summary", "curve_downsample", "risk_flags",
+    "macro_obs_reason", "macro_obs_dedupe", "valuation_availability", "return_moments", "opt_max_sharpe", "alert_all", "stream_alerts", "stream_bars_live", "stream_dedupe_live", "stream_alerts_live", "alert_sink", "macro_csv_scan", "bars_sink", "bars_scan", "run_tables_sink", "text_sentiment", "keywords_top", "utterance_entities", "warnings_summary", "curve_downsample", "risk_flags", "stream_rules", "alert_history", "warnings_totals", "bars_table", "bars_provider",
 )
 NAMES = [n for n in ORACLES if os.environ.get("ALL_QUERIES") or n in SOME]
 
