@@ -17,10 +17,6 @@ from ..functions.windows import change, full, guard, lag, sma, so_far
 EWM = ("ema12", "ema26", "macd", "macd_signal", "macd_hist", "kdj_k", "kdj_d", "kdj_j")
 
 
-def ma(bars: DataFrame, spans: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
-    return bars.withColumns({f"ma{n}": sma("close", n) for n in spans})
-
-
 #: Smoothing of the averages of MACD and of KDJ's %K and %D, and the rows of KDJ's range.
 FAST, SLOW, SIGNAL, SMOOTH = 2 / 13, 2 / 27, 2 / 10, 1 / 3
 RANGE = 9
@@ -115,6 +111,25 @@ def ewm(bars: DataFrame, block: Column | None = None) -> DataFrame:
     return done.select(*bars.columns, *EWM)
 
 
+#: Columns of an indicator by layer: those of one layer use the layers before it. Names that start with "_" do not stay.
+Layers = tuple[dict[str, Column], ...]
+
+
+def layered(bars: DataFrame, *indicators: Layers) -> DataFrame:
+    """bars with the indicators' columns. Layers of the same depth are added together, so that all indicators pass the rows through as many
+    window steps as the deepest one has layers."""
+    rows, made = bars, []
+    for depth in range(max(map(len, indicators))):
+        columns = {name: column for layers in indicators if depth < len(layers) for name, column in layers[depth].items()}
+        made += columns
+        rows = rows.withColumns(columns)
+    return rows.drop(*[name for name in made if name.startswith("_")])
+
+
+def ma_layers(spans: tuple[int, ...] = (5, 10, 20, 60)) -> Layers:
+    return ({f"ma{n}": sma("close", n) for n in spans},)
+
+
 def simple_rsi(close: str = "close", n: int = 14) -> tuple[Column, Column]:
     """Gain and loss of each step; the first counts as none, so that a simple-mean RSI starts on row n."""
     step = F.col(close) - lag(close)
@@ -123,69 +138,111 @@ def simple_rsi(close: str = "close", n: int = 14) -> tuple[Column, Column]:
     return gain, loss
 
 
-def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+def rsi_layers(n: int = 14) -> Layers:
     gain, loss = simple_rsi(n=n)
-    rows = bars.withColumns({"_gain": gain, "_loss": loss})
-    value = 100 - 100 / (1 + sma("_gain", n) / guard(sma("_loss", n)))
-    return rows.withColumn("rsi14" if n == 14 else f"rsi{n}", value).drop("_gain", "_loss")
+    return {"_gain": gain, "_loss": loss}, {f"rsi{n}": 100 - 100 / (1 + sma("_gain", n) / guard(sma("_loss", n)))}
 
 
-def boll(bars: DataFrame, n: int = 20) -> DataFrame:
-    mid, sd = sma("close", n), full(F.stddev_samp, "close", n)
-    rows = bars.withColumns({"boll_mid": mid, "_sd": sd}).withColumns({"boll_upper": F.col("boll_mid") + 2 * F.col("_sd"), "boll_lower": F.col("boll_mid") - 2 * F.col("_sd")})
+def boll_layers(n: int = 20) -> Layers:
     width = F.col("boll_upper") - F.col("boll_lower")
-    return rows.withColumns({"boll_width": width / F.col("boll_mid"), "boll_pos": F.when(width != 0, (F.col("close") - F.col("boll_lower")) / width)}).drop("_sd")
+    return (
+        {"boll_mid": sma("close", n), "_sd": full(F.stddev_samp, "close", n)},
+        {"boll_upper": F.col("boll_mid") + 2 * F.col("_sd"), "boll_lower": F.col("boll_mid") - 2 * F.col("_sd")},
+        {"boll_width": width / F.col("boll_mid"), "boll_pos": F.when(width != 0, (F.col("close") - F.col("boll_lower")) / width)},
+    )
 
 
-def volume(bars: DataFrame) -> DataFrame:
-    return bars.withColumns({"volume_ma5": sma("volume", 5), "volume_ma20": sma("volume", 20)}).withColumn("volume_ratio", F.col("volume") / F.when(F.col("volume_ma20") != 0, F.col("volume_ma20")))
+def volume_layers() -> Layers:
+    return {"volume_ma5": sma("volume", 5), "volume_ma20": sma("volume", 20)}, {"volume_ratio": F.col("volume") / F.when(F.col("volume_ma20") != 0, F.col("volume_ma20"))}
 
 
-def obv(bars: DataFrame) -> DataFrame:
+def obv_layers() -> Layers:
     step = F.col("close") - lag("close")
     signed = F.when(step.isNull(), F.col("volume")).when(step > 0, F.col("volume")).when(step < 0, -F.col("volume")).otherwise(0.0)
-    return bars.withColumn("_signed", signed).withColumn("obv", F.sum("_signed").over(so_far())).drop("_signed")
+    return {"_signed": signed}, {"obv": F.sum("_signed").over(so_far())}
 
 
 def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lag("close")), F.abs(F.col("low") - lag("close")))
 
 
-def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return bars.withColumn("tr", true_range()).withColumn("atr14", sma("tr", n))
+def atr_layers(n: int = 14) -> Layers:
+    return {"tr": true_range()}, {"atr14": sma("tr", n)}
 
 
-def dmi(bars: DataFrame, n: int = 14) -> DataFrame:
+def dmi_layers(n: int = 14) -> Layers:
     """+DI, -DI and ADX; the first row has no direction, so they start a row after the ATR."""
     up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    rows = bars.withColumns({"_tr": true_range(), "_up": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_down": F.when(down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0))})
-    rows = rows.withColumn("_atr", sma("_tr", n)).withColumns({"plus_di": 100 * sma("_up", n) / guard(F.col("_atr")), "minus_di": 100 * sma("_down", n) / guard(F.col("_atr"))})
     total = guard(F.col("plus_di") + F.col("minus_di"))
-    return rows.withColumn("_dx", 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total).withColumn("adx", sma("_dx", n)).drop("_tr", "_up", "_down", "_atr", "_dx")
+    return (
+        {"_range": true_range(), "_up": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_down": F.when(down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0))},
+        {f"{side}_di": 100 * sma(way, n) / guard(sma("_range", n)) for side, way in (("plus", "_up"), ("minus", "_down"))},
+        {"_dx": 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total},
+        {"adx": sma("_dx", n)},
+    )
 
 
-def cci(bars: DataFrame, n: int = 20) -> DataFrame:
-    rows = bars.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("_mean", sma("_tp", n))
+def cci_layers(n: int = 20) -> Layers:
     spread = sum((F.abs(lag("_tp", k) - F.col("_mean")) for k in range(n)), F.lit(0.0)) / n
-    return rows.withColumn("_md", spread).withColumn("cci", F.when(F.col("_mean").isNotNull(), (F.col("_tp") - F.col("_mean")) / (0.015 * guard(F.col("_md"))))).drop("_tp", "_mean", "_md")
+    return (
+        {"_tp": (F.col("high") + F.col("low") + F.col("close")) / 3},
+        {"_mean": sma("_tp", n)},
+        {"_md": spread},
+        {"cci": F.when(F.col("_mean").isNotNull(), (F.col("_tp") - F.col("_mean")) / (0.015 * guard(F.col("_md"))))},
+    )
+
+
+def wr_layers(n: int = 14) -> Layers:
+    return {"_top": full(F.max, "high", n), "_floor": full(F.min, "low", n)}, {"wr14": -100 * (F.col("_top") - F.col("close")) / guard(F.col("_top") - F.col("_floor"))}
+
+
+def psy_layers(n: int = 12) -> Layers:
+    return {"_rose": F.coalesce((F.col("close") > lag("close")).cast("double"), F.lit(0.0))}, {"psy12": full(F.sum, "_rose", n) / n * 100}
+
+
+def ma(bars: DataFrame, spans: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
+    return layered(bars, ma_layers(spans))
+
+
+def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+    return layered(bars, rsi_layers(n))
+
+
+def boll(bars: DataFrame, n: int = 20) -> DataFrame:
+    return layered(bars, boll_layers(n))
+
+
+def volume(bars: DataFrame) -> DataFrame:
+    return layered(bars, volume_layers())
+
+
+def obv(bars: DataFrame) -> DataFrame:
+    return layered(bars, obv_layers())
+
+
+def atr(bars: DataFrame, n: int = 14) -> DataFrame:
+    return layered(bars, atr_layers(n))
+
+
+def dmi(bars: DataFrame, n: int = 14) -> DataFrame:
+    return layered(bars, dmi_layers(n))
+
+
+def cci(bars: DataFrame, n: int = 20) -> DataFrame:
+    return layered(bars, cci_layers(n))
 
 
 def wr(bars: DataFrame, n: int = 14) -> DataFrame:
-    rows = bars.withColumns({"_high": full(F.max, "high", n), "_low": full(F.min, "low", n)})
-    return rows.withColumn("wr14", -100 * (F.col("_high") - F.col("close")) / guard(F.col("_high") - F.col("_low"))).drop("_high", "_low")
+    return layered(bars, wr_layers(n))
 
 
 def psy(bars: DataFrame, n: int = 12) -> DataFrame:
-    rows = bars.withColumn("_up", F.coalesce((F.col("close") > lag("close")).cast("double"), F.lit(0.0)))
-    return rows.withColumn("psy12", full(F.sum, "_up", n) / n * 100).drop("_up")
+    return layered(bars, psy_layers(n))
 
 
 def everything(bars: DataFrame) -> DataFrame:
-    """All indicators; the recursion comes first and keeps the partitioning by symbol that the windows need."""
-    out = ewm(bars)
-    for step in (ma, rsi, boll, volume, obv, atr, dmi, cci, wr, psy):
-        out = out.transform(step)
-    return out
+    """All indicators; the recursion comes first and keeps the partitioning by symbol that the windows need, the others share their window steps."""
+    return layered(ewm(bars), ma_layers(), rsi_layers(), boll_layers(), volume_layers(), obv_layers(), atr_layers(), dmi_layers(), cci_layers(), wr_layers(), psy_layers())
 
 
 def valuation_scores(df: DataFrame) -> DataFrame:

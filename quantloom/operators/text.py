@@ -17,10 +17,8 @@ def tokens(text: Column) -> Column:
 
 
 def pairs(text: Column) -> Column:
-    """Distinct characters and pairs of neighbours of a text."""
-    n = F.length(text)
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.concat(F.transform(at, lambda i: F.substr(text, i, F.lit(1))), F.transform(at, lambda i: F.substr(text, i, F.lit(2)))))
+    """Distinct characters and pairs of neighbours of a text, each found in one pass."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))))
 
 
 #: Keys of a word list that texts are looked through for before they are joined with it; a longer list is joined at once.
@@ -38,6 +36,11 @@ def among(found: Column) -> Column:
     return F.when(F.col("_keys").isNull(), F.array_distinct(found)).otherwise(F.array_intersect(found, "_keys"))
 
 
+def small(words: DataFrame) -> DataFrame:
+    """A word list marked for broadcast if it has KEYS rows at most; a longer one is joined by a shuffle."""
+    return F.broadcast(words) if words.limit(KEYS + 1).count() <= KEYS else words
+
+
 def holding(rows: DataFrame, words: DataFrame, word: str) -> DataFrame:
     """rows (with a column text) joined with the words that occur in the text: an equi-join on a word's first two characters, then a check."""
     start = F.substring(word, 1, 2)
@@ -54,11 +57,10 @@ def sentiment(posts: DataFrame, lexicon: DataFrame, key: str = "post_id") -> Dat
     cjk_words = lexicon.where(F.col("word").rlike(CJK))
     rows = posts.select(key, F.coalesce("text", F.lit("")).alias("text"))
     plain = lexicon.where(~F.col("word").rlike(CJK))
-    # Only words of the lexicon leave their text, each once, with its count.
-    split = with_keys(rows.select(key, tokens(F.col("text")).alias("_tokens")), plain, F.col("word"))
-    hits = split.select(key, "_tokens", F.explode(among(F.col("_tokens"))).alias("word")).select(key, "word", F.size(F.filter("_tokens", lambda t: t == F.col("word"))).alias("_times"))
-    counted = lambda sign: F.sum(F.when(sign, F.col("_times")).otherwise(0)).cast("long")
-    latin = hits.join(plain, "word").groupBy(key).agg(counted(F.col("polarity") > 0).alias("p"), counted(F.col("polarity") < 0).alias("n"))
+    # Tokens meet the lexicon where they are split, so that only sums by post are shuffled.
+    hits = rows.select(key, F.explode(tokens(F.col("text"))).alias("word")).join(small(plain), "word")
+    counted = lambda sign: F.count_if(sign).cast("long")
+    latin = hits.groupBy(key).agg(counted(F.col("polarity") > 0).alias("p"), counted(F.col("polarity") < 0).alias("n"))
     times = (F.length("text") - F.length(F.replace("text", "word", F.lit("")))) / F.length("word")
     cjk = holding(rows.where(F.col("text").rlike(CJK)), cjk_words, "word").groupBy(key).agg(F.sum(F.when(F.col("polarity") > 0, times).otherwise(0)).cast("long").alias("p"), F.sum(F.when(F.col("polarity") < 0, times).otherwise(0)).cast("long").alias("n"))
     both = latin.unionByName(cjk).groupBy(key).agg(F.sum("p").alias("positive"), F.sum("n").alias("negative"))
