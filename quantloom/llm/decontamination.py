@@ -3,8 +3,9 @@
 Words are runs of ASCII letters, digits and characters of other scripts, A-Z lower-cased. Fixed masks over SPAN
 consecutive words keep WEIGHT positions and ignore the others; the hash of the kept words of every window of a
 benchmark item and of a document is a seed. Seeds of documents are first tested against a bitmap of fixed size
-made of all benchmark seeds, and what passes is joined with the benchmark's seeds. Around each hit the two texts are
-aligned word by word: the hit stands when, in a window of VERIFY words that holds the seed (the whole item if it is
+made of all benchmark seeds. A seed with the words around it is a context; each distinct context of the documents that passes meets
+each distinct one of the benchmark with its seed once, however many documents and items share them, and only what stands goes back
+to documents and items. Around each hit the two texts are aligned word by word: the hit stands when, in a window of VERIFY words that holds the seed (the whole item if it is
 shorter), at least AGREE of the words agree. Substituted words are thus tolerated.
 
 Items below SHORT words get seeds by the shorter SHORT_MASKS too, so that substitutions which the check accepts leave a seed: of
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, U64, binary_array, chunks, give_back, mix64, powers, read, row_key, signed, small_batches, word_hashes, words
+from .common import NOT_WORD, U64, binary_array, chunks, give_back, mix64, powers, read, row_key, signed, small_batches, stash, word_hashes, words
 
 SPAN = 12
 MASKS = ("111111110000", "110110110110", "101101101101", "000011111111", "111000111011")
@@ -126,7 +127,7 @@ def aligned(column: pa.Array, skip: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def verify(hits: DataFrame) -> DataFrame:
-    """(id, item_id, agreeing, window) of hits that stand: words are aligned at the seed, and the best window counts."""
+    """(of, item_of, agreeing, window) of pairs of contexts that stand: words are aligned at the seed, and the best window counts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,18 +147,27 @@ def verify(hits: DataFrame) -> DataFrame:
             agree = np.where(stop <= n[:, None], np.take_along_axis(sums, np.minimum(stop, WIDTH), axis=1) - sums[:, :WIDTH], -1).max(axis=1)
             keep = np.flatnonzero((agree >= need) & (n >= size))
             at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("item_id").take(at), pa.array(agree[keep]), pa.array(size[keep])], ["id", "item_id", "agreeing", "window"])
+            yield pa.RecordBatch.from_arrays([batch.column("of").take(at), batch.column("item_of").take(at), pa.array(agree[keep]), pa.array(size[keep])], ["of", "item_of", "agreeing", "window"])
 
-    return hits.mapInArrow(task, "id long, item_id long, agreeing long, window long")
+    return hits.mapInArrow(task, "of binary, item_of binary, agreeing long, window long")
+
+
+def with_context(rows: DataFrame, *more: str) -> DataFrame:
+    """Seeds with ``of``, which names their context: the seed, the words around it and the columns ``more``."""
+    name = F.concat_ws(" ", "mask", "seed", "before", *more, F.hex("context"))
+    return rows.withColumn("of", F.unhex(F.sha2(name, 256)))
 
 
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(doc_id, item_id, agreeing, window): one row per document and item that overlap."""
-    own = seeds(bench, "item_id")
-    item = own.select("mask", "seed", F.col("id").alias("item_id"), F.col("n_words").alias("item_words"), F.col("before").alias("item_before"), F.col("context").alias("item_context"))
-    found = seeds(docs, "doc_id", seed_bitmap(own))
-    stands = verify(found.join(item, ["mask", "seed"]))
-    return stands.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("window").alias("window"))
+    own = stash(with_context(seeds(bench, "item_id"), "n_words"), "item_seeds")
+    found = stash(with_context(seeds(docs, "doc_id", seed_bitmap(own))).drop("pos", "n_words"), "seeds")
+    item = own.groupBy(F.col("of").alias("item_of")).agg(*[F.first(c).alias(n) for c, n in (("mask", "mask"), ("seed", "seed"), ("n_words", "item_words"), ("before", "item_before"), ("context", "item_context"))])
+    context = found.groupBy("of").agg(*[F.first(c).alias(c) for c in ("mask", "seed", "before", "context")])
+    stands = verify(context.join(item, ["mask", "seed"]))
+    most = [F.max(c).alias(c) for c in ("agreeing", "window")]
+    items = stands.join(own.select(F.col("of").alias("item_of"), F.col("id").alias("item_id")).distinct(), "item_of").groupBy("of", "item_id").agg(*most)
+    return found.select("of", F.col("id").alias("doc_id")).distinct().join(items, "of").groupBy("doc_id", "item_id").agg(*most)
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:

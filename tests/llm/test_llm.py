@@ -611,6 +611,24 @@ def test_decontamination_recall(spark, n, k, least):
     assert sorted(x.contaminated for x in got if x.doc_id is None) == [False, True]
 
 
+def test_decontamination_verifies_contexts_once(spark, monkeypatch):
+    """Copies of a passage in many documents and items: each pair of distinct contexts is verified once, and no overlap is lost."""
+    r = random.Random(21)
+    item, other = ([f"w{r.randrange(10**7)}" for _ in range(30)] for _ in range(2))
+    docs = [(i, " ".join(item)) for i in range(60)] + [(100 + i, f"own{i} " + " ".join(other)) for i in range(5)] + [(200, "nothing of the kind is written here in any of these words at all")]
+    bench = [(i, " ".join(item)) for i in range(40)] + [(90, " ".join(other)), (91, " ".join(item[:14] + other[14:]))]
+    seen = []
+    whole = decontamination.verify
+    monkeypatch.setattr(decontamination, "verify", lambda hits: seen.append(hits) or whole(hits))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.overlaps(docs, bench).collect()}
+    want = {(d, i) for d in range(60) for i in [*range(40), 91]} | {(100 + i, k) for i in range(5) for k in (90, 91)}
+    # The item of two halves shares 14 words with the one passage and 16 with the other: a window of 16 holds 12 of them.
+    assert got == want
+    pairs = seen[0]
+    assert pairs.count() == pairs.select("of", "item_of").distinct().count() < 60 * 40
+
+
 def test_language_distances(docs, rows):
     """Predictions against profiles and out-of-place distances computed with dictionaries."""
     def grams(text):
