@@ -30,10 +30,15 @@ def latest(bars: DataFrame) -> DataFrame:
     return states(bars).withColumn("_k", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date")))).where("_k = 1 and rows >= 2").select(*STATE)
 
 
+def _over(x: Column, y: Column) -> Column:
+    """x / y, by a y of zero infinite or NaN, as floats divide elsewhere; Spark ends the job there."""
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(x / F.nullif(y, F.lit(0.0)))
+
+
 def _tests() -> dict[str, tuple[Column, Column, Column]]:
     """By kind: whether a rule fires on a state, its value and its severity."""
     t, d = F.col("threshold"), F.col("direction")
-    price, change, times = F.col("close"), (F.col("close") / F.col("before") - 1) * 100, F.col("volume") / F.col("mean19")
+    price, change, times = F.col("close"), (_over(F.col("close"), F.col("before")) - 1) * 100, _over(F.col("volume"), F.col("mean19"))
     golden = (F.col("macd1") <= F.col("signal1")) & (F.col("macd") > F.col("macd_signal"))
     death = (F.col("macd1") >= F.col("signal1")) & (F.col("macd") < F.col("macd_signal"))
     return {

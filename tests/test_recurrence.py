@@ -4,12 +4,14 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import alerts, indicators
+from quantloom.plans.queries import ORACLES, QUERIES
 from quantloom.streaming import market
 
 
@@ -145,3 +147,18 @@ def test_next_state_is_the_batch_state(spark):
         r = got[symbol, ts]
         assert (r.close, r.volume, r.rows) == (want[1], want[2], want[-1])
         assert np.allclose([r.before, r.macd, r.macd_signal, r.macd1, r.signal1, r.mean19], want[3:9])
+
+
+@pytest.mark.parametrize("name", ["stream_rules"])
+def test_rules_after_a_price_of_zero(spark, tmp_path, name):
+    """A price of zero before a tick, or volumes of zero, end no job: the change is infinite or NaN, as in the SQL."""
+    prices = [5.0, 0.0, 7.0, 0.0, 0.0, -3.0, 4.0] * 5
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), 50 * (i < 24) + i // 24, s, p, "{}") for s in ("view", "click") for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute("SET timezone = 'UTC'")
+    duck.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.sql(ORACLES[name]).select(*df.columns).fetchall()
+    shown = lambda rows: sorted(str([*map(str, r[:-1]), None if r[-1] is None or math.isnan(r[-1]) else r[-1]]) for r in rows)
+    assert shown(df.collect()) == shown(want) and sum(math.isnan(r[-1]) for r in want) > 10
