@@ -149,7 +149,7 @@ def test_next_state_is_the_batch_state(spark):
         assert np.allclose([r.before, r.macd, r.macd_signal, r.macd1, r.signal1, r.mean19], want[3:9])
 
 
-@pytest.mark.parametrize("name", ["stream_rules"])
+@pytest.mark.parametrize("name", ["stream_rules", "stream_rules_live"])
 def test_rules_after_a_price_of_zero(spark, tmp_path, name):
     """A price of zero before a tick, or volumes of zero, end no job: the change is infinite or NaN, as in the SQL."""
     prices = [5.0, 0.0, 7.0, 0.0, 0.0, -3.0, 4.0] * 5
