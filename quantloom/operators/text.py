@@ -123,8 +123,8 @@ NOT_CODES = tuple(
     TAR GZ EXE DLL BAT CMD SH PY JS TS JAVA CPP GO RUST PHP RUBY PERL LUA SWIFT KOTLIN SCALA CLOJURE HASKELL ERLANG ELIXIR DART FLUTTER REACT VUE ANGULAR SVELTE NEXT NUXT DJANGO
     FLASK FASTAPI SPRING LARAVEL SYMFONY RAILS EXPRESS NEST ASPNET HK SS SZ KS SW PA""".split()
 )
-#: Names of strategies in messages, the first that occurs counts (fixed values).
-STRATEGIES = {"buy_hold": "买入持有|買入持有|buy.?hold|持有策略|长期持有|長期持有", "sma_cross": "均线交叉|均線交叉|sma.?cross|moving.average|双均线|雙均線", "rsi": "rsi|相对强弱|相對強弱"}
+#: Names of strategies in messages, the first that occurs counts, short ones not inside a word (fixed values).
+STRATEGIES = {"buy_hold": "买入持有|買入持有|buy.?hold|持有策略|长期持有|長期持有", "sma_cross": r"均线交叉|均線交叉|(?<!\p{IsLatin})sma.?cross|moving.average|双均线|雙均線", "rsi": r"(?<!\p{IsLatin})rsi(?!\p{IsLatin})|相对强弱|相對強弱"}
 #: Words before a sum of money, what may stand between, ten-thousands after it, words for shares, before what a share cost, and between holdings (fixed values).
 MONEY, LINKS, MYRIAD, SHARES, COST, BREAKS = ("本金", "资金", "資金", "capital", "initial"), "为為是:", ("万", "萬", "w"), ("股", "shares", "share"), ("平均成本", "成本", "cost", "均价"), ",，、;；"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
@@ -170,27 +170,27 @@ def _with_symbol(rows: DataFrame, names: DataFrame, keys: tuple[str, ...]) -> Da
     return rows.join(named, list(keys), "left").withColumn("symbol", F.coalesce("_named", F.get(symbols(F.col("text")), 0))).drop("_named")
 
 
-def holdings(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """(message_id, holdings): symbol:shares:cost of each holding that a message states, joined with commas.
+def holdings(messages: DataFrame, names: DataFrame, key: str = "message_id") -> DataFrame:
+    """(key, holdings): symbol:shares:cost of each holding that a message states, joined with commas; rows of one key have one text.
 
     A holding is a number of shares and a name, with what it cost if that follows. In a message without such a one, every part
     between commas is one if it holds a number of shares and a symbol in any order.
     """
-    rows = messages.select("message_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = ("message_id", "pos")
+    rows = messages.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    keys = (key, "pos")
     # What follows a quantity belongs to it as far as the next break: a name, then perhaps what it cost.
     rest = F.split(F.col("h.rest"), f"[{BREAKS}]")[0]
     paid = F.get(after(rest, COST), 0)
     name = F.regexp_extract(F.ltrim(F.when(paid.isNotNull(), F.split(rest, "|".join(COST))[0]).otherwise(rest)), r"^[^0-9\s]+", 0)
-    first = rows.select("message_id", F.posexplode(quantities(F.col("text"))).alias("pos", "h")).select(*keys, F.col("h.shares").alias("shares"), name.alias("text"), leading(F.coalesce(paid, F.lit(""))).alias("cost"))
+    first = rows.select(key, F.posexplode(quantities(F.col("text"))).alias("pos", "h")).select(*keys, F.col("h.shares").alias("shares"), name.alias("text"), leading(F.coalesce(paid, F.lit(""))).alias("cost"))
     first = _with_symbol(first.where("text <> ''"), names, keys).where("symbol is not null")
-    others = rows.where(F.size(quantities(F.col("text"))) > 0).join(first.select("message_id").distinct(), "message_id", "left_anti")
-    part = others.select("message_id", F.posexplode(F.split("text", f"[{BREAKS}]")).alias("pos", "text"))
+    others = rows.where(F.size(quantities(F.col("text"))) > 0).join(first.select(key).distinct(), key, "left_anti")
+    part = others.select(key, F.posexplode(F.split("text", f"[{BREAKS}]")).alias("pos", "text"))
     prices = F.filter(F.transform(after(F.col("text"), (*COST, "@", r"\bat\b")), leading), lambda x: x != "")
     part = part.select(*keys, F.get(quantities(F.col("text")), 0)["shares"].alias("shares"), "text", F.coalesce(F.get(prices, 0), F.lit("")).alias("cost")).where("shares is not null")
     second = _with_symbol(part, names, keys).where("symbol is not null")
     one = F.struct("pos", F.concat_ws(":", "symbol", "shares", F.when(F.col("cost") == "", "0").otherwise(F.col("cost"))).alias("h"))
-    return first.unionByName(second).groupBy("message_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["h"]), ",").alias("holdings"))
+    return first.unionByName(second).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_set(one)), lambda x: x["h"]), ",").alias("holdings"))
 
 
 def capital(text: Column) -> Column:
@@ -210,10 +210,14 @@ def target_return(text: Column) -> Column:
 
 
 def entities(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """Symbols (by code, and by name from a table (name, symbol)), strategy, capital, target return, holdings."""
+    """Symbols (by code, and by name from a table (name, symbol)), strategy, capital, target return, holdings.
+
+    Messages may share a message_id, or have none: what a message holds is found again by its id and a hash of its text.
+    """
     text = F.coalesce("text", F.lit(""))
-    named = holding(messages.select("message_id", text.alias("text")), names, "name").groupBy("message_id").agg(F.array_sort(F.collect_set("symbol")).alias("_named"))
-    df = messages.join(named, "message_id", "left").join(holdings(messages, names), "message_id", "left")
+    rows = messages.select("message_id", text.alias("text"), F.struct("message_id", F.sha2(text, 256)).alias("_message"))
+    named = holding(rows.select("_message", "text"), names, "name").groupBy("_message").agg(F.array_sort(F.collect_set("symbol")).alias("_named"))
+    df = rows.join(named, "_message", "left").join(holdings(rows, names, "_message"), "_message", "left")
     strategy = F.lit("buy_hold")
     for name, pattern in reversed(STRATEGIES.items()):
         strategy = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(strategy)

@@ -311,8 +311,8 @@ ENDINGS = ("回测 600519.SS 均线交叉 本金5万", "portfolio: 100股AAPL成
 def messages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     k = (F.col("conv_id") * 10 + F.col("turn")).alias("message_id")
-    ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (F.col("conv_id") % len(ENDINGS) + 1).cast("int"))
-    return c.select(k, "conv_id", F.concat(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ ]", ""), F.lit(" "), ending).alias("text"))
+    ending = F.get(F.array(*[F.lit(x) for x in ENDINGS]), (F.col("conv_id") % len(ENDINGS)).cast("int"))
+    return c.select(k, "conv_id", F.concat(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-zà-ÿ ]", ""), F.lit(" "), ending).alias("text"))
 
 
 _WANT = ("backtest", "portfolio", "market", "optimize", "analyze_single", "portfolio", "analyze_batch", "analyze_single")

@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import factors, optimize, pit, quality, review, text
+from quantloom.plans.queries import ORACLES, QUERIES
 
 DAY = dt.date(2020, 1, 1)
 
@@ -143,6 +145,33 @@ def test_holdings_in_messages(spark):
     assert got == {k: h for k, (_, h) in said.items()}
 
 
+def test_messages_with_one_id(spark):
+    """Messages with the same message_id or none keep their own symbols and holdings; equal ones do not count twice."""
+    said = [(1, "100股AAPL成本150, 20股苹果公司", "AAPL", "AAPL:100:150,AAPL:20:0"), (1, "特斯拉", "TSLA", ""), (1, "特斯拉", "TSLA", ""), (None, "5股特斯拉", "TSLA", "TSLA:5:0"), (None, "5股特斯拉", "TSLA", "TSLA:5:0"), (None, "7股苹果", "AAPL", "AAPL:7:0"), (2, None, "", "")]
+    names = spark.createDataFrame([("苹果", "AAPL"), ("特斯拉", "TSLA")], "name string, symbol string")
+    df = spark.createDataFrame([r[:2] for r in said], "message_id int, text string")
+    got = sorted(str((r.message_id, r.symbols, r.holdings)) for r in text.entities(df, names).collect())
+    assert got == sorted(str((k, s, h)) for k, _, s, h in said)
+
+
+def test_strategies_are_words(spark):
+    said = {"schach universität versich": "buy_hold", "the plasma crossed": "buy_hold", "RSI策略": "rsi", "rsi14": "rsi", "use (RSI).": "rsi", "SMA cross": "sma_cross", "smacross": "sma_cross"}
+    df = spark.createDataFrame(list(enumerate(said)), "message_id int, text string")
+    got = {r.message_id: r.strategy for r in text.entities(df, spark.createDataFrame([], "name string, symbol string")).collect()}
+    assert got == dict(enumerate(said.values()))
+
+
+def test_entities_query_on_long_conversations(spark, tmp_path):
+    """Turns from 10 on share their number with the next conversation's; texts and ids may be missing."""
+    rows = [(c, t, "user", None if t == 3 else f"universität {t}") for c in (*range(12), -1, None) for t in (0, 3, 10, 21)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = QUERIES["utterance_entities"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.sql(ORACLES["utterance_entities"]).select(*df.columns).fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 def test_word_lists_of_any_length(spark, monkeypatch):
     """A list with more words than KEYS is joined at once; the counts are the same."""
     posts = spark.createDataFrame([(1, "good good bad Good"), (2, "利好利好 大跌 good"), (3, None), (4, "nothing")], "post_id int, text string")
