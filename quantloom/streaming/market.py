@@ -5,9 +5,10 @@ Every function also takes a batch table and then gives the same rows.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,10 @@ from ..operators.indicators import FAST, SIGNAL, SLOW
 MINUTE_US = 60_000_000
 #: Seconds of ticks that a task of a batch takes together.
 SPAN = 3600
+#: A waiting tick; one without a number comes before those of its time that have one.
+TICK = np.dtype([("us", "<i8"), ("numbered", "?"), ("tick_id", "<i8"), ("price", "<f8"), ("volume", "<f8")])
+#: Ticks that a task holds before it writes them down, and state rows that it gives out together.
+KEPT, TAKEN = 2**19, 2**15
 #: The tick_id of a row that ends a session, and the state store that timers and maps need.
 CLOSING = -1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,6 +73,8 @@ class TickStates(StatefulProcessor):
     Ticks wait by spans of ``span`` microseconds until the watermark has passed one; then its ticks are taken in order of (ts, tick_id), and only
     the last price, 19 volumes and the averages of MACD stay. So what is held of a symbol is the ticks of the watermark's delay and a span at a time,
     and a tick that comes late, but within the delay, is counted where it belongs. Without ``wait`` the ticks of a batch are taken at its end, span by span.
+
+    Ticks wait as bytes (``TICK``), in parts that are written once: more ticks of a span become another part. A symbol has one timer, that of its first span.
     """
 
     def __init__(self, wait: bool = True, span: int = MINUTE_US):
@@ -75,42 +82,75 @@ class TickStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "span long", "ticks array<struct<us:long,tick_id:long,price:double,volume:double>>")
+        self.waiting = handle.getMapState("waiting", "span long, part long", "ticks binary")
+        self.parts = handle.getValueState("parts", "n long")
         self.carried = handle.getValueState("carried", "rows long, price double, volumes array<double>, priced boolean, ema12 double, ema26 double, macd double, signal double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        timed = set(self.handle.listTimers()) if self.wait else set()
+        part, first, kept, n = self.parts.get()[0] if self.parts.exists() else 0, None, [], 0
         for chunk in rows:
-            for span, ticks in chunk.groupby(chunk["us"].astype("int64") // self.span):
-                span = int(span)
-                before = self.waiting.getValue((span,))[0] if self.waiting.containsKey((span,)) else []
-                new = [(int(us), None if pd.isna(i) else int(i), *(None if pd.isna(v) else float(v) for v in rest)) for us, i, *rest in ticks[["us", "tick_id", "price", "volume"]].itertuples(index=False)]
-                self.waiting.updateValue((span,), ([*map(tuple, before), *new],))
-                end = (span + 1) * self.span // 1000 - 1
-                if self.wait and end not in timed:
-                    timed.add(end)
-                    self.handle.registerTimer(end)
+            ticks = np.empty(len(chunk), TICK)
+            for c in TICK.names:
+                ticks[c] = chunk[c]
+            kept.append(ticks)
+            n += len(ticks)
+            if n >= KEPT:
+                part, first, kept, n = part + 1, self.keep(kept, part, first), [], 0
+        if n:
+            part, first = part + 1, self.keep(kept, part, first)
+        self.parts.update((part,))
         if not self.wait:
-            yield from self.taken(key, sorted(m for (m,) in self.waiting.keys()))
+            yield from self.taken(key, None)
+        elif first is not None and all(t > self.end(first) for t in self.handle.listTimers()):
+            self.handle.registerTimer(self.end(first))
+
+    def keep(self, ticks: list[np.ndarray], part: int, first: int | None) -> int:
+        """Write ticks as a part of their spans; the first span so far."""
+        all_ticks = np.concatenate(ticks)
+        spans = all_ticks["us"] // self.span
+        order = np.argsort(spans, kind="stable")
+        values, starts = np.unique(spans[order], return_index=True)
+        for span, some in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
+            self.waiting.updateValue((span, part), (all_ticks[some].tobytes(),))
+        return min(x for x in (first, int(values[0])) if x is not None)
+
+    def end(self, span: int) -> int:
+        return (span + 1) * self.span // 1000 - 1
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Timers come in order of time, one a span that has ticks.
-        yield from self.taken(key, [(expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 // self.span - 1])
+        yield from self.taken(key, timerValues.getCurrentWatermarkInMs())
 
-    def taken(self, key: tuple, spans: list[int]) -> Iterator[pd.DataFrame]:
-        """States of the waiting ticks of some spans in order."""
+    def taken(self, key: tuple, until: int | None) -> Iterator[pd.DataFrame]:
+        """States of the waiting ticks of the spans that end by ``until``, in order; the next span gets the timer."""
+        held = sorted(map(tuple, self.waiting.keys()))
+        passed = [k for k in held if until is None or self.end(k[0]) <= until]
         now = list(self.carried.get()) if self.carried.exists() else [0, None, [], False, None, None, None, None]
-        for span in spans:
-            ticks = sorted(map(tuple, self.waiting.getValue((span,))[0]), key=lambda t: (t[0], t[1] is not None, t[1] or 0))
-            self.waiting.removeKey((span,))
-            yield pd.DataFrame([(key[0], *next_state(now, t)) for t in ticks], columns=[c.split()[0] for c in TICK_STATE.split(", ")])
+        out = []
+        for _, parts in itertools.groupby(passed, key=lambda k: k[0]):
+            ticks = []
+            for part in parts:
+                ticks.append(np.frombuffer(self.waiting.getValue(part)[0], TICK))
+                self.waiting.removeKey(part)
+            ticks = np.concatenate(ticks)
+            ticks = ticks[np.lexsort((ticks["tick_id"], ticks["numbered"], ticks["us"]))]
+            for i in range(0, len(ticks), TAKEN):
+                us, price, volume = (ticks[c][i : i + TAKEN].tolist() for c in ("us", "price", "volume"))
+                out += [(key[0], *next_state(now, (t, None, None if p != p else p, None if v != v else v))) for t, p, v in zip(us, price, volume, strict=True)]
+                if len(out) >= TAKEN:
+                    yield pd.DataFrame(out, columns=TICK_COLUMNS)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=TICK_COLUMNS)
         self.carried.update(tuple(now))
+        if len(passed) < len(held):
+            self.handle.registerTimer(self.end(held[len(passed)][0]))
 
     def close(self) -> None:
         pass
 
 
 TICK_STATE = "symbol string, us long, close double, volume double, before double, macd double, macd_signal double, macd1 double, signal1 double, mean19 double, known19 long, rows long"
+TICK_COLUMNS = [c.split()[0] for c in TICK_STATE.split(", ")]
 
 
 def next_state(now: list, tick: tuple) -> tuple:
@@ -141,11 +181,12 @@ def states(ticks: DataFrame, delay: str | None = "2 hours", span: int = MINUTE_U
         place = F.row_number().over(W.partitionBy("symbol").orderBy("date"))
         return rules.states(rows.withColumn("_place", place), F.floor(F.col("_place") / 1024)).withColumn("date", F.col("date.ts"))
     ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    tick = [F.unix_micros("ts").alias("us"), F.col("tick_id").isNotNull().alias("numbered"), F.coalesce("tick_id", F.lit(0)).cast("long").alias("tick_id"), *[F.col(c).cast("double").alias(c) for c in ("price", "volume")]]
     if delay is None:
-        now = ticks.where(F.col("ts").isNotNull() & real).select("symbol", F.unix_micros("ts").alias("us"), "tick_id", "price", "volume")
+        now = ticks.where(F.col("ts").isNotNull() & real).select("symbol", *tick)
         return _tick_dates(now.groupBy("symbol").transformWithStateInPandas(TickStates(False, span), TICK_STATE, "Append", "None"))
     # A condition on the event time stays above the watermark, which a closing row must reach.
-    timed = ticks.withWatermark("ts", delay).where(F.when(real, F.col("ts")).isNotNull()).select("symbol", "ts", F.unix_micros("ts").alias("us"), "tick_id", "price", "volume")
+    timed = ticks.withWatermark("ts", delay).where(F.when(real, F.col("ts")).isNotNull()).select("symbol", "ts", *tick)
     return _tick_dates(timed.groupBy("symbol").transformWithStateInPandas(TickStates(True, span), TICK_STATE, "Append", "EventTime"))
 
 

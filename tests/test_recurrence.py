@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from quantloom.operators import alerts, indicators
 from quantloom.plans.queries import ORACLES, QUERIES
@@ -162,3 +163,67 @@ def test_rules_after_a_price_of_zero(spark, tmp_path, name):
     want = duck.sql(ORACLES[name]).select(*df.columns).fetchall()
     shown = lambda rows: sorted(str([*map(str, r[:-1]), None if r[-1] is None or math.isnan(r[-1]) else r[-1]]) for r in rows)
     assert shown(df.collect()) == shown(want) and sum(math.isnan(r[-1]) for r in want) > 10
+
+
+class Held:
+    """State of one key in memory, with the number of writes to maps."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.writes = {}, {}, set(), 0
+
+    def getMapState(self, name, *_):
+        held = self.maps.setdefault(name, {})
+
+        class Map:
+            keys, containsKey, getValue, removeKey = (lambda _: iter(list(held))), (lambda _, k: k in held), (lambda _, k: held.get(k)), (lambda _, k: held.pop(k))
+
+            def updateValue(_, k, v):
+                self.writes += 1
+                held[k] = v
+
+        return Map()
+
+    def getValueState(self, name, *_):
+        class Value:
+            exists, get, update = (lambda _: name in self.values), (lambda _: self.values[name]), (lambda _, v: self.values.update({name: v}))
+
+        return Value()
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("kept", [2**19, 700])
+def test_waiting_ticks_are_written_once(monkeypatch, kept):
+    """Chunks that all have ticks of every span are not written over for each chunk, and one timer takes what the watermark has passed."""
+    monkeypatch.setattr(market, "KEPT", kept, raising=False)
+    r, hour = random.Random(3), 3_600_000_000
+    ticks = [(r.randrange(10 * hour), k, r.choice([None, 5.0, 6.5, 0.0]), float(r.randrange(9))) for k in range(2000)]
+    frame = pd.DataFrame(ticks, columns=["us", "tick_id", "price", "volume"]).assign(numbered=True)
+    held, states = Held(), market.TickStates(True, hour)
+    states.init(held)
+    chunks = [frame[k : k + 100] for k in range(0, len(frame), 100)]
+    assert not list(states.handleInputRows(("a",), iter(chunks), TimerValues(-1, -1)))
+    assert held.writes == 10 * (1 if kept > 2000 else 3) and held.timers == {3_600_000 - 1}
+    got = []
+    for watermark in (3 * 3_600_000 + 5, 11 * 3_600_000):
+        while due := [t for t in held.timers if t <= watermark]:
+            for out in states.handleExpiredTimer(("a",), TimerValues(-1, watermark), ExpiredTimerInfo(min(due))):
+                got += out.astype(object).where(out.notna(), None).values.tolist()
+            held.timers.remove(min(due))
+        assert got[-1][1] // 1000 <= watermark and len(held.timers) == (watermark < 10 * 3_600_000)
+    now = [0, None, [], False, None, None, None, None]
+    assert got == [["a", *market.next_state(now, t)] for t in sorted(ticks)] and not held.maps["waiting"]
+
+
+def test_ticks_of_one_time_are_in_order_of_long_ids(spark, tmp_path):
+    """Ids that doubles cannot tell apart, beside a tick without one, order ticks of one time in a stream as in a table."""
+    at = dt.datetime(2024, 3, 1, 10)
+    rows = [(2**53 + 1, "a", at, 3.0, 1.0), (2**53, "a", at, 2.0, 1.0), (None, "a", at, 1.0, 1.0)]
+    spark.createDataFrame([*rows, (market.CLOSING, "end", at + dt.timedelta(hours=4), None, None)], TICK).coalesce(1).write.parquet(f"{tmp_path}/in")
+    market.run_once(market.states(spark.readStream.schema(TICK).parquet(f"{tmp_path}/in"), "2 hours"), str(tmp_path))
+    shown = lambda df: [(r.rows, r.close, r.before) for r in df.orderBy("rows").collect()]
+    assert shown(spark.read.parquet(f"{tmp_path}/out")) == shown(market.states(spark.createDataFrame(rows, TICK))) == [(1, 1.0, None), (2, 2.0, 1.0), (3, 3.0, 2.0)]
