@@ -16,6 +16,8 @@ from .indicators import ewm
 KINDS = ("price", "pct", "volume", "macd")
 #: What a rule looks at: this row's and the one before's price and MACD, the mean of the 19 volumes before, and the rows so far.
 STATE = ("symbol", "date", "close", "volume", "before", "macd", "macd_signal", "macd1", "signal1", "mean19", "rows")
+#: Rules that are sent to all tasks of a stream; more of them meet its states by a shuffle.
+SENT = 100_000
 
 
 def states(bars: DataFrame, block: Column | None = None) -> DataFrame:
@@ -56,6 +58,9 @@ def fired(rules: DataFrame, on: DataFrame, kinds: tuple[str, ...] = KINDS) -> Da
     for k in kinds:
         fires, value, severity = (out.when(F.col("kind") == k, x) for out, x in zip((fires, value, severity), tests[k], strict=True))
     active = rules.where(F.col("active") & F.col("kind").isin(*kinds)).select("rule_id", "symbol", "kind", "direction", "threshold")
+    if on.isStreaming:
+        # A batch without new ticks looks empty to Spark, which would send all the states that it gives out through the driver.
+        active = F.broadcast(active) if active.limit(SENT + 1).count() <= SENT else active.hint("merge")
     return on.where("rows >= 2").join(active, "symbol").where(fires).select("rule_id", "symbol", "date", "kind", severity.alias("severity"), value.cast("double").alias("value"))
 
 

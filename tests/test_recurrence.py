@@ -227,3 +227,25 @@ def test_ticks_of_one_time_are_in_order_of_long_ids(spark, tmp_path):
     market.run_once(market.states(spark.readStream.schema(TICK).parquet(f"{tmp_path}/in"), "2 hours"), str(tmp_path))
     shown = lambda df: [(r.rows, r.close, r.before) for r in df.orderBy("rows").collect()]
     assert shown(spark.read.parquet(f"{tmp_path}/out")) == shown(market.states(spark.createDataFrame(rows, TICK))) == [(1, 1.0, None), (2, 2.0, 1.0), (3, 3.0, 2.0)]
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_states_of_a_stream_are_not_broadcast(spark, tmp_path, monkeypatch, sent):
+    """Also in a batch without new ticks, which gives out what has waited: few rules go to the states, many meet them by a shuffle, as in the table."""
+    monkeypatch.setattr(alerts, "SENT", sent, raising=False)
+    path, ticks = str(tmp_path), [t for f in tick_rows(0) for t in f]
+    rules = spark.createDataFrame(RULES, "rule_id long, symbol string, kind string, direction string, threshold double, active boolean")
+    rules.coalesce(1).write.parquet(f"{path}/rules")
+    rules = spark.read.parquet(f"{path}/rules")
+    done = spark._jsparkSession.sharedState().statusStore().executionsList
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    known = {done().apply(i).executionId() for i in range(done().size())}
+    for rows in (ticks, [(market.CLOSING, "session", ticks[-1][2] + dt.timedelta(hours=6), None, None)]):
+        spark.createDataFrame(rows, TICK).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        market.run_once(alerts.fired(rules, market.states(spark.readStream.schema(TICK).parquet(f"{path}/in"), "2 hours")), path)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [x.physicalPlanDescription() for x in map(done().apply, range(done().size())) if x.executionId() not in known]
+    joins = [p for p in plans if "TransformWithState" in p]
+    assert len(joins) >= 4 and all(("BuildRight" in p) == (sent > 0) and "BuildLeft" not in p for p in joins)
+    shown = lambda df: sorted((r.rule_id, str(r.date), r.kind, r.severity, round(r.value, 6)) for r in df.collect())
+    assert shown(spark.read.parquet(f"{path}/out")) == shown(alerts.fired(rules, market.states(spark.createDataFrame(ticks, TICK)))) != []
